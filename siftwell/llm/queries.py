@@ -1,0 +1,24 @@
+"""The queries opN_<name> over the driver's tables, and their SQL where SQL can express them."""
+
+from __future__ import annotations
+
+from fractions import Fraction
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftwell.llm.jaccard import jaccard_components
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 3-word shingles have a Jaccard similarity of at least 0.9."""
+    out = jaccard_components(_documents(spark, sf_dir), k=3, likeness=Fraction(9, 10))
+    return out.select("doc_id", "n_shingles", "component_id", "set_docs")
+
+
+QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join}
+SQL: dict[str, str] = {}
