@@ -5,20 +5,68 @@ from __future__ import annotations
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from siftwell.llm import bpe, secrets
+from siftwell.llm.fingerprints import fingerprint_edits
 from siftwell.llm.jaccard import jaccard_components
+from siftwell.llm.licenses import scan_licenses
+from siftwell.llm.mixing import mix_sources
+from siftwell.llm.quality import quality_scores
+from siftwell.llm.rules import quality_rules
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def tokenizer_path() -> str:
+    """Where the vocabulary file of the box lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 3-word shingles have a Jaccard similarity of at least 0.9."""
-    out = jaccard_components(_documents(spark, sf_dir), k=3, likeness=Fraction(9, 10))
+    out = jaccard_components(_table(spark, sf_dir), k=3, likeness=Fraction(9, 10))
     return out.select("doc_id", "n_shingles", "component_id", "set_docs")
 
 
-QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join}
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents, sources weighted 5, 2, 1 in turn."""
+    return mix_sources(_table(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprint_edits(_table(spark, sf_dir))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices in all documents."""
+    return scan_licenses(_table(spark, sf_dir))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded text of all documents."""
+    return bpe.digests(bpe.encode_decode(_table(spark, sf_dir), tokenizer_path(), ["doc_id"]))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    return secrets.digests(secrets.scan_secrets(_table(spark, sf_dir), ["doc_id"]))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learnt from labels outside the held-out fold."""
+    return quality_scores(_table(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and log-likelihood verdicts of all documents; the trusted target is what labels mark as good."""
+    labels = _table(spark, sf_dir, "labels")
+    return quality_rules(_table(spark, sf_dir), labels.where("quality = 1"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_source_mixing, op4_fingerprints, op5_license_scan, op6_bpe, op7_secret_scan, op8_quality_classifier, op10_quality_rules)}
 SQL: dict[str, str] = {}
