@@ -108,10 +108,10 @@ def _fits(likeness: Fraction, x: str, y: str):
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, likeness: Fraction = Fraction(4, 5), bits: int = SKETCH_BITS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, set_docs, k1, k2) for each row of docs (doc_id, text).
+    """(doc_id, n_shingles, component_id, set_docs, component, k1, k2) for each row of docs (doc_id, text).
 
     Words are runs without ASCII white space, A-Z lower-cased. Two documents link when shared / all shingles >= likeness.
-    component_id: the smallest doc_id reachable by links; set_docs: rows with exactly the same set. k1, k2 key the text.
+    component_id: the smallest doc_id reachable by links; set_docs: rows with exactly the same set. component: a key of the component, null without shingles; k1, k2 key the text.
 
     Null or empty texts, and texts without a word: no shingles, linked with nothing, component_id is the row's own doc_id.
     Repeated rows each get a row back, with one component. A null doc_id is kept and never becomes a component_id while
@@ -178,6 +178,6 @@ def jaccard_components(docs: DataFrame, k: int = 5, likeness: Fraction = Fractio
 
     known = sets.join(labels, F.col("sid") == F.col("node"), "left").select("sid", "docs", "least", F.coalesce("label", "sid").alias("label"))
     least = known.groupBy("label").agg(F.min("least").alias("component_id"))
-    ends = known.join(least, "label").select("sid", F.col("docs").alias("set_docs"), "component_id")
+    ends = known.join(least, "label").select("sid", F.col("docs").alias("set_docs"), "component_id", F.col("label").alias("component"))
     out = base.select("doc_id", "n", "sid", "k1", "k2").join(ends, "sid", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("set_docs", F.lit(1)).alias("set_docs"), "k1", "k2")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("set_docs", F.lit(1)).alias("set_docs"), "component", "k1", "k2")
