@@ -48,8 +48,12 @@ class Vocabulary:
             spec = json.load(f)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
-        self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): r for r, m in enumerate(model["merges"])}
-        self.end = model["end_of_word_suffix"] or ""
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        keys = np.array([self.vocab[a] << 32 | self.vocab[b] for a, b in merges], np.int64)
+        order = np.argsort(keys)
+        self.pairs, self.ranks = keys[order], np.append(order, len(merges)).astype(np.int64)
+        self.merged = np.array([self.vocab[a + b] for a, b in merges], np.int64)
+        end = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = [""] * (max([*self.vocab.values(), *self.special.values()]) + 1)
         for token, i in [*self.vocab.items(), *self.special.items()]:
@@ -58,33 +62,81 @@ class Vocabulary:
         self.apart = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = (chr(256 + i) for i in range(256))
-        self.letters = {b: chr(b) if b in plain else next(rest) for b in range(256)}
+        letters = [chr(b) if b in plain else next(rest) for b in range(256)]
+        self.byte_of = {c: b for b, c in enumerate(letters)}
+        self.inner = np.array([self.vocab[c] for c in letters], np.int64)
+        self.last = np.array([self.vocab[c + end] for c in letters], np.int64)
         whole = Tokenizer.from_file(path)
         self.normalise, self.cut = whole.normalizer.normalize_str, whole.pre_tokenizer.pre_tokenize_str
-        self.pieces = lru_cache(200_000)(self._merged)
-
-    def _merged(self, piece: str) -> tuple[int, ...]:
-        """Ids of a piece whose characters stand for bytes: the pair of lowest rank, leftmost first, until none is left."""
-        parts = [*piece[:-1], piece[-1] + self.end]
-        ranks, none = self.ranks, len(self.ranks)
-        while len(parts) > 1:
-            found = [ranks.get(p, none) for p in zip(parts, parts[1:], strict=False)]
-            best = min(found)
-            if best == none:
-                break
-            i = found.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return tuple(self.vocab[p] for p in parts if p in self.vocab)
-
-    def ids(self, word: str) -> tuple[int, ...]:
-        """Ids of a normalised word without white space."""
-        if word in self.special:
-            return (self.special[word],)
+        self.known: dict[bytes, tuple[int, ...]] = {}
+
+    def _pieces(self, word: str) -> list[bytes]:
+        """The pieces of a normalised word that are merged apart from one another, in UTF-8."""
         if COMMON.search(word):
-            pieces = [p for p, _ in self.cut(word)]
-        else:
-            pieces = [p.encode().decode("latin-1").translate(self.letters) for p in self.split.findall(word)]
-        return tuple(i for p in pieces for i in self.pieces(p))
+            return [bytes(map(self.byte_of.__getitem__, p)) for p, _ in self.cut(word)]
+        return [word.encode()] if word.isalpha() else [p.encode() for p in self.split.findall(word)]
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.ranks[at], self.ranks[-1])
+
+    def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of non-empty pieces. In each round every piece makes one merge, that of least rank, leftmost first, as if
+        each were merged alone; a piece without a merge is done."""
+        out: list[tuple[int, ...]] = [()] * len(pieces)
+        if not pieces:
+            return out
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        ends = np.cumsum(sizes) - 1
+        part = self.inner[raw]
+        part[ends] = self.last[raw[ends]]
+        owner = np.repeat(np.arange(len(pieces)), sizes)
+        none = int(self.ranks[-1])
+
+        def rank(at: np.ndarray) -> np.ndarray:
+            after = np.minimum(at + 1, len(part) - 1)
+            return np.where((owner[at] == owner[after]) & (after > at), self._rank(part[at], part[after]), none)
+
+        ranks = rank(np.arange(len(part)))
+        while len(part):
+            starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            least = np.minimum.reduceat(ranks, starts)
+            sizes = np.diff(np.append(starts, len(part)))
+            over = least == none
+            if over.any():
+                gone = np.repeat(over, sizes)
+                ids, who = part[gone].tolist(), owner[starts[over]].tolist()
+                to = 0
+                for w, n in zip(who, sizes[over].tolist(), strict=True):
+                    out[w] = tuple(ids[to : to + n])
+                    to += n
+                part, owner, ranks = part[~gone], owner[~gone], ranks[~gone]
+                least, sizes = least[~over], sizes[~over]
+                if not len(part):
+                    break
+            hits = np.flatnonzero(ranks == np.repeat(least, sizes))
+            hits = hits[np.concatenate([[True], owner[hits[1:]] != owner[hits[:-1]]])]
+            part[hits] = self.merged[ranks[hits]]
+            keep = np.ones(len(part), bool)
+            keep[hits + 1] = False
+            part, owner, ranks = part[keep], owner[keep], ranks[keep]
+            hits = hits - np.arange(len(hits))
+            ranks[hits] = rank(hits)
+            before = np.maximum(hits - 1, 0)
+            ranks[before] = rank(before)
+        return out
+
+    def ids(self, words: list[str]) -> list[tuple[int, ...]]:
+        """Ids of normalised words without white space."""
+        pieces = [None if w in self.special else self._pieces(w) for w in words]
+        known = self.known
+        if len(known) > 400_000:
+            known.clear()
+        new = list({p for ps in pieces if ps for p in ps}.difference(known))
+        known.update(zip(new, self.merge(new), strict=True))
+        return [(self.special[w],) if ps is None else known[ps[0]] if len(ps) == 1 else tuple(i for p in ps for i in known[p]) for w, ps in zip(words, pieces, strict=True)]
 
     def words(self, text: str | None) -> list[str]:
         """Normalised words and special tokens of a text, in order."""
@@ -213,7 +265,7 @@ def build_lexicon(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> str:
 
     def merge():
         rules = vocabulary(path)
-        return lambda words: [[list(rules.ids(w)) for w in words]]
+        return lambda words: [[list(i) for i in rules.ids(words)]]
 
     found = map_text(chosen, ["word"], {"ids": "array<int>"}, merge, text="word").toArrow()
     drop(counts)
@@ -249,7 +301,7 @@ def encode_decode(docs: DataFrame, path: str, keep: list[str], most: int = LEXIC
                 if w in rules.special:
                     at[i] = -1
             unseen = np.flatnonzero(at < 0)
-            extra = [rules.ids(distinct[i]) for i in unseen]
+            extra = rules.ids([distinct[i] for i in unseen])
             sizes, starts = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
             hit = at >= 0
             starts[hit] = lexicon.offsets[at[hit]]
