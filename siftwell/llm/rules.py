@@ -30,7 +30,7 @@ def repeat_words(words: Column) -> Column:
     """How many words lie in a run of three words that occurs twice or more in the text, the first occurrence included."""
 
     def places(grams: Column) -> Column:
-        """Starts of runs that occur again: neighbours in sorted order with the same hash."""
+        """Runs that occur again: neighbours in sorted order with the same hash."""
 
         def same(s: Column) -> Column:
             def again(g: Column, i: Column) -> Column:
@@ -40,20 +40,23 @@ def repeat_words(words: Column) -> Column:
 
         return _let(F.sort_array(grams), same)
 
-    def runs(w: Column) -> Column:
-        at = F.sequence(F.lit(0), F.size(w) - 3)
-        return F.transform(at, lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("at")))
+    def hashes(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
 
-    def covered(p: Column) -> Column:
-        return F.size(F.array_distinct(F.flatten(F.transform(p, lambda g: F.array(g["at"], g["at"] + 1, g["at"] + 2)))))
+    def covered(h: Column) -> Column:
+        again = places(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("at"))))
+        return F.size(F.array_distinct(F.flatten(F.transform(again, lambda g: F.array(g["at"], g["at"] + 1, g["at"] + 2)))))
 
-    return F.when(F.size(words) < 4, F.lit(0)).otherwise(_let(words, lambda w: covered(places(runs(w))))).cast("long")
+    def counted(h: Column) -> Column:
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h))
+
+    return F.when(F.size(words) < 4, F.lit(0)).otherwise(_let(_let(words, hashes), counted)).cast("long")
 
 
 def measures(docs: DataFrame) -> DataFrame:
     """docs with words (array) and the five base counts."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
     return docs.withColumn("_words", words_of(F.col("text"))).select(
         "*",
         F.size("_words").cast("long").alias("n_words"),
@@ -64,28 +67,26 @@ def measures(docs: DataFrame) -> DataFrame:
     )
 
 
-def grams_of(words: Column) -> Column:
-    """Classes of all words and of all pairs of neighbouring words."""
-
-    def both(w: Column) -> Column:
-        one = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(CLASSES)).cast("int"))
-        two = F.transform(w, lambda x, i: F.pmod(F.xxhash64(F.lit(2), F.get(w, i - 1), x), F.lit(CLASSES)).cast("int"))
-        return F.concat(one, F.slice(two, 2, F.greatest(F.size(two) - 1, F.lit(0))))
-
-    return _let(words, both)
+def with_grams(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """The kept columns for each word, with the classes of the word (one) and of it and the next word (two; null at the
+    end). A row without words comes once, with nulls."""
 
+    def pairs(w: Column) -> Column:
+        return F.arrays_zip(w, F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))))
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """(gram, n): occurrences of each class in all texts."""
-    return docs.select(F.explode(grams_of(words_of(F.col("text")))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    each = rows.select(*keep, F.inline_outer(_let(F.col("_words"), pairs)).alias("_a", "_b"))
+    one = F.when(F.col("_a").isNotNull(), F.pmod(F.xxhash64("_a"), F.lit(CLASSES)).cast("int"))
+    two = F.when(F.col("_b").isNotNull(), F.pmod(F.xxhash64(F.lit(2), "_a", "_b"), F.lit(CLASSES)).cast("int"))
+    return each.select(*keep, one.alias("one"), two.alias("two"))
 
 
-def ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(gram, ratio): log of the class's share in trusted text over its share in all text, one count added to each class."""
-    raw = gram_counts(docs).withColumnRenamed("n", "raw")
-    target = gram_counts(trusted).withColumnRenamed("n", "target")
-    both = raw.join(target, "gram", "left").select("gram", F.coalesce("target", F.lit(0)).alias("target"), "raw")
-    both = store(both)
+def ratios(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
+    """(gram, ratio): log of the class's share in trusted text over its share in all text, one count added to each class.
+    Both are counted in one pass."""
+    marked = docs.join(trusted_ids.select("doc_id", F.lit(1).alias("_trusted")).distinct(), "doc_id", "left")
+    words = marked.select(F.coalesce("_trusted", F.lit(0)).alias("_trusted"), words_of(F.col("text")).alias("_words"))
+    grams = with_grams(words, ["_trusted"]).select("_trusted", F.explode(F.array("one", "two")).alias("gram")).where("gram IS NOT NULL")
+    both = store(grams.groupBy("gram").agg(F.sum("_trusted").alias("target"), F.count("*").alias("raw")))
     all_target, all_raw = both.agg(F.sum("target"), F.sum("raw")).first()
     share_t = (F.col("target") + 1) / F.lit((all_target or 0) + CLASSES)
     share_r = (F.col("raw") + 1) / F.lit((all_raw or 0) + CLASSES)
@@ -101,11 +102,14 @@ def quality_rules(docs: DataFrame, trusted_ids: DataFrame, threshold: float = TH
     Extra columns are ignored; an empty table gives an empty one.
     """
     docs = docs.select("doc_id", "text")
-    trusted = docs.join(trusted_ids.select("doc_id").distinct(), "doc_id", "left_semi")
-    table = ratios(docs, trusted)
+    table = ratios(docs, trusted_ids)
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     rows = measures(docs.withColumn("_row", F.monotonically_increasing_id()))
-    grams = rows.select("_row", *cols, F.explode_outer(grams_of(F.col("_words"))).alias("gram"))
-    scored = grams.join(F.broadcast(table), "gram", "left").groupBy("_row").agg(*(F.first(c).alias(c) for c in cols), F.avg(F.coalesce("ratio", F.lit(0.0))).alias("llr"))
+    each = with_grams(rows, ["_row", *cols])
+    for gram in ("one", "two"):
+        each = each.join(F.broadcast(table.select(F.col("gram").alias(gram), F.col("ratio").alias(f"{gram}_ratio"))), gram, "left")
+    total = F.sum(F.coalesce("one_ratio", F.lit(0.0)) + F.coalesce("two_ratio", F.lit(0.0)))
+    llr = total / F.greatest(F.count("one") + F.count("two"), F.lit(1))
+    scored = each.groupBy("_row").agg(*(F.first(c).alias(c) for c in cols), llr.alias("llr"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return scored.select(*cols, failed.alias("base_failed"), (~failed & (F.col("llr") >= threshold)).alias("kept"), F.round("llr", 6).alias("llr"))
