@@ -1,6 +1,599 @@
-"""All queries of the library's own operators, and their SQL."""
+"""All queries of the library's own operators, and the SQL that they are compared with.
+
+Each query runs an operator over whole tables; the documents table is seen as a tree of files, as sources.corpus says.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftwell.functions import rewrite, snippets
+from siftwell.operators import index, observe, search, state, structure
+from siftwell.sources import corpus
+from siftwell.sources.corpus import CODE_SQL, FILES_SQL, LANGUAGES, LINES_SQL
+from siftwell.streaming import telemetry
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+SYMBOL = "the"
+
+# Fixed rows: names, trees and settings that the driver's tables lack.
+NAMES = ("login_user", "getUser", "UserCard", "foo", "foo_1", "HTTP", "a::b_c", "useThing", "$scope", "x.y", "a+b", "É", "fetchUser", "[a]{b}|(c)^d*")
+LANGUAGE_HINTS = ("ts", "TSX", "js", "kt", "rs", "swiftui", "auto-swift-ts", "go", "rust+ts|py,js", "auto-js+kt", " ts ")
+TREE = ("Package.swift", "Sources/App/main.swift", "Sources/App/view.swift", "Sources/Core/core.swift", "Sources/top.swift", "Sources/A/B/deep.swift", "Tests/t.swift", "sources/lower.swift")
+ORIGINS = (("rg-global", "rust"), ("rg-scoped", None), ("rga", "tsx"))
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def strings(spark: SparkSession, values: tuple, name: str) -> DataFrame:
+    return spark.createDataFrame([(v,) for v in values], f"{name} string")
+
+
+def _quoted(v: str | None) -> str:
+    return "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+
+
+def _values(rows: tuple, *names: str) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join(map(_quoted, r if isinstance(r, tuple) else (r,))) + ")" for r in rows) + f") AS v({', '.join(names)})"
+
+
+def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All distinct words of the benchmark texts, and fixed names."""
+    words = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.explode(F.split("text", " ")).alias("symbol")).where("symbol <> ''")
+    return words.union(strings(spark, NAMES, "symbol")).distinct()
+
+
+SYMBOLS_SQL = f"symbols AS (SELECT DISTINCT symbol FROM (SELECT unnest(string_split(text, ' ')) AS symbol FROM benchmark UNION ALL SELECT symbol FROM {_values(NAMES, 'symbol')}) WHERE symbol <> '')"
+files = corpus.document_files
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.lines_of(files(spark, sf_dir))
+
+
+def code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.code_lines(files(spark, sf_dir))
+
+
+def hits(spark: SparkSession, sf_dir: str, symbol: str = SYMBOL, origin: str = "rg-global") -> DataFrame:
+    return search.as_hits(search.probe(files(spark, sf_dir), symbol), origin)
+
+
+HITS_SQL = LINES_SQL + f", hits AS (SELECT path, ext, line_no, line AS snippet, length(line) + 1 AS snippet_length, length(line) + 1 >= 200 AS truncated, 'rg-global' AS origin, 1.0::DOUBLE AS score FROM lines WHERE contains(line, '{SYMBOL}'))"
+LANGUAGE_SQL = "CASE ext " + " ".join(f"WHEN '{e}' THEN '{x}'" for e, x in LANGUAGES.items()) + " END"
+CANDIDATES_SQL = "cands AS (SELECT path FROM files WHERE regexp_matches(name, '^[0-9]*7') ORDER BY path LIMIT 200)"
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.by_name(files(spark, sf_dir), "^[0-9]*7")
+
+
+# Sources and projections
+
+
+@query("scan_lines", f"WITH {LINES_SQL} SELECT path, count(*)::BIGINT AS n_lines, sum(length(line))::BIGINT AS n_chars FROM lines GROUP BY path")
+def scan_lines(spark, d):
+    return lines(spark, d).groupBy("path").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+
+
+@query("path_normalize", f"WITH {FILES_SQL} SELECT path, CASE WHEN starts_with(path, 'src0/') THEN substr(path, 6) ELSE path END AS relative FROM files")
+def path_normalize(spark, d):
+    return files(spark, d).select("path", corpus.normalize_path(F.col("path"), "src0").alias("relative"))
+
+
+@query("detect_language", f"WITH {FILES_SQL} SELECT path, {LANGUAGE_SQL} AS language FROM files")
+def detect_language(spark, d):
+    return files(spark, d).select("path", search.language_of(F.col("ext")).alias("language"))
+
+
+@query("origin_label", f"WITH {FILES_SQL} SELECT path, origin, CASE WHEN {LANGUAGE_SQL} IS NULL THEN origin ELSE origin || ' [' || {LANGUAGE_SQL} || ']' END AS label FROM files, (SELECT unnest(['rg-global', 'rga']) AS origin)")
+def origin_label(spark, d):
+    held = files(spark, d).select("path", "ext", F.explode(F.array(F.lit("rg-global"), F.lit("rga"))).alias("origin"))
+    return held.select("path", "origin", search.origin_label(F.col("origin"), search.language_of(F.col("ext"))).alias("label"))
+
+
+@query("filter_extension", f"WITH {FILES_SQL} SELECT path, n_bytes FROM files WHERE ext IN ('ts', 'tsx', 'rs')")
+def filter_extension(spark, d):
+    return files(spark, d).where(F.lower("ext").isin(rewrite.extensions_of(["ts", "tsx", "rust"]))).select("path", "n_bytes")
+
+
+# Rewriting
+
+
+def _of_symbols(f):
+    return lambda spark, d: symbols(spark, d).select("symbol", f(F.col("symbol")).alias("value"))
+
+
+ESCAPE_SQL = r"regexp_replace({s}, '([\\.+*?^$()\[\]{{}}|])', '\\\1', 'g')"
+HINT_SQL = """CASE WHEN h0 = '' THEN 'value' ELSE h0 END"""
+HINTS_SQL = (
+    SYMBOLS_SQL
+    + """, parts AS (SELECT symbol, string_split_regex(symbol, '[:_.]')[-1] AS p, regexp_extract(symbol, '(\\p{Lu}\\P{Lu}*)$', 1) AS u FROM symbols),
+capital AS (SELECT symbol, p, u, CASE WHEN regexp_matches(p, '^[a-z]') THEN upper(p[1]) || substr(p, 2) ELSE p END AS cp, CASE WHEN regexp_matches(symbol, '^[a-z]') THEN upper(symbol[1]) || substr(symbol, 2) ELSE symbol END AS cs FROM parts),
+hinted AS (SELECT symbol, coalesce(nullif(CASE WHEN contains(symbol, '_') THEN cp WHEN u <> '' THEN u ELSE cs END, ''), 'value') AS hint FROM capital)"""
+)
+query("escape_literal", f"WITH {SYMBOLS_SQL} SELECT symbol, {ESCAPE_SQL.format(s='symbol')} AS value FROM symbols")(_of_symbols(rewrite.escape_literal))
+query("is_literal_symbol", f"WITH {SYMBOLS_SQL} SELECT symbol, regexp_matches(symbol, '^[A-Za-z0-9_]+$') AS value FROM symbols")(_of_symbols(rewrite.is_literal_symbol))
+query("ast_eligible", f"WITH {SYMBOLS_SQL} SELECT symbol, regexp_matches(symbol, '^[A-Za-z0-9_$]+$') AS value FROM symbols")(_of_symbols(rewrite.ast_eligible))
+query("derive_type_hint", f"WITH {HINTS_SQL} SELECT symbol, hint AS value FROM hinted")(_of_symbols(rewrite.type_hint))
+
+
+def _rewrite_sql(*sets: tuple[str, tuple[str, ...]]) -> str:
+    """Rows of all templates in order; equal ones keep the first place, places are numbered anew."""
+    rows, n = [], 0
+    for test, templates in (("TRUE", rewrite.BASE), *sets):
+        for t in templates:
+            text = _quoted(t).replace("{s}", "' || symbol || '").replace("{h}", "' || hint || '")
+            rows.append(f"SELECT symbol, {n} AS i, {text} AS q FROM hinted WHERE {test}")
+            n += 1
+    return f"""WITH {HINTS_SQL}, raw AS ({' UNION ALL '.join(rows)}), escaped AS (SELECT symbol, i, {ESCAPE_SQL.format(s='q')} AS query FROM raw),
+first AS (SELECT symbol, query, min(i) AS i FROM escaped GROUP BY symbol, query)
+SELECT symbol, (row_number() OVER (PARTITION BY symbol ORDER BY i) - 1)::BIGINT AS pos, query FROM first"""
+
+
+UPPER_SQL = "regexp_matches(symbol, '^\\p{Lu}')"
+query("rewrite_base", _rewrite_sql())(lambda spark, d: rewrite.rewritten(symbols(spark, d)))
+query("rewrite_ts", _rewrite_sql(("TRUE", rewrite.TS), ("regexp_matches(symbol, '^use.+')", rewrite.TS_HOOK), (UPPER_SQL, rewrite.TS_UPPER)))(lambda spark, d: rewrite.rewritten(symbols(spark, d), "ts"))
+query("rewrite_rust", _rewrite_sql(("TRUE", rewrite.RUST)))(lambda spark, d: rewrite.rewritten(symbols(spark, d), "rust"))
+query("rewrite_swift", _rewrite_sql(("TRUE", rewrite.SWIFT), (UPPER_SQL, rewrite.SWIFT_UPPER)))(lambda spark, d: rewrite.rewritten(symbols(spark, d), "swift"))
+
+
+@query(
+    "expand_language",
+    f"""WITH hints AS (SELECT token, lower(trim(token)) AS t FROM {_values(LANGUAGE_HINTS, 'token')}),
+parts AS (SELECT token, CASE WHEN starts_with(t, 'auto-') THEN string_split_regex(substr(t, 6), '[-+|,]') ELSE string_split_regex(t, '[+|,]') END AS a FROM hints),
+each AS (SELECT token, unnest(a) AS x, generate_subscripts(a, 1) AS i FROM parts),
+known(k, to_, j) AS (VALUES {', '.join(f"('{k}', '{x}', {j})" for k, to in rewrite.TOKENS.items() for j, x in enumerate(to))}),
+wide AS (SELECT token, coalesce(to_, trim(x)) AS language, i, coalesce(j, 0) AS j FROM each LEFT JOIN known ON k = trim(x) WHERE trim(x) <> ''),
+first AS (SELECT token, language, min(i * 10 + j) AS o FROM wide GROUP BY ALL)
+SELECT token, (row_number() OVER (PARTITION BY token ORDER BY o) - 1)::BIGINT AS pos, language FROM first""",
+)
+def expand_language(spark, d):
+    out = strings(spark, LANGUAGE_HINTS, "token").select("token", F.posexplode(rewrite.expand_languages(F.col("token"))).alias("pos", "language"))
+    return out.withColumn("pos", F.col("pos").cast("long"))
+
+
+# Probes and candidates
+
+query("probe_global", f"WITH {HITS_SQL} SELECT path, line_no, snippet FROM hits")(lambda spark, d: hits(spark, d).select("path", "line_no", "snippet"))
+query("hits_project", f"WITH {HITS_SQL} SELECT path, line_no, snippet_length, truncated, origin, score FROM hits")(lambda spark, d: hits(spark, d).select("path", "line_no", "snippet_length", "truncated", "origin", "score"))
+
+
+@query("probe_smart_case", f"WITH {LINES_SQL} SELECT 'Elle' AS symbol, path, line_no FROM lines WHERE contains(line, 'Elle') UNION ALL SELECT 'un_1', path, line_no FROM lines WHERE contains(lower(line), 'un_1') UNION ALL SELECT '_2', path, line_no FROM lines WHERE contains(lower(line), '_2')")
+def probe_smart_case(spark, d):
+    out = None
+    for symbol in ("Elle", "un_1", "_2"):
+        part = search.probe(files(spark, d), symbol, rewrite.insensitive(symbol)).select(F.lit(symbol).alias("symbol"), "path", "line_no")
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query("probe_per_file_cap", f"WITH {HITS_SQL} SELECT path, line_no FROM hits QUALIFY row_number() OVER (PARTITION BY path ORDER BY line_no) <= 3")
+def probe_per_file_cap(spark, d):
+    return search.per_file_cap(hits(spark, d), 3).select("path", "line_no")
+
+
+query("probe_capped", f"WITH {HITS_SQL} SELECT path, line_no FROM hits ORDER BY path, line_no LIMIT 20")(lambda spark, d: hits(spark, d).select("path", "line_no").orderBy("path", "line_no").limit(20))
+query("discover_filename", f"WITH {FILES_SQL}, {CANDIDATES_SQL} SELECT path FROM cands")(candidates)
+SCOPED_SQL = "scoped AS (SELECT path FROM cands ORDER BY path LIMIT 20)"
+query("probe_scoped", f"WITH {HITS_SQL}, {CANDIDATES_SQL}, {SCOPED_SQL} SELECT path, line_no FROM hits WHERE path IN (SELECT path FROM scoped)")(
+    lambda spark, d: search.probe(search.scoped(files(spark, d), candidates(spark, d), 20), SYMBOL).select("path", "line_no")
+)
+
+
+def dir_scores(spark: SparkSession, d: str) -> DataFrame:
+    f = files(spark, d).select("path", "dir")
+    return hits(spark, d).select("path").join(f, "path").groupBy("dir").agg(F.count("*").alias("score"))
+
+
+DIRS_SQL = HITS_SQL + ", dirs AS (SELECT dir, count(*)::BIGINT AS score FROM hits JOIN files USING (path) GROUP BY dir), top3 AS (SELECT * FROM dirs ORDER BY score DESC, dir LIMIT 3)"
+ENTRIES_SQL = DIRS_SQL + ", entries AS (SELECT dir, row_number() OVER (PARTITION BY dir ORDER BY name) AS pos, path, name FROM files WHERE dir IN (SELECT dir FROM top3)), shown AS (SELECT dir, pos::BIGINT AS pos, path FROM entries WHERE pos <= 5 AND NOT starts_with(name, '.'))"
+query("top_directories", f"WITH {DIRS_SQL} SELECT dir, score FROM top3")(lambda spark, d: search.top_directories(dir_scores(spark, d)))
+
+
+@query("discover_dir_hints", f"WITH {ENTRIES_SQL} SELECT dir, pos, path FROM shown")
+def discover_dir_hints(spark, d):
+    return search.directory_entries(files(spark, d), search.top_directories(dir_scores(spark, d)))
+
+
+@query(
+    "discover_union",
+    f"""WITH {ENTRIES_SQL}, {CANDIDATES_SQL}, numbered AS (SELECT path, row_number() OVER (ORDER BY path) AS pos FROM cands),
+whole AS (SELECT path, 0 AS src_rank, pos FROM numbered UNION ALL SELECT path, 1, pos FROM shown)
+SELECT path, src_rank::BIGINT AS src_rank, pos::BIGINT AS pos FROM whole QUALIFY row_number() OVER (PARTITION BY path ORDER BY src_rank, pos) = 1""",
+)
+def discover_union(spark, d):
+    from pyspark.sql import Window
+
+    named = candidates(spark, d).withColumn("pos", F.row_number().over(Window.orderBy("path")))
+    return search.ordered_union(named, discover_dir_hints(spark, d))
+
+
+@query(
+    "discover_swift_layout",
+    f"""WITH tree AS (SELECT path, string_split(path, '/') AS a FROM {_values(TREE, 'path')}),
+inside AS (SELECT path, len(a) AS n, lower(a[1]) AS lead, a[2] AS child FROM tree WHERE lower(a[1]) = 'sources' AND len(a) <= 3),
+numbered AS (SELECT *, dense_rank() OVER (PARTITION BY lead ORDER BY child) AS c, row_number() OVER (PARTITION BY lead, child ORDER BY path) AS g FROM inside)
+SELECT 'Package.swift' AS path, 0::BIGINT AS level UNION ALL SELECT path, (n - 1)::BIGINT FROM numbered WHERE c <= 20 AND g <= 10""",
+)
+def discover_swift_layout(spark, d):
+    return search.swift_layout(strings(spark, TREE, "path"))
+
+
+# Scores, ranks, metrics
+
+ADJUST_SQL = "score - 0.05"
+STRUCT_SQL = "struct AS (SELECT DISTINCT path, line_no FROM lines WHERE contains(line, 'the') AND ext = 'md' AND regexp_matches(line, '\\bthe\\b'))"
+
+
+def matches(spark: SparkSession, d: str) -> DataFrame:
+    return structure.rule_matches(lines(spark, d), SYMBOL, ["other"])
+
+
+query("score_hits", f"WITH {HITS_SQL} SELECT path, line_no, {ADJUST_SQL} AS score FROM hits")(lambda spark, d: search.score(hits(spark, d)).select("path", "line_no", "score"))
+SCORED_SQL = f"{HITS_SQL}, {CANDIDATES_SQL}, {STRUCT_SQL}, scored AS (SELECT h.path, h.ext, h.line_no, h.snippet, h.truncated, ({ADJUST_SQL} + CASE WHEN c.path IS NOT NULL THEN 0.2 ELSE 0.0 END) + CASE WHEN s.path IS NOT NULL THEN 0.5 ELSE 0.0 END AS score, CASE WHEN s.path IS NOT NULL THEN 'ast-grep' ELSE origin END AS origin FROM hits h LEFT JOIN cands c ON h.path = c.path LEFT JOIN struct s ON h.path = s.path AND h.line_no = s.line_no)"
+query("score_fd_bonus", f"WITH {HITS_SQL}, {CANDIDATES_SQL} SELECT path, line_no, round({ADJUST_SQL} + CASE WHEN path IN (SELECT path FROM cands) THEN 0.2 ELSE 0.0 END, 6) AS score FROM hits")(
+    lambda spark, d: search.score(hits(spark, d), candidates(spark, d)).select("path", "line_no", F.round("score", 6).alias("score"))
+)
+
+
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    return search.score(hits(spark, d), candidates(spark, d), matches(spark, d)).withColumn("score", F.round("score", 6))
+
+
+query("score_ast_boost", f"WITH {SCORED_SQL} SELECT path, line_no, round(score, 6) AS score, origin FROM scored")(lambda spark, d: scored(spark, d).select("path", "line_no", "score", "origin"))
+SECOND_SQL = "merged AS (SELECT path, line_no, 0.95::DOUBLE AS score, 'rg-global' AS origin, 0 AS stage FROM hits UNION ALL SELECT path, line_no, CASE WHEN line_no % 2 = 0 THEN 1.1 ELSE 0.95 END, 'rg-indexed', 1 FROM hits WHERE line_no % 3 <> 0)"
+
+
+def two_stages(spark: SparkSession, d: str) -> DataFrame:
+    h = hits(spark, d).select("path", "line_no")
+    first = h.select("path", "line_no", F.lit(0.95).alias("score"), F.lit("rg-global").alias("origin"), F.lit(0).alias("stage"))
+    again = h.where("line_no % 3 <> 0").select("path", "line_no", F.when(F.col("line_no") % 2 == 0, 1.1).otherwise(0.95).alias("score"), F.lit("rg-indexed").alias("origin"), F.lit(1).alias("stage"))
+    return first.union(again)
+
+
+query("dedup_argmax", f"WITH {HITS_SQL}, {SECOND_SQL} SELECT path, line_no, score::DOUBLE AS score, origin FROM merged QUALIFY row_number() OVER (PARTITION BY path, line_no ORDER BY score DESC, stage) = 1")(
+    lambda spark, d: search.best_per_line(two_stages(spark, d)).select("path", "line_no", "score", "origin")
+)
+query("dedup_seen_anti", f"WITH {HITS_SQL} SELECT path, line_no FROM hits WHERE line_no % 3 = 0")(
+    lambda spark, d: search.unseen(hits(spark, d), hits(spark, d).where("line_no % 3 <> 0")).select("path", "line_no")
+)
+RANK_SQL = "row_number() OVER (ORDER BY round(score, 6) DESC, path, line_no)"
+query("rank_hits", f"WITH {SCORED_SQL} SELECT {RANK_SQL}::BIGINT AS rank, path, line_no, round(score, 6) AS score FROM scored ORDER BY 1 LIMIT 20")(
+    lambda spark, d: search.top_hits(scored(spark, d), 20).select("rank", "path", "line_no", "score")
+)
+TOP_SQL = f"{SCORED_SQL}, top AS (SELECT {RANK_SQL}::BIGINT AS rank, * FROM scored ORDER BY 1 LIMIT 5)"
+
+
+def top(spark: SparkSession, d: str) -> DataFrame:
+    return search.top_hits(scored(spark, d))
+
+
+query("top_hits", f"WITH {TOP_SQL} SELECT rank, path, line_no, round(score, 6) AS score, origin, snippet FROM top")(lambda spark, d: top(spark, d).select("rank", "path", "line_no", "score", "origin", "snippet"))
+query("next_actions", f"WITH {TOP_SQL} SELECT rank, 'inspect ' || path || ':' || line_no AS action FROM top")(lambda spark, d: search.next_actions(top(spark, d)))
+query("distinct_files", f"WITH {HITS_SQL} SELECT DISTINCT path FROM hits")(lambda spark, d: hits(spark, d).select("path").distinct())
+
+
+def r2(x: str) -> str:
+    return f"floor(({x}) * 100 + 0.5) / 100"
+
+
+METRICS_SQL = f"""totals AS (SELECT count(*)::DOUBLE AS n, count(DISTINCT path) AS f, max(line_no) - min(line_no) AS span, (SELECT count(*) FROM struct) AS s, (SELECT count(*) FROM cands) AS c FROM hits),
+parts AS (SELECT s / n AS p, (n / f) / (n / f + 1) AS d, 1 / (1 + span / (n + 1)) AS k, CASE WHEN c = 0 THEN 0 ELSE least(n, c) / c END AS b FROM totals)
+SELECT {r2('p')} AS precision, {r2('d')} AS density, {r2('k')} AS clustering, {r2('0.5::DOUBLE * p + 0.3::DOUBLE * d + 0.15::DOUBLE * k + 0.05::DOUBLE * b')} AS reward FROM parts"""
+
+
+@query("metrics_reward", f"WITH {HITS_SQL}, {CANDIDATES_SQL}, {STRUCT_SQL}, {METRICS_SQL}")
+def metrics_reward(spark, d):
+    s = matches(spark, d).select("path", "line_no").distinct().agg(F.count("*").alias("_s"))
+    c = candidates(spark, d).agg(F.count("*").alias("_c"))
+    held = hits(spark, d).select("path", "line_no").withColumn("_one", F.lit(1))
+    held = held.join(F.broadcast(s.withColumn("_one", F.lit(1))), "_one").join(F.broadcast(c.withColumn("_one", F.lit(1))), "_one")
+    return search.metrics(held, F.col("_s"), F.col("_c"))
+
+
+query("language_counts", f"WITH {HITS_SQL} SELECT coalesce({LANGUAGE_SQL}, 'other') AS language, count(*)::BIGINT AS n FROM hits GROUP BY 1")(lambda spark, d: search.language_counts(hits(spark, d)))
+
+
+@query("language_metrics", f"WITH {HITS_SQL}, staged AS (SELECT ext, 'discover' AS stage FROM files UNION ALL SELECT ext, 'probe' FROM hits) SELECT coalesce({LANGUAGE_SQL}, 'other') AS language, count(*) FILTER (stage = 'discover')::BIGINT AS n_discover, count(*) FILTER (stage = 'probe')::BIGINT AS n_probe FROM staged GROUP BY 1")
+def language_metrics(spark, d):
+    staged = files(spark, d).select("ext", F.lit("discover").alias("stage")).union(hits(spark, d).select("ext", F.lit("probe").alias("stage")))
+    return search.language_metrics(staged, ["discover", "probe"])
+
+
+@query("distribute_latency", f"WITH {HITS_SQL}, k AS (SELECT DISTINCT coalesce({LANGUAGE_SQL}, 'other') AS language FROM hits), n AS (SELECT count(*) AS n FROM k) SELECT language, (1003 // n + CASE WHEN row_number() OVER (ORDER BY language) <= 1003 % n THEN 1 ELSE 0 END)::BIGINT AS share_ms FROM k, n")
+def distribute_latency(spark, d):
+    return search.distribute(F.lit(1003), search.language_counts(hits(spark, d)).select("language"), "language")
+
+
+# Context
+
+WINDOW_SQL = """held AS (SELECT t.*, f.body, f.n_bytes, p.a, greatest(1, t.line_no - {b}) AS s, least(len(p.a), t.line_no + {b})::BIGINT AS e FROM top t JOIN files f USING (path) JOIN cut p ON p.path = t.path)"""
+PAD_SQL = "CASE WHEN truncated THEN 4 ELSE 2 END"
+HELD_SQL = f"{TOP_SQL}, {WINDOW_SQL.format(b='(' + PAD_SQL + ')')}"
+
+
+def context(spark: SparkSession, d: str, **kw) -> DataFrame:
+    return search.with_context(top(spark, d), files(spark, d), **kw)
+
+
+query("context_padding", f"WITH {HELD_SQL} SELECT rank, s::BIGINT AS context_start, e AS context_end, TRUE AS auto FROM held")(lambda spark, d: context(spark, d).select("rank", "context_start", "context_end", "auto"))
+query(
+    "context_window",
+    f"WITH {TOP_SQL} SELECT rank, l.line_no, l.line FROM top t JOIN lines l ON l.path = t.path AND l.line_no BETWEEN t.line_no - 1 AND t.line_no + 1",
+)(lambda spark, d: F.broadcast(top(spark, d).select("rank", F.col("path").alias("p"), F.col("line_no").alias("at"))).join(lines(spark, d), (F.col("p") == F.col("path")) & F.col("line_no").between(F.col("at") - 1, F.col("at") + 1)).select("rank", "line_no", "line"))
+query(
+    "expanded_snippet",
+    f"WITH {HELD_SQL}, x AS (SELECT rank, e, unnest(range(s, e + 1)) AS i, a FROM held) SELECT rank, string_agg(lpad(i::VARCHAR, length(e::VARCHAR)::INT, '0') || ' ' || regexp_replace(a[i], '\\r$', ''), chr(10) ORDER BY i) || chr(10) AS text FROM x GROUP BY rank",
+)(lambda spark, d: context(spark, d).select("rank", F.col("expanded_snippet").alias("text")))
+query("fetch_body", f"WITH {HELD_SQL} SELECT rank, CASE WHEN n_bytes <= 8000 THEN length(body) END AS body_chars, n_bytes <= 8000 AS body_retrieved FROM held")(
+    lambda spark, d: context(spark, d, max_body=8000, want_body=True).select("rank", F.length("body").cast("long").alias("body_chars"), "body_retrieved")
+)
+
+# Structure
+
+WS = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}]+"
+
+
+def collapsed(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{WS}', ' ', 'g'))"
+
+
+LOW_SQL = f"lower({collapsed('line')})"
+RUST_DECL_SQL = f"(NOT regexp_matches({LOW_SQL}, '^(//|/\\*|\\*/|#\\[|\\}}|$)') AND regexp_matches({LOW_SQL}, '(^|\\s)({'|'.join(rewrite_kw for rewrite_kw in structure.RUST_DECLARES)})[ (]'))"
+SWIFT_SIGN_SQL = f"(NOT regexp_matches({LOW_SQL}, '^(//|/\\*|\\*/|@|\\}}|$)') AND regexp_matches({LOW_SQL}, '(^|\\s)({'|'.join(structure.SWIFT_SIGNS)})[ ({{<?]'))"
+SWIFT_KIND_SQL = f"CASE WHEN regexp_matches({LOW_SQL}, '(^|\\s)(extension) ') THEN 'extension' WHEN regexp_matches({LOW_SQL}, '(^|\\s)({'|'.join(structure.SWIFT_TYPES)}) ') THEN 'type' END"
+IMPL_SQL = f"regexp_matches({LOW_SQL}, '^(.{{0,31}}[^a-z0-9_]|)impl[ <(]')"
+MODULE_SQL = f"(regexp_matches({LOW_SQL}, '^(.{{0,31}}[^a-z0-9_]|)mod ') AND length(line) = length(regexp_replace(line, '^\\s+', '')))"
+
+
+def _above_sql(ext: str, test: str, frame: str = "ROWS UNBOUNDED PRECEDING") -> str:
+    return f"""WITH {CODE_SQL}, found AS (SELECT path, line_no, last_value(CASE WHEN {test} THEN line_no END IGNORE NULLS) OVER w AS found_line, last_value(CASE WHEN {test} THEN {collapsed('line')} END IGNORE NULLS) OVER w AS found_text
+FROM code WHERE ext = '{ext}' WINDOW w AS (PARTITION BY path ORDER BY line_no {frame})) SELECT path, line_no, found_line, found_text FROM found"""
+
+
+def _above(ext: str, test, strict: bool = False):
+    def run(spark, d):
+        return structure.nearest_above(code(spark, d).where(F.col("ext") == ext), test(F.col("line")), "found", strict).select("path", "line_no", "found_line", "found_text")
+
+    return run
+
+
+query("rust_declaration", _above_sql("rs", RUST_DECL_SQL))(_above("rs", structure.is_rust_declaration))
+query("rust_impl", _above_sql("rs", IMPL_SQL, "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"))(_above("rs", structure.is_rust_impl, True))
+query("swift_signature", _above_sql("swift", SWIFT_SIGN_SQL))(_above("swift", structure.is_swift_signature))
+query("swift_type", _above_sql("swift", f"({SWIFT_KIND_SQL}) IS NOT NULL"))(_above("swift", lambda x: structure.swift_type_kind(x).isNotNull()))
+
+
+def _attributes_sql(ext: str, mark: str) -> str:
+    return f"""WITH {CODE_SQL}, flagged AS (SELECT path, line_no, line, starts_with(trim(line), '{mark}') AS a, NOT (starts_with(trim(line), '{mark}') OR trim(line) = '' OR starts_with(trim(line), '//')) AS solid FROM code WHERE ext = '{ext}'),
+barrier AS (SELECT *, coalesce(last_value(CASE WHEN solid THEN line_no END IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM flagged)
+SELECT s.path, s.line_no, m.line_no AS attribute_line, {collapsed('m.line')} AS attribute FROM barrier s JOIN barrier m ON s.path = m.path AND m.line_no > s.b AND m.line_no < s.line_no WHERE s.solid AND m.a"""
+
+
+query("rust_attributes", _attributes_sql("rs", "#["))(lambda spark, d: structure.attributes(code(spark, d).where("ext = 'rs'"), "#["))
+query("swift_attributes", _attributes_sql("swift", "@"))(lambda spark, d: structure.attributes(code(spark, d).where("ext = 'swift'"), "@"))
+
+
+@query(
+    "rust_modules",
+    f"""WITH {CODE_SQL}, rs AS (SELECT path, line_no, line, {MODULE_SQL} AS m, {RUST_DECL_SQL} AS decl FROM code WHERE ext = 'rs'),
+mods AS (SELECT path, line_no, line FROM rs WHERE m)
+SELECT r.path, r.line_no, m.line_no AS module_line, {collapsed('m.line')} AS module FROM rs r JOIN mods m ON r.path = m.path AND m.line_no <= r.line_no WHERE r.decl
+QUALIFY row_number() OVER (PARTITION BY r.path, r.line_no ORDER BY m.line_no DESC) <= 3""",
+)
+def rust_modules(spark, d):
+    rs = code(spark, d).where("ext = 'rs'")
+    return structure.last_modules(rs, rs.where(structure.is_rust_declaration(F.col("line"))))
+
+
+@query("context_hints", f"WITH {CODE_SQL} SELECT path, line_no, CASE WHEN ext = 'rs' AND {RUST_DECL_SQL} THEN 'declaration' WHEN ext = 'rs' AND {IMPL_SQL} THEN 'impl' WHEN ext = 'rs' AND {MODULE_SQL} THEN 'module' WHEN ext = 'rs' AND starts_with(trim(line), '#[') THEN 'attribute' WHEN ext = 'swift' AND ({SWIFT_KIND_SQL}) IS NOT NULL THEN {SWIFT_KIND_SQL} WHEN ext = 'swift' AND {SWIFT_SIGN_SQL} THEN 'declaration' WHEN ext = 'swift' AND starts_with(trim(line), '@') THEN 'attribute' END AS kind, {collapsed('line')} AS label FROM code WHERE ext IN ('rs', 'swift') AND kind IS NOT NULL")
+def context_hints(spark, d):
+    x, rs, sw = F.col("line"), F.col("ext") == "rs", F.col("ext") == "swift"
+    kind = (
+        F.when(rs & structure.is_rust_declaration(x), "declaration").when(rs & structure.is_rust_impl(x), "impl").when(rs & structure.is_rust_module(x), "module").when(rs & F.startswith(F.trim(x), F.lit("#[")), "attribute")
+        .when(sw & structure.swift_type_kind(x).isNotNull(), structure.swift_type_kind(x)).when(sw & structure.is_swift_signature(x), "declaration").when(sw & F.startswith(F.trim(x), F.lit("@")), "attribute")
+    )
+    return code(spark, d).select("path", "line_no", kind.alias("kind"), structure.collapse(x).alias("label")).where("kind IS NOT NULL")
+
+
+RULE_CASES = " UNION ALL ".join(f"SELECT '{lang}' AS language, '{rule}' AS rule, path, line_no FROM code WHERE ext = '{structure.RULE_EXTENSIONS[lang]}' AND regexp_matches(line, '{pattern.replace('{s}', 'The')}')" for lang, rule, pattern in structure.RULES if lang in ("rust", "swift", "tsx"))
+query("ast_definitions", f"WITH {CODE_SQL} {RULE_CASES}")(lambda spark, d: structure.rule_matches(code(spark, d), "The", ["rust", "swift", "tsx"]))
+query("ast_patterns", "SELECT language, rule, pattern FROM (VALUES " + ", ".join(f"({_quoted(a)}, {_quoted(b)}, {_quoted(c.replace('{s}', 'The'))})" for a, b, c in structure.RULES) + ") AS v(language, rule, pattern)")(
+    lambda spark, d: spark.createDataFrame([(a, b, c) for a, b, c in structure.RULES], "language string, rule string, p string").select("language", "rule", F.replace("p", F.lit("{s}"), F.lit("The")).alias("pattern"))
+)
+query("collapse_ws", f"WITH {LINES_SQL} SELECT path, line_no, {collapsed('line')} AS value FROM lines")(lambda spark, d: lines(spark, d).select("path", "line_no", structure.collapse(F.col("line")).alias("value")))
+query("indentation", f"WITH {CODE_SQL} SELECT path, line_no, (length(line) - length(regexp_replace(line, '^\\s+', '')))::BIGINT AS value FROM code")(lambda spark, d: code(spark, d).select("path", "line_no", structure.indentation(F.col("line")).alias("value")))
+query("snippet_default", f"WITH {LINES_SQL} SELECT path, line_no, nullif({collapsed('line')}, '') AS value FROM lines")(lambda spark, d: lines(spark, d).select("path", "line_no", snippets.default(F.col("line")).alias("value")))
+TS_TAGS_SQL = "CASE WHEN x = '' THEN NULL WHEN regexp_matches(x, '^</?[A-Za-z]') THEN x ELSE x || " + " || ".join(
+    f"CASE WHEN {t} THEN ' [{n}]' ELSE '' END"
+    for t, n in (
+        ("contains(x, 'async ')", "async"), ("regexp_matches(x, '\\buse[A-Z]\\w*\\(')", "hook"), ("contains(x, 'React.FC')", "component"), ("contains(x, 'Promise<')", "promise"), ("contains(x, '=>')", "arrow"),
+        ("contains(x, 'await ')", "await"), ("regexp_matches(x, '[A-Za-z_]<[A-Za-z{]')", "generic"), ("contains(x, ' satisfies ')", "satisfies"),
+    )
+) + " END"
+query("snippet_ts", f"WITH {CODE_SQL}, t AS (SELECT path, line_no, {collapsed('line')} AS x FROM code WHERE ext = 'tsx') SELECT path, line_no, {TS_TAGS_SQL} AS value FROM t")(
+    lambda spark, d: code(spark, d).where("ext = 'tsx'").select("path", "line_no", snippets.typescript(F.col("line")).alias("value"))
+)
+SWIFT_SNIPPET_SQL = f"""WITH {CODE_SQL}, t AS (SELECT path, line_no, line, {collapsed('line')} AS x, last_value(CASE WHEN ({SWIFT_KIND_SQL}) IS NOT NULL THEN {collapsed('line')} END IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c FROM code WHERE ext = 'swift'),
+u AS (SELECT *, regexp_extract(lower(x), '\\b(public|internal|private|fileprivate|open)\\b', 1) AS acc FROM t)
+SELECT path, line_no, CASE WHEN x = '' THEN NULL ELSE coalesce(c || ' :: ', '') || x || CASE WHEN contains(x, 'async') THEN ' [async]' ELSE '' END || CASE WHEN contains(x, 'await ') THEN ' [await]' ELSE '' END || CASE WHEN acc <> '' THEN ' [' || acc || ']' ELSE '' END || CASE WHEN regexp_matches(x, '[A-Za-z_]<[A-Za-z]') THEN ' [generic]' ELSE '' END END AS value FROM u"""
+
+
+@query("snippet_swift", SWIFT_SNIPPET_SQL)
+def snippet_swift(spark, d):
+    held = structure.nearest_above(code(spark, d).where("ext = 'swift'"), structure.swift_type_kind(F.col("line")).isNotNull(), "c", True)
+    return held.select("path", "line_no", snippets.swift(F.col("line"), F.col("c_text"), F.lit(None).cast("string")).alias("value"))
+
+
+@query("snippet_format", f"WITH {CODE_SQL}, t AS (SELECT path, ext, line_no, {collapsed('line')} AS x FROM code) SELECT path, line_no, CASE WHEN ext = 'tsx' THEN {TS_TAGS_SQL} ELSE nullif(x, '') END AS value FROM t WHERE ext <> 'swift'")
+def snippet_format(spark, d):
+    return code(spark, d).where("ext <> 'swift'").select("path", "line_no", F.when(F.col("ext") == "tsx", snippets.typescript(F.col("line"))).otherwise(snippets.default(F.col("line"))).alias("value"))
+
+
+# Index
+
+TOKENS_SQL = FILES_SQL + ", toks AS (SELECT path, unnest(regexp_extract_all(lower(body), '[\\p{L}\\p{N}]+')) AS token FROM files), kept AS (SELECT * FROM toks WHERE strlen(token) < 40)"
+query("index_tokens", f"WITH {TOKENS_SQL} SELECT path, count(*)::BIGINT AS dl FROM kept GROUP BY path")(lambda spark, d: index.doc_stats(files(spark, d)).where("dl > 0"))
+query("index_postings", f"WITH {TOKENS_SQL} SELECT token, path, count(*)::BIGINT AS tf FROM kept GROUP BY token, path")(lambda spark, d: index.postings(files(spark, d)))
+BM25_SQL = (
+    TOKENS_SQL
+    + """, stats AS (SELECT f.path, count(token) AS dl FROM files f LEFT JOIN kept k ON f.path = k.path GROUP BY f.path), whole AS (SELECT count(*) AS n, avg(dl) AS a FROM stats),
+p AS (SELECT token, path, count(*) AS tf FROM kept WHERE token IN ('elle', 'und', 'with') GROUP BY token, path), df AS (SELECT token, count(*) AS df FROM p GROUP BY token),
+ranked AS (SELECT path, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) AS bm25 FROM p JOIN df USING (token) JOIN stats USING (path), whole GROUP BY path)"""
+)
+
+
+def ranked_files(spark: SparkSession, d: str) -> DataFrame:
+    f = files(spark, d)
+    return index.bm25(index.postings(f), index.doc_stats(f), "und elle with")
+
+
+query("index_bm25", f"WITH {BM25_SQL} SELECT path, floor(bm25 * 10000 + 0.5) / 10000 AS bm25 FROM ranked")(lambda spark, d: ranked_files(spark, d).select("path", (F.floor(F.col("bm25") * 10000 + 0.5) / 10000).alias("bm25")))
+
+
+@query("probe_indexed", f"WITH {BM25_SQL}, best AS (SELECT path FROM ranked ORDER BY bm25 DESC, path LIMIT 20), {LINES_SQL.replace(FILES_SQL + ', ', '')} SELECT path, line_no FROM lines WHERE path IN (SELECT path FROM best) AND contains(line, 'with')")
+def probe_indexed(spark, d):
+    f = files(spark, d)
+    best = index.search_index(index.postings(f), index.doc_stats(f), "und elle with", 20)
+    return search.probe(f.join(best.select("path"), "path", "left_semi"), "with").select("path", "line_no")
+
+
+@query("rga_fallback", "WITH t AS (SELECT url, string_split(regexp_replace(regexp_replace(html, '<[^>]*>', chr(10), 'g'), chr(10) || '+', chr(10), 'g'), chr(10)) AS a FROM pages), c AS (SELECT url, CASE WHEN a[-1] = '' THEN a[1:len(a) - 1] ELSE a END AS a FROM t), l AS (SELECT url, generate_subscripts(a, 1)::BIGINT AS line_no, unnest(a) AS line FROM c) SELECT url, line_no, 0.9::DOUBLE AS score FROM l WHERE regexp_matches(line, 'th[ae]t')")
+def rga_fallback(spark, d):
+    return corpus.page_lines(spark, d).where(F.rlike("line", F.lit("th[ae]t"))).select("url", "line_no", F.lit(0.9).alias("score"))
+
+
+# State
+
+RANKED20_SQL = f"{SCORED_SQL}, ranked AS (SELECT {RANK_SQL}::BIGINT AS rank, path FROM scored ORDER BY 1 LIMIT 20)"
+
+
+def ranked20(spark: SparkSession, d: str) -> DataFrame:
+    return search.top_hits(scored(spark, d), 20)
+
+
+@query("observe_dirs", f"WITH {RANKED20_SQL}, whole AS (SELECT 'src1' AS dir, 3 AS score UNION ALL SELECT 'gone', 1 UNION ALL SELECT string_split(path, '/')[1], 1 FROM ranked) SELECT dir, sum(score)::BIGINT AS score FROM whole GROUP BY dir")
+def observe_dirs(spark, d):
+    return state.observe_directories(ranked20(spark, d), spark.createDataFrame([("src1", 3), ("gone", 1)], "dir string, score long"))
+
+
+@query("observe_symbol", f"WITH {RANKED20_SQL}, whole AS (SELECT 'old/a.rs' AS path, 0 AS new, 1 AS pos UNION ALL SELECT path, 1, rank FROM ranked WHERE rank <= 10), first AS (SELECT path, min(new * 1000 + pos) AS o FROM whole GROUP BY path ORDER BY o, path LIMIT 10) SELECT '{SYMBOL}' AS symbol, path, row_number() OVER (ORDER BY o, path)::BIGINT AS pos FROM first")
+def observe_symbol(spark, d):
+    return state.observe_symbol(ranked20(spark, d), spark.createDataFrame([(SYMBOL, "old/a.rs", 1)], "symbol string, path string, pos long"), SYMBOL)
+
+
+@query("state_hints", f"WITH {FILES_SQL} SELECT path, doc_id AS pos FROM files WHERE doc_id % 2 = 0")
+def state_hints(spark, d):
+    f = files(spark, d)
+    known = f.where("doc_id % 2 = 0").select(F.lit(SYMBOL).alias("symbol"), "path", F.col("doc_id").alias("pos"))
+    gone = f.select(F.lit(SYMBOL).alias("symbol"), F.concat(F.lit("gone/"), "name").alias("path"), F.col("doc_id").alias("pos"))
+    return state.live_hints(known.union(gone), f, SYMBOL)
+
+
+query("evict_directories", f"WITH {HITS_SQL} SELECT path AS dir, count(*)::BIGINT AS score FROM hits GROUP BY path ORDER BY score DESC, dir LIMIT 200")(
+    lambda spark, d: state.evict_directories(hits(spark, d).groupBy(F.col("path").alias("dir")).agg(F.count("*").alias("score")))
+)
+query("evict_symbols", f"WITH {TOKENS_SQL}, s AS (SELECT token AS symbol, max(doc_id) AS last_seen FROM kept JOIN files USING (path) GROUP BY token) SELECT symbol, last_seen FROM s ORDER BY last_seen DESC, symbol LIMIT 500")(
+    lambda spark, d: state.evict_symbols(files(spark, d).select("doc_id", F.explode(index.tokens(F.col("body"))).alias("symbol")).groupBy("symbol").agg(F.max("doc_id").alias("last_seen")))
+)
+
+# Benchmarks and metrics
+
+
+def runs(spark: SparkSession, d: str) -> DataFrame:
+    """Events as benchmark runs: type as scenario, value as milliseconds, even users as successes."""
+    return spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("name"), F.col("value").alias("ms"), (F.col("user_id") % 2 == 0).alias("ok"), "ts")
+
+
+RUNS_SQL = "runs AS (SELECT event_type AS name, value AS ms, user_id % 2 = 0 AS ok, ts FROM events)"
+REPORT_SQL = "count(*)::BIGINT AS iterations, round(avg(ms), 4) AS mean_ms, round(avg(ok::INT), 4) AS success_rate"
+
+
+def report(spark: SparkSession, d: str) -> DataFrame:
+    out = observe.scenario_report(runs(spark, d))
+    return out.select("name", "iterations", F.round("mean_ms", 4).alias("mean_ms"), F.round("success_rate", 4).alias("success_rate"), "qps")
+
+
+query("bench_scenarios", f"WITH {RUNS_SQL} SELECT name, {REPORT_SQL} FROM runs GROUP BY name")(lambda spark, d: report(spark, d).where("name IS NOT NULL").drop("qps"))
+query("bench_totals", f"WITH {RUNS_SQL} SELECT {REPORT_SQL}, round(1000 / avg(ms), 4) AS qps FROM runs")(lambda spark, d: report(spark, d).where("name IS NULL").select("iterations", "mean_ms", "success_rate", F.round("qps", 4).alias("qps")))
+query("bench_gate", f"WITH {RUNS_SQL}, r AS (SELECT name, avg(ms) AS m, avg(ok::INT) AS s FROM runs GROUP BY name) SELECT name, m > 20 AS too_slow, s < 0.99 AS too_wrong, m <= 20 AND s >= 0.99 AS passes FROM r")(lambda spark, d: observe.gate(report(spark, d)))
+query(
+    "latency_p95",
+    f"WITH {RUNS_SQL}, g AS (SELECT name, count(*) AS n, avg(ms) AS m, min(ms) AS lo, max(ms) AS hi, list_sort(list(ms)) AS s FROM runs GROUP BY name), p AS (SELECT *, (n + 1) * 0.95::DOUBLE AS k FROM g) SELECT name, n::BIGINT AS n, round(m, 4) AS mean_ms, lo AS min_ms, hi AS max_ms, round(CASE WHEN n < 20 THEN hi ELSE s[floor(k)::INT] + (s[least(floor(k)::INT + 1, n)] - s[floor(k)::INT]) * (k - floor(k)) END, 4) AS p95_ms FROM p",
+)(lambda spark, d: observe.latency_summary(runs(spark, d)).select("name", "n", F.round("mean_ms", 4).alias("mean_ms"), "min_ms", "max_ms", F.round("p95_ms", 4).alias("p95_ms")))
+
+
+@query("stage_summary", "WITH s AS (SELECT 'probe' AS stage, value AS ms FROM events UNION ALL SELECT 'verify', value * 2 FROM events) SELECT stage, count(*)::BIGINT AS n, round(avg(ms), 4) AS mean_ms, max(ms) AS max_ms FROM s GROUP BY stage")
+def stage_summary(spark, d):
+    held = runs(spark, d).select(F.col("ms").alias("probe"), (F.col("ms") * 2).alias("verify"))
+    return observe.stage_summary(held, ["probe", "verify"]).withColumn("mean_ms", F.round("mean_ms", 4))
+
+
+query("bench_latest", f"WITH {RUNS_SQL} SELECT name, ms, ts FROM runs QUALIFY row_number() OVER (PARTITION BY name ORDER BY ts DESC, ms DESC) = 1")(
+    lambda spark, d: observe.latest(runs(spark, d).select("name", F.struct("ts", "ms").alias("k"), "ms", "ts"), "name", "k").select("name", "ms", "ts")
+)
+
+
+@query("bench_success", "SELECT doc_id::VARCHAR AS name, quality = 1 AS ok FROM labels")
+def bench_success(spark, d):
+    """Labels as expectations: good documents expect their own file at rank 1, the others a file that isn't there."""
+    f = files(spark, d).select("doc_id", F.col("doc_id").cast("string").alias("name"), "path", F.element_at(F.split("path", "/"), -1).alias("last"))
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality")
+    found = f.select("name", "path", F.lit(1).cast("long").alias("line_no"), F.lit(1).cast("long").alias("rank"))
+    none = F.lit(None).cast("long")
+    expected = f.join(labels, "doc_id").select("name", F.when(F.col("quality") == 1, F.col("last")).otherwise(F.lit("absent.rs")).alias("path"), none.alias("line_no"), none.alias("top_n"))
+    return observe.expectation_met(found, expected)
+
+
+def events(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/events.parquet")
+
+
+HIST_SQL = "hist AS (" + " UNION ALL ".join(f"SELECT event_type AS label, '{b}' AS le, count(*) FILTER (value <= {b})::BIGINT AS cumulative FROM events WHERE value > 0 GROUP BY 1" for b in observe.BUCKETS) + " UNION ALL SELECT event_type, '+Inf', count(*)::BIGINT FROM events WHERE value > 0 GROUP BY 1)"
+query("metrics_counters", "SELECT event_type AS label, count(*)::BIGINT AS total FROM events GROUP BY 1")(lambda spark, d: observe.counters(events(spark, d), "event_type"))
+query("metrics_histogram", f"WITH {HIST_SQL} SELECT label, le, cumulative FROM hist")(lambda spark, d: observe.histogram(events(spark, d), "event_type", "value"))
+query("metrics_export", f"WITH {HIST_SQL} SELECT 'stage_latency_bucket{{label=\"' || label || '\",le=\"' || le || '\"}} ' || cumulative AS line FROM hist")(lambda spark, d: observe.exposition(observe.histogram(events(spark, d), "event_type", "value"), "stage_latency"))
+query("telemetry_windows", "SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS start, event_type AS label, count(*)::BIGINT AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")(
+    lambda spark, d: telemetry.windowed_counts(events(spark, d), "event_type", "value").withColumn("total", F.round("total", 2))
+)
+
+# Whole searches
+
+
+@query("search_literal", f"WITH {HITS_SQL}, r AS (SELECT row_number() OVER (ORDER BY path, line_no)::BIGINT AS rank, * FROM hits) SELECT rank, path, line_no, 0.95::DOUBLE AS score, 'rg-global' AS origin, trim(regexp_replace(snippet, '{WS}', ' ', 'g')) AS snippet, 'inspect ' || path || ':' || line_no AS action FROM r WHERE rank <= 5")
+def search_literal(spark, d):
+    """The fast path: a literal symbol is probed everywhere; hits are scored, made single, ranked, and turned into actions."""
+    best = search.top_hits(search.best_per_line(search.score(hits(spark, d)).withColumn("stage", F.lit(0))))
+    return best.select("rank", "path", "line_no", "score", "origin", structure.collapse(F.col("snippet")).alias("snippet"), F.concat(F.lit("inspect "), "path", F.lit(":"), F.col("line_no").cast("string")).alias("action"))
+
+
+@query("search_staged", f"WITH {LINES_SQL}, {CANDIDATES_SQL}, {SCOPED_SQL}, staged AS (SELECT 0 AS stage, path, line_no FROM lines WHERE contains(line, 'ention') AND path IN (SELECT path FROM scoped WHERE FALSE) UNION ALL SELECT 1, path, line_no FROM lines WHERE contains(line, 'ention')) SELECT path, line_no, 0.95::DOUBLE AS score FROM staged WHERE stage = (SELECT min(stage) FROM staged)")
+def search_staged(spark, d):
+    """Stages in one plan: hits carry their stage, and those of the first stage with any remain."""
+    f = files(spark, d)
+    none = candidates(spark, d).where("FALSE")
+    scoped = search.as_hits(search.probe(search.scoped(f, none, 20), "ention"), "rg-scoped").withColumn("stage", F.lit(0))
+    everywhere = search.as_hits(search.probe(f, "ention"), "rg-global").withColumn("stage", F.lit(1))
+    return search.score(search.first_stage(scoped.union(everywhere))).select("path", "line_no", F.round("score", 6).alias("score"))
+
+
+@query("batch_search", f"WITH {FILES_SQL}, toks AS (SELECT DISTINCT path, unnest(string_split_regex(body, '[^A-Za-z0-9_]+')) AS symbol FROM files), s AS (SELECT DISTINCT symbol FROM (SELECT unnest(string_split(text, ' ')) AS symbol FROM benchmark) WHERE regexp_matches(symbol, '^[A-Za-z0-9_]+$')) SELECT symbol, count(*)::BIGINT AS files, min(path) AS first_path FROM toks JOIN s USING (symbol) GROUP BY symbol")
+def batch_search(spark, d):
+    """All words of the benchmark texts as symbols, against all files: one join on identifiers instead of a scan for each."""
+    wanted = symbols(spark, d).where(rewrite.is_literal_symbol(F.col("symbol")))
+    held = files(spark, d).select("path", F.explode(F.array_distinct(F.split("body", "[^A-Za-z0-9_]+"))).alias("symbol"))
+    known = spark.read.parquet(f"{d}/benchmark.parquet").select(F.explode(F.split("text", " ")).alias("symbol")).distinct()
+    return held.join(wanted.join(known, "symbol", "left_semi"), "symbol").groupBy("symbol").agg(F.count("*").alias("files"), F.min("path").alias("first_path"))
