@@ -5,13 +5,16 @@ from __future__ import annotations
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftwell.llm import bpe, secrets
+from siftwell.llm import bpe, oracle, secrets
 from siftwell.llm.fingerprints import fingerprint_edits
+from siftwell.llm.html import extract_html
 from siftwell.llm.jaccard import jaccard_components
 from siftwell.llm.licenses import scan_licenses
 from siftwell.llm.mixing import mix_sources
 from siftwell.llm.quality import quality_scores
+from siftwell.llm.repeats import remove_repeats
 from siftwell.llm.rules import quality_rules
 
 
@@ -32,6 +35,13 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "set_docs")
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of 400-byte strings that occur again, judged on the input."""
+    out = remove_repeats(_table(spark, sf_dir), ["doc_id"])
+    removed = F.aggregate(F.arrays_zip("starts", "ends"), F.lit(0).cast("long"), lambda n, x: n + x["ends"] - x["starts"])
+    return out.select("doc_id", F.col("n_bytes").cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents, sources weighted 5, 2, 1 in turn."""
     return mix_sources(_table(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -62,11 +72,28 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of all pages."""
+    return extract_html(_table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and log-likelihood verdicts of all documents; the trusted target is what labels mark as good."""
     labels = _table(spark, sf_dir, "labels")
     return quality_rules(_table(spark, sf_dir), labels.where("quality = 1"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_source_mixing, op4_fingerprints, op5_license_scan, op6_bpe, op7_secret_scan, op8_quality_classifier, op10_quality_rules)}
-SQL: dict[str, str] = {}
+_ALL = (
+    op1_ngram_jaccard_join,
+    op2_suffix_array_dedup,
+    op3_source_mixing,
+    op4_fingerprints,
+    op5_license_scan,
+    op6_bpe,
+    op7_secret_scan,
+    op8_quality_classifier,
+    op9_html_extraction,
+    op10_quality_rules,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+SQL: dict[str, str] = {"op1_ngram_jaccard_join": oracle.JACCARD, "op2_suffix_array_dedup": oracle.REPEATS, "op5_license_scan": oracle.LICENSES}

@@ -13,7 +13,9 @@ from siftwell.llm.shared import SPACE, store
 
 CLASSES = 1 << 16
 """Hash classes of n-grams: two columns of this many rows are broadcast, about 1 MB."""
-THRESHOLD = -0.35
+PRIOR = 2
+"""Added to each class's count."""
+THRESHOLD = -0.14
 """Least mean log-likelihood ratio of a kept document."""
 
 
@@ -81,15 +83,16 @@ def with_grams(rows: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def ratios(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
-    """(gram, ratio): log of the class's share in trusted text over its share in all text, one count added to each class.
-    Both are counted in one pass."""
+    """(gram, ratio): log of the class's share in trusted text over its share in all text, PRIOR added to each count.
+    One occurrence, the one that is scored, is left out of all text: else a class that few documents hold would count
+    against each of them. Both counts come from one pass."""
     marked = docs.join(trusted_ids.select("doc_id", F.lit(1).alias("_trusted")).distinct(), "doc_id", "left")
     words = marked.select(F.coalesce("_trusted", F.lit(0)).alias("_trusted"), words_of(F.col("text")).alias("_words"))
     grams = with_grams(words, ["_trusted"]).select("_trusted", F.explode(F.array("one", "two")).alias("gram")).where("gram IS NOT NULL")
     both = store(grams.groupBy("gram").agg(F.sum("_trusted").alias("target"), F.count("*").alias("raw")))
     all_target, all_raw = both.agg(F.sum("target"), F.sum("raw")).first()
-    share_t = (F.col("target") + 1) / F.lit((all_target or 0) + CLASSES)
-    share_r = (F.col("raw") + 1) / F.lit((all_raw or 0) + CLASSES)
+    share_t = (F.col("target") + PRIOR) / F.lit((all_target or 0) + PRIOR * CLASSES)
+    share_r = (F.col("raw") - 1 + PRIOR) / F.lit((all_raw or 0) + PRIOR * CLASSES)
     return both.select("gram", F.log(share_t / share_r).alias("ratio"))
 
 

@@ -153,7 +153,7 @@ def test_rules_score_is_the_mean_log_ratio(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     grams = {i: [h(w) for w in t.split()] + [h(2, a, b) for a, b in zip(t.split(), t.split()[1:], strict=False)] for i, t in texts.items()}
     raw, good = Counter(g for x in grams.values() for g in x), Counter(grams[1])
-    llr = {g: math.log((good[g] + 1) / (good.total() + (1 << 16))) - math.log((raw[g] + 1) / (raw.total() + (1 << 16))) for g in raw}
+    llr = {g: math.log((good[g] + 2) / (good.total() + (2 << 16))) - math.log((raw[g] + 1) / (raw.total() + (2 << 16))) for g in raw}
     for r in quality_rules(docs, spark.createDataFrame([(1,)], "doc_id long")).collect():
         assert r.llr == pytest.approx(sum(llr[g] for g in grams[r.doc_id]) / len(grams[r.doc_id]), abs=2e-6)
 
