@@ -19,7 +19,7 @@ from siftwell.llm.jaccard import jaccard_components
 from siftwell.llm.mixing import mix_sources
 from siftwell.llm.quality import KEEP, apply, fit, held_out, measure
 from siftwell.llm.queries import tokenizer_path
-from siftwell.llm.shared import store, text_keys
+from siftwell.llm.shared import WORD, store, text_keys
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     keyed = docs.withColumns({"_k1": k1, "_k2": k2})
     kept = heads.union(bare).withColumnsRenamed({"doc_id": "_id", "k1": "_h1", "k2": "_h2"})
     on = keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_k1"] == kept["_h1"]) & (keyed["_k2"] == kept["_h2"])
-    return keyed.join(kept, on, "left_semi").select(cols)
+    out = keyed.join(kept, on, "left_semi")
+    if with_words.groupBy("doc_id", "k1", "k2").count().where("count > 1").limit(1).count():
+        # Rows that repeat whole: of those with words one stays.
+        bare_row = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)) == 0
+        out = out.where(bare_row).union(out.where(~bare_row).dropDuplicates(["doc_id", "_k1", "_k2"]))
+    return out.select(cols)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
