@@ -29,7 +29,7 @@ from siftwell.llm.shared import map_text, mix, store, text_keys
 
 LENGTH = 400
 K = 32
-GROUP = 1000
+GROUP = 200
 """Most occurrences of an anchor that one task compares; larger groups are divided further, with the same result."""
 SPLIT = 4
 _BASE = 0x9E3779B97F4A7C15
