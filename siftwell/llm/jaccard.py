@@ -47,7 +47,7 @@ def _sketch(docs: DataFrame, k: int, bits: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, k: int, likeness: Fraction, bits: int) -> DataFrame:
-    """(doc_id, k1, k2, n, sid, gid, prefix): a document's set size, set id, group id and first tokens."""
+    """(doc_id, k1, k2, n, sid, gid, g, prefix): a document's set size, set id, group id, half of that id, and first tokens."""
     sketch = docs.sparkSession.sparkContext.broadcast(_sketch(docs, k, bits))
     num, den = likeness.numerator, likeness.denominator
     k1, k2 = text_keys(F.col("text"))
@@ -60,18 +60,19 @@ def _prefixes(docs: DataFrame, k: int, likeness: Fraction, bits: int) -> DataFra
             s = np.unique(shingles(hasher(lower_words(text)), k))
             n = len(s)
             if not n:
-                return 0, b"", b"", []
+                return 0, b"", b"", 0, []
             size = np.full(1, n, np.uint64)
             sums = np.array([mix(s).sum(dtype=np.uint64), mix(~s).sum(dtype=np.uint64)])
             first = s[np.lexsort((s, counts[(s & low).astype(np.int64)]))[: n - -(-num * n // den) + 1]]
             steps = mix(first + np.arange(1, len(first) + 1, dtype=np.uint64) * gold)
             group = np.array([steps.sum(dtype=np.uint64), mix(~steps).sum(dtype=np.uint64)])
-            return n, mix(sums + size).tobytes(), mix(group + size).tobytes(), first.view(np.int64)
+            gid = mix(group + size)
+            return n, mix(sums + size).tobytes(), gid.tobytes(), int(gid.view(np.int64)[0]), first.view(np.int64)
 
         return lambda texts: [list(x) for x in zip(*map(one, texts), strict=True)]
 
     keyed = docs.select("doc_id", "text", k1.alias("k1"), k2.alias("k2"))
-    return store(map_text(keyed, ["doc_id", "k1", "k2"], {"n": "long", "sid": "binary", "gid": "binary", "prefix": "array<long>"}, start))
+    return store(map_text(keyed, ["doc_id", "k1", "k2"], {"n": "long", "sid": "binary", "gid": "binary", "g": "long", "prefix": "array<long>"}, start))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, k: int, likeness: Fraction) -> DataFrame:
@@ -107,6 +108,14 @@ def _fits(likeness: Fraction, x: str, y: str):
     return (den * F.least(nx, ny) >= num * F.greatest(nx, ny)) & ((num + den) * most >= num * (nx + ny))
 
 
+def _texts(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(sid, text) of the sets: the text of one of the documents that have the set."""
+    k1, k2 = text_keys(F.col("text"))
+    keyed, reps = docs.select("doc_id", "text", k1.alias("k1"), k2.alias("k2")), sets.select("sid", "rep.*")
+    same = keyed["doc_id"].eqNullSafe(reps["doc_id"]) & (keyed["k1"] == reps["k1"]) & (keyed["k2"] == reps["k2"])
+    return store(keyed.join(reps, same).select("sid", "text"))
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, likeness: Fraction = Fraction(4, 5), bits: int = SKETCH_BITS) -> DataFrame:
     """(doc_id, n_shingles, component_id, set_docs, component, k1, k2) for each row of docs (doc_id, text).
 
@@ -121,42 +130,35 @@ def jaccard_components(docs: DataFrame, k: int = 5, likeness: Fraction = Fractio
     docs = docs.select("doc_id", "text")
     base = _prefixes(docs, k, likeness, bits)
     full = base.where("n > 0")
-    sets = store(full.groupBy("sid", "gid", "n").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("rep"), F.count("*").alias("docs"), F.min("doc_id").alias("least")))
+    sets = full.groupBy("sid", "gid", "g", "n").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("rep"), F.count("*").alias("docs"), F.min("doc_id").alias("least"))
+    sets = store(sets)
+    groups = sets.groupBy("gid", "g", "n").agg(F.max_by("sid", F.struct("docs", "sid")).alias("head"), F.count("*").alias("size"))
 
-    tokens = full.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
+    # Token rows carry half a group id: two groups that share it both get the row, which adds candidates and loses none.
+    tokens = full.select("g", F.posexplode("prefix").alias("pos", "token"))
     common = tokens.groupBy("token").agg(F.count("*").alias("uses")).where("uses > 1")
-    uses = store(tokens.join(common, "token").groupBy("token", "gid", "n", "pos").agg(F.max("uses").alias("uses")))
-    central = uses.groupBy("gid").agg(F.sum("uses").alias("central"))
-    groups = sets.groupBy("gid").agg(F.max_by("sid", F.struct("docs", "sid")).alias("head"), F.sum("docs").alias("docs"))
-    ranked = groups.join(central, "gid").select("gid", "head", "central")
-    rows = store(uses.join(ranked, "gid").select("token", "gid", "n", "pos", "head", "central"))
+    uses = store(tokens.join(common, "token").groupBy("token", "g", "pos").agg(F.max("uses").alias("uses")))
+    central = uses.groupBy("g").agg(F.sum("uses").alias("central"))
+    ranked = store(groups.join(central, "g"))
+    wide = uses.join(ranked, "g").select("token", "n", "pos", "head", "central", "size")
+    several = wide.groupBy("token").agg(F.min("head").alias("lo"), F.max("head").alias("hi"), F.max("size").alias("most")).where("lo <> hi OR most > 1")
+    rows = store(wide.join(several.select("token"), "token", "left_semi").drop("size"))
+    members = store(sets.join(ranked.join(rows.select("head"), "head", "left_semi").select("gid", "head"), "gid"))
+    texts = _texts(docs, members)
     drop(uses)
 
     # The star: each group's head with its members, each token's most central group with the token's other groups.
-    within = sets.join(groups, "gid").where("sid <> head").select(F.col("head").alias("a"), F.col("sid").alias("b"))
-    pivots = rows.groupBy("token").agg(F.max(F.struct("central", "gid", "head", "n", "pos")).alias("p")).select("token", "p.*")
-    across = rows.alias("x").join(pivots.alias("p"), "token").where((F.col("x.gid") != F.col("p.gid")) & _fits(likeness, "x", "p"))
+    within = members.where("sid <> head").select(F.col("head").alias("a"), F.col("sid").alias("b"))
+    pivots = rows.groupBy("token").agg(F.max(F.struct("central", "head", "n", "pos")).alias("p")).select("token", "p.*")
+    across = rows.alias("x").join(pivots.alias("p"), "token").where((F.col("x.head") != F.col("p.head")) & _fits(likeness, "x", "p"))
     star = store(within.union(across.select(F.col("p.head").alias("a"), F.col("x.head").alias("b"))).distinct())
-
-    def need(pairs: DataFrame) -> DataFrame:
-        """Texts of the sets in pairs."""
-        ids = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-        reps = sets.join(ids, "sid", "left_semi").select("sid", "rep.*")
-        k1, k2 = text_keys(F.col("text"))
-        keyed = docs.select("doc_id", "text", k1.alias("k1"), k2.alias("k2"))
-        same = keyed["doc_id"].eqNullSafe(reps["doc_id"]) & (keyed["k1"] == reps["k1"]) & (keyed["k2"] == reps["k2"])
-        return store(keyed.join(reps, same).select("sid", "text"))
-
-    texts = need(star)
     links = store(_verify(star, texts, k, likeness).distinct())
     labels = components(links)
-    drop(texts)
 
     # The rest: pairs in a token whose labels differ. One of the two lies outside the token's largest class.
     label = F.coalesce("label", "sid").alias("label")
-    known = sets.select("sid", "gid", "n").join(labels, F.col("sid") == F.col("node"), "left").select("sid", "gid", label)
-    spread = rows.join(known, "gid").select("token", "sid", "n", "pos", "label")
-    spread = store(spread)
+    known = members.join(labels, F.col("sid") == F.col("node"), "left").select("sid", "head", label)
+    spread = store(rows.join(known, "head").select("token", "sid", "n", "pos", "label"))
     classes = spread.groupBy("token", "label").agg(F.count("*").alias("m"))
     open_ = classes.groupBy("token").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("classes")).where("classes > 1").select("token", "main")
     live = store(spread.join(open_, "token"))
@@ -169,12 +171,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, likeness: Fraction = Fractio
     rest = store(rest.join(seen, ["a", "b"], "left_anti"))
     drop(rows, live)
     if rest.limit(1).count():
-        texts = need(rest)
         more = store(links.union(_verify(rest, texts, k, likeness)).distinct())
-        drop(texts, labels)
+        drop(labels)
         labels = components(more)
         drop(more)
-    drop(rest, star, links)
+    drop(rest, star, links, texts, ranked, members)
 
     known = sets.join(labels, F.col("sid") == F.col("node"), "left").select("sid", "docs", "least", F.coalesce("label", "sid").alias("label"))
     least = known.groupBy("label").agg(F.min("least").alias("component_id"))
