@@ -154,3 +154,15 @@ def test_expectations(spark):
     hits = spark.createDataFrame([("a", "x/y.rs", 3, 1), ("a", "z.rs", 4, 2), ("b", "q.rs", 1, 1)], "name string, path string, line_no long, rank long")
     expected = spark.createDataFrame([("a", "y.rs", 3, None), ("b", "rs", None, None), ("c", None, None, None)], "name string, path string, line_no long, top_n long")
     assert {r.name: r.ok for r in observe.expectation_met(hits, expected).collect()} == {"a": True, "b": False, "c": False}
+
+
+def test_scenarios(spark, root, tmp_path):
+    from siftwell.plans import scenarios
+
+    (tmp_path / "s.json").write_text(json.dumps([{"name": "rust", "symbol": "sign_in", "language": "rust", "expected": {"path": "auth.rs", "line": 1, "top_n": 3}}, {"name": "miss", "symbol": "absent_thing"}]))
+    runs = scenarios.run_scenarios(spark, scenarios.read_scenarios(spark, str(tmp_path / "s.json")), root, iterations=2)
+    report = observe.scenario_report(runs).cache()
+    assert {r.name: (r.iterations, r.success_rate) for r in report.collect()} == {"rust": (2, 1.0), "miss": (2, 0.0), None: (4, 0.5)}
+    scenarios.append_report(report, str(tmp_path))
+    record = json.loads((tmp_path / "benchmark-summary.jsonl").read_text())
+    assert record["totals"]["iterations"] == 4 and len(record["scenarios"]) == 2
