@@ -59,8 +59,9 @@ class Anchors:
         if len(self.up) < n:
             size = max(n, 2 * len(self.up))
             inverse = pow(_BASE, -1, 1 << 64)
-            self.up = np.cumprod(np.concatenate([[1], np.full(size, _BASE, np.uint64)]).astype(np.uint64), dtype=np.uint64)
-            self.down = np.cumprod(np.concatenate([[1], np.full(size, inverse, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+            one = np.ones(1, np.uint64)
+            self.up = np.cumprod(np.concatenate([one, np.full(size, _BASE, np.uint64)]), dtype=np.uint64)
+            self.down = np.cumprod(np.concatenate([one, np.full(size, inverse, np.uint64)]), dtype=np.uint64)
 
     def __call__(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         n, k, w = len(raw), self.k, self.w

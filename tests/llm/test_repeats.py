@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from siftwell.llm.repeats import _same, maximal_repeats, remove_repeats
+from siftwell.llm.repeats import Anchors, _same, maximal_repeats, remove_repeats
 
 
 def brute(texts, length):
@@ -77,3 +77,15 @@ def test_maximal_repeats_against_all_pairs():
             want = {s for j in range(len(rows)) if j != i for s in range(13) if _same(lefts[i], lefts[j]) >= s and _same(rights[i], rights[j]) >= 9 - s >= 0}
             have = {s for a, b in found[i] for s in range(13) if a >= s and b >= 9 - s >= 0}
             assert have == want
+
+
+def test_anchors_are_few_and_lie_in_every_string():
+    rng = random.Random(5)
+    raw = bytes(rng.randrange(97, 123) for _ in range(20000))
+    find = Anchors(400, 32)
+    at, h = find(raw)
+    assert len(at) < 3 * len(raw) / 370
+    for start in range(0, len(raw) - 400, 97):
+        inside, hashes = find(raw[start : start + 400])
+        known = dict(zip(at.tolist(), h.tolist(), strict=True))
+        assert len(inside) >= 1 and all(known.get(start + p) == x for p, x in zip(inside.tolist(), hashes.tolist(), strict=True))
