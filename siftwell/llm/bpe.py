@@ -132,7 +132,7 @@ class Vocabulary:
         """Ids of normalised words without white space."""
         pieces = [None if w in self.special else self._pieces(w) for w in words]
         known = self.known
-        if len(known) > 400_000:
+        if len(known) > 150_000:
             known.clear()
         new = list({p for ps in pieces if ps for p in ps}.difference(known))
         known.update(zip(new, self.merge(new), strict=True))
@@ -247,7 +247,7 @@ def build_lexicon(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> str:
         for batch in batches:
             for text in batch.column(0):
                 seen.update(rules.words(text.as_py()))
-                if len(seen) > 400_000:
+                if len(seen) > 150_000:
                     yield rows()
                     seen.clear()
         yield rows()
@@ -323,7 +323,7 @@ def encode_decode(docs: DataFrame, path: str, keep: list[str], most: int = LEXIC
 
         return make
 
-    return map_text(docs, keep, {"ids": "array<int>", "decoded": "string"}, start)
+    return map_text(docs, keep, {"ids": "array<int>", "decoded": "string"}, start, slab=500)
 
 
 def digests(encoded: DataFrame) -> DataFrame:

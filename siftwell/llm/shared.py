@@ -56,13 +56,21 @@ def mix(x: np.ndarray) -> np.ndarray:
 ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32()), "array<binary>": pa.list_(pa.binary())}
 
 
-def map_text(df: DataFrame, keep: list[str], fields: dict[str, str], start: Callable[[], Callable[[list], list]], text: str = "text", slab: int = 500) -> DataFrame:
+BATCH = 1000
+"""Rows of a batch that Spark hands to Python, where the session has not set its own: texts may be long."""
+
+
+def map_text(df: DataFrame, keep: list[str], fields: dict[str, str], start: Callable[[], Callable[[list], list]], text: str = "text", slab: int = 250) -> DataFrame:
     """The kept columns of df, untouched, and new fields (name: type) made from a text column.
 
     start() runs once in each task and returns a function from a list of texts to one list for each field. Texts pass in
     slabs, so that memory follows the slab and not the batch. Nulls arrive as None.
     """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     kinds = dict(df.select(*keep).dtypes)
+    source = text if text in keep else "_text_"
     schema = ", ".join(f"`{c}` {t}" for c, t in {**kinds, **fields}.items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,17 +78,18 @@ def map_text(df: DataFrame, keep: list[str], fields: dict[str, str], start: Call
         for whole in batches:
             for at in range(0, whole.num_rows, slab):
                 batch = whole.slice(at, slab)
-                made = make(batch.column("_text_").to_pylist())
+                made = make(batch.column(source).to_pylist())
                 arrays = [batch.column(c) for c in keep] + [pa.array(x, ARROW[t]) for x, t in zip(made, fields.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *fields])
 
-    return df.select(*keep, df[text].alias("_text_")).mapInArrow(run, schema)
+    held = df.select(*keep) if text in keep else df.select(*keep, df[text].alias("_text_"))
+    return held.mapInArrow(run, schema)
 
 
 class WordHasher:
     """64-bit hashes of words; equal words are hashed once while the cache holds them."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 100_000):
         self.known: dict[bytes, int] = {}
         self.most = most
 
