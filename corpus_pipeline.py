@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from siftwell.llm import bpe, secrets
 from siftwell.llm.jaccard import jaccard_components
 from siftwell.llm.mixing import mix_sources
-from siftwell.llm.quality import KEEP, apply, fit, held_out, measure
+from siftwell.llm.quality import KEEP, fit, held_out, measure, score_texts
 from siftwell.llm.queries import tokenizer_path
-from siftwell.llm.shared import WORD, store, text_keys
+from siftwell.llm.shared import WORD, drop, store, text_keys
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cols = docs.columns
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     known = labels.select("doc_id", F.col("quality").cast("double").alias("label")).where(F.col("label").isNotNull() & ~held_out(F.col("doc_id")))
-    model = fit(store(measure(docs, ["doc_id"])).join(known, "doc_id"))
-    return apply(model, measure(docs, cols), cols).where(F.col("score") >= KEEP).select(cols)
+    measured = store(measure(docs.join(known.select("doc_id").distinct(), "doc_id", "left_semi"), ["doc_id"]))
+    model = fit(measured.join(known, "doc_id"))
+    drop(measured)
+    return score_texts(model, docs, cols).where(F.col("score") >= KEEP).select(cols)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -158,6 +158,15 @@ def apply(model: Model, measured: DataFrame, keep: list[str]) -> DataFrame:
     return map_text(measured, keep, {"score": "double"}, start, text="x", slab=5000)
 
 
+def score_texts(model: Model, docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The kept columns and score, from texts in one step."""
+
+    def start():
+        return lambda texts: [model.score(np.array([statistics(t) for t in texts]).reshape(-1, len(NAMES)))]
+
+    return map_text(docs, keep, {"score": "double"}, start)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", keep_from: float = KEEP) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of docs.
 

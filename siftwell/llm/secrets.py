@@ -132,6 +132,31 @@ def candidates(docs: DataFrame, rules: dict[str, tuple[str, int, int]]) -> DataF
     return held.groupBy("k1", "k2").agg(F.expr("bit_or(bit)").alias("kinds"))
 
 
+def _packed(docs: DataFrame, rules: dict[str, tuple[str, int, int]]) -> DataFrame:
+    """docs with _packed: the rules to run on the row, as bits, and the text. A null text gives null."""
+    whole = sum(1 << i for i, (p, _, _) in enumerate(rules.values()) if not trigram_query(p))
+    found = candidates(docs, rules).withColumnsRenamed({"k1": "_k1", "k2": "_k2", "kinds": "_kinds"})
+    k1, k2 = text_keys(F.col("text"))
+    keyed = docs.withColumns({"_t1": k1, "_t2": k2})
+    joined = keyed.join(found, (F.col("_t1") == F.col("_k1")) & (F.col("_t2") == F.col("_k2")), "left")
+    kinds = F.coalesce("_kinds", F.lit(0)).bitwiseOR(F.lit(whole))
+    return joined.select(*docs.columns, F.concat(kinds.cast("string"), F.lit("\0"), F.col("text")).alias("_packed"))
+
+
+def _spans(packed: str, compiled: list[tuple]) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text of a packed row and its spans (start, rule, end), sorted."""
+    bits, _, text = packed.partition("\0")
+    kinds, spans = int(bits), []
+    for i, pattern, group, least in compiled:
+        if kinds >> i & 1:
+            spans += [(m.start(), i, m.end()) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
+    return text, sorted(spans)
+
+
+def _compiled(rules: dict[str, tuple[str, int, int]]) -> list[tuple]:
+    return [(i, re.compile(p, re.ASCII), g, least) for i, (p, g, least) in enumerate(rules.values())]
+
+
 def scan_secrets(docs: DataFrame, keep: list[str], rules: dict[str, tuple[str, int, int]] | None = None) -> DataFrame:
     """The kept columns with kinds_found (array<int>: rule numbers), starts and ends (array<int>: code points).
 
@@ -139,29 +164,44 @@ def scan_secrets(docs: DataFrame, keep: list[str], rules: dict[str, tuple[str, i
     each come back. Extra columns pass if kept; an empty table gives an empty one.
     """
     rules = rules or RULES
-    whole = sum(1 << i for i, (p, _, _) in enumerate(rules.values()) if not trigram_query(p))
-    found = candidates(docs, rules).withColumnsRenamed({"k1": "_k1", "k2": "_k2", "kinds": "_kinds"})
-    k1, k2 = text_keys(F.col("text"))
-    keyed = docs.withColumns({"_t1": k1, "_t2": k2})
-    joined = keyed.join(found, (F.col("_t1") == F.col("_k1")) & (F.col("_t2") == F.col("_k2")), "left")
-    held = joined.select(*keep, F.col("text").alias("_whole"), F.coalesce("_kinds", F.lit(0)).alias("_kinds"))
 
     def start():
-        compiled = [(i, re.compile(p, re.ASCII), g, least) for i, (p, g, least) in enumerate(rules.values())]
-
-        def one(packed: str) -> tuple[list, list, list]:
-            bits, _, text = packed.partition("\0")
-            kinds, spans = int(bits) | whole, []
-            for i, pattern, group, least in compiled:
-                if kinds >> i & 1:
-                    spans += [(m.start(), i, m.end()) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
-            spans.sort()
+        compiled = _compiled(rules)
+
+        def one(packed: str | None) -> tuple[list, list, list]:
+            spans = _spans(packed, compiled)[1] if packed is not None else []
             return [s[1] for s in spans], [s[0] for s in spans], [s[2] for s in spans]
 
         return lambda texts: [list(x) for x in zip(*map(one, texts), strict=True)]
 
-    packed = held.withColumn("_packed", F.concat(F.col("_kinds").cast("string"), F.lit("\0"), F.coalesce("_whole", F.lit(""))))
-    return map_text(packed, keep, {"kinds_found": "array<int>", "starts": "array<int>", "ends": "array<int>"}, start, text="_packed")
+    return map_text(_packed(docs, rules), keep, {"kinds_found": "array<int>", "starts": "array<int>", "ends": "array<int>"}, start, text="_packed")
+
+
+def redact(docs: DataFrame, mark: str = "[secret]", rules: dict[str, tuple[str, int, int]] | None = None) -> DataFrame:
+    """docs with every secret span replaced by a mark; null texts stay null, the other columns stay, n_chars follows the text
+    if there is one. Spans that overlap become one mark."""
+    cols, rules = docs.columns, rules or RULES
+
+    def start():
+        compiled = _compiled(rules)
+
+        def one(packed: str | None) -> str | None:
+            if packed is None:
+                return None
+            text, spans = _spans(packed, compiled)
+            out, at = [], 0
+            for s, _, e in spans:
+                if s >= at:
+                    out += [text[at:s], mark]
+                at = max(at, e)
+            return "".join([*out, text[at:]])
+
+        return lambda texts: [[one(x) for x in texts]]
+
+    out = map_text(_packed(docs, rules), [c for c in cols if c != "text"], {"text": "string"}, start, text="_packed")
+    if "n_chars" in cols:
+        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(cols)
 
 
 def digests(spans: DataFrame, rules: dict[str, tuple[str, int, int]] | None = None) -> DataFrame:
@@ -182,28 +222,3 @@ def digests(spans: DataFrame, rules: dict[str, tuple[str, int, int]] | None = No
         F.sha2(joined(F.filter("_all", lambda x: x["k"] < len(BASE))), 256).alias("base_sha256"),
         joined(F.col("_all")).alias("spans"),
     )
-
-
-def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """docs with every secret span replaced by a mark; the other columns stay, n_chars follows the text if there is one."""
-    cols = docs.columns
-    found = scan_secrets(docs.withColumn("_old", F.col("text")), [*(c for c in cols if c != "text"), "_old"])
-
-    def start():
-        def one(packed: str) -> str:
-            marks, _, text = packed.partition("\0")
-            out, at = [], 0
-            for s, e in (map(int, m.split(":")) for m in marks.split(",") if m):
-                if s >= at:
-                    out += [text[at:s], mark]
-                at = max(at, e)
-            return "".join([*out, text[at:]])
-
-        return lambda texts: [list(map(lambda x: None if x is None else one(x), texts))]
-
-    marks = F.array_join(F.transform(F.arrays_zip("starts", "ends"), lambda x: F.concat_ws(":", x["starts"].cast("string"), x["ends"].cast("string"))), ",")
-    packed = found.withColumn("_packed", F.concat(marks, F.lit("\0"), F.col("_old")))
-    out = map_text(packed, [c for c in cols if c != "text"], {"text": "string"}, start, text="_packed")
-    if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(cols)
