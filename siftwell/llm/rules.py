@@ -86,7 +86,9 @@ def ratios(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     """(gram, ratio): log of the class's share in trusted text over its share in all text, PRIOR added to each count.
     One occurrence, the one that is scored, is left out of all text: else a class that few documents hold would count
     against each of them. Both counts come from one pass."""
-    marked = docs.join(trusted_ids.select("doc_id", F.lit(1).alias("_trusted")).distinct(), "doc_id", "left")
+    # Trusted ids grow with the corpus, so they are merged at every size and never broadcast.
+    ids = trusted_ids.select("doc_id", F.lit(1).alias("_trusted")).distinct()
+    marked = docs.join(ids.hint("merge"), "doc_id", "left")
     words = marked.select(F.coalesce("_trusted", F.lit(0)).alias("_trusted"), words_of(F.col("text")).alias("_words"))
     grams = with_grams(words, ["_trusted"]).select("_trusted", F.explode(F.array("one", "two")).alias("gram")).where("gram IS NOT NULL")
     both = store(grams.groupBy("gram").agg(F.sum("_trusted").alias("target"), F.count("*").alias("raw")))
