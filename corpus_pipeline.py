@@ -27,7 +27,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cols = docs.columns
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     known = labels.select("doc_id", F.col("quality").cast("double").alias("label")).where(F.col("label").isNotNull() & ~held_out(F.col("doc_id")))
-    measured = store(measure(docs.join(known.select("doc_id").distinct(), "doc_id", "left_semi"), ["doc_id"]))
+    measured = store(measure(docs.join(known.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), ["doc_id"]))
     model = fit(measured.join(known, "doc_id"))
     drop(measured)
     return score_texts(model, docs, cols).where(F.col("score") >= KEEP).select(cols)
