@@ -22,10 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.shared import map_text, mix, store, text_keys
+from siftwell.llm.shared import drop, map_text, mix, store, text_keys
 
 LENGTH = 400
 K = 32
@@ -193,12 +194,22 @@ def _split(rows: DataFrame, width: int, part: int, length: int) -> DataFrame:
     return rows.mapInArrow(run, "key binary, whole binary, k1 long, k2 long, pos int, left binary, right binary, first int")
 
 
+def _packed_texts(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The kept columns and blob, the text's bytes compressed: texts move twice, and move small."""
+
+    def start():
+        pack = zstandard.ZstdCompressor(level=3).compress
+        return lambda texts: [[pack((t or "").encode("utf-8", "surrogatepass")) for t in texts]]
+
+    return map_text(docs, keep, {"blob": "binary"}, start)
+
+
 def repeat_spans(docs: DataFrame, length: int = LENGTH, k: int = K, group: int = GROUP) -> DataFrame:
-    """(k1, k2, lo, hi) for distinct texts: spans, possibly overlapping, of repeats of at least length bytes.
+    """(k1, k2, lo, hi) for distinct texts: spans, possibly overlapping, of repeats of at least length bytes. hi may lie
+    beyond the text's end.
 
     Texts that occur twice as a whole are left to the caller; they take part here once.
     """
-    docs = docs.select("doc_id", "text")
     k1, k2 = text_keys(F.col("text"))
     keyed = docs.select("doc_id", "text", k1.alias("k1"), k2.alias("k2"))
     before, after = length - k, length
@@ -209,48 +220,59 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, k: int = K, group: int =
         def one(text: str | None) -> tuple:
             raw = (text or "").encode("utf-8", "surrogatepass")
             at, h = find(raw)
-            around = [xxhash.xxh3_128_digest(min(p, before).to_bytes(4, "little") + raw[max(0, p - before) : p + after]) for p in at.tolist()]
-            return len(raw), at.astype(np.int32), h.view(np.int64), around
+            around = [xxhash.xxh3_64_intdigest(min(p, before).to_bytes(4, "little") + raw[max(0, p - before) : p + after]) for p in at.tolist()]
+            return at.astype(np.int32), h.view(np.int64), np.array(around, np.uint64).view(np.int64)
 
         return lambda texts: [list(x) for x in zip(*map(one, texts), strict=True)]
 
-    fields = {"n_bytes": "int", "at": "array<int>", "h": "array<long>", "around": "array<binary>"}
-    each = F.explode(F.arrays_zip("at", "h", "around")).alias("a")
-    made = map_text(keyed, ["k1", "k2"], fields, start).select("k1", "k2", "n_bytes", each)
-    anchors = store(made.select("k1", "k2", "n_bytes", F.col("a.at").alias("pos"), F.col("a.h").alias("h"), F.col("a.around").alias("whole")))
-
-    place = F.struct("k1", "k2", "pos")
-    wholes = anchors.groupBy("h", "whole").agg(F.min(place).alias("least"), F.max(place).alias("most"))
-    wholes = store(wholes.select("h", "whole", F.col("least.*"), (F.col("least") != F.col("most")).alias("twice")))
-    twice = anchors.join(wholes.where("twice").select("whole"), "whole", "left_semi")
-    spans = [twice.select("k1", "k2", F.greatest(F.lit(0), F.col("pos") - before).alias("lo"), F.least("n_bytes", F.col("pos") + after).alias("hi"))]
-
-    # One occurrence of each distinct surrounding, where an anchor has several, with the bytes around it.
-    several = wholes.groupBy("h").agg(F.count("*").alias("members")).where("members > 1")
-    wanted = wholes.join(several, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "h", "members")).alias("wanted"))
+    # Anchors: text, place, the anchor's hash h and the hash w of all that surrounds it. Of most, h occurs once: they go.
+    fields = {"at": "array<int>", "h": "array<long>", "w": "array<long>"}
+    each = F.explode(F.arrays_zip("at", "h", "w")).alias("a")
+    made = map_text(keyed, ["k1", "k2"], fields, start).select("k1", "k2", each)
+    every = store(made.select("k1", "k2", F.col("a.at").alias("pos"), F.col("a.h").alias("h"), F.col("a.w").alias("w")))
+    common = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    anchors = store(every.join(common, "h", "left_semi"))
+    drop(every)
+
+    # One place stands for all with equal surroundings: the one whose own hash is least. Two places have two hashes.
+    place = F.xxhash64("k1", "k2", "pos")
+    wholes = store(anchors.groupBy("h", "w").agg(F.min(place).alias("first"), F.max(place).alias("last")))
+    several = wholes.groupBy("h").agg(F.count("*").alias("members"))
+    joined = store(anchors.join(wholes.join(several, "h"), ["h", "w"]).where("first <> last OR members > 1").select("k1", "k2", "pos", "h", (F.col("first") != F.col("last")).alias("twice"), (place == F.col("first")).alias("chief"), "members"))
+    drop(anchors, wholes)
+    covered = joined.where("twice").select("k1", "k2", F.greatest(F.lit(0), F.col("pos") - before).alias("lo"), (F.col("pos") + after).alias("hi"))
+    spans = [store(covered.distinct())]
+
+    # With the bytes around it, where an anchor's surroundings differ.
+    wanted = joined.where("chief AND members > 1").groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "h", "members")).alias("wanted"))
     reps = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"))
     wanted = wanted.join(reps, ["k1", "k2"]).withColumnsRenamed({"k1": "w1", "k2": "w2"})
-    on = keyed["doc_id"].eqNullSafe(wanted["id"]) & (keyed["k1"] == wanted["w1"]) & (keyed["k2"] == wanted["w2"])
-    rows = store(_cut(keyed.join(wanted, on).select("k1", "k2", "text", "wanted"), before, after))
-
-    first, width = 0, before + 1
-    small = rows.where(F.col("members") <= group)
-    spans.append(_finish(small, length))
-    rows = rows.where(F.col("members") > group).withColumn("first", F.lit(first))
-    while width > 1 and rows.limit(1).count():
+    blobs = _packed_texts(keyed, ["doc_id", "k1", "k2"])
+    on = blobs["doc_id"].eqNullSafe(wanted["id"]) & (blobs["k1"] == wanted["w1"]) & (blobs["k2"] == wanted["w2"])
+    rows = store(_cut(blobs.join(wanted, on).select("k1", "k2", "blob", "wanted"), before, after))
+    drop(joined)
+
+    width = before + 1
+    spans.append(store(_finish(rows.where(F.col("members") <= group), length)))
+    large = rows.where(F.col("members") > group).withColumn("first", F.lit(0))
+    place = F.struct("k1", "k2", "pos")
+    while width > 1 and large.limit(1).count():
         part = -(-width // SPLIT)
-        parts = store(_split(rows, width, part, length))
+        parts = store(_split(large, width, part, length))
+        drop(rows)
         reach = parts.groupBy("key", "whole").agg(F.min(place).alias("least"), F.max(place).alias("most"))
         reach = store(reach.select("key", "whole", F.col("least.*"), (F.col("least") != F.col("most")).alias("twice")))
-        twice = parts.join(reach.where("twice").select("whole"), "whole", "left_semi")
-        spans.append(twice.select("k1", "k2", (F.col("pos") - F.length("left")).alias("lo"), (F.col("pos") + F.length("right")).alias("hi")))
+        twice = parts.select("whole", "k1", "k2", (F.col("pos") - F.length("left")).alias("lo"), (F.col("pos") + F.length("right")).alias("hi"))
+        spans.append(store(twice.join(reach.where("twice").select("whole"), "whole", "left_semi").select("k1", "k2", "lo", "hi")))
         several = reach.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-        one = parts.join(reach.select("key", "whole", "k1", "k2", "pos"), ["key", "whole", "k1", "k2", "pos"], "left_semi")
-        rows = store(one.join(several, "key"))
+        one = parts.join(reach.join(several, "key").select("key", "whole", "k1", "k2", "pos", "members"), ["key", "whole", "k1", "k2", "pos"])
+        rows = store(one)
+        drop(parts, reach)
         width = part
         if width > 1:
-            spans.append(_finish(rows.where(F.col("members") <= group), length))
-            rows = rows.where(F.col("members") > group)
+            spans.append(store(_finish(rows.where(F.col("members") <= group), length)))
+        large = rows.where(F.col("members") > group)
+    drop(rows)
     out = spans[0]
     for more in spans[1:]:
         out = out.union(more)
@@ -263,11 +285,12 @@ def _cut(rows: DataFrame, before: int, after: int) -> DataFrame:
     kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             for at in range(0, b.num_rows, 100):
                 out = []
-                for k1, k2, text, wanted in zip(*(c.to_pylist() for c in b.slice(at, 100).columns), strict=True):
-                    raw = text.encode("utf-8", "surrogatepass")
+                for k1, k2, blob, wanted in zip(*(c.to_pylist() for c in b.slice(at, 100).columns), strict=True):
+                    raw = unpack(blob)
                     for w in wanted:
                         p = w["pos"]
                         out.append((w["h"].to_bytes(8, "big", signed=True), k1, k2, p, w["members"], raw[max(0, p - before) : p][::-1], raw[p : p + after]))
@@ -289,21 +312,19 @@ def remove_repeats(docs: DataFrame, keep: list[str], length: int = LENGTH, group
     found = repeat_spans(docs, length, k, group).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
     copies = docs.select(k1.alias("k1"), k2.alias("k2")).groupBy("k1", "k2").agg(F.count("*").alias("_copies")).where("_copies > 1")
     known = found.join(copies, ["k1", "k2"], "full").withColumnsRenamed({"k1": "_f1", "k2": "_f2"})
-    keyed = docs.select(*keep, F.col("text").alias("_whole"), k1.alias("_k1"), k2.alias("_k2"))
-    joined = keyed.join(known, (F.col("_k1") == F.col("_f1")) & (F.col("_k2") == F.col("_f2")), "left")
-    spans = F.when(F.col("_copies").isNotNull(), F.lit("all")).otherwise(
-        F.array_join(F.transform(F.coalesce("_spans", F.array().cast("array<struct<lo:int,hi:int>>")), lambda x: F.concat_ws(":", x["lo"].cast("string"), x["hi"].cast("string"))), ",")
-    )
-    packed = joined.select(*keep, F.concat(spans, F.lit("\0"), F.coalesce("_whole", F.lit(""))).alias("_packed"))
+    blobs = _packed_texts(docs.select(*keep, *(["text"] if "text" not in keep else []), k1.alias("_k1"), k2.alias("_k2")), [*keep, "_k1", "_k2"])
+    joined = blobs.join(known, (F.col("_k1") == F.col("_f1")) & (F.col("_k2") == F.col("_f2")), "left")
+    listed = joined.select(*keep, F.struct("blob", "_spans", F.col("_copies").isNotNull().alias("copied")).alias("_row"))
 
     def start():
-        def one(packed: str) -> tuple:
-            marks, _, text = packed.partition("\0")
-            raw = text.encode("utf-8", "surrogatepass")
-            if marks == "all":
+        unpack = zstandard.ZstdDecompressor().decompress
+
+        def one(row: dict) -> tuple:
+            raw = unpack(row["blob"])
+            if row["copied"]:
                 pairs = [(0, len(raw))] if len(raw) >= length else []
             else:
-                pairs = sorted(tuple(map(int, m.split(":"))) for m in marks.split(",") if m)
+                pairs = sorted((x["lo"], min(x["hi"], len(raw))) for x in row["_spans"] or [])
             runs: list[list[int]] = []
             for a, b in pairs:
                 if runs and a <= runs[-1][1]:
@@ -314,6 +335,6 @@ def remove_repeats(docs: DataFrame, keep: list[str], length: int = LENGTH, group
             kept = b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
             return len(raw), [r[0] for r in runs], [r[1] for r in runs], kept
 
-        return lambda texts: [list(x) for x in zip(*map(one, texts), strict=True)]
+        return lambda rows: [list(x) for x in zip(*map(one, rows), strict=True)]
 
-    return map_text(packed, keep, {"n_bytes": "int", "starts": "array<int>", "ends": "array<int>", "kept": "binary"}, start, text="_packed")
+    return map_text(listed, keep, {"n_bytes": "int", "starts": "array<int>", "ends": "array<int>", "kept": "binary"}, start, text="_row")
