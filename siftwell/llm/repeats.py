@@ -230,16 +230,17 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, k: int = K, group: int =
     each = F.explode(F.arrays_zip("at", "h", "w")).alias("a")
     made = map_text(keyed, ["k1", "k2"], fields, start).select("k1", "k2", each)
     every = store(made.select("k1", "k2", F.col("a.at").alias("pos"), F.col("a.h").alias("h"), F.col("a.w").alias("w")))
-    common = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # Counts are stored before they are joined: then both sides of the join are plain exchanges, and a common h is split.
+    common = store(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     anchors = store(every.join(common, "h", "left_semi"))
-    drop(every)
+    drop(every, common)
 
     # One place stands for all with equal surroundings: the one whose own hash is least. Two places have two hashes.
     place = F.xxhash64("k1", "k2", "pos")
     wholes = store(anchors.groupBy("h", "w").agg(F.min(place).alias("first"), F.max(place).alias("last")))
-    several = wholes.groupBy("h").agg(F.count("*").alias("members"))
+    several = store(wholes.groupBy("h").agg(F.count("*").alias("members")))
     joined = store(anchors.join(wholes.join(several, "h"), ["h", "w"]).where("first <> last OR members > 1").select("k1", "k2", "pos", "h", (F.col("first") != F.col("last")).alias("twice"), (place == F.col("first")).alias("chief"), "members"))
-    drop(anchors, wholes)
+    drop(anchors, wholes, several)
     covered = joined.where("twice").select("k1", "k2", F.greatest(F.lit(0), F.col("pos") - before).alias("lo"), (F.col("pos") + after).alias("hi"))
     spans = [store(covered.distinct())]
 
