@@ -18,12 +18,22 @@ from pyspark.sql import functions as F
 
 from siftwell.llm.shared import drop, map_text, store, text_keys
 
+# A private key runs from its header to the next END line, whatever marks of quotes or comments its lines carry. Without
+# one it runs to the last base64 line: header fields, then lines of base64 alone, and long runs after any gap.
+_BREAK = r"[\x20\t]*(?:\r?\n|\\r\\n|\\n)"
+_KEY = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    r"(?:(?:[^-]|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_BREAK}[A-Z][A-Za-z]*-[A-Z][A-Za-z]*:\x20[^\r\n\\]*)*+"
+    rf"(?:{_BREAK}[\x20\t>#*|\"']*+[A-Za-z0-9+/]++={{0,2}}(?=[\x20\t]*(?:[\r\n\"'`<,;\\]|\Z))"
+    r"|(?:[\s>#*|\"'`,;+]|\\[nrt])++(?:[A-Za-z0-9+/]{20,}+={0,2}|[A-Za-z0-9+/]++={1,2})(?![\w.:=-]))*+)"
+)
 # Fixed patterns. Kind: pattern, group that holds the secret, least length of that group.
 RULES: dict[str, tuple[str, int, int]] = {
     "assign": (r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", 2, 8),
     "access": (r"AKIA[A-Z0-9]+", 0, 16),
     "hex": (r"[0-9a-f]+", 0, 32),
-    "private_key": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    "private_key": (_KEY, 0, 1),
     "github": (r"gh[pousr]_[A-Za-z0-9]{36}", 0, 1),
     "slack": (r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
     "stripe": (r"[sr]k_live_[A-Za-z0-9]{16,}", 0, 1),

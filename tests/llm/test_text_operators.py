@@ -108,6 +108,37 @@ def test_redaction(docs):
     assert out.columns == docs.columns
 
 
+def test_private_keys_go_whole(spark):
+    body = [("MIIEpAIBAAKCAQEA" + chr(97 + i) * 48)[:64] for i in range(4)] + ["Zm9vYmFyQUJD=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    fields = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0F3A", ""]
+    texts = [
+        "\n".join(["before", begin, *body, end, "after"]),
+        "\r\n".join(["before", begin, *fields, *body, end, "after"]),
+        "\n".join(["before", *("> " + x for x in (begin, *body, end)), "after"]),
+        'before {"key": "' + "\\n".join([begin, *body, end, ""]) + '"} after',
+        " ".join(["before", begin, *body, end, "after"]),
+        "\n".join(["before", begin, *body, "after all of it"]),
+        "\n".join(["before", begin, *fields, *body, "", "after"]),
+        "\n".join(["before", *("    " + x for x in (begin, *body)), "", "after"]),
+        'before {"key": "' + "\\n".join([begin, *body]) + '"} after',
+        " ".join(["before", begin, *body, "after all of it"]),
+        "\n".join(["before", begin, *body, begin, *body, end, "after"]),
+        f"before {begin} after",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    for i in range(len(texts)):
+        assert not any(x in found[i] for x in (*body, begin, "MIIE")), (i, found[i])
+        assert found[i].lstrip("> ").startswith("before") and "after" in found[i] and "[secret]" in found[i], (i, found[i])
+    kind = list(secrets.RULES).index("private_key")
+    first = secrets.scan_secrets(docs.where("doc_id = 0"), ["doc_id"]).first()
+    k = first.kinds_found.index(kind)
+    assert texts[0][first.starts[k] : first.ends[k]] == "\n".join([begin, *body, end])
+    assert secrets.trigram_query(secrets.RULES["private_key"][0]) == secrets.trigram_query("-----BEGIN [A-Z ]*PRIVATE KEY-----") != []
+
+
+
 def test_licenses(docs, rows):
     def one(text):
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
