@@ -16,7 +16,7 @@ CLASSES = 1 << 16
 PRIOR = 2
 """Added to each class's count."""
 THRESHOLD = -0.14
-"""Least mean log-likelihood ratio of a kept document."""
+"""Least mean shrunk log-likelihood ratio of a kept document."""
 
 
 def _let(value: Column, body) -> Column:
@@ -83,9 +83,11 @@ def with_grams(rows: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def ratios(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
-    """(gram, ratio): log of the class's share in trusted text over its share in all text, PRIOR added to each count.
-    One occurrence, the one that is scored, is left out of all text: else a class that few documents hold would count
-    against each of them. Both counts come from one pass."""
+    """(gram, ratio, shrunk). ratio: log of the class's share in trusted text over its share in all text, PRIOR added to
+    each count. shrunk: log of its count in trusted text over the count that its share in all text lets expect there, PRIOR
+    added to both. That pulls towards the shares of all text, to 0 for an empty target, where ratio is pulled towards equal
+    shares. One occurrence, the one that is scored, is left out of all text: else a class that few documents hold would
+    count against each of them. Both counts come from one pass."""
     # Trusted ids grow with the corpus, so they are merged at every size and never broadcast.
     ids = trusted_ids.select("doc_id", F.lit(1).alias("_trusted")).distinct()
     marked = docs.join(ids.hint("merge"), "doc_id", "left")
@@ -95,15 +97,17 @@ def ratios(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     all_target, all_raw = both.agg(F.sum("target"), F.sum("raw")).first()
     share_t = (F.col("target") + PRIOR) / F.lit((all_target or 0) + PRIOR * CLASSES)
     share_r = (F.col("raw") - 1 + PRIOR) / F.lit((all_raw or 0) + PRIOR * CLASSES)
-    return both.select("gram", F.log(share_t / share_r).alias("ratio"))
+    expected = (F.col("raw") - 1) * F.lit((all_target or 0) / max(all_raw or 0, 1))
+    return both.select("gram", F.log(share_t / share_r).alias("ratio"), F.log((F.col("target") + PRIOR) / (expected + PRIOR)).alias("shrunk"))
 
 
 def quality_rules(docs: DataFrame, trusted_ids: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and llr for each row of docs.
 
     trusted_ids (doc_id): documents that stand for the target. A document is kept if the base rules pass and the mean of
-    its grams' ratios is at least threshold. Null and empty texts: zero counts, base_failed, not kept, llr 0. Repeated rows
-    each come back. Without trusted documents all ratios are near 0 up to a constant, so only base rules decide.
+    its grams' shrunk ratios is at least threshold; llr is the mean of the plain ones. Null and empty texts: zero counts,
+    base_failed, not kept, llr 0. Repeated rows each come back. Without trusted documents all shrunk ratios are 0, so only
+    base rules decide.
     Extra columns are ignored; an empty table gives an empty one.
     """
     docs = docs.select("doc_id", "text")
@@ -112,9 +116,12 @@ def quality_rules(docs: DataFrame, trusted_ids: DataFrame, threshold: float = TH
     rows = measures(docs.withColumn("_row", F.monotonically_increasing_id()))
     each = with_grams(rows, ["_row", *cols])
     for gram in ("one", "two"):
-        each = each.join(F.broadcast(table.select(F.col("gram").alias(gram), F.col("ratio").alias(f"{gram}_ratio"))), gram, "left")
-    total = F.sum(F.coalesce("one_ratio", F.lit(0.0)) + F.coalesce("two_ratio", F.lit(0.0)))
-    llr = total / F.greatest(F.count("one") + F.count("two"), F.lit(1))
-    scored = each.groupBy("_row").agg(*(F.first(c).alias(c) for c in cols), llr.alias("llr"))
+        each = each.join(F.broadcast(table.select(F.col("gram").alias(gram), *(F.col(c).alias(f"{gram}_{c}") for c in ("ratio", "shrunk")))), gram, "left")
+
+    def mean(c: str) -> Column:
+        total = F.sum(F.coalesce(f"one_{c}", F.lit(0.0)) + F.coalesce(f"two_{c}", F.lit(0.0)))
+        return total / F.greatest(F.count("one") + F.count("two"), F.lit(1))
+
+    scored = each.groupBy("_row").agg(*(F.first(c).alias(c) for c in cols), mean("ratio").alias("llr"), mean("shrunk").alias("_score"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return scored.select(*cols, failed.alias("base_failed"), (~failed & (F.col("llr") >= threshold)).alias("kept"), F.round("llr", 6).alias("llr"))
+    return scored.select(*cols, failed.alias("base_failed"), (~failed & (F.col("_score") >= threshold)).alias("kept"), F.round("llr", 6).alias("llr"))

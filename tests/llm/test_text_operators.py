@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 from collections import Counter
 
@@ -189,6 +190,17 @@ def test_rules_score_is_the_mean_log_ratio(spark):
         assert r.llr == pytest.approx(sum(llr[g] for g in grams[r.doc_id]) / len(grams[r.doc_id]), abs=2e-6)
 
 
+def test_rules_with_few_trusted_documents(spark, sf):
+    top = f"{os.path.dirname(sf.rstrip('/'))}/sf0.01"
+    docs, labels = spark.read.parquet(f"{top}/documents.parquet"), spark.read.parquet(f"{top}/labels.parquet")
+    good = labels.where("quality = 1").select("doc_id").distinct()
+    none = quality_rules(docs, good.where("false"))
+    assert none.where("kept").count() == none.where("NOT base_failed").count() > 0
+    few = good.orderBy("doc_id").limit(15)
+    rest = quality_rules(docs, few).where("NOT base_failed").join(good.join(few, "doc_id", "left_anti"), "doc_id", "left_semi")
+    assert rest.where("kept").count() >= 0.95 * rest.count() > 0
+
+
 def brute_print(text):
     def signed(x):
         return x - (1 << 64) if x >> 63 else x
