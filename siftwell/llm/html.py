@@ -13,9 +13,15 @@ from pyspark.sql import DataFrame
 from siftwell.llm.shared import map_text
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = set("head script style template noscript title svg math object iframe audio video canvas datalist".split())
+UNSEEN = set("head script style template noscript title object iframe audio video canvas datalist".split())
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul tr caption".split())
 SPACED = set("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul".split())
+# Fixed values for svg and math: what shows no text, what holds HTML again, where svg shows text, and the HTML tags that end them.
+FOREIGN_UNSEEN = set("desc metadata defs symbol clippath mask marker pattern annotation annotation-xml mphantom".split())
+HOLDS_HTML = set("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+SHOWN = {"text", "foreignobject"}
+BREAKS_OUT = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+IN_HEAD = set("base basefont bgsound link meta title noscript noframes style script template".split())
 # What an opening tag ends, and where the search for it stops.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}),
@@ -34,6 +40,10 @@ class Node:
     tag: str
     attrs: dict[str, str | None] = field(default_factory=dict)
     children: list = field(default_factory=list)
+    foreign: bool = False
+    """An element of svg or math."""
+    mute: bool = False
+    """Inside svg and outside its text elements."""
 
 
 class TreeBuilder(HTMLParser):
@@ -44,6 +54,8 @@ class TreeBuilder(HTMLParser):
         self.root = Node("#root")
         self.open = [self.root]
         self.held: Counter[str] = Counter()
+        self.begun = False
+        self.last = self.root
 
     def _cut(self, at: int) -> None:
         """Ends all elements from a depth on."""
@@ -63,17 +75,30 @@ class TreeBuilder(HTMLParser):
         if cut is not None:
             self._cut(cut)
 
+    @property
+    def _foreign(self) -> bool:
+        return self.open[-1].foreign and self.open[-1].tag not in HOLDS_HTML
+
     def _push(self, node: Node) -> None:
+        node.foreign = self._foreign or node.tag in ("svg", "math")
+        node.mute = node.tag == "svg" or self.open[-1].mute and not (node.foreign and node.tag in SHOWN)
+        self.last = node
         self.open[-1].children.append(node)
         if node.tag not in VOID:
             self.open.append(node)
             self.held[node.tag] += 1
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ("html", "body") and self.held[tag] > 0:
+        while tag in BREAKS_OUT and self._foreign:
+            self._cut(len(self.open) - 1)
+        if self._foreign:
+            self._push(Node(tag, dict(attrs)))
+            return
+        if tag in ("html", "body") and self.held[tag] > 0 or tag == "head" and self.begun:
             return
-        if tag == "body" or tag in BLOCKS and tag != "html":
-            self._close({"head"}, set())
+        self.begun = self.begun or tag != "html" and tag not in IN_HEAD
+        if self.open[-1].tag == "head" and tag not in IN_HEAD or tag == "body" or tag in BLOCKS and tag != "html":
+            self._close({"head"}, {"template"})
         if tag in BLOCKS:
             self._close({"p"}, {"td", "th", "caption", "button", "table"})
         if tag in CLOSES:
@@ -83,7 +108,10 @@ class TreeBuilder(HTMLParser):
         self._push(Node(tag, dict(attrs)))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
+        """A slash ends elements of svg and math; HTML ignores it."""
         self.handle_starttag(tag, attrs)
+        if self.open[-1] is self.last and self.last.foreign:
+            self._cut(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         if self.held[tag] <= 0 and tag not in ("p", "br"):
@@ -103,14 +131,25 @@ class TreeBuilder(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        self.open[-1].children.append(data)
+        if BLANK.sub("", data):
+            self.begun = True
+            if self.open[-1].tag == "head":
+                self._close({"head"}, set())
+        if not self.open[-1].mute:
+            self.open[-1].children.append(data)
 
 
 def visible(node: Node) -> bool:
     style = node.attrs.get("style") or ""
+    if node.foreign and (node.tag in FOREIGN_UNSEEN or node.attrs.get("display") == "none" or node.attrs.get("visibility") in ("hidden", "collapse")):
+        return False
     return node.tag not in UNSEEN and "hidden" not in node.attrs and not HIDES.search(style) and not (node.tag == "input" and (node.attrs.get("type") or "").lower() == "hidden")
 
 
+def lines_of_its_own(node: Node) -> bool:
+    return node.foreign and (node.tag in SHOWN or node.tag == "mtr" or node.tag == "math" and node.attrs.get("display") == "block")
+
+
 def width(text: str) -> int:
     return len(text) if text.isascii() else sum(2 if east_asian_width(c) in "WF" else 1 for c in text)
 
@@ -226,6 +265,10 @@ def render(root: Node) -> str:
             if tag == "br":
                 page.break_line()
                 continue
+            if lines_of_its_own(node):
+                page.end_line()
+            elif node.foreign and tag == "mtd":
+                page.text(" ", indents[-1])
             if tag in ("td", "th"):
                 pages.append(Page())
                 indents.append("")
@@ -291,6 +334,8 @@ def render(root: Node) -> str:
             pre -= 1
         elif tag == "q":
             page.text('"', indents[-1])
+        if lines_of_its_own(node):
+            page.end_line()
         if tag in SPACED and tag not in ("ul", "ol", "table"):
             page.space()
         elif tag in BLOCKS:

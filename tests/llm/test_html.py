@@ -25,6 +25,15 @@ CASES = {
     "<table><tr><td><table><tr><td>in</table><td>out</table>": "in  out",
     "<td>stray</td>": "stray",
     "<p>unclosed <b>bold": "unclosed bold",
+    "<p>a <svg class=i /> b</p><p>c": "a b\n\nc",
+    "<body><math/>all <svg/>the <i>page</i>": "all the page",
+    "<head><title>t</title>Hello <a>x</a> <b>y</b>": "Hello x y",
+    "<head><meta charset=x><script>s</script><span>a</span> b<p>c": "a b\n\nc",
+    "<head><title>t</title><template><div>no</div></template></head>a<head>b": "ab",
+    "a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> b": "a x=2 b",
+    "a<svg>no<title>no</title><desc>no</desc><g><path/><text>l<tspan>m</tspan></text><text>n</text></g></svg>b": "a\nlm\nn\nb",
+    "a<svg><defs><text>no</text></defs><foreignObject><p>in<br/>side</p></foreignObject></svg>b": "a\n\nin\nside\n\nb",
+    "<svg><g><p>out</p> of it": "out\n\nof it",
 }
 
 
