@@ -2,14 +2,18 @@
 
 Each document is due a number of copies: its source's target over its source's size. The whole part is certain; the
 fraction is an inclusion probability. Within blocks of documents of a source, probabilities move through the null space of
-the constraints (sum of tokens, number of documents) until all but two are 0 or 1. What is left of many blocks forms the
+the constraints (sum of tokens, number of documents) until all but two are 0 or 1, each step drawn so that it keeps every
+document's expectation. What is left of many blocks forms the
 next round's blocks, until each source has one; its last two documents are settled by the smallest error.
 """
 
 from __future__ import annotations
 
+import random
+import zlib
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,10 +48,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: f
     return ranked.withColumn("target", F.least(F.col("_cap"), level * F.col("_w"))).drop("_rank", "_w", "_cap", "_level")
 
 
-def _flight(p: list[float], size: list[float]) -> list[float]:
-    """Moves probabilities, two sums kept, until at most two are fractions. Steps are fixed, not drawn, so reruns agree:
-    of the two ends of a line the nearer one is taken."""
-    p = list(p)
+def _flight(p: list[float], size: list[float], seed: int = 0) -> list[float]:
+    """Moves probabilities, two sums kept, until at most two are fractions. Of the two ends of a line one is drawn with
+    the odds that keep each expectation. Draws follow from the seed, so reruns agree."""
+    p, draw = list(p), random.Random(seed).random
     hand: list[int] = []
     for i in range(len(p)):
         if NEAR < p[i] < 1 - NEAR:
@@ -60,7 +64,7 @@ def _flight(p: list[float], size: list[float]) -> list[float]:
                 u = (1.0, -1.0, 0.0)
             up = min((1 - p[j]) / v if v > 0 else -p[j] / v for j, v in zip(hand, u, strict=True) if v)
             down = min(p[j] / v if v > 0 else (p[j] - 1) / v for j, v in zip(hand, u, strict=True) if v)
-            t = up if up <= down else -down
+            t = up if draw() * (up + down) < down else -down
             for j, v in zip(hand, u, strict=True):
                 p[j] = min(1.0, max(0.0, p[j] + t * v))
                 if p[j] <= NEAR or p[j] >= 1 - NEAR:
@@ -85,7 +89,7 @@ def mix_sources(docs: DataFrame, size: Column | None = None, weights: Sequence[f
 
     size: a document's tokens, by default its words (null text: 0). Null sources form one source, the last. Documents
     without tokens count as documents and take nothing. Repeated rows are documents of their own. If all sizes are 0, so
-    are targets and copies. Blocks are dealt by hashes of doc_id, size and carried columns, so reruns agree. Extra columns
+    are targets and copies. Blocks are dealt, and their steps drawn, by hashes of doc_id, size and carried columns, so reruns agree. Extra columns
     are ignored unless carried; an empty table gives an empty one.
     """
     if size is None:
@@ -105,7 +109,8 @@ def mix_sources(docs: DataFrame, size: Column | None = None, weights: Sequence[f
         def settle(rows: pa.Table) -> pa.Table:
             rows = rows.sort_by([(c, "ascending") for c in order]).select(names)
             sizes = [float(x) for x in rows["size"].to_pylist()]
-            p = _flight(rows["p"].to_pylist(), sizes)
+            seed = zlib.crc32(np.array(rows["deal"].to_pylist(), np.int64).tobytes())
+            p = _flight(rows["p"].to_pylist(), sizes, seed)
             return rows.set_column(names.index("p"), "p", pa.array(_landing(p, sizes) if last else p, pa.float64()))
 
         return settle

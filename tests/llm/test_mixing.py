@@ -1,5 +1,6 @@
 """Targets against the stated resharing loop; the mix against its bounds, totals and reruns."""
 
+import random
 from collections import defaultdict
 
 import pytest
@@ -68,3 +69,15 @@ def test_flight_keeps_both_sums():
     q = mixing._flight(p, size)
     assert sum(q) == pytest.approx(sum(p)) and sum(a * b for a, b in zip(q, size, strict=True)) == pytest.approx(sum(a * b for a, b in zip(p, size, strict=True)))
     assert sum(0 < x < 1 for x in q) <= 2
+
+
+@pytest.mark.parametrize("rate", [0.3, 0.6])
+def test_long_and_short_documents_are_taken_alike(rate):
+    draw, each = random.Random(5), []
+    for block in range(60):
+        size = [float(round(draw.lognormvariate(5, 1)) + 1) for _ in range(512)]
+        each += zip(size, mixing._flight([rate] * 512, size, block), strict=True)
+    each.sort()
+    for i in range(5):
+        fifth = [p for _, p in each[i * len(each) // 5 : (i + 1) * len(each) // 5]]
+        assert sum(fifth) / len(fifth) == pytest.approx(rate, abs=0.025)
