@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,30 +61,62 @@ BATCH = 1000
 """Rows of a batch that Spark hands to Python, where the session has not set its own: texts may be long."""
 
 
-def map_text(df: DataFrame, keep: list[str], fields: dict[str, str], start: Callable[[], Callable[[list], list]], text: str = "text", slab: int = 250) -> DataFrame:
+def quoted(name: str) -> Column:
+    """A column by its exact name, whatever characters the name holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def map_text(df: DataFrame, keep: list[str], fields: dict[str, str], start: Callable[[], Callable[[list], list]], text: str = "text", slab: int = 250, flat: bool = False) -> DataFrame:
     """The kept columns of df, untouched, and new fields (name: type) made from a text column.
 
-    start() runs once in each task and returns a function from a list of texts to one list for each field. Texts pass in
-    slabs, so that memory follows the slab and not the batch. Nulls arrive as None.
+    start() runs once in each task and returns a function from a list of texts to one list for each field; with flat it
+    gets an Arrow array and returns Arrow arrays. Texts pass in slabs, so that memory follows the slab and not the batch.
+    Nulls arrive as None. A kept column that bears the name of a new field gives way to it: the field is returned.
+
+    A session that has left Arrow's batch size at Spark's default gets BATCH rows a batch from here on.
     """
     conf = df.sparkSession.conf
     if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
-    kinds = dict(df.select(*keep).dtypes)
-    source = text if text in keep else "_text_"
-    schema = ", ".join(f"`{c}` {t}" for c, t in {**kinds, **fields}.items())
+    made_names = {f.lower() for f in fields}
+    keep = [c for c in keep if c.lower() not in made_names]
+    # Columns go by place while they are with Python, so no name can clash there.
+    held = df.select(*(quoted(c).alias(f"k{i}") for i, c in enumerate(keep)), *([] if text in keep else [quoted(text).alias("t")]))
+    source = keep.index(text) if text in keep else len(keep)
+    names = [*(f"k{i}" for i in range(len(keep))), *(f"f{i}" for i in range(len(fields)))]
+    kinds = [*(t for _, t in held.dtypes[: len(keep)]), *fields.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = start()
         for whole in batches:
-            for at in range(0, whole.num_rows, slab):
-                batch = whole.slice(at, slab)
-                made = make(batch.column(source).to_pylist())
-                arrays = [batch.column(c) for c in keep] + [pa.array(x, ARROW[t]) for x, t in zip(made, fields.values(), strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *fields])
-
-    held = df.select(*keep) if text in keep else df.select(*keep, df[text].alias("_text_"))
-    return held.mapInArrow(run, schema)
+            for batch in _slabs(whole, source, slab):
+                made = make(batch.column(source) if flat else batch.column(source).to_pylist())
+                arrays = [x if flat else pa.array(x, ARROW[t]) for x, t in zip(made, fields.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *arrays], names=names)
+
+    return held.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(names, kinds, strict=True))).toDF(*keep, *fields)
+
+
+SLAB_BYTES = 1 << 20
+"""Bytes of text that are worked on at once; a longer text is a slab of its own."""
+
+
+def _slabs(batch: pa.RecordBatch, source: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most so many rows and about SLAB_BYTES of text."""
+    column = batch.column(source)
+    if not pa.types.is_string(column.type) and not pa.types.is_large_string(column.type):
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        return
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).tolist()
+    at = held = 0
+    for i, size in enumerate(sizes):
+        if i > at and (i - at >= rows or held + size > SLAB_BYTES):
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += size
+    if at < batch.num_rows:
+        yield batch.slice(at)
 
 
 class WordHasher:
