@@ -1,121 +1,173 @@
 """Licence scans by diagonal voting.
 
-All rolling word pairs of all documents are joined to the positions at which licence templates hold them. A hit votes for
-a diagonal: its place in the text less its place in the template. Neighbouring diagonals of a template are merged into a
-span, so a few words more or less don't break it, and a span stands if enough of the template's pairs are in it.
+Hashes of all rolling word pairs and triples of all documents are joined to the positions at which licence templates hold
+them. A hit votes for a diagonal: its place in the text less its place in the template. Votes of neighbouring diagonals are
+merged, so a few words more or less don't break a span, and the diagonal with most votes around it stands for them. The
+words of each span are then verified: base phrases must stand word for word, notices by edit distance and by the words
+that tell licences apart. Where spans of several templates overlap, the best one stays.
 """
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwell.llm.flat import LETTERS, FlatWords, lists, runs, within
+from siftwell.llm.license_texts import NOTICES
 from siftwell.llm.rules import _let
-from siftwell.llm.shared import text_keys
-
-K = 2
-DRIFT = 3
-"""Diagonals of one template this near to each other are one span."""
-COVER = 0.7
-"""Least part of a template's word pairs in a span."""
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_BEFORE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-"""The same words before A-Z are lower-cased."""
+from siftwell.llm.shared import map_text, store
+
+PAIR, TRIPLE = 2, 3
+"""Words of the rolling hashes: pairs vote for base phrases, triples for notices."""
+DRIFT = 5
+"""Diagonals of one template this near to each other vote together."""
+VOTES = 0.3
+"""Least part of a notice's triples that must vote for a span before its words are verified."""
+COVER = 0.8
+"""Least likeness of a span's words to the notice's: 1 less the edit distance over the notice's length."""
+TELLING = ("nc", "sa", "nd", "sharealike", "noncommercial", "noderivatives", "lesser", "affero")
+"""Words that change what a licence is. A span must hold those of its notice, in order, and no others; so
+with whole numbers where the notice has any."""
 
 # Fixed phrases of the contract and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-# Fixed texts: usual notices of public licences, in lower-case words, and their labels.
-NOTICES = {
-    "licensed under the apache license version 2 0": "apache-2.0",
-    "you may not use this file except in compliance with the license": "apache-2.0",
-    "released under the mit license": "mit",
-    "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit",
-    "licensed under cc by nc 4 0": "cc-by-nc-4.0",
-    "licensed under cc by sa 4 0": "cc-by-sa-4.0",
-    "licensed under cc by 4 0": "cc-by-4.0",
-    "this work is licensed under the creative commons attribution": "creative-commons",
-    "this work is licensed under the gnu general public license version 3": "gpl-3.0",
-    "you can redistribute it and or modify it under the terms of the gnu general public license": "gpl",
-    "gnu lesser general public license": "lgpl",
-    "gnu affero general public license": "agpl",
-    "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
-    "this source code form is subject to the terms of the mozilla public license": "mpl-2.0",
-    "this is free and unencumbered software released into the public domain": "unlicense",
-}
-
-
-def words_of(text: Column) -> Column:
-    """Words of a text: letters and digits of ASCII, and all beyond ASCII."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
-
-
-def lower_ascii(text: Column) -> Column:
-    """Lower-cases A-Z alone: what lies beyond ASCII stays."""
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.translate(text, upper, upper.lower())
-
-
-def license_spans(docs: DataFrame, templates: dict[str, tuple[str, bool]]) -> DataFrame:
-    """(k1, k2, template, label, base, start, end, cover): spans of templates (phrase: (label, exact)) in each distinct text.
-
-    exact templates count only where all words stand consecutively; the others where COVER of their pairs do.
+
+
+def plain(text: str) -> str:
+    """A template's words, lower-cased, with one space between."""
+    return " ".join(re.findall(r"[0-9a-z]+", text.lower()))
+
+
+def telling(words: list[str], numbers: bool) -> str:
+    return " ".join(w for w in words if w in TELLING or numbers and w.isdigit())
+
+
+TEMPLATES: list[tuple[str, str, bool]] = [*((p, label, True) for p, label in BASE.items()), *((plain(t), label, False) for t, label in NOTICES.items())]
+"""(words, label, base) of each template."""
+
+
+def _hashes(phrase: str, k: int) -> list[int]:
+    """The rolling hashes of a phrase, as documents' are made."""
+    h, ends, _, _ = FlatWords(LETTERS)(pa.array([phrase]))
+    return runs(h, k)[within(ends, k)[0]].view(np.int64).tolist()
+
+
+def rolled(docs: DataFrame, known: list[int]) -> DataFrame:
+    """_row, doc_id, n_words, rolling and held for each document.
+
+    rolling: 0, then the hashes of all word pairs, then of all word triples. held: the words, lower-cased, of texts with
+    one of the known hashes at least; what joins no template needs no verification later.
+    """
+    wanted = np.array(sorted(known), np.int64)
+
+    def start():
+        words = FlatWords(LETTERS)
+
+        def make(column: pa.Array) -> list[pa.Array]:
+            h, ends, kept, texts = words(column)
+            n = np.diff(ends)
+            pair_at, pairs = within(ends, PAIR)
+            triple_at, triples = within(ends, TRIPLE)
+            sizes = 1 + pairs + triples
+            heads = np.cumsum(sizes) - sizes
+            flat = np.zeros(int(sizes.sum()), np.int64)
+            flat[np.arange(len(pair_at)) + np.repeat(heads + 1 - (np.cumsum(pairs) - pairs), pairs)] = runs(h, PAIR)[pair_at].view(np.int64)
+            flat[np.arange(len(triple_at)) + np.repeat(heads + 1 + pairs - (np.cumsum(triples) - triples), triples)] = runs(h, TRIPLE)[triple_at].view(np.int64)
+            near = wanted[np.minimum(np.searchsorted(wanted, flat), len(wanted) - 1)] == flat
+            some = np.add.reduceat(near, heads) > 0 if len(heads) else near
+            held = [b" ".join(kept[texts[i] : texts[i + 1]].tobytes().replace(b"\0", b" ").split()).decode("utf-8", "replace") if some[i] else None for i in range(len(n))]
+            return [pa.array(n, pa.int64()), lists(flat, sizes, pa.int64()), pa.array(held, pa.string())]
+
+        return make
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")
+    made = map_text(numbered, ["_row", "doc_id"], {"n_words": "long", "rolling": "array<long>", "held": "string"}, start, flat=True, slab=1000)
+    return made
+
+
+def _in_ascii(x: Column) -> Column:
+    return F.regexp_replace(x, r"[^\x00-\x7F]", "?")
+
+
+def license_spans(docs: DataFrame, templates: list[tuple[str, str, bool]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, spans). rows: _row, doc_id, n_words of each document. spans: _row, template (place in templates), label, base,
+    start, end (words from 0), cover. All places of base phrases are spans; of notices those that no better one overlaps.
     """
     spark = docs.sparkSession
-    rows = [(t, phrase.split()) for t, phrase in enumerate(templates)]
-    places = [(t, i, " ".join(w[i : i + K]), len(w)) for t, w in rows for i in range(len(w) - K + 1)]
-    grams = spark.createDataFrame(places, "template int, tpos int, tgram string, size int").withColumn("th", F.xxhash64("tgram"))
-    k1, k2 = text_keys(F.col("text"))
-
-    def pairs(w: Column) -> Column:
-        at = F.sequence(F.lit(0), F.size(w) - K)
-        return F.when(F.size(w) < K, F.array().cast("array<string>")).otherwise(F.transform(at, lambda i: F.concat_ws(" ", *(F.get(w, i + j) for j in range(K)))))
-
-    lowered = F.col("_lower")
-    source = docs.select(k1.alias("k1"), k2.alias("k2"), lower_ascii(F.col("text")).alias("_lower"))
-    rolling = source.select("k1", "k2", F.posexplode(_let(words_of(lowered), pairs)).alias("pos", "gram")).withColumn("h", F.xxhash64("gram"))
-    hits = rolling.join(F.broadcast(grams), (F.col("h") == F.col("th")) & (F.col("gram") == F.col("tgram")))
-    hits = hits.select("k1", "k2", "template", "size", (F.col("pos") - F.col("tpos")).alias("diagonal"), "tpos").distinct()
-    votes = hits.groupBy("k1", "k2", "template", "size", "diagonal").agg(F.count("*").alias("votes"), F.min("tpos").alias("lo"), F.max("tpos").alias("hi"))
-    labels = F.array(*(F.lit(label) for label, _ in templates.values()))
-    exact = F.array(*(F.lit(e) for _, e in templates.values()))
-    votes = votes.withColumn("exact", F.get(exact, F.col("template")))
-
-    whole = votes.where("exact AND votes = size - 1").select("k1", "k2", "template", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("size")).alias("end"), F.lit(1.0).alias("cover"))
-    order = Window.partitionBy("k1", "k2", "template").orderBy("diagonal")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > DRIFT, F.lit(True)).cast("int")
-    islands = votes.where("NOT exact").withColumn("apart", apart).withColumn("island", F.sum("apart").over(order))
-    merged = islands.groupBy("k1", "k2", "template", "size", "island").agg(
-        F.sum("votes").alias("votes"), F.min(F.col("diagonal") + F.col("lo")).alias("start"), F.max(F.col("diagonal") + F.col("hi") + K).alias("end")
+    templates = templates or TEMPLATES
+    places = []
+    for t, (phrase, _, base) in enumerate(templates):
+        k = PAIR if base else TRIPLE
+        hashes = _hashes(phrase, k)
+        places += [(h, t, i, len(hashes), k, base) for i, h in enumerate(hashes)]
+    grams = spark.createDataFrame(places, "h long, template int, tpos int, size int, k int, base boolean")
+    rolling = rolled(docs, [p[0] for p in places]).select("*", F.posexplode("rolling").alias("_p", "_h"))
+    head = F.col("_p") == 0
+    met = rolling.join(F.broadcast(grams), F.col("_h") == F.col("h"), "left").where(head | F.col("template").isNotNull())
+    n_pairs = F.greatest(F.col("n_words") - 1, F.lit(0))
+    pos = F.col("_p") - 1 - F.when(F.col("k") == TRIPLE, n_pairs).otherwise(F.lit(0))
+    # One pass over the texts: each document's own row and its hits are written once, and all that follows reads them.
+    met = store(met.select("_row", head.alias("head"), *(F.when(head, F.col(c)).alias(c) for c in ("doc_id", "n_words", "held")), "template", "base", "k", "size", pos.alias("pos"), "tpos"))
+    rows = met.where("head").select("_row", "doc_id", "n_words", "held")
+    hits = met.where("NOT head")
+
+    votes = hits.groupBy("_row", "template", "base", "k", "size", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    exact = votes.where("base AND votes = size").select("_row", "template", "base", F.col("diagonal").alias("start"), (F.col("hi") + F.col("k")).alias("end"))
+    near = Window.partitionBy("_row", "template").orderBy("diagonal").rangeBetween(-DRIFT, DRIFT)
+    rank = F.struct(F.col("votes"), (-F.col("diagonal")).alias("first"))
+    around = votes.where("NOT base").withColumns(
+        {"all": F.sum("votes").over(near), "best": F.max(rank).over(near), "start": F.min("lo").over(near), "end": F.max("hi").over(near) + F.col("k")}
     )
-    cover = F.least(F.lit(1.0), F.col("votes") / (F.col("size") - K + 1))
-    near = merged.withColumn("cover", cover).where((F.col("cover") >= COVER) & (F.col("end") - F.col("start") <= F.col("size") + 2 * DRIFT))
-    spans = whole.union(near.select("k1", "k2", "template", "start", "end", "cover"))
-    return spans.select("k1", "k2", "template", F.get(labels, F.col("template")).alias("label"), F.get(exact, F.col("template")).alias("base"), "start", "end", "cover")
+    peaks = around.where((F.col("best") == rank) & (F.col("all") >= VOTES * F.col("size"))).select("_row", "template", "base", "start", "end")
+
+    asked = exact.union(peaks).groupBy("_row").agg(F.collect_list(F.struct("template", "base", "start", "end")).alias("asked"))
+    phrase, label = (F.array(*(F.lit(t[i]) for t in templates)) for i in (0, 1))
+    tells = F.array(*(F.lit(telling(p.split(), any(w.isdigit() for w in p.split()))) for p, _, _ in templates))
+    counts = F.array(*(F.lit(any(w.isdigit() for w in p.split())) for p, _, _ in templates))
+
+    def read(words: Column) -> Column:
+        return F.transform(F.col("asked"), lambda s: F.struct(s["template"], s["base"], s["start"], s["end"], F.slice(words, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")).alias("words")))
+
+    read_out = rows.join(asked, "_row").select("_row", F.inline(_let(F.split("held", " "), read)))
+    in_span = F.filter("words", lambda w: w.isin(*TELLING) | (F.get(counts, F.col("template")) & w.rlike("^[0-9]+$")))
+    wanted = F.get(phrase, F.col("template"))
+    distance = F.levenshtein(_in_ascii(F.array_join("words", " ")), wanted)
+    cover = F.when(F.col("base"), (F.array_join("words", " ") == wanted).cast("double")).otherwise(1 - distance / F.length(wanted))
+    told = F.col("base") | (F.array_join(in_span, " ") == F.get(tells, F.col("template")))
+    good = read_out.where(told).select("_row", "template", F.get(label, F.col("template")).alias("label"), "base", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), cover.alias("cover"))
+    good = good.where(F.when(F.col("base"), F.col("cover") == 1).otherwise(F.col("cover") >= COVER))
+
+    reach = max(len(p.split()) for p, _, _ in templates) * 2 + 2 * DRIFT
+    others = Window.partitionBy("_row").orderBy("start").rangeBetween(-reach, reach)
+    merit = F.struct("cover", (F.col("end") - F.col("start")).alias("size"), (-F.col("template")).alias("early"))
+    ranked = good.where("NOT base").withColumn("merit", merit).withColumn("others", F.collect_list(F.struct("start", "end", "merit")).over(others))
+    beaten = F.exists("others", lambda o: (o["start"] < F.col("end")) & (F.col("start") < o["end"]) & (o["merit"] > F.col("merit")))
+    spans = good.where("base").union(ranked.where(~beaten).select(*good.columns))
+    return rows.drop("held"), spans
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """Per document: n_words, places of the base phrases, labels of base and of all spans, and the best cover as score.
 
-    Null and empty texts have no word, place or label and score 0. Repeated rows each come back with equal results; texts
-    are keyed by two hashes, so a null doc_id is no obstacle. Extra columns are ignored; an empty table gives an empty one.
+    Null and empty texts have no word, place or label and score 0. Repeated rows each come back with equal results, a null
+    doc_id is no obstacle. Extra columns are ignored; an empty table gives an empty one.
     """
-    docs = docs.select("doc_id", "text")
-    templates = {p: (label, True) for p, label in BASE.items()} | {p: (label, False) for p, label in NOTICES.items()}
-    spans = license_spans(docs, templates)
+    rows, spans = license_spans(docs.select("doc_id", "text"))
     base = F.col("base")
-    found = spans.groupBy("k1", "k2").agg(
+    found = spans.groupBy("_row").agg(
         F.count(F.when(base, 1)).alias("n_base"),
-        F.min(F.when(base, F.col("start"))).cast("long").alias("first_word"),
-        F.max(F.when(base, F.col("start"))).cast("long").alias("last_word"),
+        F.min(F.when(base, F.col("start"))).alias("first_word"),
+        F.max(F.when(base, F.col("start"))).alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
         F.max("cover").alias("score"),
     )
-    k1, k2 = text_keys(F.col("text"))
-    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_BEFORE)).cast("long")
-    out = docs.select("doc_id", n_words.alias("n_words"), k1.alias("k1"), k2.alias("k2")).join(found, ["k1", "k2"], "left")
     none = F.lit("")
-    return out.select(
+    return rows.join(found, "_row", "left").select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", none).alias("base_labels"), F.coalesce("labels", none).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
     )

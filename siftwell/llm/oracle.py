@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftwell.llm.licenses import BASE, COVER, DRIFT, NOTICES
+from siftwell.llm.licenses import COVER, DRIFT, TELLING, TEMPLATES, VOTES
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = f"translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}')"
@@ -32,26 +32,33 @@ SELECT h.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT
 
 
 def _templates() -> str:
+    """Rows of (template, phrase, label, base, k, grams, tpos, gram, tells, numbers)."""
     rows = []
-    for base, phrases in ((True, BASE), (False, NOTICES)):
-        for phrase, label in phrases.items():
-            w = phrase.split()
-            rows += [f"('{phrase}', '{label}', {str(base).upper()}, {len(w) - 1}, {i}, '{w[i]} {w[i + 1]}')" for i in range(len(w) - 1)]
-    return "template(phrase, label, base, pairs, tpos, gram) AS (VALUES " + ", ".join(rows) + ")"
+    for t, (phrase, label, base) in enumerate(TEMPLATES):
+        w, k = phrase.split(), 2 if base else 3
+        numbers = any(x.isdigit() for x in w)
+        tells = " ".join(x for x in w if x in TELLING or numbers and x.isdigit())
+        rows += [f"({t}, '{phrase}', '{label}', {str(base).upper()}, {k}, {len(w) - k + 1}, {i}, '{' '.join(w[i : i + k])}', '{tells}', {str(numbers).upper()})" for i in range(len(w) - k + 1)]
+    return "template(template, phrase, label, base, k, grams, tpos, gram, tells, numbers) AS (VALUES " + ", ".join(rows) + ")"
 
 
 LICENSES = f"""WITH {_templates()},
+kinds AS (SELECT DISTINCT template, phrase, label, tells, numbers FROM template),
 words AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS a FROM documents),
-pairs AS (SELECT doc_id, unnest(range(0, len(a) - 1)) AS pos, a FROM words WHERE len(a) > 1),
-hits AS (SELECT p.doc_id, phrase, label, base, pairs, tpos, pos - tpos AS diagonal FROM (SELECT doc_id, pos, a[pos + 1] || ' ' || a[pos + 2] AS gram FROM pairs) p JOIN template t ON p.gram = t.gram),
-votes AS (SELECT doc_id, phrase, label, base, pairs, diagonal, count(*) AS v, min(diagonal + tpos) AS s, max(diagonal + tpos + 2) AS e FROM hits GROUP BY ALL),
-whole AS (SELECT doc_id, label, diagonal AS start, 1.0::DOUBLE AS cover, TRUE AS base FROM votes WHERE base AND v = pairs),
-marked AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o <= {DRIFT} THEN 0 ELSE 1 END AS fresh FROM votes WHERE NOT base WINDOW o AS (PARTITION BY doc_id, phrase ORDER BY diagonal)),
-numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, phrase ORDER BY diagonal) AS run FROM marked),
-merged AS (SELECT doc_id, phrase, label, pairs, run, sum(v) AS v, min(s) AS s, max(e) AS e FROM numbered GROUP BY ALL),
-near AS (SELECT doc_id, label, s AS start, least(1.0, v::DOUBLE / pairs) AS cover, FALSE AS base FROM merged WHERE least(1.0, v::DOUBLE / pairs) >= {COVER} AND e - s <= pairs + 1 + {2 * DRIFT}),
-spans AS (SELECT * FROM whole UNION ALL SELECT * FROM near),
-found AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+rolling AS (SELECT doc_id, 2 AS k, unnest(range(0, len(a) - 1)) AS pos, a FROM words WHERE len(a) > 1 UNION ALL SELECT doc_id, 3, unnest(range(0, len(a) - 2)), a FROM words WHERE len(a) > 2),
+named AS (SELECT doc_id, k, pos, array_to_string(a[pos + 1 : pos + k], ' ') AS gram FROM rolling),
+votes AS (SELECT doc_id, template, base, t.k, grams, pos - tpos AS diagonal, count(*) AS v, min(pos) AS lo, max(pos) AS hi FROM named n JOIN template t ON n.gram = t.gram AND n.k = t.k GROUP BY ALL),
+around AS (SELECT *, sum(v) OVER near AS whole, max(v * 1000000000 - diagonal) OVER near AS best, min(lo) OVER near AS s, max(hi) OVER near + k AS e FROM votes WHERE NOT base
+  WINDOW near AS (PARTITION BY doc_id, template ORDER BY diagonal RANGE BETWEEN {DRIFT} PRECEDING AND {DRIFT} FOLLOWING)),
+asked AS (SELECT doc_id, template, TRUE AS base, diagonal AS s, hi + k AS e FROM votes WHERE base AND v = grams
+  UNION ALL SELECT doc_id, template, FALSE, s, e FROM around WHERE best = v * 1000000000 - diagonal AND whole >= {VOTES} * grams),
+reads AS (SELECT q.doc_id, q.template, base, s, e, phrase, label, tells, numbers, a[s + 1 : e] AS w FROM asked q JOIN words d ON q.doc_id = d.doc_id JOIN kinds k ON q.template = k.template),
+judged AS (SELECT *, CASE WHEN base THEN 1.0 ELSE 1 - levenshtein(regexp_replace(array_to_string(w, ' '), '[^\\x00-\\x7F]', '?', 'g'), phrase)::DOUBLE / length(phrase) END AS cover,
+  array_to_string(list_filter(w, lambda x: x IN ({", ".join(f"'{x}'" for x in TELLING)}) OR numbers AND regexp_matches(x, '^[0-9]+$')), ' ') AS told FROM reads),
+good AS (SELECT * FROM judged WHERE base OR (cover >= {COVER} AND told = tells)),
+spans AS (SELECT doc_id, label, base, s, cover FROM good g WHERE base OR NOT EXISTS (SELECT 1 FROM good o WHERE NOT o.base AND o.doc_id = g.doc_id AND o.s < g.e AND g.s < o.e
+  AND (o.cover > g.cover OR o.cover = g.cover AND (o.e - o.s > g.e - g.s OR o.e - o.s = g.e - g.s AND o.template < g.template)))),
+found AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word,
   array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(cover) AS score FROM spans GROUP BY doc_id)
 SELECT w.doc_id, len(a)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM words w LEFT JOIN found f ON w.doc_id = f.doc_id"""

@@ -253,3 +253,40 @@ def test_empty_tables(spark):
     assert not secrets.digests(secrets.scan_secrets(none, ["doc_id"])).collect()
     assert not bpe.digests(bpe.encode_decode(none, queries.tokenizer_path(), ["doc_id"])).collect()
     assert not quality_rules(none, none).collect()
+
+
+LICENSE_CASES = [
+    ("you may not use this file except in compliance with the license", "apache-2.0"),
+    ("you may not use this file except in compliance with the license" + " the license" * 4, "apache-2.0"),
+    ("the license " * 300 + "you may not use this file except in compliance with the license " + "the license " * 300, "apache-2.0"),
+    ("licensed under CC BY-NC 4.0", "cc-by,cc-by-nc-4.0"),
+    ("licensed under CC BY-SA 4.0", "cc-by,cc-by-sa-4.0"),
+    ("licensed under CC BY-NC-SA 4.0", "cc-by,cc-by-nc-sa-4.0"),
+    ("licensed under CC BY 4.0", "cc-by,cc-by-4.0"),
+    ("not licensed under the Apache License, version 1.1", ""),
+    ("licensed under the Apache License, version 2.0", "apache-2.0"),
+    ("GNU Lesser General Public License", "gpl,lgpl"),
+    ("no licence at all", ""),
+]
+
+
+def test_license_labels_tell_neighbours_apart(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(LICENSE_CASES)], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in scan_licenses(docs).collect()} == {i: x for i, (_, x) in enumerate(LICENSE_CASES)}
+
+
+def test_license_texts_are_found_whole_and_changed(spark):
+    from siftwell.llm.license_texts import NOTICES
+
+    texts = [(t, label) for t, label in NOTICES.items() if len(t) > 300]
+    changed = [" ".join(w for i, w in enumerate(t.split()) if i % 40 != 7) for t, _ in texts]
+    rows = [(i, f"Some words before. {t} And words after.") for i, t in enumerate([*(t for t, _ in texts), *changed])]
+    found = {r.doc_id: r.labels.split(",") for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(label in found[i] and label in found[i + len(texts)] for i, (_, label) in enumerate(texts))
+
+
+def test_licenses_of_copies_nulls_and_long_texts(spark):
+    notice = "x " * 200_000 + "all rights reserved"
+    rows = [(None, notice), (None, notice), (1, None), (1, ""), (2, "cc by")]
+    found = [(r.doc_id, r.n_words, r.n_base, r.first_word, r.labels) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(found, key=str) == sorted([(None, 200_003, 1, 200_000, "reserved")] * 2 + [(1, 0, 0, None, "")] * 2 + [(2, 2, 1, 0, "cc-by")], key=str)
