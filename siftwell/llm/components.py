@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from siftwell.llm.shared import drop, store
 
 
+SALTS = 16
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for each node that has a link; label is the component's smallest node.
 
@@ -20,8 +23,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         low = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
-        step = store(low.join(jump, "label", "left").select("node", F.least("label", F.coalesce("beyond", "label")).alias("label"), "was"))
+        # Many nodes may have one label: they are dealt over SALTS parts, to each of which the label's own label is copied.
+        jump = labels.where("label <> node").select(F.col("node").alias("label"), F.col("label").alias("beyond"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        dealt = low.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+        step = store(dealt.join(jump, ["label", "salt"], "left").select("node", F.least("label", F.coalesce("beyond", "label")).alias("label"), "was"))
         changed = step.where("label <> was").limit(1).count()
         drop(labels)
         labels = step

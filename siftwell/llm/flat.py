@@ -24,6 +24,9 @@ def byte_table(inside: bytes) -> np.ndarray:
     return table
 
 
+WHOLE = np.arange(256, dtype=np.uint8)
+WHOLE[list(b" \t\n\v\f\r")] = 0
+"""As SPACED, with case kept."""
 SPACED = byte_table(bytes(b for b in range(128) if b not in b" \t\n\v\f\r"))
 """Words are what stands between ASCII white space."""
 LETTERS = byte_table(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
@@ -46,15 +49,15 @@ class FlatWords:
         self.table = table
         self.powers = np.ones(1, np.uint64)
 
-    def _piece(self, kept: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes, first bytes) of the words of a piece; breaks: where texts start in it."""
+    def _piece(self, kept: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes, first bytes, sizes) of the words of a piece; breaks: where texts start in it."""
         inside = kept > 0
         begins = inside.copy()
         begins[1:] &= ~inside[:-1]
         begins[breaks] = inside[breaks]
         at = np.flatnonzero(inside)
         if not len(at):
-            return np.zeros(0, np.uint64), at
+            return np.zeros(0, np.uint64), at, at
         heads = begins[at]
         first = np.flatnonzero(heads)
         starts = at[first]
@@ -63,25 +66,29 @@ class FlatWords:
         if len(self.powers) < longest:
             steps = np.full(2 * longest, _GOLD, np.uint64)
             self.powers = np.concatenate([np.ones(1, np.uint64), np.cumprod(steps, dtype=np.uint64)])
-        return mix(np.add.reduceat(_BYTES[kept[at]] * self.powers[offset], first)), starts
+        return mix(np.add.reduceat(_BYTES[kept[at]] * self.powers[offset], first)), starts, np.diff(np.append(first, len(at)))
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(hashes of all words, where each text's words start, with the end; the bytes, 0 between words; where texts start)."""
+        """(hashes of all words, where each text's words start, with the end; the bytes, 0 between words; where texts start).
+
+        The first byte and size of each word stay in at and size until the next call."""
         raw, ends = text_bytes(column)
         kept = self.table[raw]
-        n, at, hashes, starts = len(kept), 0, [], []
+        n, at, hashes, starts, sizes = len(kept), 0, [], [], []
         while at < n:
             to = min(n, at + PIECE)
             while to < n and kept[to]:
                 gap = np.flatnonzero(kept[to : to + PIECE] == 0)
                 to = to + int(gap[0]) if len(gap) else min(n, to + PIECE)
             breaks = ends[np.searchsorted(ends, at) : np.searchsorted(ends, to)] - at
-            h, s = self._piece(kept[at:to], breaks)
+            h, s, size = self._piece(kept[at:to], breaks)
             hashes.append(h)
             starts.append(s + at)
+            sizes.append(size)
             at = to
         flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         where = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+        self.at, self.size = where, np.concatenate(sizes) if sizes else where
         return flat, np.searchsorted(where, ends), kept, ends
 
 

@@ -7,8 +7,10 @@ Only links that can change a component are verified. First each token's most cen
 the token (a star); whatever the stars have joined needs no more comparison, and all remaining pairs of differing labels
 are verified. So a group of m near copies costs about m verifications, not m * m, and no link between components is lost.
 
-Tokens are ordered by a frequency sketch, then by hash. The prefix filter is exact under any order; the order only makes
-common passages late. The sketch has a fixed number of counters, so what is broadcast doesn't grow with the input.
+Tokens are ordered by how common they are, then by hash, so passages that many documents share come late and are seldom in
+a prefix. All tokens of all documents are counted; those in at least COMMON rows get a level, the logarithm of their count,
+in a table with a fixed number of places that is broadcast. The prefix filter is exact under any order of tokens, so tokens
+that share a place cost candidates and lose no link.
 """
 
 from __future__ import annotations
@@ -18,85 +20,191 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.components import components
-from siftwell.llm.shared import WordHasher, drop, lower_words, map_text, mix, shingles, store, text_keys
-
-SKETCH_BITS = 18
-"""2**18 counters: 2 MB to broadcast at any input size."""
-
-
-def _sketch(docs: DataFrame, k: int, bits: int) -> np.ndarray:
-    """How often each of 2**bits classes of shingles occurs in all documents."""
+from siftwell.llm.flat import SPACED, FlatWords, lists, runs, within
+from siftwell.llm.shared import drop, map_text, mix, slabs, store, text_keys
+
+BITS = 24
+"""2**24 levels of two bytes: 32 MB to broadcast at any input size."""
+STEPS = 1024
+"""Levels per doubling of a count: tokens of one group of near copies differ little in theirs."""
+COMMON = 4
+"""Rows that a token is in before it gets a level."""
+PACKED = 1 << 21
+"""Tokens that a task counts at once."""
+LEVELS = 1 << 22
+"""Most tokens with a level, the most common ones; 32 MB reach the driver."""
+GOLD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _flat_sets(words: FlatWords, column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, which text each is of, set sizes): the distinct shingles of texts, sorted by text and hash."""
+    h, ends, _, _ = words(column)
+    sizes = np.diff(ends)
+    at, counts = within(ends, k)
+    s, of = runs(h, k)[at], np.repeat(np.arange(len(sizes), dtype=np.uint16), counts)
+    for j in range(1, k):
+        # Fewer than k words: all of them are the one shingle.
+        short = np.flatnonzero(sizes == j)
+        if len(short):
+            g = np.full(len(short), np.uint64(j))
+            for i in range(j):
+                g = mix(g * GOLD + h[ends[short] + i])
+            s, of = np.concatenate([s, g]), np.concatenate([of, short.astype(np.uint16)])
+    order = np.argsort(s)
+    order = order[np.argsort(of[order], kind="stable")]
+    s, of = s[order], of[order]
+    fresh = np.ones(len(s), bool)
+    fresh[1:] = (s[1:] != s[:-1]) | (of[1:] != of[:-1])
+    s, of = s[fresh], of[fresh]
+    return s, of, np.bincount(of, minlength=len(sizes))
+
+
+def _first(s: np.ndarray, n: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first `most` of each text's shingles, and each one's place in its text."""
+    counts = np.minimum(n, most)
+    place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return s[place + np.repeat(np.cumsum(n) - n, counts)], place
+
+
+def _prefix_size(n: np.ndarray, likeness: Fraction) -> np.ndarray:
+    return np.where(n > 0, n - -(-n * likeness.numerator // likeness.denominator) + 1, 0)
+
+
+def _counts(docs: DataFrame, k: int, common: int) -> DataFrame:
+    """(token, n): the low half of each token that at least `common` sets hold, and in how many rows it is.
+
+    Tasks count PACKED tokens at a time and send each bucket its values and counts as packed numbers, so a token that all
+    documents hold is sent once a pack. The number of buckets follows the input, so one never holds much more than a pack.
+    """
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // (4 * PACKED)))
+    buckets = np.uint64(parts)
+    names = ["bucket", "values", "counts"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, held, n = FlatWords(SPACED), [], 0
+
+        def flush() -> pa.RecordBatch:
+            s, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            bucket = (s >> np.uint64(32)) % buckets
+            order = np.argsort(bucket, kind="stable")
+            s, counts, bucket = s[order].astype(np.uint32), counts[order].astype(np.uint32), bucket[order]
+            found, at = np.unique(bucket, return_index=True)
+            ends = np.append(at, len(s)).tolist()
+            cut = [[x[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)] for x in (s, counts)]
+            return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), *(pa.array(c, pa.binary()) for c in cut)], names=names)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, hasher = np.zeros(1 << bits, np.int64), WordHasher()
         for batch in batches:
-            for text in batch["text"]:
-                s = np.unique(shingles(hasher(lower_words(text)), k))
-                np.add.at(total, (s & np.uint64((1 << bits) - 1)).astype(np.int64), 1)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"at": at.astype(np.int32), "n": total[at]})
-
-    found = docs.select("text").mapInPandas(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << bits, np.int64)
-    out[found["at"].to_numpy()] = found["n"].to_numpy()
-    return out
-
-
-def _prefixes(docs: DataFrame, k: int, likeness: Fraction, bits: int) -> DataFrame:
-    """(doc_id, k1, k2, n, sid, gid, g, prefix): a document's set size, set id, group id, half of that id, and first tokens."""
-    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(docs, k, bits))
-    num, den = likeness.numerator, likeness.denominator
+            for part in slabs(batch, 0, 1000):
+                held.append(_flat_sets(words, part.column(0), k)[0])
+                n += len(held[-1])
+                if n > PACKED:
+                    yield flush()
+                    held, n = [], 0
+        yield flush()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for bucket, v, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                held.setdefault(bucket, []).append((np.frombuffer(v, np.uint32), np.frombuffer(c, np.uint32)))
+        while held:
+            _, packs = held.popitem()
+            v, c = (np.concatenate(x) for x in zip(*packs, strict=True))
+            order = np.argsort(v)
+            v, c = v[order], c[order].astype(np.int64)
+            at = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+            n = np.add.reduceat(c, at)
+            good = n >= common
+            yield pa.RecordBatch.from_arrays([pa.array(v[at][good].view(np.int32)), pa.array(n[good])], names=["token", "n"])
+
+    packed = docs.select("text").mapInArrow(pack, "bucket long, values binary, counts binary")
+    return packed.repartition(parts, "bucket").mapInArrow(add, "token int, n long")
+
+
+def _levels(docs: DataFrame, k: int, bits: int, common: int) -> np.ndarray:
+    """The level of each class of tokens: 0, or for common ones the logarithm of the highest count of its tokens."""
+    counts = store(_counts(docs, k, common))
+    step = F.floor(F.log2("n") * STEPS).cast("int").alias("step")
+    least, room = None, LEVELS
+    for at, n in sorted(counts.groupBy(step).count().collect(), reverse=True):
+        if n > room:
+            break
+        least, room = at, room - n
+    table = np.zeros(1 << bits, np.uint16)
+    if least is not None:
+        place = F.col("token").bitwiseAND(F.lit((1 << bits) - 1)).alias("place")
+        found = counts.where(step >= least).select(place, (step - (least - 1)).alias("level")).groupBy("place").agg(F.max("level").alias("level")).toArrow()
+        table[found["place"].to_numpy()] = np.minimum(found["level"].to_numpy(), 65535).astype(np.uint16)
+    drop(counts)
+    return table
+
+
+def _prefixes(docs: DataFrame, k: int, likeness: Fraction, bits: int, common: int) -> DataFrame:
+    """(doc_id, k1, k2, n, sid, gid, prefix): a document's set size, set id, group id and first tokens. Ids are null without words."""
+    levels = docs.sparkSession.sparkContext.broadcast(_levels(docs, k, bits, common))
     k1, k2 = text_keys(F.col("text"))
-    low, gold = np.uint64((1 << bits) - 1), np.uint64(0x9E3779B97F4A7C15)
+    low = np.uint64((1 << bits) - 1)
 
     def start():
-        hasher, counts = WordHasher(), sketch.value
-
-        def one(text: str | None) -> tuple:
-            s = np.unique(shingles(hasher(lower_words(text)), k))
-            n = len(s)
-            if not n:
-                return 0, b"", b"", 0, []
-            size = np.full(1, n, np.uint64)
-            sums = np.array([mix(s).sum(dtype=np.uint64), mix(~s).sum(dtype=np.uint64)])
-            first = s[np.lexsort((s, counts[(s & low).astype(np.int64)]))[: n - -(-num * n // den) + 1]]
-            steps = mix(first + np.arange(1, len(first) + 1, dtype=np.uint64) * gold)
-            group = np.array([steps.sum(dtype=np.uint64), mix(~steps).sum(dtype=np.uint64)])
-            gid = mix(group + size)
-            return n, mix(sums + size).tobytes(), gid.tobytes(), int(gid.view(np.int64)[0]), first.view(np.int64)
-
-        return lambda texts: [list(x) for x in zip(*map(one, texts), strict=True)]
+        words, level = FlatWords(SPACED), levels.value
+
+        def pairs(a: np.ndarray, b: np.ndarray, ends: np.ndarray, size: np.ndarray) -> np.ndarray:
+            """Two sums of each text's values, with its size, as 16 bytes."""
+            sums = [np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])[ends]) for x in (a, b)]
+            return np.stack([mix(x + size) for x in sums], axis=1)
+
+        def ids(x: np.ndarray, some: np.ndarray) -> pa.Array:
+            raw = x.tobytes()
+            return pa.array([raw[16 * i : 16 * i + 16] if y else None for i, y in enumerate(some.tolist())], pa.binary())
+
+        def make(column: pa.Array) -> list[pa.Array]:
+            s, of, n = _flat_sets(words, column, k)
+            size, some = n.astype(np.uint64), n > 0
+            sid = pairs(mix(s), mix(~s), np.concatenate([[0], np.cumsum(n)]), size)
+            # Shingles are sorted by text and hash already: now by text and level, each level by hash.
+            s = s[np.argsort(of.astype(np.int64) << 16 | level[(s & low).astype(np.int64)], kind="stable")]
+            most = _prefix_size(n, likeness)
+            first, place = _first(s, n, most)
+            steps = mix(first + (place + 1).astype(np.uint64) * GOLD)
+            gid = pairs(steps, mix(~steps), np.concatenate([[0], np.cumsum(most)]), size)
+            return [pa.array(n, pa.int64()), ids(sid, some), ids(gid, some), lists(first.view(np.int64), most, pa.int64())]
+
+        return make
 
     keyed = docs.select("doc_id", "text", k1.alias("k1"), k2.alias("k2"))
-    return store(map_text(keyed, ["doc_id", "k1", "k2"], {"n": "long", "sid": "binary", "gid": "binary", "g": "long", "prefix": "array<long>"}, start))
+    return store(map_text(keyed, ["doc_id", "k1", "k2"], {"n": "long", "sid": "binary", "gid": "binary", "prefix": "array<long>"}, start, flat=True, slab=1000))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, k: int, likeness: Fraction) -> DataFrame:
     """The pairs (a, b) of set ids whose texts' shingles are alike enough. a may be one hot pivot: its side of the join holds two ids a row."""
     num, den = likeness.numerator, likeness.denominator
 
-    def grams(text: str) -> set:
-        w = lower_words(text)
+    def grams(text: bytes) -> set:
+        w = text.lower().split()
         return set(zip(*(w[i:] for i in range(k)), strict=False)) if len(w) >= k else {tuple(w)} if w else set()
 
     def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, sa = None, set()
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             keep = []
             for ta, tb in zip(batch["ta"], batch["tb"], strict=True):
                 if ta != last:
-                    last, sa = ta, grams(ta)
-                sb = grams(tb)
+                    last, sa = ta, grams(unpack(ta))
+                sb = grams(unpack(tb))
                 both = len(sa & sb)
                 keep.append(both > 0 and den * both >= num * (len(sa) + len(sb) - both))
             yield batch.loc[keep, ["a", "b"]]
 
-    left = texts.select(F.col("sid").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("sid").alias("b"), F.col("text").alias("tb"))
+    left = texts.select(F.col("sid").alias("a"), F.col("blob").alias("ta"))
+    right = texts.select(F.col("sid").alias("b"), F.col("blob").alias("tb"))
     return pairs.join(left, "a").join(right, "b").mapInPandas(alike, "a binary, b binary")
 
 
@@ -109,14 +217,20 @@ def _fits(likeness: Fraction, x: str, y: str):
 
 
 def _texts(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(sid, text) of the sets: the text of one of the documents that have the set."""
+    """(sid, blob) of the sets: the text, compressed, of one of the documents that have the set."""
+
+    def start():
+        pack = zstandard.ZstdCompressor(level=3).compress
+        return lambda texts: [[pack((t or "").encode("utf-8", "surrogatepass")) for t in texts]]
+
     k1, k2 = text_keys(F.col("text"))
-    keyed, reps = docs.select("doc_id", "text", k1.alias("k1"), k2.alias("k2")), sets.select("sid", "rep.*")
-    same = keyed["doc_id"].eqNullSafe(reps["doc_id"]) & (keyed["k1"] == reps["k1"]) & (keyed["k2"] == reps["k2"])
-    return store(keyed.join(reps, same).select("sid", "text"))
+    keyed = map_text(docs.select("doc_id", "text", k1.alias("k1"), k2.alias("k2")), ["doc_id", "k1", "k2"], {"blob": "binary"}, start)
+    reps = sets.select("sid", F.col("rep.doc_id").alias("id"), F.col("rep.k1").alias("r1"), F.col("rep.k2").alias("r2"))
+    same = keyed["doc_id"].eqNullSafe(reps["id"]) & (keyed["k1"] == reps["r1"]) & (keyed["k2"] == reps["r2"])
+    return store(keyed.join(reps, same).select("sid", "blob"))
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, likeness: Fraction = Fraction(4, 5), bits: int = SKETCH_BITS) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, likeness: Fraction = Fraction(4, 5), bits: int = BITS, common: int = COMMON) -> DataFrame:
     """(doc_id, n_shingles, component_id, set_docs, component, k1, k2) for each row of docs (doc_id, text).
 
     Words are runs without ASCII white space, A-Z lower-cased. Two documents link when shared / all shingles >= likeness.
@@ -128,30 +242,28 @@ def jaccard_components(docs: DataFrame, k: int = 5, likeness: Fraction = Fractio
     An empty table gives an empty one.
     """
     docs = docs.select("doc_id", "text")
-    base = _prefixes(docs, k, likeness, bits)
+    base = _prefixes(docs, k, likeness, bits, common)
     full = base.where("n > 0")
-    sets = full.groupBy("sid", "gid", "g", "n").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("rep"), F.count("*").alias("docs"), F.min("doc_id").alias("least"))
+    sets = full.groupBy("sid", "gid", "n").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("rep"), F.count("*").alias("docs"), F.min("doc_id").alias("least"), F.first("prefix").alias("prefix"))
     sets = store(sets)
-    groups = sets.groupBy("gid", "g", "n").agg(F.max_by("sid", F.struct("docs", "sid")).alias("head"), F.count("*").alias("size"))
-
-    # Token rows carry half a group id: two groups that share it both get the row, which adds candidates and loses none.
-    tokens = full.select("g", F.posexplode("prefix").alias("pos", "token"))
-    common = tokens.groupBy("token").agg(F.count("*").alias("uses")).where("uses > 1")
-    uses = store(tokens.join(common, "token").groupBy("token", "g", "pos").agg(F.max("uses").alias("uses")))
-    central = uses.groupBy("g").agg(F.sum("uses").alias("central"))
-    ranked = store(groups.join(central, "g"))
-    wide = uses.join(ranked, "g").select("token", "n", "pos", "head", "central", "size")
-    several = wide.groupBy("token").agg(F.min("head").alias("lo"), F.max("head").alias("hi"), F.max("size").alias("most")).where("lo <> hi OR most > 1")
-    rows = store(wide.join(several.select("token"), "token", "left_semi").drop("size"))
-    members = store(sets.join(ranked.join(rows.select("head"), "head", "left_semi").select("gid", "head"), "gid"))
+    groups = store(sets.groupBy("gid", "n").agg(F.max_by("sid", F.struct("docs", "sid")).alias("head"), F.count("*").alias("size"), F.sum("docs").alias("docs"), F.first("prefix").alias("prefix")))
+
+    # Groups meet on the tokens of their prefixes. A group of several sets meets itself.
+    tokens = groups.select("head", "n", "size", "docs", F.size("prefix").alias("of"), F.posexplode("prefix").alias("pos", "token"))
+    met = tokens.groupBy("token").agg(F.count("*").alias("groups"), F.max("size").alias("most")).where("groups > 1 OR most > 1")
+    rows = store(tokens.join(met.select("token"), "token").select("token", "head", "n", "pos", "docs", "of"))
+    # An original has no token of its own: edits make those. Of equals the one with most copies is in the middle.
+    central = rows.groupBy("head").agg(F.struct((F.count("*") - F.max("of")).alias("own"), F.max("docs").alias("docs")).alias("central"))
+    ranked = rows.join(central, "head")
+    heads = groups.select("gid", "head").join(central.select("head"), "head", "left_semi")
+    members = store(sets.join(heads, "gid").select("sid", "head", "rep"))
     texts = _texts(docs, members)
-    drop(uses)
 
     # The star: each group's head with its members, each token's most central group with the token's other groups.
-    within = members.where("sid <> head").select(F.col("head").alias("a"), F.col("sid").alias("b"))
-    pivots = rows.groupBy("token").agg(F.max(F.struct("central", "head", "n", "pos")).alias("p")).select("token", "p.*")
+    within_ = members.where("sid <> head").select(F.col("head").alias("a"), F.col("sid").alias("b"))
+    pivots = ranked.groupBy("token").agg(F.max(F.struct("central", "head", "n", "pos")).alias("p")).select("token", "p.*")
     across = rows.alias("x").join(pivots.alias("p"), "token").where((F.col("x.head") != F.col("p.head")) & _fits(likeness, "x", "p"))
-    star = store(within.union(across.select(F.col("p.head").alias("a"), F.col("x.head").alias("b"))).distinct())
+    star = store(within_.union(across.select(F.col("p.head").alias("a"), F.col("x.head").alias("b"))).distinct())
     links = store(_verify(star, texts, k, likeness).distinct())
     labels = components(links)
 
@@ -175,10 +287,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, likeness: Fraction = Fractio
         drop(labels)
         labels = components(more)
         drop(more)
-    drop(rest, star, links, texts, ranked, members)
+    drop(rest, star, links, texts, groups, members)
 
-    known = sets.join(labels, F.col("sid") == F.col("node"), "left").select("sid", "docs", "least", F.coalesce("label", "sid").alias("label"))
+    # Only sets that have a link need the join with labels; the others are components of their own.
+    known = sets.select("sid", "docs", "least").join(labels, F.col("sid") == F.col("node"), "left").select("sid", "docs", "least", F.coalesce("label", "sid").alias("label"))
     least = known.groupBy("label").agg(F.min("least").alias("component_id"))
     ends = known.join(least, "label").select("sid", F.col("docs").alias("set_docs"), "component_id", F.col("label").alias("component"))
-    out = base.select("doc_id", "n", "sid", "k1", "k2").join(ends, "sid", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("set_docs", F.lit(1)).alias("set_docs"), "component", "k1", "k2")
+    out = base.where("n > 0").select("doc_id", "n", "sid", "k1", "k2").join(ends, "sid", "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "set_docs", "component", "k1", "k2")
+    # Documents without words are linked with nothing: they pass by the joins.
+    bare = base.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("set_docs"), F.lit(None).cast("binary").alias("component"), "k1", "k2")
+    return out.unionByName(bare)

@@ -89,7 +89,7 @@ def map_text(df: DataFrame, keep: list[str], fields: dict[str, str], start: Call
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = start()
         for whole in batches:
-            for batch in _slabs(whole, source, slab):
+            for batch in slabs(whole, source, slab):
                 made = make(batch.column(source) if flat else batch.column(source).to_pylist())
                 arrays = [x if flat else pa.array(x, ARROW[t]) for x, t in zip(made, fields.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *arrays], names=names)
@@ -97,11 +97,19 @@ def map_text(df: DataFrame, keep: list[str], fields: dict[str, str], start: Call
     return held.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(names, kinds, strict=True))).toDF(*keep, *fields)
 
 
+def apart(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all columns but the needed ones renamed by place, and a function that gives a result its names back: no
+    column of a caller can clash with one that a stage makes."""
+    cols = docs.columns
+    inner = [c if c in needed else f"col_{i}" for i, c in enumerate(cols)]
+    return docs.toDF(*inner), lambda out: out.select(*inner).toDF(*cols)
+
+
 SLAB_BYTES = 1 << 20
 """Bytes of text that are worked on at once; a longer text is a slab of its own."""
 
 
-def _slabs(batch: pa.RecordBatch, source: int, rows: int) -> Iterator[pa.RecordBatch]:
+def slabs(batch: pa.RecordBatch, source: int, rows: int) -> Iterator[pa.RecordBatch]:
     """A batch in parts of at most so many rows and about SLAB_BYTES of text."""
     column = batch.column(source)
     if not pa.types.is_string(column.type) and not pa.types.is_large_string(column.type):

@@ -73,3 +73,24 @@ def test_groups_of_near_copies(spark, k, likeness, bits):
 
 def test_empty_table(spark):
     assert not jaccard_components(spark.createDataFrame([], "doc_id long, text string")).collect()
+
+
+@pytest.mark.parametrize("bits", [24, 10])
+def test_a_shared_passage_costs_few_pairs(spark, monkeypatch, bits):
+    """Documents that share a passage and nothing else: the pairs verified don't grow with the square of their number."""
+    from siftwell.llm import jaccard
+
+    rng = random.Random(1)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(150)) + " " + passage) for i in range(1500)]
+    rows += [(5000 + i, rows[i][1].replace("p59", "px")) for i in range(20)]
+    verified, real = [], jaccard._verify
+
+    def counting(pairs, *rest):
+        verified.append(pairs.count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "_verify", counting)
+    found = {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, Fraction(9, 10), bits=bits).collect()}
+    assert found == {i: i if i < 5000 else i - 5000 for i, _ in rows}
+    assert sum(verified) < len(rows)
