@@ -43,7 +43,11 @@ def repeat_words(words: Column) -> Column:
         return _let(F.sort_array(grams), same)
 
     def hashes(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+        def joined(a: Column, b: Column) -> Column:
+            return F.slice(F.zip_with(a, b, lambda x, y: F.xxhash64(x, y)), F.lit(1), F.size(w) - 2)
+
+        pairs = F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda x, y: F.xxhash64(x, y))
+        return joined(pairs, F.slice(w, F.lit(3), F.size(w)))
 
     def covered(h: Column) -> Column:
         again = places(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("at"))))
@@ -52,7 +56,7 @@ def repeat_words(words: Column) -> Column:
     def counted(h: Column) -> Column:
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h))
 
-    return F.when(F.size(words) < 4, F.lit(0)).otherwise(_let(_let(words, hashes), counted)).cast("long")
+    return F.when(F.size(words) < 4, F.lit(0)).otherwise(_let(_let(F.transform(words, lambda x: F.xxhash64(x)), hashes), counted)).cast("long")
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -69,36 +73,65 @@ def measures(docs: DataFrame) -> DataFrame:
     )
 
 
-def with_grams(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """The kept columns for each word, with the classes of the word (one) and of it and the next word (two; null at the
-    end). A row without words comes once, with nulls."""
+def classes(words: Column) -> Column:
+    """The classes of a text's words, then those of its pairs of neighbouring words."""
+
+    def of(h: Column) -> Column:
+        return h.bitwiseAND(F.lit(CLASSES - 1)).cast("int")
+
+    def all_of(w: Column) -> Column:
+        ones = F.transform(w, lambda a: of(F.xxhash64(a)))
+        twos = F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: of(F.xxhash64(F.lit(2), a, b)))
+        # The last word has no next one: its pair is left out.
+        return F.when(F.size(w) < 2, ones).otherwise(F.concat(ones, F.slice(twos, F.lit(1), F.size(w) - 1)))
+
+    return _let(words, all_of)
 
-    def pairs(w: Column) -> Column:
-        return F.arrays_zip(w, F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))))
 
-    each = rows.select(*keep, F.inline_outer(_let(F.col("_words"), pairs)).alias("_a", "_b"))
-    one = F.when(F.col("_a").isNotNull(), F.pmod(F.xxhash64("_a"), F.lit(CLASSES)).cast("int"))
-    two = F.when(F.col("_b").isNotNull(), F.pmod(F.xxhash64(F.lit(2), "_a", "_b"), F.lit(CLASSES)).cast("int"))
-    return each.select(*keep, one.alias("one"), two.alias("two"))
+UNIT = 1_000_000
+"""Ratios are whole numbers of millionths, so their sums don't depend on the order."""
 
 
 def ratios(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
-    """(gram, ratio, shrunk). ratio: log of the class's share in trusted text over its share in all text, PRIOR added to
-    each count. shrunk: log of its count in trusted text over the count that its share in all text lets expect there, PRIOR
-    added to both. That pulls towards the shares of all text, to 0 for an empty target, where ratio is pulled towards equal
-    shares. One occurrence, the one that is scored, is left out of all text: else a class that few documents hold would
-    count against each of them. Both counts come from one pass."""
+    """(gram, ratio, shrunk) in UNITs. ratio: log of the class's share in trusted text over its share in all text, PRIOR
+    added to each count. shrunk: log of its count in trusted text over the count that its share in all text lets expect
+    there, PRIOR added to both. That pulls towards the shares of all text, to 0 for an empty target, where ratio is pulled
+    towards equal shares. One occurrence, the one that is scored, is left out of all text: else a class that few documents
+    hold would count against each of them. Both counts come from one pass."""
     # Trusted ids grow with the corpus, so they are merged at every size and never broadcast.
     ids = trusted_ids.select("doc_id", F.lit(1).alias("_trusted")).distinct()
     marked = docs.join(ids.hint("merge"), "doc_id", "left")
-    words = marked.select(F.coalesce("_trusted", F.lit(0)).alias("_trusted"), words_of(F.col("text")).alias("_words"))
-    grams = with_grams(words, ["_trusted"]).select("_trusted", F.explode(F.array("one", "two")).alias("gram")).where("gram IS NOT NULL")
+    grams = marked.select(F.coalesce("_trusted", F.lit(0)).alias("_trusted"), F.explode(classes(words_of(F.col("text")))).alias("gram"))
     both = store(grams.groupBy("gram").agg(F.sum("_trusted").alias("target"), F.count("*").alias("raw")))
     all_target, all_raw = both.agg(F.sum("target"), F.sum("raw")).first()
     share_t = (F.col("target") + PRIOR) / F.lit((all_target or 0) + PRIOR * CLASSES)
     share_r = (F.col("raw") - 1 + PRIOR) / F.lit((all_raw or 0) + PRIOR * CLASSES)
-    expected = (F.col("raw") - 1) * F.lit((all_target or 0) / max(all_raw or 0, 1))
-    return both.select("gram", F.log(share_t / share_r).alias("ratio"), F.log((F.col("target") + PRIOR) / (expected + PRIOR)).alias("shrunk"))
+    expected = (F.col("raw") - 1) * F.lit((all_target or 0) / max((all_raw or 0) - 1, 1))
+
+    def units(x: Column) -> Column:
+        return F.round(F.log(x) * UNIT).cast("long")
+
+    return both.select("gram", units(share_t / share_r).alias("ratio"), units((F.col("target") + PRIOR) / (expected + PRIOR)).alias("shrunk"))
+
+
+def as_array(table: DataFrame, value: str) -> Column:
+    """A column of ratios as one array with a place for each class, the same for all rows: CLASSES numbers, whatever the input."""
+    every = table.sparkSession.range(CLASSES).withColumn("gram", F.col("id").cast("int")).join(table, "gram", "left")
+    ordered = F.array_sort(F.collect_list(F.struct("gram", F.coalesce(value, F.lit(0)).alias("v"))))
+    return every.agg(F.transform(ordered, lambda x: x["v"]).alias("all")).scalar()
+
+
+def mean_ratios(words: Column, *tables: Column) -> Column:
+    """An array with the mean of each table's ratios over the words and word pairs of a text; 0 without words. No row leaves
+    its place, and the classes are made once."""
+
+    def over(c: Column) -> Column:
+        def mean(t: Column) -> Column:
+            return F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc + F.get(t, x)) / F.greatest(F.size(c), F.lit(1)) / UNIT
+
+        return F.array(*(_let(t, mean) for t in tables))
+
+    return _let(classes(words), over)
 
 
 def quality_rules(docs: DataFrame, trusted_ids: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -112,16 +145,11 @@ def quality_rules(docs: DataFrame, trusted_ids: DataFrame, threshold: float = TH
     """
     docs = docs.select("doc_id", "text")
     table = ratios(docs, trusted_ids)
-    cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    rows = measures(docs.withColumn("_row", F.monotonically_increasing_id()))
-    each = with_grams(rows, ["_row", *cols])
-    for gram in ("one", "two"):
-        each = each.join(F.broadcast(table.select(F.col("gram").alias(gram), *(F.col(c).alias(f"{gram}_{c}") for c in ("ratio", "shrunk")))), gram, "left")
-
-    def mean(c: str) -> Column:
-        total = F.sum(F.coalesce(f"one_{c}", F.lit(0.0)) + F.coalesce(f"two_{c}", F.lit(0.0)))
-        return total / F.greatest(F.count("one") + F.count("two"), F.lit(1))
-
-    scored = each.groupBy("_row").agg(*(F.first(c).alias(c) for c in cols), mean("ratio").alias("llr"), mean("shrunk").alias("_score"))
+    rows = measures(docs).withColumns({"_plain": as_array(table, "ratio"), "_shrunk": as_array(table, "shrunk")})
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return scored.select(*cols, failed.alias("base_failed"), (~failed & (F.col("_score") >= threshold)).alias("kept"), F.round("llr", 6).alias("llr"))
+    rows = rows.withColumn("_means", mean_ratios(F.col("_words"), F.col("_plain"), F.col("_shrunk")))
+    good = F.get("_means", F.lit(1)) >= threshold
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & good).alias("kept"),
+        F.round(F.get("_means", F.lit(0)), 6).alias("llr"),
+    )
