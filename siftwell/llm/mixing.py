@@ -3,8 +3,8 @@
 Each document is due a number of copies: its source's target over its source's size. The whole part is certain; the
 fraction is an inclusion probability. Within blocks of documents of a source, probabilities move through the null space of
 the constraints (sum of tokens, number of documents) until all but two are 0 or 1, each step drawn so that it keeps every
-document's expectation. What is left of many blocks forms the
-next round's blocks, until each source has one; its last two documents are settled by the smallest error.
+document's expectation. What is left of many blocks forms the next round's blocks, until each source has one; its last two
+documents are settled by the smallest error.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.shared import WORD, store
+from siftwell.llm.shared import WORD, quoted, store
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
@@ -26,6 +26,7 @@ MOST = 3
 BLOCK = 512
 """Documents of a block: what one task holds at once."""
 NEAR = 1e-9
+SALTS = 64
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -84,32 +85,54 @@ def _landing(p: list[float], size: list[float]) -> list[float]:
     return p
 
 
+def _hashable(df: DataFrame, name: str) -> Column:
+    """What of a column a hash can be made of: maps go as text."""
+    kind = df.schema[name].dataType.simpleString()
+    return F.to_json(F.struct(quoted(name))) if "map<" in kind or "variant" in kind else quoted(name)
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with n: equal deals numbered from 0. Numbers are dealt in SALTS parts, so many equal rows meet in no one task."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("at"), F.lit(SALTS)))
+    counts = salted.groupBy("deal", "salt").agg(F.count("*").alias("held"))
+    before = F.sum("held").over(Window.partitionBy("deal").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.withColumn("start", F.coalesce(before, F.lit(0))).where("start > 0").select("deal", "salt", "start")
+    here = F.row_number().over(Window.partitionBy("deal", "salt").orderBy("at")) - 1
+    return salted.withColumn("here", here).join(starts, ["deal", "salt"], "left").withColumn("n", F.col("here") + F.coalesce("start", F.lit(0))).drop("salt", "here", "start")
+
+
 def mix_sources(docs: DataFrame, size: Column | None = None, weights: Sequence[float] = WEIGHTS, most: int = MOST, block: int = BLOCK, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, copies (0 to most), taken = copies * size, and the carried columns.
 
     size: a document's tokens, by default its words (null text: 0). Null sources form one source, the last. Documents
     without tokens count as documents and take nothing. Repeated rows are documents of their own. If all sizes are 0, so
-    are targets and copies. Blocks are dealt, and their steps drawn, by hashes of doc_id, size and carried columns, so reruns agree. Extra columns
-    are ignored unless carried; an empty table gives an empty one.
+    are targets and copies. Blocks are dealt, and their steps drawn, by hashes of doc_id, size and carried columns, and
+    equal rows by their number, so reruns agree. Extra columns are ignored unless carried; carried ones may be of any type,
+    and one that bears the name of a result gives way to it. An empty table gives an empty one.
     """
     if size is None:
         size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD))
-    rows = store(docs.select("doc_id", "source", size.cast("long").alias("size"), *carry))
+    results = ("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    carry = [c for c in carry if c.lower() not in results]
+    deal = F.xxhash64("doc_id", size.cast("long"), *(_hashable(docs, c) for c in carry))
+    held = docs.select(F.monotonically_increasing_id().alias("at"), F.col("doc_id").alias("id"), F.col("source").alias("source"), size.cast("long").alias("size"), deal.alias("deal"), *(quoted(c).alias(f"c{i}") for i, c in enumerate(carry)))
+    rows = store(held)
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_docs")), weights, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     targets = store(targets.withColumn("rate", F.least(F.lit(float(most)), rate)).withColumnRenamed("source", "_source"))
-    held = rows.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    sure = F.floor(F.col("rate") + NEAR)
-    part = F.greatest(F.lit(0.0), F.col("rate") - sure)
-    now = held.withColumns({"sure": sure.cast("int"), "p": F.when(part > NEAR, part).otherwise(F.lit(0.0)), "deal": F.xxhash64("doc_id", "size", *carry), "of": F.col("source_docs")})
-    schema = now.schema
-    names, order = schema.names, ["deal", "doc_id", "size", *carry]
+    same_source = F.col("source").eqNullSafe(F.col("_source"))
+    part = F.col("rate") - F.floor(F.col("rate") + NEAR)
+    # Only numbers fly: a row's place, size and deal. What is carried meets the copies at the end.
+    now = _numbered(rows.select("at", "source", "size", "deal")).join(targets, same_source)
+    now = now.select("at", "source", "size", "deal", "n", F.when(part > NEAR, part).otherwise(F.lit(0.0)).alias("p"), F.col("source_docs").alias("of"))
+    names = now.columns
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in now.schema)
 
     def run(last: bool):
         def settle(rows: pa.Table) -> pa.Table:
-            rows = rows.sort_by([(c, "ascending") for c in order]).select(names)
+            rows = rows.sort_by([("deal", "ascending"), ("n", "ascending")]).select(names)
             sizes = [float(x) for x in rows["size"].to_pylist()]
-            seed = zlib.crc32(np.array(rows["deal"].to_pylist(), np.int64).tobytes())
+            seed = zlib.crc32(np.array([rows["deal"].to_pylist(), rows["n"].to_pylist()], np.int64).tobytes())
             p = _flight(rows["p"].to_pylist(), sizes, seed)
             return rows.set_column(names.index("p"), "p", pa.array(_landing(p, sizes) if last else p, pa.float64()))
 
@@ -120,18 +143,21 @@ def mix_sources(docs: DataFrame, size: Column | None = None, weights: Sequence[f
         blocks = F.ceil(F.col("of") / block)
         most_blocks = (now.agg(F.max(blocks)).first()[0] or 1) if level else (targets.agg(F.max(F.ceil(F.col("source_docs") / block))).first()[0] or 1)
         last = most_blocks <= 1
-        dealt = now.withColumn("block", F.pmod(F.xxhash64("deal", F.lit(level)), F.greatest(blocks, F.lit(1))))
-        out = store(dealt.groupBy("source", "block").applyInArrow(run(last), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)))
+        dealt = now.withColumn("block", F.pmod(F.xxhash64("deal", "n", F.lit(level)), F.greatest(blocks, F.lit(1))))
+        out = store(dealt.groupBy("source", "block").applyInArrow(run(last), schema))
         if last:
             ready.append(out)
             break
         ready.append(out.where("p = 0 OR p = 1"))
         now = out.where("p > 0 AND p < 1")
         left = store(now.groupBy("source").agg(F.count("*").alias("_of")).withColumnRenamed("source", "_source"))
-        now = now.drop("of").join(left, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumnRenamed("_of", "of").select(*schema.names)
+        now = now.drop("of").join(left, same_source).drop("_source").withColumnRenamed("_of", "of").select(*names)
         level += 1
     done = ready[0]
     for more in ready[1:]:
         done = done.unionByName(more)
-    copies = (F.col("sure") + F.col("p").cast("int")).cast("int")
-    return done.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *carry)
+    sure = F.floor(F.col("rate") + NEAR).cast("int")
+    ends = done.select("at", F.col("p").cast("int").alias("more"))
+    copies = (F.col("sure") + F.col("more")).cast("int")
+    mixed = rows.join(ends, "at").join(targets.withColumn("sure", sure), same_source)
+    return mixed.select("id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *(f"c{i}" for i in range(len(carry)))).toDF(*results, *carry)
