@@ -9,24 +9,26 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
 import unicodedata
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.shared import drop, map_text, store
+from siftwell.llm.flat import WHOLE, FlatWords, text_bytes
+from siftwell.llm.shared import drop, map_text, shared_dir, slabs, store
 
 LEXICON_WORDS = 100_000
 """Most words in the lexicon; all others are merged when met, with the same result."""
+MOST_WORDS = 500_000
+"""Distinct words that a task remembers before it starts anew."""
 LONGEST = 64
 """Bytes of the longest word in the lexicon."""
 STEPS = 16
@@ -36,6 +38,9 @@ STEPS = 16
 BLANKS = regex.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 COMMON = regex.compile("[^\\x00-\\u024f]")
 SEPARATORS = regex.compile("[\\x1c-\\x1f]")
+# Bytes of texts that are not split by ASCII white space and lower-cased alone: from U+0240 on, and separators.
+APART = np.zeros(256, bool)
+APART[0xC9:] = APART[0x1C:0x20] = True
 
 
 class Vocabulary:
@@ -153,8 +158,77 @@ class Vocabulary:
         return out
 
 
+class Numbered:
+    """Numbers the distinct words that a task meets, and says which one stands at each place of a column of texts.
+
+    Texts of plain letters are hashed whole, and a word is made a string when its hash is met for the first time. The others
+    are split one by one.
+    """
+
+    def __init__(self, rules: Vocabulary):
+        self.rules, self.flat = rules, FlatWords(WHOLE)
+        self.clear()
+
+    def clear(self) -> None:
+        self.words: list[str] = []
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.split: dict[str, int] = {}
+
+    @property
+    def full(self) -> bool:
+        return len(self.words) > MOST_WORDS
+
+    def _apart(self, column: pa.Array) -> np.ndarray:
+        """Which texts need more than ASCII white space and lower case."""
+        raw, ends = text_bytes(column)
+        odd = APART[raw]
+        odd[:-1] |= (raw[:-1] == 0xC2) & ((raw[1:] == 0x85) | (raw[1:] == 0xA0))
+        before = np.concatenate([[0], np.cumsum(odd)])
+        apart = before[ends[1:]] > before[ends[:-1]]
+        if self.rules.apart:
+            before = np.concatenate([[0], np.cumsum(raw == 0x3C)])
+            for i in np.flatnonzero(~apart & (before[ends[1:]] > before[ends[:-1]])).tolist():
+                apart[i] = bool(self.rules.apart.search(column[i].as_py()))
+        return apart
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(the number of each place's word, where each text's places start, with the end)."""
+        apart = self._apart(column)
+        h, ends, kept, _ = self.flat(pc.if_else(pa.array(~apart), column, pa.scalar("", column.type)))
+        found, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, found)
+        old = np.append(self.keys, np.uint64(0))[at] == found
+        old[at == len(self.keys)] = False
+        whole, new = kept.tobytes(), first[~old]
+        slots = np.append(self.slots, 0)[at]
+        slots[~old] = np.arange(len(self.words), len(self.words) + len(new))
+        self.words += [whole[a : a + n].decode("utf-8", "replace").lower() for a, n in zip(self.flat.at[new].tolist(), self.flat.size[new].tolist(), strict=True)]
+        self.keys, self.slots = np.insert(self.keys, at[~old], found[~old]), np.insert(self.slots, at[~old], slots[~old])
+        numbers = slots[inverse]
+        if not apart.any():
+            return numbers, ends
+        parts, sizes = [], np.diff(ends)
+        for i in range(len(column)):
+            if not apart[i]:
+                parts.append(numbers[ends[i] : ends[i + 1]])
+                continue
+            words = self.rules.words(column[i].as_py())
+            for w in words:
+                if w not in self.split:
+                    self.split[w] = len(self.words)
+                    self.words.append(w)
+            parts.append(np.fromiter(map(self.split.__getitem__, words), np.int64, len(words)))
+            sizes[i] = len(words)
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)])
+
+
 @lru_cache(2)
 def vocabulary(path: str) -> Vocabulary:
+    """The tokenizer of a file; where an executor keeps the public files elsewhere, the file of that name there."""
+    if not os.path.exists(path):
+        import public_tokenizers
+
+        path = public_tokenizers.path(os.path.basename(path))
     return Vocabulary(path)
 
 
@@ -239,17 +313,21 @@ def build_lexicon(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> str:
     spark = docs.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules, seen = vocabulary(path), Counter()
+        numbered, n = Numbered(vocabulary(path)), np.zeros(0, np.int64)
 
         def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "replace") for w in seen], pa.binary()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "replace") for w in numbered.words], pa.binary()), pa.array(n)], names=["word", "n"])
 
         for batch in batches:
-            for text in batch.column(0):
-                seen.update(rules.words(text.as_py()))
-                if len(seen) > 150_000:
+            for part in slabs(batch, 0, 1000):
+                places, _ = numbered(part.column(0))
+                more = np.bincount(places, minlength=len(numbered.words))
+                more[: len(n)] += n
+                n = more
+                if numbered.full:
                     yield rows()
-                    seen.clear()
+                    numbered.clear()
+                    n = n[:0]
         yield rows()
 
     counts = docs.select("text").mapInArrow(count, "word binary, n long").where(F.length("word") <= LONGEST)
@@ -270,10 +348,12 @@ def build_lexicon(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> str:
     found = map_text(chosen, ["word"], {"ids": "array<int>"}, merge, text="word").toArrow()
     drop(counts)
     words = sorted((w.encode(), i) for w, i in zip(found["word"].to_pylist(), found["ids"].to_pylist(), strict=True))
-    folder = tempfile.mkdtemp()
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    compile_lexicon(words).tofile(f"{folder}/{name}")
-    spark.sparkContext.addFile(f"{folder}/{name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(compile_lexicon(words).tobytes()))
+    out.close()
+    spark.sparkContext.addFile(path.toString())
     return name
 
 
@@ -288,42 +368,45 @@ def encode_decode(docs: DataFrame, path: str, keep: list[str], most: int = LEXIC
 
     def start():
         rules = vocabulary(path)
-        lexicon = Lexicon(np.memmap(SparkFiles.get(name), np.int64, "r"))
-        tokens = np.array(rules.tokens, object)
-
-        def make(texts: list) -> list:
-            docs_words = [rules.words(t) for t in texts]
-            number = dict.fromkeys(w for words in docs_words for w in words)
-            distinct = list(number)
-            number.update(zip(distinct, range(len(distinct)), strict=True))
-            at = lexicon.find([w.encode("utf-8", "replace") for w in distinct])
-            for i, w in enumerate(distinct):
-                if w in rules.special:
-                    at[i] = -1
-            unseen = np.flatnonzero(at < 0)
-            extra = rules.ids([distinct[i] for i in unseen])
-            sizes, starts = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
-            hit = at >= 0
+        lexicon, numbered = Lexicon(np.memmap(SparkFiles.get(name), np.int64, "r")), Numbered(rules)
+        tokens = pa.array(rules.tokens, pa.string())
+        # By word's number: where its ids start and how many there are; in the lexicon, and beyond its end in the tail.
+        held = {"starts": np.zeros(0, np.int64), "sizes": np.zeros(0, np.int64), "tail": np.zeros(0, np.int64)}
+
+        def look_up(words: list[str]) -> None:
+            at = lexicon.find([w.encode("utf-8", "replace") for w in words])
+            at[[i for i, w in enumerate(words) if w in rules.special]] = -1
+            unseen, hit = np.flatnonzero(at < 0), at >= 0
+            extra = rules.ids([words[i] for i in unseen])
+            starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
             starts[hit] = lexicon.offsets[at[hit]]
             sizes[hit] = lexicon.offsets[at[hit] + 1] - starts[hit]
             sizes[unseen] = [len(x) for x in extra]
-            starts[unseen] = len(lexicon.ids) + np.cumsum(sizes[unseen]) - sizes[unseen]
-            tail = np.array([x for ids in extra for x in ids], np.int64)
-            ids_out, text_out = [], []
-            for words in docs_words:
-                w = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-                n = sizes[w]
-                place = np.repeat(starts[w] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                old = place < len(lexicon.ids)
-                ids = np.empty(len(place), np.int64)
-                ids[old], ids[~old] = lexicon.ids[place[old]], tail[place[~old] - len(lexicon.ids)]
-                ids_out.append(ids.astype(np.int32))
-                text_out.append(" ".join(tokens[ids].tolist()))
-            return [ids_out, text_out]
+            starts[unseen] = len(lexicon.ids) + len(held["tail"]) + np.cumsum(sizes[unseen]) - sizes[unseen]
+            more = {"starts": starts, "sizes": sizes, "tail": np.array([x for ids in extra for x in ids], np.int64)}
+            held.update({k: np.concatenate([held[k], x]) for k, x in more.items()})
+
+        def make(column: pa.Array) -> list[pa.Array]:
+            if numbered.full:
+                numbered.clear()
+                held.update({k: x[:0] for k, x in held.items()})
+            number, ends = numbered(column)
+            look_up(numbered.words[len(held["sizes"]) :])
+            starts, tail = held["starts"], held["tail"]
+            n = held["sizes"][number]
+            last = np.cumsum(n)
+            place = np.repeat(starts[number] - last + n, n) + np.arange(last[-1] if len(last) else 0)
+            old = place < len(lexicon.ids)
+            ids = np.empty(len(place), np.int32)
+            ids[old], ids[~old] = lexicon.ids[place[old]], tail[place[~old] - len(lexicon.ids)]
+            offsets = pa.array(np.concatenate([[0], last])[ends], pa.int32())
+            listed = pa.ListArray.from_arrays(offsets, pa.array(ids))
+            spoken = pa.ListArray.from_arrays(offsets, tokens.take(listed.values))
+            return [listed, pc.binary_join(spoken, " ")]
 
         return make
 
-    return map_text(docs, keep, {"ids": "array<int>", "decoded": "string"}, start, slab=500)
+    return map_text(docs, keep, {"ids": "array<int>", "decoded": "string"}, start, flat=True, slab=1000)
 
 
 def digests(encoded: DataFrame) -> DataFrame:
