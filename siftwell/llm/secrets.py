@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.shared import drop, map_text, store, text_keys
+from siftwell.llm.shared import apart, map_text, text_keys
 
 # A private key runs from its header to the next END line, whatever marks of quotes or comments its lines carry. Without
 # one it runs to the last base64 line: header fields, then lines of base64 alone, and long runs after any gap.
@@ -43,7 +43,9 @@ RULES: dict[str, tuple[str, int, int]] = {
 }
 BASE = ("assign", "access", "hex")
 MOST = 24
-"""Most alternatives that a derived query holds before its current run of literals is closed."""
+"""Most alternatives of a run of literals before it is closed."""
+MOST_CLAUSES = 64
+"""Most alternatives of a query."""
 
 
 def _strings(node) -> set[str] | None:
@@ -92,13 +94,24 @@ def _runs(nodes) -> list[set[str]]:
 
 
 def trigram_query(pattern: str) -> list[frozenset[str]]:
-    """Alternatives of lower-case trigrams, one of which every match holds whole; empty if the pattern demands none."""
-    best: list[frozenset[str]] = []
+    """The Boolean query of a pattern: alternatives of lower-case trigrams, one of which every match holds whole.
+
+    Every run of literals must be in a match, so the runs are joined by AND: an alternative takes one choice of each run.
+    Runs without trigrams demand nothing. Empty if the pattern demands nothing at all.
+    """
+    demands = []
     for run in _runs(parser.parse(pattern)):
         sets = {frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in run}
-        if all(sets) and (not best or min(map(len, sets)) > min(map(len, best))):
-            best = sorted(sets, key=sorted)
-    return best
+        if all(sets):
+            demands.append(sets)
+    query: set[frozenset[str]] = set()
+    # The strictest runs first; a run that would make too many alternatives is left out, which only adds candidates.
+    for sets in sorted(demands, key=lambda d: (-min(map(len, d)), len(d), sorted(map(sorted, d)))):
+        joined = {a | b for a in query for b in sets} if query else sets
+        if len(joined) <= MOST_CLAUSES:
+            query = joined
+    # An alternative that holds another one whole adds nothing.
+    return sorted((q for q in query if not any(o < q for o in query)), key=sorted)
 
 
 def _code(trigram: str) -> int:
@@ -190,7 +203,9 @@ def scan_secrets(docs: DataFrame, keep: list[str], rules: dict[str, tuple[str, i
 def redact(docs: DataFrame, mark: str = "[secret]", rules: dict[str, tuple[str, int, int]] | None = None) -> DataFrame:
     """docs with every secret span replaced by a mark; null texts stay null, the other columns stay, n_chars follows the text
     if there is one. Spans that overlap become one mark."""
-    cols, rules = docs.columns, rules or RULES
+    rules = rules or RULES
+    docs, named = apart(docs, "text", "n_chars")
+    cols = docs.columns
 
     def start():
         compiled = _compiled(rules)
@@ -211,7 +226,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", rules: dict[str, tuple[str,
     out = map_text(_packed(docs, rules), [c for c in cols if c != "text"], {"text": "string"}, start, text="_packed")
     if "n_chars" in cols:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(cols)
+    return named(out)
 
 
 def digests(spans: DataFrame, rules: dict[str, tuple[str, int, int]] | None = None) -> DataFrame:

@@ -290,3 +290,15 @@ def test_licenses_of_copies_nulls_and_long_texts(spark):
     rows = [(None, notice), (None, notice), (1, None), (1, ""), (2, "cc by")]
     found = [(r.doc_id, r.n_words, r.n_base, r.first_word, r.labels) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(found, key=str) == sorted([(None, 200_003, 1, 200_000, "reserved")] * 2 + [(1, 0, 0, None, "")] * 2 + [(2, 2, 1, 0, "cc-by")], key=str)
+
+
+def test_trigram_queries_demand_every_run():
+    def held(pattern):
+        return [sorted(q) for q in secrets.trigram_query(pattern)]
+
+    assert held("abc[0-9]+xyz") == [["abc", "xyz"]]
+    assert held("(abc|defg)x?[0-9]+") == [["abc"], ["def", "efg"]]
+    assert held("ab[0-9]+") == [] and held("[0-9a-f]+") == []
+    assert held(secrets.RULES["jwt"][0]) == [[".ey", "eyj"]]
+    begin, key = ["---", "--b", "-be", "beg", "egi", "gin", "in "], ["pri", "riv", "iva", "vat", "ate", "te ", "e k", " ke", "key", "ey-", "y--", "---"]
+    assert held("-----BEGIN [A-Z ]*PRIVATE KEY-----") == [sorted({*begin, *key})]
