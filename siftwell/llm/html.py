@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import defaultdict
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
+from itertools import accumulate
 from unicodedata import east_asian_width
 
 from pyspark.sql import DataFrame
@@ -29,10 +31,18 @@ CLOSES = {
     "thead": ({"caption", "colgroup", "thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tbody": ({"caption", "colgroup", "thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"caption", "colgroup", "thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
     "rt": ({"rt", "rp"}, {"ruby"}), "rp": ({"rt", "rp"}, {"ruby"}),
 }
-HIDES = re.compile(r"(display\s*:\s*none|visibility\s*:\s*(hidden|collapse))(?![a-z-])", re.I)
+GONE = re.compile(r"display\s*:\s*none(?![a-z-])", re.I)
+SEEN = re.compile(r"(?:^|[;\s])visibility\s*:\s*([a-z]+)", re.I)
+# Comments, and what comments can't be in: raw text and tags with quoted attributes. What isn't closed ends with the page.
+MARKUP = re.compile(
+    r"<(script|style|textarea|title|xmp|iframe|noembed|noframes)\b[^>]*(?:>|\Z)(?:(?!</\1\b)[\s\S])*+"
+    r"|<!--(?:-?>|[\s\S]*?(?:--!?>|\Z))"
+    r"|</?[a-z](?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*+(>|\Z)",
+    re.I,
+)
 BLANK = re.compile(r"[ \t\n\r\f]+")
-MOST_CELLS = 1000
-"""Widest column span that is believed."""
+MOST_CELLS, MOST_ROWS = 1000, 65534
+"""Widest column span and deepest row span, as HTML has them."""
 
 
 @dataclass
@@ -53,27 +63,26 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root")
         self.open = [self.root]
-        self.held: Counter[str] = Counter()
+        self.depths: defaultdict[str, list[int]] = defaultdict(list)
+        """Where in open the elements of each tag are."""
         self.begun = False
         self.last = self.root
 
     def _cut(self, at: int) -> None:
         """Ends all elements from a depth on."""
-        self.held.subtract(n.tag for n in self.open[at:])
+        for node in self.open[at:]:
+            self.depths[node.tag].pop()
         del self.open[at:]
 
+    def _deepest(self, tags: set[str]) -> int:
+        return max((self.depths[t][-1] for t in tags if self.depths[t]), default=0)
+
     def _close(self, tags: set[str], stop: set[str]) -> None:
-        if not any(self.held[t] > 0 for t in tags):
-            return
-        cut = None
-        for i in range(len(self.open) - 1, 0, -1):
-            tag = self.open[i].tag
-            if tag in stop:
-                break
-            if tag in tags:
-                cut = i
-        if cut is not None:
-            self._cut(cut)
+        """Ends the outermost of some open elements that lies within the innermost of others, and all in it."""
+        floor = self._deepest(stop)
+        first = [d[at] for d in (self.depths[t] for t in tags) if (at := bisect_right(d, floor)) < len(d)]
+        if first:
+            self._cut(min(first))
 
     @property
     def _foreign(self) -> bool:
@@ -85,8 +94,8 @@ class TreeBuilder(HTMLParser):
         self.last = node
         self.open[-1].children.append(node)
         if node.tag not in VOID:
+            self.depths[node.tag].append(len(self.open))
             self.open.append(node)
-            self.held[node.tag] += 1
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         while tag in BREAKS_OUT and self._foreign:
@@ -94,7 +103,7 @@ class TreeBuilder(HTMLParser):
         if self._foreign:
             self._push(Node(tag, dict(attrs)))
             return
-        if tag in ("html", "body") and self.held[tag] > 0 or tag == "head" and self.begun:
+        if tag in ("html", "body") and self.depths[tag] or tag == "head" and self.begun:
             return
         self.begun = self.begun or tag != "html" and tag not in IN_HEAD
         if self.open[-1].tag == "head" and tag not in IN_HEAD or tag == "body" or tag in BLOCKS and tag != "html":
@@ -114,21 +123,12 @@ class TreeBuilder(HTMLParser):
             self._cut(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
-        if self.held[tag] <= 0 and tag not in ("p", "br"):
-            return
-        if tag == "p" and self.held["p"] <= 0:
-            self.open[-1].children.append(Node("p"))
+        if tag == "br" or tag == "p" and not self.depths["p"]:
+            self.open[-1].children.append(Node(tag))
             return
-        if tag == "br":
-            self.open[-1].children.append(Node("br"))
-            return
-        stop = {"table"} if tag not in ("table", "body", "html") else set()
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                self._cut(i)
-                return
-            if self.open[i].tag in stop:
-                return
+        depth = self._deepest({tag})
+        if depth > (0 if tag in ("table", "body", "html") else self._deepest({"table"})):
+            self._cut(depth)
 
     def handle_data(self, data: str) -> None:
         if BLANK.sub("", data):
@@ -139,11 +139,22 @@ class TreeBuilder(HTMLParser):
             self.open[-1].children.append(data)
 
 
-def visible(node: Node) -> bool:
-    style = node.attrs.get("style") or ""
-    if node.foreign and (node.tag in FOREIGN_UNSEEN or node.attrs.get("display") == "none" or node.attrs.get("visibility") in ("hidden", "collapse")):
+def shown(node: Node, parent: Node | None) -> bool:
+    """Whether an element takes part in the layout."""
+    if node.foreign and (node.tag in FOREIGN_UNSEEN or node.attrs.get("display") == "none"):
+        return False
+    if parent is not None and parent.tag == "details" and "open" not in parent.attrs and not (node.tag == "summary" and next((c for c in parent.children if isinstance(c, Node) and c.tag == "summary"), None) is node):
         return False
-    return node.tag not in UNSEEN and "hidden" not in node.attrs and not HIDES.search(style) and not (node.tag == "input" and (node.attrs.get("type") or "").lower() == "hidden")
+    if node.tag == "dialog" and "open" not in node.attrs:
+        return False
+    return node.tag not in UNSEEN and "hidden" not in node.attrs and not GONE.search(node.attrs.get("style") or "") and not (node.tag == "input" and (node.attrs.get("type") or "").lower() == "hidden")
+
+
+def legible(node: Node, above: bool) -> bool:
+    """Whether an element's own text can be seen: what its visibility says, else what holds around it."""
+    found = SEEN.findall(node.attrs.get("style") or "")
+    said = (found[-1] if found else node.attrs.get("visibility") or "" if node.foreign else "").lower()
+    return False if said in ("hidden", "collapse") else True if said == "visible" else above
 
 
 def lines_of_its_own(node: Node) -> bool:
@@ -224,43 +235,70 @@ class Page:
         return "\n".join(self.lines)
 
 
-def table_lines(rows: list[list[tuple[str, int]]]) -> list[str]:
-    """Rows of (text, columns) with columns aligned; a cell's lines stand below one another."""
+def table_lines(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+    """Rows of (text, columns, rows) with columns aligned; a cell's lines stand below one another. Places that a cell of a
+    row above reaches down to stay empty."""
     widths: dict[int, int] = {}
+    placed: list[list[tuple[int, str, int]]] = []
+    taken: dict[int, int] = {}
     for row in rows:
-        at = 0
-        for text, span in row:
+        at, cells = 0, []
+        for text, span, deep in row:
+            while taken.get(at, 0) > 0:
+                at += 1
+            cells.append((at, text, span))
             if span == 1:
                 widths[at] = max(widths.get(at, 0), *(width(x) for x in text.split("\n")))
+            if deep > 1:
+                taken |= {at + i: deep for i in range(span)}
             at += span
-    out = []
-    for row in rows:
-        cells, at = [], 0
-        for text, span in row:
+        placed.append(cells)
+        taken = {c: n - 1 for c, n in taken.items() if n > 1}
+    for cells in placed:
+        for at, text, span in cells:
             room = sum(widths.get(at + i, 0) for i in range(span)) + 2 * (span - 1)
-            cells.append((text.split("\n"), room))
-            at += span
-        for i in range(max((len(c) for c, _ in cells), default=0)):
-            line = "  ".join(part + " " * max(0, room - width(part)) for part, room in (((c[i] if i < len(c) else ""), room) for c, room in cells))
-            if line.strip():
-                out.append(line.rstrip(" "))
+            if span > 1 and (more := max(width(x) for x in text.split("\n")) - room) > 0:
+                widths[at + span - 1] = widths.get(at + span - 1, 0) + more
+    starts = list(accumulate((widths.get(i, 0) + 2 for i in range(max((at + span for row in placed for at, _, span in row), default=0))), initial=0))
+    out = []
+    for row in placed:
+        texts = [(starts[at], text.split("\n")) for at, text, _ in row]
+        for i in range(max((len(t) for _, t in texts), default=0)):
+            line, room = [], 0
+            for start, t in texts:
+                part = t[i] if i < len(t) else ""
+                gap = max(start - room, 2 if line and part else 0)
+                line.append(" " * gap + part)
+                room += gap + width(part)
+            whole = "".join(line)
+            if whole.strip():
+                out.append(whole.rstrip(" "))
     return out
 
 
+def number(text: str | None, low: int, high: int) -> int:
+    """A whole number of an attribute, held within limits; low where there is none."""
+    found = re.match(r"\s*\+?(\d+)", text or "")
+    return low if not found else high if len(found[1]) > 6 else min(max(low, int(found[1])), high)
+
+
 def render(root: Node) -> str:
     """All visible text of a tree. The walk has its own stack, so depth of nesting is no limit."""
     pages, tables, lists = [Page()], [], []
     indents, pre = [""], 0
+    inside: list[tuple[Node, bool]] = []
     todo: list[tuple[object, bool]] = [(root, False)]
     while todo:
         node, leaving = todo.pop()
         page = pages[-1]
+        parent, seen = inside[-1] if inside else (None, True)
         if isinstance(node, str):
-            (page.preformatted if pre else page.text)(node, indents[-1])
+            if seen and not (parent.tag == "details" and "open" not in parent.attrs):
+                (page.preformatted if pre else page.text)(node, indents[-1])
             continue
         tag = node.tag
         if not leaving:
-            if not visible(node):
+            if not shown(node, parent):
                 continue
             if tag == "br":
                 page.break_line()
@@ -288,10 +326,12 @@ def render(root: Node) -> str:
                 lists.append([int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1] if tag == "ol" else [])
             elif tag == "li":
                 owner = lists[-1] if lists and lists[-1] is not None else []
+                if owner and re.fullmatch(r"-?\d{1,9}", node.attrs.get("value") or ""):
+                    owner[0] = int(node.attrs["value"])
                 mark = f"{owner[0]}. " if owner else "- "
                 if owner:
                     owner[0] += 1
-                page.mark = mark
+                page.mark = mark if legible(node, seen) else ""
                 indents.append(indents[-1] + " " * len(mark))
             elif tag in ("dd", "blockquote"):
                 indents.append(indents[-1] + "  ")
@@ -299,19 +339,20 @@ def render(root: Node) -> str:
                 pre += 1
             elif tag == "q":
                 page.text('"', indents[-1])
+            inside.append((node, legible(node, seen)))
             todo.append((node, True))
             todo.extend((c, False) for c in reversed(node.children))
             continue
+        inside.pop()
         if tag in ("td", "th"):
             text = pages.pop().done()
             indents.pop()
             lists.pop()
-            span = node.attrs.get("colspan") or "1"
-            span = min(max(1, int(span)), MOST_CELLS) if re.fullmatch(r"\d{1,6}", span) else 1
+            span, deep = number(node.attrs.get("colspan"), 1, MOST_CELLS), number(node.attrs.get("rowspan"), 1, MOST_ROWS)
             if tables:
                 if not tables[-1]:
                     tables[-1].append([])
-                tables[-1][-1].append((text, span))
+                tables[-1][-1].append((text, span, deep))
             else:
                 pages[-1].rows(text.split("\n") if text else [], indents[-1])
             continue
@@ -343,9 +384,17 @@ def render(root: Node) -> str:
     return pages[0].done()
 
 
+def _markup(m: re.Match) -> str:
+    """Comments go, and so does a tag that the page's end cuts off; what looks like markup in a text area or title is text."""
+    if (m[1] or "").lower() in ("textarea", "title"):
+        head, end, body = m[0].partition(">")
+        return head + end + body.replace("<", "&lt;")
+    return "" if m[0].startswith("<!--") or m[2] == "" else m[0]
+
+
 def visible_text(html: str | None) -> str:
     builder = TreeBuilder()
-    builder.feed(html or "")
+    builder.feed(MARKUP.sub(_markup, html or ""))
     builder.close()
     return render(builder.root)
 
@@ -353,7 +402,7 @@ def visible_text(html: str | None) -> str:
 def extract_html(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
     """The kept columns and text, the visible text of a page.
 
-    Null and empty pages give an empty text, a page without tags its text. Broken markup never fails: open elements end
-    with the page. Rows stay as they are, repeated ones too; an empty table gives an empty one.
+    Null and empty pages give an empty text, a page without tags its text. Broken markup never fails and takes no longer:
+    open elements end with the page, a tag or comment that the page's end cuts off shows nothing. Style sheets are not read. Rows stay as they are, repeated ones too; an empty table gives an empty one.
     """
     return map_text(pages, keep, {"text": "string"}, lambda: lambda texts: [[visible_text(t) for t in texts]], text=html, slab=50)

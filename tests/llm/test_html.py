@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import pytest
 
@@ -34,6 +35,18 @@ CASES = {
     "a<svg>no<title>no</title><desc>no</desc><g><path/><text>l<tspan>m</tspan></text><text>n</text></g></svg>b": "a\nlm\nn\nb",
     "a<svg><defs><text>no</text></defs><foreignObject><p>in<br/>side</p></foreignObject></svg>b": "a\n\nin\nside\n\nb",
     "<svg><g><p>out</p> of it": "out\n\nof it",
+    "<table><tr><td rowspan=2>A<td>b1<tr><td>b2<tr><td>c<td>d</table>": "A  b1\n   b2\nc  d",
+    "<table><tr><td>x<td rowspan=2 colspan=2>big<td>y<tr><td>z<td>w</table>": "x  big  y\nz       w",
+    "<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</div>z": "yes\nz",
+    "a<details>no<summary>s</summary><p>no</p></details><details open><summary>t</summary>in</details>": "a\ns\nt\nin",
+    "<dialog>no</dialog><dialog open>yes</dialog>": "yes",
+    "<ol><li value=5>a<li>b</ol>": "5. a\n6. b",
+    "a<!-->b<!--->c<!-- x --!>d<!-- > -- ->e-->f": "abcdf",
+    "a <!-- never closed <p>b": "a",
+    "<script>x = '<!--'</script>b <i title='<!--'>c</i><!-- d -->": "b c",
+    "<p don't>it's <b a=\"x>y\">so</b>": "it's so",
+    "a <b title=\"cut off": "a",
+    "<textarea><!-- kept --></textarea>": "<!-- kept -->",
 }
 
 
@@ -42,6 +55,17 @@ def test_case(page):
     assert visible_text(page) == CASES[page]
 
 
+@pytest.mark.parametrize("part", ["<!--", "<a ", "<a b='", "<", "</", "<?", "<!x", "<![CDATA[", "&a", "<b>", "<li>", "<p><b>", "<table><td>", "<script>", "<svg>", "<ul><li>", "<b></i>", "<td rowspan=9999 colspan=1000>x"])
+def test_long_broken_pages_take_no_longer(part):
+    def seconds(n):
+        began = time.perf_counter()
+        visible_text("<table><td>" + part * n)
+        return time.perf_counter() - began
+
+    least = min(seconds(2000) for _ in range(3))
+    assert seconds(16000) < 8 * 3 * least + 0.3
+
+
 def test_deep_nesting():
     assert visible_text("<div>" * 20000 + "x") == "x"
 
