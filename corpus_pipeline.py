@@ -19,18 +19,18 @@ from siftwell.llm.jaccard import jaccard_components
 from siftwell.llm.mixing import mix_sources
 from siftwell.llm.quality import KEEP, fit, held_out, measure, score_texts
 from siftwell.llm.queries import tokenizer_path
-from siftwell.llm.shared import WORD, drop, store, text_keys
+from siftwell.llm.shared import WORD, apart, drop, store, text_keys
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject. It learns from the labels of documents outside the held-out fold."""
-    cols = docs.columns
+    docs, named = apart(docs, "doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     known = labels.select("doc_id", F.col("quality").cast("double").alias("label")).where(F.col("label").isNotNull() & ~held_out(F.col("doc_id")))
     measured = store(measure(docs.join(known.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), ["doc_id"]))
     model = fit(measured.join(known, "doc_id"))
     drop(measured)
-    return score_texts(model, docs, cols).where(F.col("score") >= KEEP).select(cols)
+    return named(score_texts(model, docs, docs.columns).where(F.col("score") >= KEEP))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     The one kept has the component's smallest doc_id; of rows that share it, one with the smallest text hashes. Documents
     without words are linked with nothing and stay.
     """
-    cols = docs.columns
+    docs, named = apart(docs, "doc_id", "text")
     found = jaccard_components(docs, k=5, likeness=Fraction(4, 5))
     # A component's kept row: its smallest doc_id (nulls last), then the smallest text hashes.
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("k1"), F.col("k2"))
@@ -55,7 +55,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         # Rows that repeat whole: of those with words one stays.
         bare_row = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)) == 0
         out = out.where(bare_row).union(out.where(~bare_row).dropDuplicates(["doc_id", "_k1", "_k2"]))
-    return out.select(cols)
+    return named(out)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,9 +65,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: 0 to 3 times."""
-    cols = docs.columns
-    mixed = mix_sources(docs, carry=[c for c in cols if c not in ("doc_id", "source")])
-    return mixed.select(*cols, F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("_copy")).select(cols)
+    docs, named = apart(docs, "doc_id", "source", "text")
+    mixed = mix_sources(docs, carry=[c for c in docs.columns if c not in ("doc_id", "source")])
+    return named(mixed.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
