@@ -115,7 +115,7 @@ def expand_languages(token: Column) -> Column:
     text = F.lower(F.trim(token))
     auto = F.startswith(text, F.lit("auto-"))
     parts = F.when(auto, F.split(F.substring(text, 6, 1 << 30), "[-+|,]")).otherwise(F.split(text, "[+|,]"))
-    parts = F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
     known = F.create_map(*(x for t, to in TOKENS.items() for x in (F.lit(t), F.array(*map(F.lit, to)))))
     return F.array_distinct(F.flatten(F.transform(parts, lambda x: F.coalesce(F.try_element_at(known, x), F.array(x)))))
 

@@ -1,37 +1,93 @@
-"""Snippets: a line made short, with tags for what it does."""
+"""Snippets: a matched text made short, with tags for what it does. A text may have several lines; one is picked."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siftwell.operators.structure import collapse, low
+from siftwell.operators.structure import collapse
 
 
 def _tag(test: Column, tag: str) -> Column:
     return F.when(test, F.lit(f" [{tag}]")).otherwise(F.lit(""))
 
 
-def default(line: Column) -> Column:
-    return F.nullif(collapse(line), F.lit(""))
+def _lines(text: Column) -> Column:
+    return F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
 
 
-def typescript(line: Column) -> Column:
-    """A tag line as it is; others with tags for async, hooks, components, promises, arrows, await, generics, satisfies."""
-    x = collapse(line)
+def _filled(lines: Column) -> Column:
+    return F.filter(lines, lambda x: x != "")
+
+
+def default(text: Column) -> Column:
+    """The first line that isn't blank; null if there is none."""
+    return F.nullif(collapse(F.get(F.filter(F.split(text, "\n", -1), lambda x: collapse(x) != ""), F.lit(0))), F.lit(""))
+
+
+def typescript(text: Column) -> Column:
+    """The picked line with tags for async, hooks, components, promises, arrows, await, generics, satisfies.
+
+    Picked is the first line with a tag or type brackets, else the last that exports, names a type or holds an arrow, else
+    the first. A line that begins with a tag stays bare. Comments and blanks are passed over.
+    """
+    lines = _filled(_lines(text))
+    told = F.filter(lines, lambda x: ~F.startswith(x, F.lit("//")))
+    angled = F.filter(told, lambda x: F.startswith(x, F.lit("<")) | (F.contains(x, F.lit("<")) & F.contains(x, F.lit(">"))))
+    named = F.filter(told, lambda x: x.rlike("^(export|type |interface )|=>"))
+    line = F.coalesce(F.get(angled, F.lit(0)), F.try_element_at(named, F.lit(-1)), F.get(lines, F.lit(0)))
+
+    def holds(*parts: str) -> Column:
+        test = F.lit(False)
+        for p in parts:
+            test = test | F.contains(line, F.lit(p))
+        return test
+
     tags = F.concat(
-        _tag(F.contains(x, F.lit("async ")), "async"), _tag(x.rlike(r"\buse[A-Z]\w*\("), "hook"), _tag(F.contains(x, F.lit("React.FC")), "component"),
-        _tag(F.contains(x, F.lit("Promise<")), "promise"), _tag(F.contains(x, F.lit("=>")), "arrow"), _tag(F.contains(x, F.lit("await ")), "await"),
-        _tag(x.rlike(r"[A-Za-z_]<[A-Za-z{]"), "generic"), _tag(F.contains(x, F.lit(" satisfies ")), "satisfies"),
+        _tag(holds("async"), "async"), _tag(F.startswith(line, F.lit("use")) | holds(" = use"), "hook"), _tag(holds("React.FC", "React.FunctionComponent"), "component"),
+        _tag(holds("React.forwardRef", "React.memo"), "component"), _tag(holds("Promise<"), "promise"), _tag(holds("=>"), "arrow"), _tag(holds("await "), "await"),
+        _tag(holds("<") & holds(">"), "generic"), _tag(holds("satisfies "), "satisfies"),
     )
-    return F.when(x == "", F.lit(None).cast("string")).when(x.rlike("^</?[A-Za-z]"), x).otherwise(F.concat(x, tags))
+    short = collapse(line)
+    return F.when(F.get(angled, F.lit(0)).isNotNull() & F.startswith(line, F.lit("<")), short).otherwise(F.concat(short, tags))
+
+
+# What begins a Swift declaration, and a line that carries one on.
+SWIFT_OPENS = "^(func |protocol |extension |struct |class |actor |enum |init[( ])"
+SWIFT_GOES_ON = r"^(\)|async|throws|rethrows|->|where |some )"
+
+
+def swift(text: Column, context: Column, marks: Column) -> Column:
+    """The declaration with the lines that carry it on, with tags, after its type's line and before its attributes.
+
+    context: the enclosing type's line or null; marks: attributes above, an array or null. Attributes among the text's own
+    lines come too, and so does a type right above the declaration there.
+    """
+    lines = _lines(text)
+    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    filled = F.filter(numbered, lambda s: s["x"] != "")
+    opening = F.get(F.filter(filled, lambda s: s["x"].rlike(SWIFT_OPENS)), F.lit(0))
+    at = F.coalesce(opening["i"], F.get(filled, F.lit(0))["i"])
+    after = F.slice(lines, at + 2, F.size(lines))
+    ends = F.get(F.filter(F.transform(after, lambda x, i: F.struct(i.alias("i"), (~(x.rlike(SWIFT_GOES_ON) | F.startswith(x, F.lit("@")))).alias("end"))), lambda s: s["end"]), F.lit(0))["i"]
+    more = F.slice(after, 1, F.coalesce(ends, F.size(after)))
+    whole = collapse(F.array_join(F.concat(F.array(F.get(lines, at)), F.filter(more, lambda x: ~F.startswith(x, F.lit("@")))), " "))
+    before = F.filter(F.slice(lines, F.lit(1), at), lambda x: x != "")
+    nearest = F.try_element_at(F.filter(before, lambda x: ~F.startswith(x, F.lit("@"))), F.lit(-1))
+    inner = F.when(nearest.rlike("^(extension|struct|class|protocol|actor|enum) "), collapse(nearest))
+    own = F.transform(F.filter(F.concat(before, more), lambda x: F.startswith(x, F.lit("@"))), collapse)
+    lowered = F.lower(whole)
+    access = F.lit("")
+    for word in ("open", "fileprivate", "private", "internal", "public"):
+        access = F.when(lowered.rlike(f"^{word}| {word}[ (]"), F.lit(f" [{word}]")).otherwise(access)
+    tags = F.concat(_tag(F.contains(whole, F.lit("async")), "async"), _tag(F.contains(lowered, F.lit("await ")), "await"), access, _tag(F.contains(whole, F.lit("<")) & F.contains(whole, F.lit(">")), "generic"))
+    every = F.array_distinct(F.concat(F.coalesce(marks, F.array().cast("array<string>")), own))
+    tail = F.array_join(F.transform(every, lambda m: F.concat(F.lit(" ["), m, F.lit("]"))), "")
+    head = F.coalesce(F.concat(F.coalesce(inner, context), F.lit(" :: ")), F.lit(""))
+    return F.when(at.isNull(), F.lit(None).cast("string")).otherwise(F.concat(head, whole, tags, tail))
 
 
-def swift(line: Column, context: Column, attributes: Column) -> Column:
-    """The line with tags, after its enclosing type's line, before its attributes. context, attributes: text or null."""
-    x = collapse(line)
-    access = F.regexp_extract(low(line), r"\b(public|internal|private|fileprivate|open)\b", 1)
-    tags = F.concat(_tag(F.contains(x, F.lit("async")), "async"), _tag(F.contains(x, F.lit("await ")), "await"), F.when(access != "", F.concat(F.lit(" ["), access, F.lit("]"))).otherwise(F.lit("")), _tag(x.rlike(r"[A-Za-z_]<[A-Za-z]"), "generic"))
-    head = F.coalesce(F.concat(context, F.lit(" :: ")), F.lit(""))
-    tail = F.coalesce(F.concat(F.lit(" "), F.nullif(attributes, F.lit(""))), F.lit(""))
-    return F.when(x == "", F.lit(None).cast("string")).otherwise(F.concat(head, x, tags, tail))
+def formatted(text: Column, ext: Column, context: Column, marks: Column) -> Column:
+    """A snippet by the file's language."""
+    e = F.lower(ext)
+    return F.when(e == "swift", swift(text, context, marks)).when(e.isin("ts", "tsx"), typescript(text)).otherwise(default(text))

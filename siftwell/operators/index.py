@@ -25,11 +25,24 @@ def doc_stats(files: DataFrame) -> DataFrame:
     return files.select("path", F.size(tokens(F.col("body"))).cast("long").alias("dl"))
 
 
+def lengths(found: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, dl) of each file, from its postings; a file without tokens has 0."""
+    sums = found.groupBy("path").agg(F.sum("tf").cast("long").alias("dl"))
+    return files.select("path").join(sums, "path", "left").select("path", F.coalesce("dl", F.lit(0)).alias("dl"))
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    """Whether an index was written there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/stats/_SUCCESS")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def write_index(files: DataFrame, folder: str, buckets: int = 64) -> None:
     """Postings by token class, so that a query reads only its tokens' files, and document lengths."""
     held = postings(files).withColumn("part", F.pmod(F.xxhash64("token"), F.lit(buckets)))
     held.repartition("part").sortWithinPartitions("token", "path").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/postings")
-    doc_stats(files).write.mode("overwrite").parquet(f"{folder}/stats")
+    written = files.sparkSession.read.parquet(f"{folder}/postings")
+    lengths(written, files).write.mode("overwrite").parquet(f"{folder}/stats")
 
 
 def read_index(spark: SparkSession, folder: str, query: str, buckets: int = 64) -> tuple[DataFrame, DataFrame]:

@@ -31,16 +31,44 @@ def scenario_report(runs: DataFrame) -> DataFrame:
     )
 
 
-def latency_summary(runs: DataFrame) -> DataFrame:
-    """(name, n, mean_ms, min_ms, max_ms, p95_ms). A name's values are gathered for the exclusive rule; for names with very
-    many runs use approx_p95."""
-    return runs.groupBy("name").agg(
-        F.count("*").alias("n"), F.round(F.avg("ms"), 6).alias("mean_ms"), F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms"), F.round(exclusive_p95(F.collect_list("ms")), 6).alias("p95_ms"),
-    )
+NEAR = ((100_000, 0.9495, 0.9505), (1_000, 0.94, 0.96), (0, 0.0, 1.0))
+"""From so many runs on, between these shares the two values lie that the exclusive rule needs."""
 
 
-def approx_p95(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("name").agg(F.percentile_approx("ms", 0.95, 10_000).alias("p95_ms"))
+def latency_summary(runs: DataFrame) -> DataFrame:
+    """(name, n, mean_ms, min_ms, max_ms, p95_ms), the last by the exclusive rule.
+
+    Two values of each name decide it. A first pass bounds where they are, a second counts what lies below and the values in
+    between, so of a name with very many runs only a small part is sorted, and equal values are one row.
+    """
+    shares = [x for _, *pair in NEAR for x in pair]
+    ends = F.percentile_approx("ms", shares, 10_000)
+    stats = runs.groupBy("name").agg(F.count("*").alias("n"), F.round(F.avg("ms"), 6).alias("mean_ms"), F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms"), ends.alias("_e"))
+    low, high = F.lit(None), F.lit(None)
+    for i, (least, _, _) in reversed(list(enumerate(NEAR))):
+        low, high = (F.when(F.col("n") >= least, F.get("_e", F.lit(2 * i + j))).otherwise(x) for j, x in ((0, low), (1, high)))
+    stats = stats.withColumns({"_low": low, "_high": high}).drop("_e")
+    held = runs.select("name", "ms").join(stats.select(F.col("name").alias("_name"), "_low", "_high"), F.col("name").eqNullSafe(F.col("_name"))).where("ms <= _high")
+    counted = held.groupBy("name", F.when(F.col("ms") >= F.col("_low"), F.col("ms")).alias("value")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("name").orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counted.withColumn("upto", upto).where("value IS NOT NULL").join(stats.select(F.col("name").alias("_name"), "n"), F.col("name").eqNullSafe(F.col("_name")))
+    place = (F.col("n") + 1) * 0.95
+    first = F.floor(place)
+
+    def at(k: Column) -> Column:
+        return F.min(F.when(F.col("upto") >= k, F.col("value")))
+
+    found = placed.groupBy(F.col("name").alias("_name")).agg(at(first).alias("a"), at(F.least(first + 1, F.col("n"))).alias("b"), F.max(place - first).alias("part"))
+    p95 = F.when(F.col("n") < 20, F.col("max_ms")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("part"))
+    joined = stats.join(found, F.col("name").eqNullSafe(F.col("_name")), "left")
+    return joined.select("name", "n", "mean_ms", "min_ms", "max_ms", F.round(p95, 6).alias("p95_ms"))
+
+
+def gap(report: DataFrame, plain: str, ours: str, most_ms: float = 6.0) -> DataFrame:
+    """(gap_ms, passes): how much slower one scenario of a report is on average than another, and whether that is allowed."""
+    mean = {n: F.max(F.when(F.col("name") == n, F.col("mean_ms"))) for n in (plain, ours)}
+    found = report.agg((mean[ours] - mean[plain]).alias("gap_ms"))
+    return found.select(F.round("gap_ms", 6).alias("gap_ms"), (F.col("gap_ms") <= most_ms).alias("passes"))
 
 
 def gate(report: DataFrame, max_mean_ms: float = 20.0, min_success: float = 0.99) -> DataFrame:
@@ -73,10 +101,25 @@ def histogram(events: DataFrame, label: str, value: str, bounds: tuple[float, ..
     return counted.select("label", F.explode(rows).alias("r")).select("label", F.col("r.le").alias("le"), F.col("r.n").alias("cumulative"))
 
 
-def exposition(hist: DataFrame, name: str) -> DataFrame:
-    """Lines of the text format that monitoring scrapes."""
-    text = F.concat(F.lit(f"{name}_bucket{{label=\""), F.col("label"), F.lit("\",le=\""), F.col("le"), F.lit("\"} "), F.col("cumulative").cast("string"))
-    return hist.select(text.alias("line"))
+def exposition(events: DataFrame, label: str, value: str, counter: str, hist: str) -> DataFrame:
+    """(line_no, line): counters and histograms in the text format that monitoring scrapes, in order, with their help."""
+
+    def named(name: str, *more: Column) -> Column:
+        return F.concat(F.lit(f"{name}{{label=\""), F.col("label"), *more, F.lit("\"} "))
+
+    def head(at: int, name: str, kind: str, text: str) -> list[tuple]:
+        return [(at, "", 0, f"# HELP {name} {text}"), (at, "", 1, f"# TYPE {name} {kind}")]
+
+    heads = events.sparkSession.createDataFrame([*head(0, counter, "counter", "Events by label."), *head(1, hist, "histogram", "Values by label.")], "part int, label string, at int, line string")
+    counted = counters(events, label).select(F.lit(0).alias("part"), "label", F.lit(2).alias("at"), F.concat(named(counter), F.col("total").cast("string")).alias("line"))
+    bounds = F.array(*(F.lit(str(b)) for b in BUCKETS), F.lit("+Inf"))
+    buckets = histogram(events, label, value).select(F.lit(1).alias("part"), "label", (F.array_position(bounds, F.col("le")) + 2).cast("int").alias("at"), F.concat(named(hist + "_bucket", F.lit("\",le=\""), F.col("le")), F.col("cumulative").cast("string")).alias("line"))
+    sums = events.where(F.col(value) > 0).groupBy(F.col(label).alias("label")).agg(F.round(F.sum(value), 3).cast("decimal(30,3)").alias("s"), F.count("*").alias("n"))
+    rest = F.array(F.concat(named(hist + "_sum"), F.col("s").cast("string")), F.concat(named(hist + "_count"), F.col("n").cast("string")))
+    tails = sums.select(F.lit(1).alias("part"), "label", F.posexplode(rest).alias("at", "line")).withColumn("at", F.col("at") + 100)
+    every = heads.union(counted).union(buckets).union(tails.select("part", "label", "at", "line"))
+    # A few lines for each label meet here.
+    return every.select(F.row_number().over(Window.orderBy("part", "label", "at")).cast("long").alias("line_no"), "line")
 
 
 def expectation_met(hits: DataFrame, expected: DataFrame) -> DataFrame:

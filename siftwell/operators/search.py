@@ -47,8 +47,9 @@ def per_file_cap(hits: DataFrame, most: int) -> DataFrame:
 
 
 def scoped(files: DataFrame, candidates: DataFrame, most: int) -> DataFrame:
-    """The files among the first `most` candidate paths."""
-    first = candidates.select("path").orderBy("path").limit(most)
+    """The files among the first `most` candidates: by source and place where the candidates have them, else by path."""
+    order = ["src_rank", "pos", "path"] if "src_rank" in candidates.columns else ["path"]
+    first = candidates.orderBy(*order).limit(most).select("path")
     return files.join(first, "path", "left_semi")
 
 
@@ -79,14 +80,18 @@ def directory_entries(files: DataFrame, directories: DataFrame, most: int = 5) -
 
 
 def swift_layout(files: DataFrame, children: int = 20, grandchildren: int = 10) -> DataFrame:
-    """Package.swift and, below a Sources directory, the first files and the first files of each first directory."""
+    """Package.swift and, below a Sources directory, the first files and the first files of each first directory: (path, level).
+
+    A directory's first files are kept before anything is gathered by Sources directory, so what meets there is at most
+    `grandchildren` files of each of its children, and of these only the first children's.
+    """
     parts = F.split("path", "/")
-    lead = F.lower(F.get(parts, F.lit(0)))
+    lead = F.get(parts, F.lit(0))
     package = files.where("path = 'Package.swift'").select("path", F.lit(0).cast("long").alias("level"))
-    inside = files.where((lead == "sources") & (F.size(parts) <= 3)).withColumn("child", F.get(parts, F.lit(1)))
-    numbered = inside.withColumn("_c", F.dense_rank().over(Window.partitionBy(lead).orderBy("child")))
-    numbered = numbered.withColumn("_g", F.row_number().over(Window.partitionBy(lead, "child").orderBy("path")))
-    kept = numbered.where((F.col("_c") <= children) & (F.col("_g") <= grandchildren))
+    inside = files.where((F.lower(lead) == "sources") & (F.size(parts) <= 3)).select("path", lead.alias("_lead"), F.get(parts, F.lit(1)).alias("_child"))
+    first = inside.withColumn("_g", F.row_number().over(Window.partitionBy("_lead", "_child").orderBy("path"))).where(F.col("_g") <= grandchildren)
+    listed = first.select("_lead", "_child").distinct().withColumn("_c", F.row_number().over(Window.partitionBy("_lead").orderBy("_child"))).where(F.col("_c") <= children)
+    kept = first.join(listed, ["_lead", "_child"])
     return package.union(kept.select("path", (F.size(parts) - 1).cast("long").alias("level")))
 
 

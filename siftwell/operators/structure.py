@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,15 +32,22 @@ def low(line: Column) -> Column:
     return F.lower(collapse(line))
 
 
-def is_rust_declaration(line: Column) -> Column:
-    x = low(line)
+def _declares(x: Column) -> Column:
     comment = x.rlike(r"^(//|/\*|\*/|#\[|\}|$)")
     return ~comment & x.rlike(_words(RUST_DECLARES))
 
 
+def _near(keyword: str, x: Column) -> Column:
+    return x.rlike("^(.{0,31}[^a-z0-9_]|)" + keyword)
+
+
+def is_rust_declaration(line: Column) -> Column:
+    return _declares(low(line))
+
+
 def near_start(keyword: str, line: Column) -> Column:
     """A keyword within the first 32 characters, not after a letter, digit or underscore."""
-    return low(line).rlike("^(.{0,31}[^a-z0-9_]|)" + keyword)
+    return _near(keyword, low(line))
 
 
 def is_rust_impl(line: Column) -> Column:
@@ -49,16 +58,22 @@ def is_rust_module(line: Column) -> Column:
     return near_start("mod ", line) & (indentation(line) == 0)
 
 
-def is_swift_signature(line: Column) -> Column:
-    x = low(line)
+def _signs(x: Column) -> Column:
     return ~x.rlike(r"^(//|/\*|\*/|@|\}|$)") & x.rlike(_words(SWIFT_SIGNS, r"[ ({<?]"))
 
 
-def swift_type_kind(line: Column) -> Column:
-    x = low(line)
+def _type_kind(x: Column) -> Column:
     return F.when(x.rlike(_words(("extension",), " ")), "extension").when(x.rlike(_words(SWIFT_TYPES, " ")), "type")
 
 
+def is_swift_signature(line: Column) -> Column:
+    return _signs(low(line))
+
+
+def swift_type_kind(line: Column) -> Column:
+    return _type_kind(low(line))
+
+
 def nearest_above(lines: DataFrame, test: Column, name: str, strict: bool = False) -> DataFrame:
     """lines with name_line and name_text: the last line of the file at or above (strict: above) where test holds."""
     order = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
@@ -67,20 +82,20 @@ def nearest_above(lines: DataFrame, test: Column, name: str, strict: bool = Fals
     return lines.withColumn("_f", found).select(*lines.columns, F.col("_f.at").alias(f"{name}_line"), F.col("_f.text").alias(f"{name}_text"))
 
 
-def attributes(lines: DataFrame, mark: str) -> DataFrame:
-    """(path, line_no, attribute_line, attribute): for lines that are no attribute, blank or comment, the attribute lines in
-    the run of attributes, blanks and comments right above."""
+def attributes(lines: DataFrame, mark: str, anchors: DataFrame | None = None) -> DataFrame:
+    """(path, line_no, attribute_line, attribute): the attribute lines in the run of attributes, blanks and comments right
+    above a line. Lines: those of anchors, else all that are themselves no attribute, blank or comment."""
     x = F.trim("line")
     attribute = F.startswith(x, F.lit(mark))
     filler = (x == "") | F.startswith(x, F.lit("//"))
     order = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    solid = ~(attribute | filler)
-    held = lines.withColumn("_solid", solid).withColumn("_is", attribute)
+    held = lines.withColumn("_solid", ~(attribute | filler)).withColumn("_is", attribute)
     # Lines between two solid ones belong to the later: number the runs by the solid lines before.
     held = held.withColumn("_run", F.count(F.when(F.col("_solid"), 1)).over(order))
-    anchors = held.where("_solid").select("path", "line_no", "_run")
+    asked = held.where("_solid") if anchors is None else held.join(anchors.select("path", "line_no"), ["path", "line_no"], "left_semi")
     marks = held.where("_is").select("path", "_run", F.col("line_no").alias("attribute_line"), collapse(F.col("line")).alias("attribute"))
-    return anchors.join(marks, ["path", "_run"]).select("path", "line_no", "attribute_line", "attribute")
+    met = asked.select("path", "line_no", "_run").join(marks, ["path", "_run"]).where("attribute_line < line_no")
+    return met.select("path", "line_no", "attribute_line", "attribute")
 
 
 def last_modules(lines: DataFrame, anchors: DataFrame, most: int = 3) -> DataFrame:
@@ -94,35 +109,129 @@ def last_modules(lines: DataFrame, anchors: DataFrame, most: int = 3) -> DataFra
     return wanted.join(modules, ["path", "_k"]).select("path", "line_no", "module_line", "module")
 
 
-# Definition and usage rules by language, a pattern in which {s} is the symbol.
-RULES = (
-    ("rust", "function", r"\bfn {s}\b"),
-    ("rust", "impl", r"\bimpl(<[^>]*>)? {s}\b"),
-    ("rust", "trait", r"\btrait {s}\b"),
-    ("rust", "struct", r"\bstruct {s}\b"),
-    ("rust", "enum", r"\benum {s}\b"),
-    ("rust", "macro_call", r"\b{s}!"),
-    ("swift", "function", r"\bfunc {s}\b"),
-    ("swift", "protocol", r"\bprotocol {s}\b"),
-    ("swift", "type", r"\b(class|struct|actor|enum) {s}\b"),
-    ("swift", "extension", r"\bextension {s}\b"),
-    ("swift", "member", r"\.{s}\b"),
-    ("swift", "call", r"\b{s}\("),
-    ("swift", "attribute", r"@{s}\b"),
-    ("ts", "identifier", r"\b{s}\b"),
-    ("tsx", "identifier", r"\b{s}\b"),
-    ("tsx", "jsx", r"<{s}\b"),
-    ("other", "identifier", r"\b{s}\b"),
+def context_hints(lines: DataFrame, hits: DataFrame) -> DataFrame:
+    """(path, line_no, hints): for each hit (path, line_no) in a Rust or Swift file what surrounds it, an array of (line,
+    kind, label) by line, each once; hits without any are left out.
+
+    The anchor is the nearest declaration at or above the hit, else the hit. Rust: attributes above the anchor, the
+    declaration, the nearest impl above the anchor, the last modules. Swift: attributes, the nearest type or extension at or
+    above the anchor, the declaration. lines should be those of the hits' files alone.
+    """
+    low_line = lines.withColumn("_low", low(F.col("line")))
+    rust, swift = (low_line.where(F.col("ext") == e) for e in ("rs", "swift"))
+    hits = hits.select("path", F.col("line_no").alias("hit")).distinct()
+    # The order of hints of one line.
+    order = {"attribute": 0, "type": 1, "extension": 1, "declaration": 2, "impl": 3, "module": 4}
+
+    def anchored(held: DataFrame, test: Column) -> DataFrame:
+        found = nearest_above(held, test, "d").select("path", F.col("line_no").alias("hit"), "d_line", "d_text")
+        return found.join(hits, ["path", "hit"]).withColumn("line_no", F.coalesce("d_line", "hit"))
+
+    def hints(found: DataFrame, line: str, kind: Column, label: str) -> DataFrame:
+        return found.select("path", "hit", F.col(line).alias("line"), kind.alias("kind"), F.col(label).alias("label")).where("label <> ''")
+
+    def above(anchors: DataFrame, held: DataFrame, mark: str) -> DataFrame:
+        declared = hints(anchors, "d_line", F.lit("declaration"), "d_text")
+        marked = attributes(held.drop("_low"), mark, anchors).join(anchors.select("path", "hit", "line_no"), ["path", "line_no"])
+        return declared.union(hints(marked, "attribute_line", F.lit("attribute"), "attribute"))
+
+    in_rust = anchored(rust, _declares(F.col("_low")))
+    impl = nearest_above(rust, _near("impl[ <(]", F.col("_low")), "i", strict=True).join(in_rust.select("path", "hit", "line_no"), ["path", "line_no"])
+    modules = last_modules(rust.drop("_low"), in_rust).join(in_rust.select("path", "hit", "line_no"), ["path", "line_no"])
+    in_swift = anchored(swift, _signs(F.col("_low")))
+    kind = _type_kind(F.col("_low"))
+    types = nearest_above(swift.withColumn("_kind", kind), F.col("_kind").isNotNull(), "t").join(in_swift.select("path", "hit", "line_no"), ["path", "line_no"])
+    every = above(in_rust, rust, "#[").union(hints(impl, "i_line", F.lit("impl"), "i_text")).union(hints(modules, "module_line", F.lit("module"), "module"))
+    every = every.union(above(in_swift, swift, "@")).union(hints(types, "t_line", _type_kind(F.lower("t_text")), "t_text"))
+    rank = F.create_map(*(F.lit(v) for kv in order.items() for v in kv))
+    listed = F.sort_array(F.collect_set(F.struct("line", F.element_at(rank, F.col("kind")).alias("o"), "kind", "label")))
+    return every.groupBy("path", "hit").agg(F.transform(listed, lambda h: F.struct(h["line"], h["kind"], h["label"])).alias("hints")).withColumnRenamed("hit", "line_no")
+
+
+def swift_surroundings(lines: DataFrame) -> DataFrame:
+    """lines with context, the line of the type that a Swift line stands in, and marks, the attributes between the last type
+    or member above and the line, top down and each once."""
+    x = F.trim("line")
+    opens = x.rlike("^(extension|struct|class|protocol|actor|enum) ")
+    stops = opens | x.rlike("^(func |init|let |var )")
+    above = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    held = lines.withColumn("_stop", F.when(stops, F.struct(opens.alias("type"), collapse(F.col("line")).alias("text"))))
+    held = held.withColumns({"_last": F.last("_stop", ignorenulls=True).over(above), "_run": F.count("_stop").over(above)})
+    within = Window.partitionBy("path", "_run").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    marks = F.array_distinct(F.collect_list(F.when(F.startswith(x, F.lit("@")), collapse(F.col("line")))).over(within))
+    return held.withColumn("marks", marks).select(*lines.columns, F.when(F.col("_last.type"), F.col("_last.text")).alias("context"), "marks")
+
+
+# Definition and usage rules by language, each a pattern in which {s} is the symbol as a whole identifier.
+_RUST = (
+    ("function", r"\bfn {s}"),
+    ("impl_type", r"\bimpl(<[^>]*>)?( [\w:<>, ]+ for)? (\w+::)*{s}"),
+    ("trait", r"\btrait {s}"),
+    ("struct", r"\bstruct {s}"),
+    ("enum", r"\benum {s}"),
+    ("macro_call", r"{s}!"),
+    ("impl_trait_path", r"\bimpl(<[^>]*>)? {s}::[\w:]+(<[^>]*>)? for "),
+    ("impl_trait", r"\bimpl(<[^>]*>)? {s}(<[^>]*>)? for "),
+)
+_SWIFT = (
+    ("function", r"\bfunc {s}"),
+    ("protocol", r"\bprotocol {s}"),
+    ("protocol_member", r"^\s+func {s}[^{]*$"),
+    ("initializer", r"\binit[?!]?\([^)]*{s}"),
+    ("class_function", r"\bclass func {s}"),
+    ("struct_function", r"\b(mutating|static) func {s}"),
+    ("extension_function", r"^\s+((public|internal|private|fileprivate|open) )?func {s}"),
+    ("actor_function", r"\b(nonisolated|isolated) func {s}"),
+    ("member", r"\.{s}"),
+    ("call", r"{s}\("),
+    ("awaited_call", r"\bawait ([\w.]+\.)?{s}\("),
+    ("attribute", r"@{s}"),
+    ("conformance", r"\bextension [\w.]+ ?: ?([\w.]+, ?)*{s}"),
+    ("generic_argument", r"<([^<>]*[ ,:<])?{s}[^<>]*>"),
+)
+_TS = (
+    ("identifier", r"{s}"),
+    ("call", r"{s}\("),
+    ("method_call", r"\.{s}\("),
+    ("class", r"\bclass {s}"),
+    ("interface", r"\binterface {s}"),
+    ("interface_type", r"\binterface {s} ?[<{]"),
+    ("type_alias", r"\btype {s}"),
+    ("type_alias_type", r"\btype {s}(<[^>]*>)? ?="),
+    ("method", r"^\s+((public|private|protected|static|async) )*{s}\([^)]*\)[^;]*\{"),
+    ("variable", r"\b(const|let|var) {s}"),
+    ("jsx_element", r"<{s}"),
+    ("arrow_variable", r"\b(const|let|var) {s}.*=>"),
+    ("export_value", r"\bexport (default |= ?){s}"),
+    ("export_specifier", r"\bexport \{[^}]*{s}[^}]*\}"),
+    ("jsx_attribute", r"<[^>]* {s}="),
+    ("satisfies", r"{s} satisfies "),
 )
-RULE_EXTENSIONS = {"rust": "rs", "swift": "swift", "ts": "ts", "tsx": "tsx", "other": "md"}
+RULES = tuple((lang, rule, pattern) for lang, rules in (("rust", _RUST), ("swift", _SWIFT), ("ts", _TS), ("tsx", _TS), ("other", (("identifier", r"{s}"),))) for rule, pattern in rules)
+RULE_EXTENSIONS = {"rust": "rs", "swift": "swift", "ts": "ts", "tsx": "tsx"}
+
+
+def rule_pattern(pattern: str, symbol: str) -> str:
+    """A rule's pattern for a symbol, which may hold any characters: letters, digits, underscores and dollar signs don't touch it."""
+    escaped = re.sub(r"([^A-Za-z0-9_])", r"\\\1", symbol)
+    return pattern.replace("{s}", rf"(?<![\w$]){escaped}(?![\w$])")
 
 
-def rule_matches(lines: DataFrame, symbol: str, languages: list[str]) -> DataFrame:
-    """(language, rule, path, line_no): lines where a rule of their language matches."""
+def rule_matches(lines: DataFrame, symbol: str, languages: list[str], budget: int | None = None) -> DataFrame:
+    """(language, rule, path, line_no): lines where a rule of their language matches. "other", and any language without rules
+    of its own, stands for files that none of the other languages has. With a budget the first so many lines (path, line_no)
+    by language, rule and place are taken, each once, and all their rules returned."""
+    asked = {lang if lang in RULE_EXTENSIONS else "other" for lang in languages}
     held = lines.where(F.contains("line", F.lit(symbol)))
-    tests = [
-        F.when((F.col("ext") == RULE_EXTENSIONS[lang]) & F.rlike("line", F.lit(pattern.replace("{s}", symbol))), F.struct(F.lit(lang).alias("language"), F.lit(rule).alias("rule")))
-        for lang, rule, pattern in RULES
-        if lang in languages
-    ]
-    return held.select("path", "line_no", F.explode(F.array_compact(F.array(*tests))).alias("m")).select("m.language", "m.rule", "path", "line_no")
+    tests = []
+    for at, (lang, rule, pattern) in enumerate(RULES):
+        if lang in asked:
+            own = F.col("ext") == RULE_EXTENSIONS[lang] if lang in RULE_EXTENSIONS else ~F.coalesce("ext", F.lit("")).isin(*RULE_EXTENSIONS.values())
+            tests.append(F.when(own & F.rlike("line", F.lit(rule_pattern(pattern, symbol))), F.struct(F.lit(at).alias("at"), F.lit(lang).alias("language"), F.lit(rule).alias("rule"))))
+    if not tests:
+        return held.where("false").select(F.lit("").alias("language"), F.lit("").alias("rule"), "path", "line_no")
+    found = held.select("path", "line_no", F.explode(F.array_compact(F.array(*tests))).alias("m"))
+    if budget is not None:
+        first = found.groupBy("path", "line_no").agg(F.min("m.at").alias("at")).orderBy("at", "path", "line_no").limit(budget)
+        found = found.join(F.broadcast(first.select("path", "line_no")), ["path", "line_no"], "left_semi")
+    return found.select("m.language", "m.rule", "path", "line_no")

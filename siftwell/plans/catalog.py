@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import rewrite, snippets
@@ -23,7 +23,6 @@ SYMBOL = "the"
 # Fixed rows: names, trees and settings that the driver's tables lack.
 NAMES = ("login_user", "getUser", "UserCard", "foo", "foo_1", "HTTP", "a::b_c", "useThing", "$scope", "x.y", "a+b", "É", "fetchUser", "[a]{b}|(c)^d*")
 LANGUAGE_HINTS = ("ts", "TSX", "js", "kt", "rs", "swiftui", "auto-swift-ts", "go", "rust+ts|py,js", "auto-js+kt", " ts ")
-TREE = ("Package.swift", "Sources/App/main.swift", "Sources/App/view.swift", "Sources/Core/core.swift", "Sources/top.swift", "Sources/A/B/deep.swift", "Tests/t.swift", "sources/lower.swift")
 ORIGINS = (("rg-global", "rust"), ("rg-scoped", None), ("rga", "tsx"))
 
 
@@ -152,7 +151,7 @@ query("rewrite_swift", _rewrite_sql(("TRUE", rewrite.SWIFT), (UPPER_SQL, rewrite
 
 @query(
     "expand_language",
-    f"""WITH hints AS (SELECT token, lower(trim(token)) AS t FROM {_values(LANGUAGE_HINTS, 'token')}),
+    f"""WITH hints AS (SELECT token, lower(trim(token)) AS t FROM (SELECT token FROM {_values(LANGUAGE_HINTS, 'token')} UNION SELECT lang || '+' || source FROM documents)),
 parts AS (SELECT token, CASE WHEN starts_with(t, 'auto-') THEN string_split_regex(substr(t, 6), '[-+|,]') ELSE string_split_regex(t, '[+|,]') END AS a FROM hints),
 each AS (SELECT token, unnest(a) AS x, generate_subscripts(a, 1) AS i FROM parts),
 known(k, to_, j) AS (VALUES {', '.join(f"('{k}', '{x}', {j})" for k, to in rewrite.TOKENS.items() for j, x in enumerate(to))}),
@@ -161,7 +160,8 @@ first AS (SELECT token, language, min(i * 10 + j) AS o FROM wide GROUP BY ALL)
 SELECT token, (row_number() OVER (PARTITION BY token ORDER BY o) - 1)::BIGINT AS pos, language FROM first""",
 )
 def expand_language(spark, d):
-    out = strings(spark, LANGUAGE_HINTS, "token").select("token", F.posexplode(rewrite.expand_languages(F.col("token"))).alias("pos", "language"))
+    spoken = spark.read.parquet(f"{d}/documents.parquet").select(F.concat("lang", F.lit("+"), "source").alias("token")).where("token IS NOT NULL").distinct()
+    out = strings(spark, LANGUAGE_HINTS, "token").union(spoken).select("token", F.posexplode(rewrite.expand_languages(F.col("token"))).alias("pos", "language"))
     return out.withColumn("pos", F.col("pos").cast("long"))
 
 
@@ -208,34 +208,42 @@ def discover_dir_hints(spark, d):
     return search.directory_entries(files(spark, d), search.top_directories(dir_scores(spark, d)))
 
 
+# The documents as a Swift package: swift files lie below Sources, every third of them directly.
+PACKAGE_SQL = """package AS (SELECT 'Package.swift' AS path UNION ALL SELECT 'Sources/' || CASE WHEN doc_id % 30 = 1 THEN '' ELSE dir || '/' END || name FROM files WHERE ext = 'swift'),
+cut AS (SELECT path, string_split(path, '/') AS a FROM package),
+inside AS (SELECT path, len(a) AS n, a[2] AS child FROM cut WHERE lower(a[1]) = 'sources' AND len(a) <= 3),
+numbered AS (SELECT *, dense_rank() OVER (ORDER BY child) AS c, row_number() OVER (PARTITION BY child ORDER BY path) AS g FROM inside),
+layout AS (SELECT 'Package.swift' AS path, 0::BIGINT AS level UNION ALL SELECT path, (n - 1)::BIGINT FROM numbered WHERE c <= 20 AND g <= 10)"""
+
+
+def package(spark: SparkSession, d: str) -> DataFrame:
+    folder = F.when(F.col("doc_id") % 30 == 1, F.lit("")).otherwise(F.concat("dir", F.lit("/")))
+    held = files(spark, d).where("ext = 'swift'").select(F.concat(F.lit("Sources/"), folder, "name").alias("path"))
+    return strings(spark, ("Package.swift",), "path").union(held)
+
+
+query("discover_swift_layout", f"WITH {FILES_SQL}, {PACKAGE_SQL} SELECT path, level FROM layout")(lambda spark, d: search.swift_layout(package(spark, d)))
+
+
 @query(
     "discover_union",
-    f"""WITH {ENTRIES_SQL}, {CANDIDATES_SQL}, numbered AS (SELECT path, row_number() OVER (ORDER BY path) AS pos FROM cands),
-whole AS (SELECT path, 0 AS src_rank, pos FROM numbered UNION ALL SELECT path, 1, pos FROM shown)
+    f"""WITH {ENTRIES_SQL}, {CANDIDATES_SQL}, {PACKAGE_SQL.replace("cut AS", "pieced AS").replace("FROM cut", "FROM pieced")}, named AS (SELECT path, row_number() OVER (ORDER BY path) AS pos FROM cands),
+whole AS (SELECT path, 0 AS src_rank, pos FROM named UNION ALL SELECT path, 1, doc_id FROM files WHERE doc_id % 50 = 0 UNION ALL SELECT path, 2, pos FROM shown UNION ALL SELECT path, 3, row_number() OVER (ORDER BY level, path) FROM layout)
 SELECT path, src_rank::BIGINT AS src_rank, pos::BIGINT AS pos FROM whole QUALIFY row_number() OVER (PARTITION BY path ORDER BY src_rank, pos) = 1""",
 )
 def discover_union(spark, d):
-    from pyspark.sql import Window
-
+    """All four sources in order: names, stored hints, popular directories, the package's layout."""
+    f = files(spark, d)
+    stored = f.select(F.lit(SYMBOL).alias("symbol"), "path", F.col("doc_id").alias("pos")).where("pos % 50 = 0")
     named = candidates(spark, d).withColumn("pos", F.row_number().over(Window.orderBy("path")))
-    return search.ordered_union(named, discover_dir_hints(spark, d))
-
-
-@query(
-    "discover_swift_layout",
-    f"""WITH tree AS (SELECT path, string_split(path, '/') AS a FROM {_values(TREE, 'path')}),
-inside AS (SELECT path, len(a) AS n, lower(a[1]) AS lead, a[2] AS child FROM tree WHERE lower(a[1]) = 'sources' AND len(a) <= 3),
-numbered AS (SELECT *, dense_rank() OVER (PARTITION BY lead ORDER BY child) AS c, row_number() OVER (PARTITION BY lead, child ORDER BY path) AS g FROM inside)
-SELECT 'Package.swift' AS path, 0::BIGINT AS level UNION ALL SELECT path, (n - 1)::BIGINT FROM numbered WHERE c <= 20 AND g <= 10""",
-)
-def discover_swift_layout(spark, d):
-    return search.swift_layout(strings(spark, TREE, "path"))
+    layout = search.swift_layout(package(spark, d)).withColumn("pos", F.row_number().over(Window.orderBy("level", "path")))
+    return search.ordered_union(named, state.live_hints(stored, f, SYMBOL), discover_dir_hints(spark, d), layout)
 
 
 # Scores, ranks, metrics
 
 ADJUST_SQL = "score - 0.05"
-STRUCT_SQL = "struct AS (SELECT DISTINCT path, line_no FROM lines WHERE contains(line, 'the') AND ext = 'md' AND regexp_matches(line, '\\bthe\\b'))"
+STRUCT_SQL = "struct AS (SELECT DISTINCT path, line_no FROM lines WHERE ext NOT IN ('rs', 'swift', 'ts', 'tsx') AND regexp_matches(line, '(^|[^\\w$])the([^\\w$]|$)'))"
 
 
 def matches(spark: SparkSession, d: str) -> DataFrame:
@@ -399,48 +407,103 @@ def rust_modules(spark, d):
     return structure.last_modules(rs, rs.where(structure.is_rust_declaration(F.col("line"))))
 
 
-@query("context_hints", f"WITH {CODE_SQL} SELECT path, line_no, CASE WHEN ext = 'rs' AND {RUST_DECL_SQL} THEN 'declaration' WHEN ext = 'rs' AND {IMPL_SQL} THEN 'impl' WHEN ext = 'rs' AND {MODULE_SQL} THEN 'module' WHEN ext = 'rs' AND starts_with(trim(line), '#[') THEN 'attribute' WHEN ext = 'swift' AND ({SWIFT_KIND_SQL}) IS NOT NULL THEN {SWIFT_KIND_SQL} WHEN ext = 'swift' AND {SWIFT_SIGN_SQL} THEN 'declaration' WHEN ext = 'swift' AND starts_with(trim(line), '@') THEN 'attribute' END AS kind, {collapsed('line')} AS label FROM code WHERE ext IN ('rs', 'swift') AND kind IS NOT NULL")
+def _near_attributes(mark: str) -> str:
+    return f"""SELECT a.path, a.line_no, m.line_no AS line, 'attribute' AS kind, {collapsed('m.line')} AS label FROM anchored a JOIN t m ON a.path = m.path AND m.line_no < a.at AND starts_with(trim(m.line), '{mark}')
+WHERE a.ext = '{'rs' if mark == '#[' else 'swift'}' AND NOT EXISTS (SELECT 1 FROM t s WHERE s.path = a.path AND s.line_no > m.line_no AND s.line_no < a.at AND NOT (starts_with(trim(s.line), '{mark}') OR trim(s.line) = '' OR starts_with(trim(s.line), '//')))"""
+
+
+@query(
+    "context_hints",
+    f"""WITH {CODE_SQL}, t AS (SELECT path, ext, line_no, line, CASE ext WHEN 'rs' THEN {RUST_DECL_SQL} ELSE {SWIFT_SIGN_SQL} END AS declares, ext = 'rs' AND {IMPL_SQL} AS impl, ext = 'rs' AND {MODULE_SQL} AS module, CASE WHEN ext = 'swift' THEN {SWIFT_KIND_SQL} END AS kind FROM code WHERE ext IN ('rs', 'swift')),
+anchored AS (SELECT h.path, h.ext, h.line_no, max(d.line_no) AS declared, coalesce(max(d.line_no), h.line_no) AS at FROM t h LEFT JOIN t d ON d.path = h.path AND d.line_no <= h.line_no AND d.declares WHERE contains(h.line, '{SYMBOL}') GROUP BY h.path, h.ext, h.line_no),
+found AS (SELECT path, line_no, declared AS line, 'declaration' AS kind, NULL AS label FROM anchored WHERE declared IS NOT NULL
+  UNION ALL SELECT a.path, a.line_no, max(i.line_no), 'impl', NULL FROM anchored a JOIN t i ON i.path = a.path AND i.line_no < a.at AND i.impl GROUP BY a.path, a.line_no
+  UNION ALL SELECT path, line_no, line, 'module', NULL FROM (SELECT a.path, a.line_no, m.line_no AS line FROM anchored a JOIN t m ON m.path = a.path AND m.line_no <= a.at AND m.module QUALIFY row_number() OVER (PARTITION BY a.path, a.line_no ORDER BY m.line_no DESC) <= 3)
+  UNION ALL SELECT path, line_no, line, k, NULL FROM (SELECT a.path, a.line_no, max(i.line_no) AS line, arg_max(i.kind, i.line_no) AS k FROM anchored a JOIN t i ON i.path = a.path AND i.line_no <= a.at AND i.kind IS NOT NULL GROUP BY a.path, a.line_no)
+  UNION ALL {_near_attributes('#[')} UNION ALL {_near_attributes('@')}),
+told AS (SELECT DISTINCT f.path, f.line_no, f.line, f.kind, {collapsed('c.line')} AS label FROM found f JOIN t c ON c.path = f.path AND c.line_no = f.line),
+ranked AS (SELECT *, CASE kind WHEN 'attribute' THEN 0 WHEN 'declaration' THEN 2 WHEN 'impl' THEN 3 WHEN 'module' THEN 4 ELSE 1 END AS o FROM told WHERE label <> '')
+SELECT path, line_no, string_agg(line || ':' || kind || ':' || label, '|' ORDER BY line, o, kind, label) AS hints FROM ranked GROUP BY path, line_no""",
+)
 def context_hints(spark, d):
-    x, rs, sw = F.col("line"), F.col("ext") == "rs", F.col("ext") == "swift"
-    kind = (
-        F.when(rs & structure.is_rust_declaration(x), "declaration").when(rs & structure.is_rust_impl(x), "impl").when(rs & structure.is_rust_module(x), "module").when(rs & F.startswith(F.trim(x), F.lit("#[")), "attribute")
-        .when(sw & structure.swift_type_kind(x).isNotNull(), structure.swift_type_kind(x)).when(sw & structure.is_swift_signature(x), "declaration").when(sw & F.startswith(F.trim(x), F.lit("@")), "attribute")
-    )
-    return code(spark, d).select("path", "line_no", kind.alias("kind"), structure.collapse(x).alias("label")).where("kind IS NOT NULL")
-
-
-RULE_CASES = " UNION ALL ".join(f"SELECT '{lang}' AS language, '{rule}' AS rule, path, line_no FROM code WHERE ext = '{structure.RULE_EXTENSIONS[lang]}' AND regexp_matches(line, '{pattern.replace('{s}', 'The')}')" for lang, rule, pattern in structure.RULES if lang in ("rust", "swift", "tsx"))
-query("ast_definitions", f"WITH {CODE_SQL} {RULE_CASES}")(lambda spark, d: structure.rule_matches(code(spark, d), "The", ["rust", "swift", "tsx"]))
-query("ast_patterns", "SELECT language, rule, pattern FROM (VALUES " + ", ".join(f"({_quoted(a)}, {_quoted(b)}, {_quoted(c.replace('{s}', 'The'))})" for a, b, c in structure.RULES) + ") AS v(language, rule, pattern)")(
-    lambda spark, d: spark.createDataFrame([(a, b, c) for a, b, c in structure.RULES], "language string, rule string, p string").select("language", "rule", F.replace("p", F.lit("{s}"), F.lit("The")).alias("pattern"))
+    """What surrounds each line of code that holds the symbol."""
+    held = code(spark, d).where("ext IN ('rs', 'swift')")
+    found = structure.context_hints(held, held.where(F.contains("line", F.lit(SYMBOL))))
+    return found.select("path", "line_no", F.array_join(F.transform("hints", lambda h: F.concat_ws(":", h["line"].cast("string"), h["kind"], h["label"])), "|").alias("hints"))
+
+
+# The rules once more, as patterns of the other engine, written apart from the operator's; S: the symbol, B and E: that it begins and ends there.
+RULE_SQL = {
+    "rust": {
+        "function": "\\bfn SE", "impl_type": "\\bimpl(<[^>]*>)?( [\\w:<>, ]+ for)? (\\w+::)*SE", "trait": "\\btrait SE", "struct": "\\bstruct SE", "enum": "\\benum SE", "macro_call": "BS!",
+        "impl_trait_path": "\\bimpl(<[^>]*>)? S::[\\w:]+(<[^>]*>)? for ", "impl_trait": "\\bimpl(<[^>]*>)? S(<[^>]*>)? for ",
+    },
+    "swift": {
+        "function": "\\bfunc SE", "protocol": "\\bprotocol SE", "protocol_member": "^\\s+func S([^\\w$\\{][^\\{]*)?$", "initializer": "\\binit[?!]?\\(([^)]*[^)\\w$])?SE", "class_function": "\\bclass func SE",
+        "struct_function": "\\b(mutating|static) func SE", "extension_function": "^\\s+((public|internal|private|fileprivate|open) )?func SE", "actor_function": "\\b(nonisolated|isolated) func SE", "member": "\\.SE", "call": "BS\\(",
+        "awaited_call": "\\bawait ([\\w.]+\\.)?S\\(", "attribute": "@SE", "conformance": "\\bextension [\\w.]+ ?: ?([\\w.]+, ?)*SE", "generic_argument": "<([^<>]*[ ,:<])?S([^\\w$<>][^<>]*)?>",
+    },
+    "ts": {
+        "identifier": "BSE", "call": "BS\\(", "method_call": "\\.S\\(", "class": "\\bclass SE", "interface": "\\binterface SE", "interface_type": "\\binterface S ?[<{]", "type_alias": "\\btype SE", "type_alias_type": "\\btype S(<[^>]*>)? ?=",
+        "method": "^\\s+((public|private|protected|static|async) )*S\\([^)]*\\)[^;]*\\{", "variable": "\\b(const|let|var) SE", "jsx_element": "<SE", "arrow_variable": "\\b(const|let|var) S([^\\w$].*)?=>",
+        "export_value": "\\bexport (default |= ?)SE", "export_specifier": "\\bexport \\{([^}]*[^}\\w$])?S([^\\w$}][^}]*)?\\}", "jsx_attribute": "<[^>]* S=", "satisfies": "BS satisfies ",
+    },
+    "other": {"identifier": "BSE"},
+}
+RULE_SQL["tsx"] = RULE_SQL["ts"]
+RULE_FILES = {"rust": "ext = 'rs'", "swift": "ext = 'swift'", "ts": "ext = 'ts'", "tsx": "ext = 'tsx'", "other": "ext NOT IN ('rs', 'swift', 'ts', 'tsx')"}
+
+
+def _rules_sql(languages: tuple[str, ...], symbol: str, table: str) -> str:
+    def pattern(p: str) -> str:
+        return p.replace("E", "([^\\w$]|$)").replace("B", "(^|[^\\w$])").replace("S", symbol) if symbol.isalnum() else ""
+
+    return " UNION ALL ".join(f"SELECT '{lang}' AS language, '{rule}' AS rule, path, line_no FROM {table} WHERE {RULE_FILES[lang]} AND regexp_matches(line, '{pattern(p)}')" for lang in languages for rule, p in RULE_SQL[lang].items())
+
+
+query("ast_definitions", f"WITH {CODE_SQL} {_rules_sql(('rust', 'swift', 'tsx'), 'he', 'code')}")(lambda spark, d: structure.rule_matches(code(spark, d), "he", ["rust", "swift", "tsx"]))
+query("ast_patterns", f"WITH {CODE_SQL}, everything AS (SELECT path, ext, line_no, line FROM lines WHERE ext NOT IN ('rs', 'swift', 'tsx') UNION ALL SELECT path, ext, line_no, line FROM code), m AS ({_rules_sql(('rust', 'swift', 'ts', 'tsx', 'other'), 'and', 'everything')}) SELECT language, rule, count(*)::BIGINT AS n FROM m GROUP BY language, rule")(
+    lambda spark, d: structure.rule_matches(lines(spark, d).where("ext NOT IN ('rs', 'swift', 'tsx')").union(code(spark, d)), "and", ["rust", "swift", "ts", "tsx", "kotlin"]).groupBy("language", "rule").agg(F.count("*").alias("n"))
 )
 query("collapse_ws", f"WITH {LINES_SQL} SELECT path, line_no, {collapsed('line')} AS value FROM lines")(lambda spark, d: lines(spark, d).select("path", "line_no", structure.collapse(F.col("line")).alias("value")))
 query("indentation", f"WITH {CODE_SQL} SELECT path, line_no, (length(line) - length(regexp_replace(line, '^\\s+', '')))::BIGINT AS value FROM code")(lambda spark, d: code(spark, d).select("path", "line_no", structure.indentation(F.col("line")).alias("value")))
 query("snippet_default", f"WITH {LINES_SQL} SELECT path, line_no, nullif({collapsed('line')}, '') AS value FROM lines")(lambda spark, d: lines(spark, d).select("path", "line_no", snippets.default(F.col("line")).alias("value")))
-TS_TAGS_SQL = "CASE WHEN x = '' THEN NULL WHEN regexp_matches(x, '^</?[A-Za-z]') THEN x ELSE x || " + " || ".join(
+STRIPPED_SQL = f"regexp_replace(line, '^{WS}|{WS}$', '', 'g')"
+TS_TAGS_SQL = "CASE WHEN s = '' THEN NULL WHEN starts_with(s, '<') THEN x ELSE x || " + " || ".join(
     f"CASE WHEN {t} THEN ' [{n}]' ELSE '' END"
     for t, n in (
-        ("contains(x, 'async ')", "async"), ("regexp_matches(x, '\\buse[A-Z]\\w*\\(')", "hook"), ("contains(x, 'React.FC')", "component"), ("contains(x, 'Promise<')", "promise"), ("contains(x, '=>')", "arrow"),
-        ("contains(x, 'await ')", "await"), ("regexp_matches(x, '[A-Za-z_]<[A-Za-z{]')", "generic"), ("contains(x, ' satisfies ')", "satisfies"),
+        ("contains(s, 'async')", "async"), ("starts_with(s, 'use') OR contains(s, ' = use')", "hook"), ("contains(s, 'React.FC') OR contains(s, 'React.FunctionComponent')", "component"),
+        ("contains(s, 'React.forwardRef') OR contains(s, 'React.memo')", "component"), ("contains(s, 'Promise<')", "promise"), ("contains(s, '=>')", "arrow"), ("contains(s, 'await ')", "await"),
+        ("contains(s, '<') AND contains(s, '>')", "generic"), ("contains(s, 'satisfies ')", "satisfies"),
     )
 ) + " END"
-query("snippet_ts", f"WITH {CODE_SQL}, t AS (SELECT path, line_no, {collapsed('line')} AS x FROM code WHERE ext = 'tsx') SELECT path, line_no, {TS_TAGS_SQL} AS value FROM t")(
+query("snippet_ts", f"WITH {CODE_SQL}, t AS (SELECT path, line_no, {collapsed('line')} AS x, {STRIPPED_SQL} AS s FROM code WHERE ext = 'tsx') SELECT path, line_no, {TS_TAGS_SQL} AS value FROM t")(
     lambda spark, d: code(spark, d).where("ext = 'tsx'").select("path", "line_no", snippets.typescript(F.col("line")).alias("value"))
 )
-SWIFT_SNIPPET_SQL = f"""WITH {CODE_SQL}, t AS (SELECT path, line_no, line, {collapsed('line')} AS x, last_value(CASE WHEN ({SWIFT_KIND_SQL}) IS NOT NULL THEN {collapsed('line')} END IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c FROM code WHERE ext = 'swift'),
-u AS (SELECT *, regexp_extract(lower(x), '\\b(public|internal|private|fileprivate|open)\\b', 1) AS acc FROM t)
-SELECT path, line_no, CASE WHEN x = '' THEN NULL ELSE coalesce(c || ' :: ', '') || x || CASE WHEN contains(x, 'async') THEN ' [async]' ELSE '' END || CASE WHEN contains(x, 'await ') THEN ' [await]' ELSE '' END || CASE WHEN acc <> '' THEN ' [' || acc || ']' ELSE '' END || CASE WHEN regexp_matches(x, '[A-Za-z_]<[A-Za-z]') THEN ' [generic]' ELSE '' END END AS value FROM u"""
-
-
-@query("snippet_swift", SWIFT_SNIPPET_SQL)
-def snippet_swift(spark, d):
-    held = structure.nearest_above(code(spark, d).where("ext = 'swift'"), structure.swift_type_kind(F.col("line")).isNotNull(), "c", True)
-    return held.select("path", "line_no", snippets.swift(F.col("line"), F.col("c_text"), F.lit(None).cast("string")).alias("value"))
+ACCESS_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(x), '^{w}| {w}[ (]') THEN ' [{w}]'" for w in ("public", "internal", "private", "fileprivate", "open")) + " ELSE '' END"
+SWIFT_VALUES_SQL = f"""w AS (SELECT *, regexp_matches(trim(line), '^(extension|struct|class|protocol|actor|enum) ') AS opens, regexp_matches(trim(line), '^(extension|struct|class|protocol|actor|enum) |^(func |init|let |var )') AS stops, {collapsed('line')} AS x FROM code WHERE ext = 'swift'),
+u AS (SELECT *, last_value(CASE WHEN stops THEN line_no END IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stop FROM w),
+marks AS (SELECT path, line_no, string_agg(' [' || mark || ']', '' ORDER BY place) AS marks FROM (SELECT u.path, u.line_no, m.x AS mark, min(m.line_no) AS place FROM u JOIN w m ON m.path = u.path AND m.line_no > coalesce(u.stop, 0) AND m.line_no < u.line_no AND starts_with(trim(m.line), '@') GROUP BY u.path, u.line_no, m.x) GROUP BY path, line_no),
+swifts AS (SELECT u.path, u.line_no, CASE WHEN u.x = '' THEN NULL ELSE coalesce(c.x || ' :: ', '') || u.x || CASE WHEN contains(u.x, 'async') THEN ' [async]' ELSE '' END || CASE WHEN contains(lower(u.x), 'await ') THEN ' [await]' ELSE '' END || {ACCESS_SQL.replace('lower(x)', 'lower(u.x)')} || CASE WHEN contains(u.x, '<') AND contains(u.x, '>') THEN ' [generic]' ELSE '' END || coalesce(marks, '') END AS value
+  FROM u LEFT JOIN w c ON c.path = u.path AND c.line_no = u.stop AND c.opens LEFT JOIN marks m ON m.path = u.path AND m.line_no = u.line_no)"""
+query("snippet_swift", f"WITH {CODE_SQL}, {SWIFT_VALUES_SQL} SELECT path, line_no, value FROM swifts")(
+    lambda spark, d: structure.swift_surroundings(code(spark, d).where("ext = 'swift'")).select("path", "line_no", snippets.swift(F.col("line"), F.col("context"), F.col("marks")).alias("value"))
+)
 
 
-@query("snippet_format", f"WITH {CODE_SQL}, t AS (SELECT path, ext, line_no, {collapsed('line')} AS x FROM code) SELECT path, line_no, CASE WHEN ext = 'tsx' THEN {TS_TAGS_SQL} ELSE nullif(x, '') END AS value FROM t WHERE ext <> 'swift'")
+@query(
+    "snippet_format",
+    f"""WITH {CODE_SQL}, {SWIFT_VALUES_SQL}, every_line AS (SELECT path, ext, line_no, line FROM lines WHERE ext NOT IN ('rs', 'swift', 'tsx') UNION ALL SELECT path, ext, line_no, line FROM code WHERE ext <> 'swift'),
+t AS (SELECT path, ext, line_no, {collapsed('line')} AS x, {STRIPPED_SQL} AS s FROM every_line)
+SELECT path, line_no, CASE WHEN ext IN ('ts', 'tsx') THEN {TS_TAGS_SQL} ELSE nullif(x, '') END AS value FROM t UNION ALL SELECT path, line_no, value FROM swifts""",
+)
 def snippet_format(spark, d):
-    return code(spark, d).where("ext <> 'swift'").select("path", "line_no", F.when(F.col("ext") == "tsx", snippets.typescript(F.col("line"))).otherwise(snippets.default(F.col("line"))).alias("value"))
+    """Snippets of all lines of all files, each by its language."""
+    rest = lines(spark, d).where("ext NOT IN ('rs', 'swift', 'tsx')").union(code(spark, d).where("ext <> 'swift'"))
+    none = F.lit(None)
+    plain = rest.select("*", none.cast("string").alias("context"), none.cast("array<string>").alias("marks"))
+    every = plain.union(structure.swift_surroundings(code(spark, d).where("ext = 'swift'")))
+    return every.select("path", "line_no", snippets.formatted(F.col("line"), F.col("ext"), F.col("context"), F.col("marks")).alias("value"))
 
 
 # Index
@@ -565,7 +628,17 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 HIST_SQL = "hist AS (" + " UNION ALL ".join(f"SELECT event_type AS label, '{b}' AS le, count(*) FILTER (value <= {b})::BIGINT AS cumulative FROM events WHERE value > 0 GROUP BY 1" for b in observe.BUCKETS) + " UNION ALL SELECT event_type, '+Inf', count(*)::BIGINT FROM events WHERE value > 0 GROUP BY 1)"
 query("metrics_counters", "SELECT event_type AS label, count(*)::BIGINT AS total FROM events GROUP BY 1")(lambda spark, d: observe.counters(events(spark, d), "event_type"))
 query("metrics_histogram", f"WITH {HIST_SQL} SELECT label, le, cumulative FROM hist")(lambda spark, d: observe.histogram(events(spark, d), "event_type", "value"))
-query("metrics_export", f"WITH {HIST_SQL} SELECT 'stage_latency_bucket{{label=\"' || label || '\",le=\"' || le || '\"}} ' || cumulative AS line FROM hist")(lambda spark, d: observe.exposition(observe.histogram(events(spark, d), "event_type", "value"), "stage_latency"))
+EXPORT_SQL = f"""WITH {HIST_SQL}, counted AS (SELECT event_type AS label, count(*) AS n FROM events GROUP BY 1),
+sums AS (SELECT event_type AS label, round(sum(value), 3)::DECIMAL(30, 3) AS s, count(*) AS n FROM events WHERE value > 0 GROUP BY 1),
+parts(part, label, place, line) AS (SELECT 0, '', 0, '# HELP events_total Events by label.' UNION ALL SELECT 0, '', 1, '# TYPE events_total counter' UNION ALL SELECT 1, '', 0, '# HELP stage_latency Values by label.' UNION ALL SELECT 1, '', 1, '# TYPE stage_latency histogram'
+  UNION ALL SELECT 0, label, 2, 'events_total{{label="' || label || '"}} ' || n FROM counted
+  UNION ALL SELECT 1, label, 3 + list_position([{', '.join(f"'{b}'" for b in (*observe.BUCKETS, '+Inf'))}], le), 'stage_latency_bucket{{label="' || label || '",le="' || le || '"}} ' || cumulative FROM hist
+  UNION ALL SELECT 1, label, 100, 'stage_latency_sum{{label="' || label || '"}} ' || s FROM sums UNION ALL SELECT 1, label, 101, 'stage_latency_count{{label="' || label || '"}} ' || n FROM sums)
+SELECT row_number() OVER (ORDER BY part, label, place)::BIGINT AS line_no, line FROM parts"""
+query("metrics_export", EXPORT_SQL)(lambda spark, d: observe.exposition(events(spark, d), "event_type", "value", "events_total", "stage_latency"))
+query("bench_gap", f"WITH {RUNS_SQL}, s AS (SELECT (SELECT avg(ms) FROM runs WHERE name = 'purchase') - (SELECT avg(ms) FROM runs WHERE name = 'click') AS gap) SELECT round(gap, 3) AS gap_ms, gap <= 6 AS passes FROM s")(
+    lambda spark, d: observe.gap(report(spark, d), "click", "purchase").withColumn("gap_ms", F.round("gap_ms", 3))
+)
 query("telemetry_windows", "SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS start, event_type AS label, count(*)::BIGINT AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")(
     lambda spark, d: telemetry.windowed_counts(events(spark, d), "event_type", "value").withColumn("total", F.round("total", 2))
 )

@@ -11,18 +11,22 @@ from __future__ import annotations
 
 import json
 import logging
+import math
 import os
+import re
 import threading
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import rewrite, snippets
 from siftwell.operators import index, search as ops, structure
 from siftwell.operators.state import State
-from siftwell.sources.corpus import tree_files
+from siftwell.sources.corpus import lines_of, tree_files
 
 log = logging.getLogger("siftwell")
 LONGEST_SYMBOL = 256
@@ -51,6 +55,8 @@ class SearchSpec:
     use_structure: bool = True
     state_path: str | None = None
     log_dir: str | None = None
+    index_dir: str | None = None
+    telemetry: bool = True
 
     def __post_init__(self):
         symbol = self.symbol.strip()
@@ -65,7 +71,11 @@ class SearchSpec:
     def from_request(cls, request: dict, defaults: SearchSpec | None = None) -> SearchSpec:
         """A request's values over a server's; tool flags by any of their names, a disable_ prefix turns off; unknown ones are ignored."""
         base = dict(defaults.__dict__) if defaults else {}
-        known = {k: v for k, v in request.items() if k in cls.__dataclass_fields__ and v is not None}
+        # Over the wire 0 and an empty text stand for "not given".
+        known = {k: v for k, v in request.items() if k in cls.__dataclass_fields__ and v not in (None, "", 0) or v is False}
+        known = {k: v for k, v in known.items() if k in cls.__dataclass_fields__}
+        if base.get("root") and known.get("root") and not os.path.isabs(known["root"]):
+            known["root"] = os.path.join(base["root"], known["root"])
         for name, on in (request.get("tools") or {}).items():
             bare = name.removeprefix("disable_")
             for flag, names in FLAGS.items():
@@ -99,6 +109,10 @@ class Summary:
     stage: str
     stage_ms: dict[str, int]
     warnings: list[str] = field(default_factory=list)
+    cycle_ms: int = 0
+    startup_ms: int = 0
+    auto_expanded_context: bool = False
+    language_metrics: dict[str, dict[str, int]] = field(default_factory=dict)
 
     def to_json(self) -> str:
         """JSON without empty and false values."""
@@ -112,12 +126,47 @@ class Summary:
 
 
 class Engine:
-    """Searches one corpus of files; remembers hits for the next search."""
+    """Searches one corpus of files; remembers hits for the next search. With index_dir the index is opened there, and built
+    if there is none; without it the postings are made for the search."""
 
-    def __init__(self, spark: SparkSession, files: DataFrame, pages: DataFrame | None = None, state_path: str | None = None):
-        self.spark, self.files, self.pages, self.state_path = spark, files, pages, state_path
+    def __init__(self, spark: SparkSession, files: DataFrame, pages: DataFrame | None = None, state_path: str | None = None, index_dir: str | None = None):
+        began = time.monotonic()
+        self.spark, self.files, self.pages, self.state_path, self.index_dir = spark, files, pages, state_path, index_dir
         self.state = State.load(state_path) if state_path else State()
         self.seen: set[tuple[str, int]] = set()
+        self.startup_ms = math.ceil((time.monotonic() - began) * 1000)
+
+    def candidates(self, spec: SearchSpec) -> DataFrame:
+        """(path, src_rank, pos): files to look in first. Files named like the symbol, files it was found in before, the first
+        files of popular directories, and a Swift package's layout; each file once, by its first source."""
+        extensions = rewrite.extensions_of(spec.languages)
+        eligible = self.files.where(F.col("ext").isin(extensions)) if extensions else self.files
+        first = Window.orderBy("path")
+
+        def table(rows: list[tuple], schema: str) -> DataFrame:
+            return self.spark.createDataFrame(rows, schema)
+
+        named = ops.by_name(eligible, _needle(spec.symbol)) if spec.use_names else eligible.where("false").select("path")
+        hints = table([(p, i) for i, p in enumerate(self.state.symbol_hits.get(spec.symbol, []))], "path string, pos long")
+        scores = table(list(self.state.directory_scores.items()), "dir string, score long")
+        entries = ops.directory_entries(eligible, ops.top_directories(scores))
+        sources = [
+            named.withColumn("pos", F.row_number().over(first)),
+            eligible.select("path").join(hints, "path"),
+            entries.join(scores, "dir").withColumn("pos", F.row_number().over(Window.orderBy(F.col("score").desc(), "dir", "pos"))),
+        ]
+        if "swift" in spec.languages:
+            sources.append(ops.swift_layout(eligible).withColumn("pos", F.row_number().over(Window.orderBy("level", "path"))))
+        return ops.ordered_union(*sources)
+
+    def _index(self, eligible: DataFrame, query: str) -> tuple[DataFrame, DataFrame]:
+        """The index's postings and file lengths."""
+        if not self.index_dir:
+            found = index.postings(eligible)
+            return found, index.lengths(found, eligible)
+        if not index.exists(self.spark, self.index_dir):
+            index.write_index(eligible, self.index_dir)
+        return index.read_index(self.spark, self.index_dir, query)
 
     def _stages(self, spec: SearchSpec):
         """(name, hits, candidates) lazily, in order."""
@@ -131,60 +180,93 @@ class Engine:
 
         if spec.literal:
             yield "rg-global", hits(ops.probe(files, s, fold), "rg-global"), None
-        known = self.spark.createDataFrame([(p,) for p in self.state.symbol_hits.get(s, [])] or [("",)], "path string")
-        cands = files.join(F.broadcast(known), "path", "left_semi").select("path")
-        if spec.use_names:
-            cands = cands.union(ops.by_name(eligible, _needle(s)))
+        cands = self.candidates(spec).persist()
+        self._held.append(cands)
         scope = files if cands.isEmpty() else ops.scoped(files, cands, spec.max_matches)
         yield "rg-scoped", hits(ops.probe(scope, s, fold), "rg-scoped"), cands
         if not spec.literal:
             yield "rg-global", hits(ops.probe(files, s, fold), "rg-global"), cands
         if spec.use_index:
-            best = index.search_index(index.postings(eligible), index.doc_stats(eligible), s, spec.max_matches)
+            found, stats = self._index(eligible, s)
+            best = index.search_index(found, stats, s, spec.max_matches)
             yield "rg-indexed", hits(ops.probe(files.join(best.select("path"), "path", "left_semi"), s, True), "rg-indexed"), cands
         if spec.use_pages and self.pages is not None:
             found = self.pages.where(F.rlike("line", F.lit(s))).orderBy("url", "line_no").limit(spec.max_matches)
             yield "rga", ops.as_hits(found.select(F.col("url").alias("path"), F.lit(None).cast("string").alias("ext"), "line_no", "line"), "rga"), cands
 
     def search(self, spec: SearchSpec) -> Summary:
-        """Runs stages until one finds something, then scores, ranks and enriches its best hits. A stage that fails or takes
-        too long is a warning, not an error."""
+        """Runs stages until one finds something, then scores, ranks and enriches its best hits. A stage that Spark fails, as
+        one whose pattern is none or that takes too long, is a warning, not an error."""
+        self._held: list[DataFrame] = []
+        try:
+            return self._search(spec)
+        finally:
+            for df in self._held:
+                df.unpersist()
+
+    def _search(self, spec: SearchSpec) -> Summary:
         warnings, times = list(self.state.warnings), {}
         language = (spec.languages or [None])[0]
         held, stage, cands = None, "", None
         for name, hits, candidates in self._stages(spec):
             began = time.monotonic()
+            hits = hits.persist()
+            self._held.append(hits)
             try:
                 with _limit(self.spark, spec.timeout_secs):
                     found = not hits.isEmpty()
-            except Exception as e:  # a rule that is no pattern, a timeout
+            except (PySparkException, Py4JError) as e:
                 warnings.append(f"{name}: {str(e).splitlines()[0][:200]}")
                 found = False
             times[name] = int((time.monotonic() - began) * 1000)
+            log.info("stage", extra={"stage": name, "found": found, "ms": times[name], "symbol": spec.symbol})
             if found:
                 held, stage, cands = hits, name, candidates
                 break
         queries = [r.query for r in rewrite.rewritten(self.spark.createDataFrame([(spec.symbol,)], "symbol string"), language).orderBy("pos").collect()]
         if held is None:
-            return Summary(spec.symbol, queries, [], [], dict.fromkeys(("precision", "density", "clustering", "reward"), 0.0), {}, 0, "", times, warnings)
+            return Summary(spec.symbol, queries, [], [], dict.fromkeys(("precision", "density", "clustering", "reward"), 0.0), {}, 0, "", times, warnings, sum(times.values()), self.startup_ms)
+        began = time.monotonic()
         rules = None
-        if spec.use_structure and stage != "rg-global" and all(c.isalnum() or c in "_$" for c in spec.symbol):
+        # The fast path of a literal symbol goes without structure.
+        if spec.use_structure and not (spec.literal and stage == "rg-global") and re.fullmatch(r"[A-Za-z0-9_$]+", spec.symbol):
             paths = self.files.join(held.select("path").distinct(), "path", "left_semi")
-            rules = structure.rule_matches(ops.probe(paths, spec.symbol), spec.symbol, spec.languages or ["rust"])
+            rules = structure.rule_matches(ops.probe(paths, spec.symbol), spec.symbol, spec.languages or ["rust"], spec.max_matches).persist()
+            self._held.append(rules)
+            times["disambiguate"] = int((time.monotonic() - began) * 1000)
+        began = time.monotonic()
         scored = ops.best_per_line(ops.score(held, cands, rules).withColumn("stage", F.lit(0)))
         if self.seen:
-            scored = ops.unseen(scored, F.broadcast(self.spark.createDataFrame(sorted(self.seen), "path string, line_no long")))
+            scored = ops.unseen(scored, self.spark.createDataFrame(sorted(self.seen), "path string, line_no long"))
+        scored = scored.persist()
+        self._held.append(scored)
         n_rules = rules.select("path", "line_no").distinct().count() if rules is not None else 0
         n_cands = cands.count() if cands is not None else 0
         metrics = ops.metrics(scored, F.lit(n_rules), F.lit(n_cands)).first().asDict()
-        counts = {r.language: r.n for r in ops.language_counts(scored).collect()}
-        best = ops.top_hits(scored)
-        snippet = F.when(F.col("ext").isin("ts", "tsx"), snippets.typescript(F.col("snippet"))).otherwise(snippets.default(F.col("snippet")))
-        shown = ops.with_context(best, self.files, spec.context_before, spec.context_after, want_body=spec.body).withColumn("short", snippet)
-        label = ops.origin_label(F.col("origin"), ops.language_of(F.col("ext")))
-        top = [r.asDict(recursive=True) for r in shown.withColumn("origin_label", label).orderBy("rank").collect()]
+        top = [r.asDict(recursive=True) for r in self._shown(spec, ops.top_hits(scored)).orderBy("rank").collect()]
+        staged = scored.select("ext", F.lit("verify").alias("stage")).union(held.select("ext", F.lit("probe").alias("stage")))
+        if cands is not None:
+            staged = staged.union(self.files.join(cands.select("path"), "path", "left_semi").select("ext", F.lit("discover").alias("stage")))
+        if rules is not None:
+            matched = scored.join(rules.select("path", "line_no").distinct(), ["path", "line_no"], "left_semi")
+            staged = staged.union(matched.select("ext", F.lit("disambiguate").alias("stage")))
+        by_language = {r.language: {k: v for k, v in r.asDict().items() if k != "language"} for r in ops.language_metrics(staged, ["discover", "probe", "disambiguate", "verify"]).collect()}
+        counts = {k: v["n_verify"] for k, v in by_language.items() if v["n_verify"]}
+        times["verify"] = int((time.monotonic() - began) * 1000)
         self._remember(spec, top)
-        return Summary(spec.symbol, queries, top, [f"inspect {t['path']}:{t['line_no']}" for t in top], metrics, counts, sum(counts.values()), stage, times, warnings)
+        actions = [f"inspect {t['path']}:{t['line_no']}" for t in top]
+        return Summary(spec.symbol, queries, top, actions, metrics, counts, sum(counts.values()), stage, times, warnings, sum(times.values()), self.startup_ms, any(t["auto"] for t in top), by_language)
+
+    def _shown(self, spec: SearchSpec, best: DataFrame) -> DataFrame:
+        """The best hits with their window of lines, body, snippet, hints and label. What is read are these few hits' files."""
+        shown = ops.with_context(best, self.files, spec.context_before, spec.context_after, want_body=spec.body)
+        near = lines_of(self.files.join(F.broadcast(best.select("path").distinct()), "path", "left_semi")).persist()
+        self._held.append(near)
+        hints = structure.context_hints(near, best.select("path", "line_no"))
+        around = structure.swift_surroundings(near.where("ext = 'swift'")).select("path", "line_no", "context", "marks")
+        shown = shown.join(hints, ["path", "line_no"], "left").join(around, ["path", "line_no"], "left")
+        label = ops.origin_label(F.col("origin"), ops.language_of(F.col("ext")))
+        return shown.withColumns({"short": snippets.formatted(F.col("snippet"), F.col("ext"), F.col("context"), F.col("marks")), "origin_label": label}).drop("context", "marks")
 
     def _remember(self, spec: SearchSpec, top: list[dict]) -> None:
         self.seen |= {(t["path"], t["line_no"]) for t in top}
@@ -194,8 +276,6 @@ class Engine:
 
 
 def _needle(symbol: str) -> str:
-    import re
-
     return symbol if not re.search(r"[^A-Za-z0-9_.]", symbol) else re.escape(symbol)
 
 
@@ -218,7 +298,8 @@ class _limit:
 
 def search(spark: SparkSession, spec: SearchSpec) -> Summary:
     """One search over a tree of files; appends to the log folder if one is named."""
-    engine = Engine(spark, tree_files(spark, spec.root), state_path=spec.state_path)
+    set_up_logs(spec.telemetry)
+    engine = Engine(spark, tree_files(spark, spec.root), state_path=spec.state_path, index_dir=spec.index_dir)
     began = time.monotonic()
     summary = engine.search(spec)
     if spec.log_dir:
@@ -226,6 +307,26 @@ def search(spark: SparkSession, spec: SearchSpec) -> Summary:
     return summary
 
 
+class _Json(logging.Formatter):
+    """One JSON object a line: time, level, message and whatever a call adds."""
+
+    PLAIN = set(logging.makeLogRecord({}).__dict__)
+
+    def format(self, record: logging.LogRecord) -> str:
+        more = {k: v for k, v in record.__dict__.items() if k not in self.PLAIN}
+        return json.dumps({"time": record.created, "level": record.levelname.lower(), "message": record.getMessage(), **more}, default=str)
+
+
+def set_up_logs(telemetry: bool = True) -> None:
+    """Structured logs to standard error, at the level that SIFTWELL_LOG names; none where telemetry is off."""
+    log.handlers.clear()
+    log.propagate = False
+    handler = logging.StreamHandler() if telemetry else logging.NullHandler()
+    handler.setFormatter(_Json())
+    log.addHandler(handler)
+    log.setLevel(os.environ.get("SIFTWELL_LOG", "warning").upper() if telemetry else logging.CRITICAL)
+
+
 def append_log(spec: SearchSpec, summary: Summary, latency_ms: int) -> None:
     """One JSON line for a search."""
     os.makedirs(spec.log_dir, exist_ok=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,16 +21,68 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", F.concat_ws("/", "dir", name).alias("path"), "dir", name.alias("name"), "ext", "body", F.octet_length("body").cast("long").alias("n_bytes"))
 
 
-def tree_files(spark: SparkSession, root: str, extensions: list[str] | None = None, max_bytes: int | None = None) -> DataFrame:
-    """A real tree of files. Hidden files and directories are skipped; bytes that are not UTF-8 make the body null."""
+IGNORE_FILES = (".gitignore", ".ignore")
+
+
+def ignore_rule(line: str, folder: str) -> tuple[str, bool] | None:
+    """A line of an ignore file in a folder (relative, "" for the root) as (pattern of paths, whether it ignores or keeps)."""
+    line = re.sub(r"(?<!\\)\s+$", "", line)
+    if not line or line.startswith("#"):
+        return None
+    keeps = line.startswith("!")
+    line = line[1:] if keeps else line.removeprefix("\\") if line[:2] in ("\\!", "\\#") else line
+    folder_only = line.endswith("/")
+    line = line.rstrip("/")
+    anchored = "/" in line
+    parts = re.split(r"(\*\*/|/\*\*$|\*|\?|\[!?[^\]]+\]|\\.)", line.lstrip("/"))
+    meaning = {"**/": "(?:.*/)?", "/**": "/.*", "*": "[^/]*", "?": "[^/]"}
+    text = "".join(meaning.get(p) or (p.replace("[!", "[^") if p.startswith("[") and p.endswith("]") else re.escape(p.removeprefix("\\") if len(p) == 2 and p[0] == "\\" else p)) for p in parts if p)
+    base = re.escape(folder + "/") if folder else ""
+    return f"^{base}{'' if anchored else '(?:.*/)?'}{text}{'/.*' if folder_only else '(?:/.*)?'}$", not keeps
+
+
+def ignored(path: Column, rules: list[tuple[str, bool]]) -> Column:
+    """Whether the last rule that matches a path ignores it."""
+    out = F.lit(False)
+    for pattern, ignores in rules:
+        out = F.when(F.rlike(path, F.lit(pattern)), F.lit(ignores)).otherwise(out)
+    return out
+
+
+def _ignore_rules(spark: SparkSession, root: str, depth: int) -> list[tuple[str, bool]]:
+    """Rules of the tree's ignore files, those of deeper folders last. They are settings: few, and read on the driver.
+
+    Spark's sources pass over names that begin with a dot, so the files are found and read through Hadoop, a level at once.
+    """
+    jvm, rules = spark._jvm, []
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    top = fs.resolvePath(base).toString().rstrip("/")
+    for level in range(depth):
+        found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{top}/{'*/' * level}" + "{" + ",".join(IGNORE_FILES) + "}")) or []
+        for path in sorted(str(f.getPath().toString()) for f in found):
+            stream = fs.open(jvm.org.apache.hadoop.fs.Path(path))
+            lines = bytes(stream.readAllBytes()).decode("utf-8", "replace").splitlines()
+            stream.close()
+            folder = path.removeprefix(top).strip("/").rpartition("/")[0]
+            rules += [rule for line in lines if (rule := ignore_rule(line, folder))]
+    return rules
+
+
+def tree_files(spark: SparkSession, root: str, extensions: list[str] | None = None, max_bytes: int | None = None, ignore: bool = True) -> DataFrame:
+    """A real tree of files. Hidden files and directories are skipped, and so is what ignore files name; bytes that are not
+    UTF-8 make the body null. Spark's file sources also pass over names that begin with an underscore."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     if max_bytes is not None:
         raw = raw.where(F.col("length") <= max_bytes)
     path = normalize_path(F.regexp_replace("path", "^file:/*", "/"), root)
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
     name = F.element_at(F.split(path, "/"), -1)
+    raw = raw.where(~path.rlike(r"(^|/)\."))
+    if ignore:
+        depth = raw.agg(F.max(F.size(F.split(path, "/")))).first()[0] or 1
+        raw = raw.where(~ignored(path, _ignore_rules(spark, root, depth)))
     files = raw.select(path.alias("path"), F.regexp_replace(path, "/?[^/]*$", "").alias("dir"), name.alias("name"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("ext"), text.alias("body"), F.col("length").alias("n_bytes"))
-    files = files.where(~F.col("path").rlike(r"(^|/)\."))
     return files.where(F.col("ext").isin(extensions)) if extensions else files
 
 

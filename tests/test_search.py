@@ -1,27 +1,38 @@
 """The search API over a small tree of files, state, requests, streams, and expressions against plain Python."""
 
 import json
+import random
+import re
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siftwell.functions import rewrite
+from siftwell.functions import rewrite, snippets
 from siftwell.operators import observe, search as ops, structure
 from siftwell.operators.index import read_index, search_index, write_index
 from siftwell.operators.state import State
 from siftwell.plans.search import Engine, SearchSpec, search
-from siftwell.sources.corpus import lines_of, tree_files
+from siftwell.sources.corpus import ignore_rule, lines_of, tree_files
 from siftwell.streaming.telemetry import log_stream, windowed_counts
 
 TREE = {
-    "src/auth.rs": "pub fn sign_in(user: &str) -> bool {\n    check(user)\n}\n\nmod tests {\n    #[test]\n    fn sign_in_allows_guest() {\n        assert!(sign_in(\"guest\"));\n    }\n}\n",
-    "src/view.tsx": "export const ProfileCard: React.FC<{ user: string }> = ({ user }) => (\n  <ProfileCard user={user} />\n);\nexport async function loadUser(id: number): Promise<string> {\r\n  return 'x';\r\n}",
-    "App.swift": "protocol Loader {\n  func load(id: Int) async\n}\n\nextension Loader {\n  @MainActor\n  public func loadAll(id: Int) async {\n    await load(id: id)\n  }\n}\n",
-    "config/app.yaml": "sign_in_limit: 3\n",
-    ".hidden/secret.rs": "fn sign_in() {}\n",
-    "docs/loadUser_notes.md": "nothing here\n" + "long " * 60 + "marker_7\n",
+    "src/ledger.rs": "mod bank {\n// moves money\n#[derive(Debug)]\npub struct Account;\n\nimpl Account {\n    #[inline]\n    // checked\n    pub fn post_entry(&mut self, cents: i64) -> bool {\n        cents > 0\n    }\n}\n}\n",
+    "src/use.rs": "fn run(a: &mut Account) {\n    a.post_entry(3);\n}\n",
+    "web/chart.tsx": "export const BarChart: React.FC<{ rows: number[] }> = ({ rows }) => (\n  <BarChart rows={rows} />\n);\nexport async function loadRows(id: number): Promise<string> {\r\n  return 'x';\r\n}",
+    "Package.swift": "// manifest\n",
+    "Sources/Feed/Store.swift": "protocol Feed {\n  func refresh(page: Int) async\n}\n\nextension Feed {\n  @MainActor\n  @discardableResult\n  public func refreshAll(page: Int) async {\n    await refresh(page: page)\n  }\n}\n",
+    "config/limits.yaml": "post_entry_limit: 3\n",
+    ".hidden/secret.rs": "fn post_entry() {}\n",
+    "docs/loadRows_notes.md": "nothing here\n" + "long " * 60 + "marker_7\n",
+    "build/out.rs": "fn post_entry() {}\n",
+    "src/gen/kept.rs": "fn kept_thing() {}\n",
+    "src/gen/made.rs": "fn post_entry() {}\n",
+    ".gitignore": "# made\nbuild/\n*.log\n",
+    "src/gen/.gitignore": "*.rs\n!kept.rs\n",
+    "run.log": "post_entry\n",
+    "web/price.ts": "const $price = 3\nlet x$price = $price + 1\nprint($price)\n",
     "empty.rs": "",
 }
 
@@ -32,33 +43,121 @@ def root(tmp_path_factory):
     for name, body in TREE.items():
         (base / name).parent.mkdir(parents=True, exist_ok=True)
         (base / name).write_bytes(body.encode())
-    (base / "bad.rs").write_bytes(b"fn sign_in \xff\xfe")
+    (base / "bad.rs").write_bytes(b"fn post_entry \xff\xfe")
     return str(base)
 
 
 def test_literal_search(spark, root, tmp_path):
-    s = search(spark, SearchSpec("sign_in", root=root, language="rust", log_dir=str(tmp_path)))
-    assert [(t["path"], t["line_no"]) for t in s.top_hits] == [("config/app.yaml", 1), ("src/auth.rs", 1), ("src/auth.rs", 7), ("src/auth.rs", 8)]
+    s = search(spark, SearchSpec("post_entry", root=root, language="rust", log_dir=str(tmp_path)))
+    assert [(t["path"], t["line_no"]) for t in s.top_hits] == [("config/limits.yaml", 1), ("src/ledger.rs", 9), ("src/use.rs", 2)]
     assert s.stage == "rg-global" and all(t["score"] == pytest.approx(0.95) for t in s.top_hits)
-    assert s.metrics == {"precision": 0.0, "density": 0.67, "clustering": 0.42, "reward": 0.26}
-    assert s.top_hits[1]["body"].startswith("pub fn") and s.top_hits[0]["body"] is None
-    assert s.top_hits[1]["auto"] and s.top_hits[1]["expanded_snippet"] == "1 pub fn sign_in(user: &str) -> bool {\n2     check(user)\n3 }\n"
-    assert s.queries[4:6] == ["fn sign_in", "impl sign_in"] and s.queries[3] == "In\\.sign_in"
+    assert s.metrics == {"precision": 0.0, "density": 0.5, "clustering": 0.33, "reward": 0.2}
+    assert s.top_hits[1]["body"].startswith("mod bank") and s.top_hits[0]["body"] is None and s.auto_expanded_context
+    assert s.top_hits[2]["expanded_snippet"] == "1 fn run(a: &mut Account) {\n2     a.post_entry(3);\n3 }\n"
+    assert s.queries[4:6] == ["fn post_entry", "impl post_entry"] and s.queries[3] == "Entry\\.post_entry"
+    assert [(h["line"], h["kind"]) for h in s.top_hits[1]["hints"]] == [(1, "module"), (6, "impl"), (7, "attribute"), (9, "declaration")]
+    assert [(h["line"], h["kind"], h["label"]) for h in s.top_hits[2]["hints"]] == [(1, "declaration", "fn run(a: &mut Account) {")]
+    assert not s.top_hits[0]["hints"] and s.cycle_ms == sum(s.stage_ms.values()) and s.language_metrics["rust"]["n_verify"] == 2
     record = json.loads((tmp_path / "search.log.jsonl").read_text())
-    assert record["symbol"] == "sign_in" and record["status"] == "ok" and record["summary"]["top_hits"]
+    assert record["symbol"] == "post_entry" and record["status"] == "ok" and record["summary"]["top_hits"][1]["hints"]
 
 
-def test_stages_after_an_empty_one(spark, root):
+def test_swift_hits_have_hints_and_their_snippet(spark, root):
+    s = search(spark, SearchSpec("refreshAll(", root=root, language="swift", context_before=1, context_after=1))
+    hit = s.top_hits[0]
+    assert s.stage == "rg-scoped" and (hit["path"], hit["line_no"], hit["context_start"], hit["context_end"]) == ("Sources/Feed/Store.swift", 8, 7, 9)
+    assert hit["short"] == "extension Feed { :: public func refreshAll(page: Int) async { [async] [public] [@MainActor] [@discardableResult]"
+    assert [(h["line"], h["kind"]) for h in hit["hints"]] == [(5, "extension"), (6, "attribute"), (7, "attribute"), (8, "declaration")]
+    assert hit["body"] and not hit["auto"]
+
+
+def test_candidates_come_from_all_sources_in_order(spark, root):
+    engine = Engine(spark, tree_files(spark, root))
+    engine.state.symbol_hits["Store"] = ["src/use.rs", "gone.rs", "Package.swift"]
+    engine.state.directory_scores = {"Sources/Feed": 3, "src": 2}
+    found = engine.candidates(SearchSpec("Store", language="auto-swift-rs")).orderBy("src_rank", "pos").collect()
+    assert [(r.path, r.src_rank) for r in found] == [("Sources/Feed/Store.swift", 0), ("src/use.rs", 1), ("Package.swift", 1), ("src/ledger.rs", 2)]
+
+
+def test_dollar_symbols_get_structure(spark, root):
+    s = search(spark, SearchSpec("$price", root=root, language="ts"))
+    assert {(t["line_no"], t["origin"]) for t in s.top_hits} == {(1, "ast-grep"), (2, "ast-grep"), (3, "ast-grep")} and s.metrics["precision"] == 1.0
+    lines = lines_of(tree_files(spark, root))
+    found = structure.rule_matches(lines, "$price", ["ts"]).groupBy("line_no").agg(F.sort_array(F.collect_set("rule")).alias("r")).collect()
+    assert {r.line_no: r.r for r in found} == {1: ["identifier", "variable"], 2: ["identifier"], 3: ["identifier"]}
+    assert structure.rule_matches(lines, "kept_thing", ["python"]).count() == 0
+    assert structure.rule_matches(lines, "post_entry_limit", ["python"]).count() == 1
+    assert not structure.rule_matches(lines, "$price", []).collect()
+    assert structure.rule_matches(lines, "$price", ["ts"], 2).select("line_no").distinct().count() == 2
+
+
+def test_stages_after_an_empty_one(spark, root, tmp_path):
     files = tree_files(spark, root)
-    engine = Engine(spark, files)
-    found = engine.search(SearchSpec("Loader {", language="swift"))
-    assert found.stage == "rg-scoped" and {t["path"] for t in found.top_hits} == {"App.swift"}
-    assert engine.search(SearchSpec("Loader {", language="swift")).top_hits == []  # seen before
+    engine = Engine(spark, files, index_dir=str(tmp_path / "ix"))
+    found = engine.search(SearchSpec("Feed {", language="swift"))
+    assert found.stage == "rg-scoped" and {t["path"] for t in found.top_hits} == {"Sources/Feed/Store.swift"}
+    assert engine.search(SearchSpec("Feed {", language="swift")).top_hits == []  # seen before
     none = engine.search(SearchSpec("absent_thing", use_index=True))
-    assert none.stage == "" and none.metrics["reward"] == 0 and not none.top_hits
+    assert none.stage == "" and none.metrics["reward"] == 0 and not none.top_hits and (tmp_path / "ix" / "stats" / "_SUCCESS").exists()
+    built = (tmp_path / "ix" / "stats" / "_SUCCESS").stat().st_mtime_ns
+    indexed = engine.search(SearchSpec("Nothing here", use_index=True))
+    assert indexed.stage == "rg-indexed" and [t["path"] for t in indexed.top_hits] == ["docs/loadRows_notes.md"] and indexed.top_hits[0]["score"] == pytest.approx(1.1)
+    assert (tmp_path / "ix" / "stats" / "_SUCCESS").stat().st_mtime_ns == built  # opened, not built again
     pages = spark.createDataFrame([("http://x", 3, "an absent_thing in a page")], "url string, line_no long, line string")
     rich = Engine(spark, files, pages).search(SearchSpec("absent_thing", use_pages=True))
     assert rich.stage == "rga" and rich.top_hits[0]["path"] == "http://x" and rich.top_hits[0]["score"] == pytest.approx(0.8)
+    odd = Engine(spark, files, pages).search(SearchSpec("absent(", use_pages=True))
+    assert odd.stage == "" and odd.warnings[-1].startswith("rga: ")  # no pattern: a warning
+
+
+def test_slow_stages_are_cancelled(spark):
+    from siftwell.plans.search import _limit
+
+    slow = spark.range(0, 1 << 40, 1, 4).where("sha2(cast(id as string), 256) = 'x'")
+    with pytest.raises(Exception, match="(?i)cancel"), _limit(spark, 0.5):
+        slow.isEmpty()
+
+
+def test_ignore_files(spark, root):
+    paths = {r.path for r in tree_files(spark, root).select("path").collect()}
+    assert paths == {p for p in TREE if not p.startswith((".", "build")) and p not in ("src/gen/made.rs", "src/gen/.gitignore", "run.log", "empty.rs")} | {"bad.rs"}
+    for rule, yes, no in (("/a/*.x", ["a/b.x"], ["c/a/b.x", "a/b/c.x"]), ("**/tmp/", ["tmp/a", "a/tmp/b"], ["tmp"]), ("doc/**", ["doc/a/b"], ["doc", "x/doc/a"]), ("f?o[!0-9]", ["fxoa", "z/fxob/c"], ["fxo1", "foa"])):
+        pattern, ignores = ignore_rule(rule, "")
+        assert ignores and all(re.match(pattern, p) for p in yes) and not any(re.match(pattern, p) for p in no), rule
+    assert ignore_rule("# x", "") is None and ignore_rule("!a", "d") == ("^d/(?:.*/)?a(?:/.*)?$", False)
+
+
+def test_snippets_of_several_lines(spark):
+    ts = {"// c\ntype A = 1\nconst f = () => use(1)\n": "const f = () => use(1) [arrow]", "x\n<Tag a>\ny": "<Tag a>", "// only": "// only", "a\nexport const b: Promise<X> = async () => 1": "export const b: Promise<X> = async () => 1 [async] [promise] [arrow] [generic]", " \n": None}
+    swift = {
+        "@A\nstruct S<T> {\n@B\n  private func f(\n": "struct S<T> { [generic] [@A] [@B]", "extension E {\n @C\n func g()\n   async throws\n   -> Int {\n x": "extension E { [@C]", "@D\n func h()\n async\n\n where T": "func h() async [async] [@D]", "let x = await y": "let x = await y [await]", "\n": None,
+    }
+    for cases, f in ((ts, snippets.typescript), (swift, lambda x: snippets.swift(x, F.lit(None).cast("string"), F.lit(None).cast("array<string>")))):
+        rows = spark.createDataFrame([(t,) for t in cases], "t string")
+        assert {r.t: r.v for r in rows.select("t", f(F.col("t")).alias("v")).collect()} == cases
+
+
+def test_command_line(spark, root, tmp_path, capsys):
+    from siftwell.__main__ import main
+
+    assert main(["--disable-telemetry", "search", "refresh", "--path", root, "--language", "swift"]) == 0
+    assert [t["path"] for t in json.loads(capsys.readouterr().out)["top_hits"]] == ["Sources/Feed/Store.swift"] * 3
+    assert main(["search", " "]) == 2
+    (tmp_path / "s.json").write_text(json.dumps([{"name": "a", "symbol": "kept_thing", "expected": {"path": "kept.rs"}}]))
+    assert main(["bench", "--scenarios", str(tmp_path / "s.json"), "--path", root, "--iterations", "1", "--output", str(tmp_path)]) == 0
+    assert json.loads((tmp_path / "benchmark-summary.jsonl").read_text())["totals"]["success_rate"] == 1.0
+
+
+def test_p95_by_the_exclusive_rule(spark):
+    import statistics
+
+    rng = random.Random(3)
+    sizes = {"one": 1, "few": 19, "some": 20, "ties": 3000, "many": 120_000, None: 40}
+    data = {k: [float(rng.randrange(7)) if k == "ties" else rng.expovariate(0.1) for _ in range(n)] for k, n in sizes.items()}
+    runs = spark.createDataFrame([(k, v) for k, vs in data.items() for v in vs], "name string, ms double")
+    for r in observe.latency_summary(runs).collect():
+        v = data[r.name]
+        assert r.n == len(v) and r.p95_ms == pytest.approx(max(v) if len(v) < 20 else statistics.quantiles(v, n=20)[18], abs=1e-6), r.name
 
 
 def test_long_line_widens_context(spark, root):
@@ -94,8 +193,8 @@ def test_state_is_replaced_whole_and_bounded(tmp_path):
 def test_index_on_disk(spark, root, tmp_path):
     files = tree_files(spark, root, ["rs", "swift", "tsx"])
     write_index(files, str(tmp_path / "ix"), 4)
-    found, stats = read_index(spark, str(tmp_path / "ix"), "loadUser guest", 4)
-    assert [r.path for r in search_index(found, stats, "loadUser guest", 5).collect()] == ["src/auth.rs", "src/view.tsx"]
+    found, stats = read_index(spark, str(tmp_path / "ix"), "loadRows run", 4)
+    assert [r.path for r in search_index(found, stats, "loadRows run", 5).collect()] == ["src/use.rs", "web/chart.tsx"]
     assert not search_index(found, stats, " ", 5).collect()
 
 
@@ -139,7 +238,7 @@ def test_windows_equal_loops(spark, lines):
 
 def test_hits_equal_union_of_rewrites(spark, root):
     lines = lines_of(tree_files(spark, root))
-    for symbol, language in (("sign_in", "rust"), ("loadUser", "ts"), ("load", "swift")):
+    for symbol, language in (("post_entry", "rust"), ("loadRows", "ts"), ("refresh", "swift")):
         queries = [r.query for r in rewrite.rewritten(spark.createDataFrame([(symbol,)], "symbol string"), language).collect()]
         union = lines.where(" OR ".join(f"line RLIKE r'{q}'" for q in queries))
         assert union.count() == lines.where(F.contains("line", F.lit(symbol))).count() > 0
@@ -159,7 +258,7 @@ def test_expectations(spark):
 def test_scenarios(spark, root, tmp_path):
     from siftwell.plans import scenarios
 
-    (tmp_path / "s.json").write_text(json.dumps([{"name": "rust", "symbol": "sign_in", "language": "rust", "expected": {"path": "auth.rs", "line": 1, "top_n": 3}}, {"name": "miss", "symbol": "absent_thing"}]))
+    (tmp_path / "s.json").write_text(json.dumps([{"name": "rust", "symbol": "post_entry", "language": "rust", "expected": {"path": "ledger.rs", "line": 9, "top_n": 3}}, {"name": "miss", "symbol": "absent_thing"}]))
     runs = scenarios.run_scenarios(spark, scenarios.read_scenarios(spark, str(tmp_path / "s.json")), root, iterations=2)
     report = observe.scenario_report(runs).cache()
     assert {r.name: (r.iterations, r.success_rate) for r in report.collect()} == {"rust": (2, 1.0), "miss": (2, 0.0), None: (4, 0.5)}
