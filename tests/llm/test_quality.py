@@ -42,3 +42,31 @@ def test_isotonic_pools_what_falls():
 def test_statistics():
     assert len(statistics("a b")) == len(NAMES) and statistics(None) == statistics(" \n") == [0.0] * len(NAMES)
     assert FEATURES > len(NAMES)
+
+
+def test_fit_equals_one_solution_in_memory(spark, sf):
+    """Partition sums and pooling against all rows at once, and the min-max formula of rising functions."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from siftwell.llm.quality import RIDGE, fit, isotonic, measure, statistics
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col("quality").cast("double").alias("label"))
+    train = measure(docs, ["doc_id"]).join(labels, "doc_id").cache()
+    model = fit(train)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = [(texts[r.doc_id], r.label) for r in train.collect()]
+    x, y = np.array([statistics(t) for t, _ in rows]), np.array([v for _, v in rows])
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, np.maximum(x.std(axis=0), 1e-6), atol=1e-9)
+    z = np.sqrt(2 / 256) * np.cos(np.clip((x - model.mean) / model.scale, -8, 8) @ model.waves + model.phase)
+    z = np.hstack([z, np.ones((len(x), 1))])
+    weights = np.linalg.lstsq(np.vstack([z, np.sqrt(RIDGE) * np.eye(257)]), np.append(y, np.zeros(257)), rcond=None)[0]
+    assert np.allclose(model.raw(x), z @ weights, atol=1e-6)
+
+    score, label = np.random.default_rng(5).normal(size=60), np.random.default_rng(6).integers(0, 2, 60).astype(float)
+    steps, levels = isotonic(score, label)
+    order = np.lexsort((label, score))
+    s, v = score[order], label[order]
+    best = [max(min(v[a : b + 1].mean() for b in range(i, 60)) for a in range(i + 1)) for i in range(60)]
+    assert np.allclose(sorted(set(np.round(best, 9))), np.round(np.unique(np.round(levels, 9)), 9)) and np.all(np.diff(steps) > 0)
