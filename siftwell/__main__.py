@@ -1,4 +1,4 @@
-"""The command line: python -m siftwell search SYMBOL, and python -m siftwell bench."""
+"""The command line: python -m siftwell search SYMBOL, python -m siftwell bench, and python -m siftwell serve."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 from siftwell.operators import observe
 from siftwell.plans.scenarios import append_report, read_scenarios, run_scenarios
 from siftwell.plans.search import SearchSpec, search
+from siftwell.plans.serve import Service
 
 
 def parser() -> argparse.ArgumentParser:
@@ -32,6 +33,12 @@ def parser() -> argparse.ArgumentParser:
     find.add_argument("--disable-ast-grep", dest="use_structure", action="store_false")
     for folder in ("state-path", "log-dir", "index-dir"):
         find.add_argument(f"--{folder}")
+    serve = commands.add_parser("serve", help="answer searches over HTTP")
+    serve.add_argument("--path", dest="root", default=".")
+    serve.add_argument("--host", default="127.0.0.1")
+    serve.add_argument("--port", type=int, default=8080)
+    serve.add_argument("--max-matches", type=int, default=20)
+    serve.add_argument("--index-dir")
     bench = commands.add_parser("bench", help="time the searches of a scenario file")
     bench.add_argument("--scenarios", required=True)
     bench.add_argument("--path", dest="root", default=".")
@@ -52,6 +59,9 @@ def main(argv: list[str] | None = None) -> int:
             return 2
         print(json.dumps(json.loads(search(spark, spec).to_json()), indent=2))
         return 0
+    if command == "serve":
+        with Service(spark, {k: args[k] for k in ("root", "max_matches", "index_dir")} | {"telemetry": telemetry}, (args["host"], args["port"])) as service:
+            service.serve_forever()
     report = observe.scenario_report(run_scenarios(spark, read_scenarios(spark, args["scenarios"]), args["root"], args["iterations"])).persist()
     print(json.dumps([r.asDict() for r in report.collect()], indent=2))
     if args["output"]:

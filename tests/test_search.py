@@ -148,6 +148,31 @@ def test_command_line(spark, root, tmp_path, capsys):
     assert json.loads((tmp_path / "benchmark-summary.jsonl").read_text())["totals"]["success_rate"] == 1.0
 
 
+def test_service(spark, root):
+    from threading import Thread
+    from urllib.error import HTTPError
+    from urllib.request import Request, urlopen
+
+    from siftwell.plans.serve import Service
+
+    def ask(path, body=None):
+        with urlopen(Request(url + path, None if body is None else json.dumps(body).encode())) as r:
+            return r.read().decode()
+
+    with Service(spark, {"root": root, "max_matches": 5}) as service:
+        Thread(target=service.serve_forever, daemon=True).start()
+        url = f"http://127.0.0.1:{service.server_address[1]}"
+        assert json.loads(ask("/healthz")) == {"status": "ok"} and ask("/metrics") == ""
+        found = json.loads(ask("/search", {"symbol": "kept_thing", "root": "src", "language": "", "context_before": 0}))["summary"]
+        assert [(t["path"], t["line_no"]) for t in found["top_hits"]] == [("gen/kept.rs", 1)]
+        assert 'stages_total{label="rg-global"} 1' in ask("/metrics")
+        for path, body, status in (("/search", {"symbol": " "}, 400), ("/search", [1], 400), ("/nothing", None, 404)):
+            with pytest.raises(HTTPError) as e:
+                ask(path, body)
+            assert e.value.code == status
+        service.shutdown()
+
+
 def test_p95_by_the_exclusive_rule(spark):
     import statistics
 
