@@ -6,6 +6,8 @@ containment even when one text is far longer, since both keep the same part of t
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,8 @@ SHARE = 1 / 8
 ROWS = 1000
 """Documents of one id range; ranges are windows' partitions."""
 COARSE, MOST_RANGES = 64, 20_000
-"""Ranges cut at quantiles, and most ranges in all: the table of their first rows is broadcast. Beyond that ranges hold more rows."""
+"""Quantiles within which quantiles are taken, and most ranges in all: the table of their first rows is broadcast. Of more
+documents than ROWS times that a range holds more than ROWS; its window sorts, so it may spill, and needs no more memory."""
 
 
 def sketch(text: Column, k: int = WORDS, share: float = SHARE) -> Column:
@@ -59,6 +62,44 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lower(F.hex(x))), ",")
 
 
+def _ranges(docs: DataFrame, rows: int) -> tuple[list[tuple], list[int], int, int]:
+    """Ranges of ids by descending id, of about equally many documents each: ((coarse, above, top, part, slots) of each,
+    the coarse ranges' tops, the part of null ids, and its slots).
+
+    Cuts are quantiles of quantiles, so at most MOST_RANGES numbers reach the driver. An id at which several cuts fall has
+    many documents: it is a range of its own, with as many slots, into which its documents go by their texts' hashes.
+    """
+    coarse_at = [i / COARSE for i in range(1, COARSE)]
+    total, known, low, high, cuts = docs.agg(F.count("*"), F.count("doc_id"), F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", coarse_at, 10_000)).first()
+    per = max(rows, -(-total // MOST_RANGES))
+    if not known:
+        return [], [0], 0, max(1, total // per)
+    edges = sorted({high, *(c for c in cuts if c < high)}, reverse=True)
+    fine = max(1, min(MOST_RANGES // COARSE, -(-total // per)))
+    fine_at = [i / fine for i in range(1, fine + 1)]
+    held = docs.where("doc_id IS NOT NULL").select("doc_id", _coarse(edges).alias("c")).groupBy("c").agg(F.percentile_approx("doc_id", fine_at, 10_000).alias("cuts"), F.max("doc_id").alias("top"), F.count("*").alias("n")).collect()
+    ranges, part = [], 0
+    for r in sorted(held, key=lambda r: r["c"]):
+        wanted = max(1, min(fine, r["n"] // per))
+        tops = Counter(r["cuts"][-(-i * fine // wanted) - 1] for i in range(1, wanted + 1))
+        tops.setdefault(r["top"], 1)
+        order = sorted(tops, reverse=True)
+        for top, below in zip(order, [*order[1:], edges[r["c"] + 1] if r["c"] + 1 < len(edges) else low - 1], strict=True):
+            # So many rows have this id, by the fine cuts that fall on it.
+            slots = max(1, r["cuts"].count(top) * r["n"] // (fine * per))
+            hot = slots > 1
+            for above, most, n in ([(top - 1, top, slots)] if hot else []) + ([(below, top - hot, 1)] if top - hot > below else []):
+                ranges.append((r["c"], above, most, part, n))
+                part += n
+    return ranges, edges, part, max(1, (total - known) // per)
+
+
+def _coarse(edges: list[int]) -> Column:
+    """Which of the descending edges an id lies at or below, the last such."""
+    known = F.array(*map(F.lit, edges))
+    return F.size(F.filter(known, lambda e: e >= F.col("doc_id"))) - 1
+
+
 def with_next(docs: DataFrame, make: dict[str, Column], rows: int | None = None) -> DataFrame:
     """(doc_id, text, made columns) and next_* of each for the document that follows by descending id; the first follows the last.
 
@@ -67,20 +108,15 @@ def with_next(docs: DataFrame, make: dict[str, Column], rows: int | None = None)
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     spark = docs.sparkSession
-    cuts_at = [i / COARSE for i in range(1, COARSE)]
-    total, low, high, cuts = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", cuts_at, 10_000)).first()
-    edges = sorted({high, *(c for c in cuts or [] if c < high)}, reverse=True) if high is not None else []
-    ends = [*edges[1:], low - 1] if edges else []
-    fine = max(1, min(MOST_RANGES, total // (rows or ROWS)) // max(1, len(edges)))
-    # Coarse ranges hold about equally many documents; each is cut into ids' ranges of equal width.
-    known = F.array(*(F.struct(F.lit(e).alias("top"), F.lit(max(1, -(-(e - z) // fine))).alias("width")) for e, z in zip(edges, ends, strict=True)))
-    coarse = F.size(F.filter(known, lambda e: e["top"] >= F.col("doc_id"))) - 1
-    within = _let(F.get(known, coarse), lambda e: F.floor((e["top"] - F.col("doc_id")) / e["width"]))
-    part = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(coarse * fine + within) if edges else F.lit(-1)
-    part = part.cast("long")
-    placed = docs.withColumn("_part", part).withColumn("_hash", F.xxhash64("text"))
+    ranges, edges, null_part, null_slots = _ranges(docs.select("doc_id"), rows or ROWS)
+    table = F.broadcast(spark.createDataFrame(ranges, "c int, above long, top long, first long, slots long"))
+    hashed = docs.withColumn("_hash", F.xxhash64("text")).withColumn("_coarse", _coarse(edges))
+    inside = (F.col("_coarse") == F.col("c")) & (F.col("doc_id") > F.col("above")) & (F.col("doc_id") <= F.col("top"))
+    slots = F.coalesce("slots", F.lit(null_slots))
+    slot = F.least(slots - 1, F.floor((F.col("_hash").cast("double") / float(1 << 64) + 0.5) * slots))
+    placed = hashed.join(table, inside, "left").select("doc_id", "text", "_hash", (F.coalesce("first", F.lit(null_part)) + slot).cast("long").alias("_part"))
     heads = placed.groupBy("_part").agg(F.max(F.struct("doc_id", F.bitwise_not("_hash").alias("h"))).alias("head")).collect()
-    heads.sort(key=lambda r: (r["_part"] == -1, r["_part"]))
+    heads.sort(key=lambda r: r["_part"])
     tops = [(r["_part"], heads[i - 1]["_part"], r["head"]["doc_id"], ~r["head"]["h"]) for i, r in enumerate(heads)]
     tops = F.broadcast(spark.createDataFrame(tops, "p long, before long, id long, h long"))
     is_head = (F.col("_part") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("h"))

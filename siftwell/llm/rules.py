@@ -25,7 +25,13 @@ def _let(value: Column, body) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    def filled(parts: Column) -> Column:
+        # Separators are whole runs, so only the first and the last piece can be empty.
+        first, last = F.get(parts, F.lit(0)) == "", F.get(parts, F.size(parts) - 1) == ""
+        n = F.size(parts) - first.cast("int") - last.cast("int")
+        return F.slice(parts, first.cast("int") + 1, F.greatest(n, F.lit(0)))
+
+    return _let(F.split(F.coalesce(text, F.lit("")), SPACE), filled)
 
 
 def repeat_words(words: Column) -> Column:

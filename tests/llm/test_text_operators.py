@@ -302,3 +302,24 @@ def test_trigram_queries_demand_every_run():
     assert held(secrets.RULES["jwt"][0]) == [[".ey", "eyj"]]
     begin, key = ["---", "--b", "-be", "beg", "egi", "gin", "in "], ["pri", "riv", "iva", "vat", "ate", "te ", "e k", " ke", "key", "ey-", "y--", "---"]
     assert held("-----BEGIN [A-Z ]*PRIVATE KEY-----") == [sorted({*begin, *key})]
+
+
+def test_a_hot_id_and_null_ids_are_split(spark):
+    from siftwell.llm.fingerprints import with_next
+
+    rows = [(7, f"hot {i}") for i in range(300)] + [(None, f"none {i}") for i in range(200)] + [(i * i, f"t{i}") for i in range(100)] + [(7, "hot 1"), (10**15, "far"), (-5, "low")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [(r.doc_id, r.text, r.next_text) for r in with_next(docs, {}, rows=20).collect()]
+
+    def signed(t):
+        h = xxhash.xxh64_intdigest(t.encode(), 42)
+        return h - (1 << 64) if h >> 63 else h
+
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1])))
+    assert sorted(found, key=str) == sorted([(i, t, order[(at + 1) % len(order)][1]) for at, (i, t) in enumerate(order)], key=str)
+    from pyspark.sql import functions as F
+
+    from siftwell.llm.fingerprints import _ranges
+
+    ranges, _, null_part, null_slots = _ranges(docs.select(F.col("doc_id")), 20)
+    assert null_slots >= 5 and max(r[4] for r in ranges if r[2] == 7) >= 5 and null_part >= 20
