@@ -88,8 +88,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = store(docs)
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        done = store(stage(spark, docs, sf_dir))
+        if i:
+            drop(docs)
+        docs = done
+    return STAGES[-1][1](spark, docs, sf_dir)
