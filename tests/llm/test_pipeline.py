@@ -95,3 +95,11 @@ def test_stage_values(spark, sf):
     for r in corpus_pipeline.tokens(spark, docs, sf).collect():
         ids = tokenizer.encode(rows[r.doc_id].text or "", add_special_tokens=False).ids
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+
+
+def test_run_is_all_stages(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = store(stage(spark, docs, sf))
+    found = [sorted(map(tuple, d.collect())) for d in (corpus_pipeline.run(spark, sf), docs)]
+    assert found[0] == found[1] and len(found[0]) > 50
