@@ -29,24 +29,35 @@ NEAR = 1e-9
 SALTS = 64
 
 
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """sizes, stored, with each source's rank by code point, null last. Ranges of sources are numbered apart, so no task holds all."""
+    ranged = store(sizes.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("_part", F.spark_partition_id()))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    # One row a range meets here.
+    starts = ranged.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(before, F.lit(0))).drop("_n")
+    here = F.row_number().over(Window.partitionBy("_part").orderBy(F.col("source").asc_nulls_last())) - 1
+    return store(ranged.join(F.broadcast(starts), "_part").withColumn("_rank", here + F.col("_start")).drop("_part", "_start"))
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST) -> DataFrame:
     """(source, source_size, target) from (source, source_size); sources by code point, null last, weigh in turn.
 
     All sizes are shared by weight; what exceeds `most` times a source's size is shared again among the others. That ends
-    where every source has min(most * size, level * weight), and the level is found from sums in order of size / weight.
+    where every source has min(most * size, level * weight). The level rises while a round finds more sources at their
+    caps, and each round is one sum over the sources.
     """
-    ranked = sizes.withColumn("_rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
     weight = F.get(F.array(*map(F.lit, weights)), F.pmod("_rank", F.lit(len(weights))).cast("int"))
-    ranked = ranked.withColumn("_w", weight).withColumn("_cap", F.lit(float(most)) * F.col("source_size"))
-    order = Window.orderBy(F.col("_cap") / F.col("_w"), "_rank")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    left = F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))
-    level = left / F.sum("_w").over(after)
-    # Levels rise along this order while sources reach their caps; the first that stays below its cap sets it for all.
-    free = F.when(level * F.col("_w") <= F.col("_cap"), level)
-    ranked = ranked.withColumn("_level", free)
-    level = F.coalesce(F.first("_level", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(float("inf")))
-    return ranked.withColumn("target", F.least(F.col("_cap"), level * F.col("_w"))).drop("_rank", "_w", "_cap", "_level")
+    ranked = _ranked(sizes).withColumns({"_w": weight, "_cap": F.lit(float(most)) * F.col("source_size")})
+    total = ranked.agg(F.sum("source_size")).first()[0] or 0
+    level, capped = 0.0, -1
+    while True:
+        full = F.col("_cap") < level * F.col("_w")
+        n, held, free = ranked.agg(F.count(F.when(full, 1)), F.sum(F.when(full, F.col("_cap")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("_w")))).first()
+        if n == capped:
+            break
+        capped = n
+        level = (total - held) / free if free else float("inf")
+    return ranked.withColumn("target", F.least(F.col("_cap"), level * F.col("_w"))).drop("_rank", "_w", "_cap")
 
 
 def _flight(p: list[float], size: list[float], seed: int = 0) -> list[float]:
