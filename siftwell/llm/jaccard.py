@@ -80,11 +80,12 @@ def _counts(docs: DataFrame, k: int, common: int) -> DataFrame:
     """(token, n): the low half of each token that at least `common` sets hold, and in how many rows it is.
 
     Tasks count PACKED tokens at a time and send each bucket its values and counts as packed numbers, so a token that all
-    documents hold is sent once a pack. The number of buckets follows the input, so one never holds much more than a pack.
+    documents hold is sent once a pack. The number of buckets follows the input, so one holds about eight packs at any
+    size; a task adds up its buckets one by one.
     """
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // (4 * PACKED)))
-    buckets = np.uint64(parts)
+    wanted = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), chars // (40 * PACKED))
+    buckets = np.uint64(wanted)
     names = ["bucket", "values", "counts"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,22 +111,28 @@ def _counts(docs: DataFrame, k: int, common: int) -> DataFrame:
         yield flush()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for batch in batches:
-            for bucket, v, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                held.setdefault(bucket, []).append((np.frombuffer(v, np.uint32), np.frombuffer(c, np.uint32)))
-        while held:
-            _, packs = held.popitem()
-            v, c = (np.concatenate(x) for x in zip(*packs, strict=True))
+        def whole(packs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+            v, c = (np.frombuffer(b"".join(x), np.uint32) for x in zip(*packs, strict=True))
             order = np.argsort(v)
             v, c = v[order], c[order].astype(np.int64)
             at = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
             n = np.add.reduceat(c, at)
             good = n >= common
-            yield pa.RecordBatch.from_arrays([pa.array(v[at][good].view(np.int32)), pa.array(n[good])], names=["token", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(v[at][good].view(np.int32)), pa.array(n[good])], names=["token", "n"])
+
+        now, held = None, []
+        for batch in batches:
+            for bucket, v, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if bucket != now and held:
+                    yield whole(held)
+                    held = []
+                now = bucket
+                held.append((v, c))
+        if held:
+            yield whole(held)
 
     packed = docs.select("text").mapInArrow(pack, "bucket long, values binary, counts binary")
-    return packed.repartition(parts, "bucket").mapInArrow(add, "token int, n long")
+    return packed.repartition(min(wanted, 20_000), "bucket").sortWithinPartitions("bucket").mapInArrow(add, "token int, n long")
 
 
 def _levels(docs: DataFrame, k: int, bits: int, common: int) -> np.ndarray:
