@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,8 +37,11 @@ def typescript(text: Column) -> Column:
     told = F.filter(lines, lambda x: ~F.startswith(x, F.lit("//")))
     angled = F.filter(told, lambda x: F.startswith(x, F.lit("<")) | (F.contains(x, F.lit("<")) & F.contains(x, F.lit(">"))))
     named = F.filter(told, lambda x: x.rlike("^(export|type |interface )|=>"))
-    line = F.coalesce(F.get(angled, F.lit(0)), F.try_element_at(named, F.lit(-1)), F.get(lines, F.lit(0)))
+    picked = F.coalesce(F.get(angled, F.lit(0)), F.try_element_at(named, F.lit(-1)), F.get(lines, F.lit(0)))
+    return _let(F.struct(picked.alias("line"), F.get(angled, F.lit(0)).isNotNull().alias("angled")), lambda p: _tagged_typescript(p["line"], p["angled"]))
+
 
+def _tagged_typescript(line: Column, angled: Column) -> Column:
     def holds(*parts: str) -> Column:
         test = F.lit(False)
         for p in parts:
@@ -49,7 +54,7 @@ def typescript(text: Column) -> Column:
         _tag(holds("<") & holds(">"), "generic"), _tag(holds("satisfies "), "satisfies"),
     )
     short = collapse(line)
-    return F.when(F.get(angled, F.lit(0)).isNotNull() & F.startswith(line, F.lit("<")), short).otherwise(F.concat(short, tags))
+    return F.when(angled & F.startswith(line, F.lit("<")), short).otherwise(F.concat(short, tags))
 
 
 # What begins a Swift declaration, and a line that carries one on.
@@ -57,37 +62,65 @@ SWIFT_OPENS = "^(func |protocol |extension |struct |class |actor |enum |init[( ]
 SWIFT_GOES_ON = r"^(\)|async|throws|rethrows|->|where |some )"
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value written once into the plan."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def swift(text: Column, context: Column, marks: Column) -> Column:
     """The declaration with the lines that carry it on, with tags, after its type's line and before its attributes.
 
     context: the enclosing type's line or null; marks: attributes above, an array or null. Attributes among the text's own
     lines come too, and so does a type right above the declaration there.
     """
-    lines = _lines(text)
-    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    filled = F.filter(numbered, lambda s: s["x"] != "")
-    opening = F.get(F.filter(filled, lambda s: s["x"].rlike(SWIFT_OPENS)), F.lit(0))
-    at = F.coalesce(opening["i"], F.get(filled, F.lit(0))["i"])
-    after = F.slice(lines, at + 2, F.size(lines))
-    ends = F.get(F.filter(F.transform(after, lambda x, i: F.struct(i.alias("i"), (~(x.rlike(SWIFT_GOES_ON) | F.startswith(x, F.lit("@")))).alias("end"))), lambda s: s["end"]), F.lit(0))["i"]
-    more = F.slice(after, 1, F.coalesce(ends, F.size(after)))
-    whole = collapse(F.array_join(F.concat(F.array(F.get(lines, at)), F.filter(more, lambda x: ~F.startswith(x, F.lit("@")))), " "))
-    before = F.filter(F.slice(lines, F.lit(1), at), lambda x: x != "")
-    nearest = F.try_element_at(F.filter(before, lambda x: ~F.startswith(x, F.lit("@"))), F.lit(-1))
-    inner = F.when(nearest.rlike("^(extension|struct|class|protocol|actor|enum) "), collapse(nearest))
-    own = F.transform(F.filter(F.concat(before, more), lambda x: F.startswith(x, F.lit("@"))), collapse)
-    lowered = F.lower(whole)
-    access = F.lit("")
-    for word in ("open", "fileprivate", "private", "internal", "public"):
-        access = F.when(lowered.rlike(f"^{word}| {word}[ (]"), F.lit(f" [{word}]")).otherwise(access)
-    tags = F.concat(_tag(F.contains(whole, F.lit("async")), "async"), _tag(F.contains(lowered, F.lit("await ")), "await"), access, _tag(F.contains(whole, F.lit("<")) & F.contains(whole, F.lit(">")), "generic"))
-    every = F.array_distinct(F.concat(F.coalesce(marks, F.array().cast("array<string>")), own))
-    tail = F.array_join(F.transform(every, lambda m: F.concat(F.lit(" ["), m, F.lit("]"))), "")
-    head = F.coalesce(F.concat(F.coalesce(inner, context), F.lit(" :: ")), F.lit(""))
-    return F.when(at.isNull(), F.lit(None).cast("string")).otherwise(F.concat(head, whole, tags, tail))
-
-
-def formatted(text: Column, ext: Column, context: Column, marks: Column) -> Column:
-    """A snippet by the file's language."""
-    e = F.lower(ext)
-    return F.when(e == "swift", swift(text, context, marks)).when(e.isin("ts", "tsx"), typescript(text)).otherwise(default(text))
+    none = F.lit(None).cast("string")
+
+    def marked(x: Column) -> Column:
+        return F.startswith(x, F.lit("@"))
+
+    def place(lines: Column) -> Column:
+        filled = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["x"] != "")
+        opening = F.filter(filled, lambda s: s["x"].rlike(SWIFT_OPENS))
+        return F.coalesce(F.get(opening, F.lit(0))["i"], F.get(filled, F.lit(0))["i"])
+
+    def carried_on(after: Column) -> Column:
+        ends = F.filter(F.transform(after, lambda x, i: F.struct(i.alias("i"), (~(x.rlike(SWIFT_GOES_ON) | marked(x))).alias("end"))), lambda s: s["end"])
+        return F.slice(after, F.lit(1), F.coalesce(F.get(ends, F.lit(0))["i"], F.size(after)))
+
+    def tagged(whole: Column) -> Column:
+        lowered = F.lower(whole)
+        access = F.lit("")
+        for word in ("open", "fileprivate", "private", "internal", "public"):
+            access = F.when(lowered.rlike(f"^{word}| {word}[ (]"), F.lit(f" [{word}]")).otherwise(access)
+        generic = F.contains(whole, F.lit("<")) & F.contains(whole, F.lit(">"))
+        return F.concat(whole, _tag(F.contains(whole, F.lit("async")), "async"), _tag(F.contains(lowered, F.lit("await ")), "await"), access, _tag(generic, "generic"))
+
+    def around(lines: Column, at: Column, more: Column) -> Column:
+        whole = collapse(F.array_join(F.concat(F.array(F.get(lines, at)), F.filter(more, lambda x: ~marked(x))), " "))
+        before = F.filter(F.slice(lines, F.lit(1), at), lambda x: x != "")
+        nearest = F.try_element_at(F.filter(before, lambda x: ~marked(x)), F.lit(-1))
+        inner = _let(nearest, lambda x: F.when(x.rlike("^(extension|struct|class|protocol|actor|enum) "), collapse(x)))
+        own = F.transform(F.filter(F.concat(before, more), marked), collapse)
+        every = F.array_distinct(F.concat(F.coalesce(marks, F.array().cast("array<string>")), own))
+        tail = F.array_join(F.transform(every, lambda m: F.concat(F.lit(" ["), m, F.lit("]"))), "")
+        head = F.coalesce(F.concat(F.coalesce(inner, context), F.lit(" :: ")), F.lit(""))
+        return F.concat(head, _let(whole, tagged), tail)
+
+    def picked(lines: Column) -> Column:
+        def from_place(at: Column) -> Column:
+            more = _let(F.slice(lines, at + 2, F.size(lines)), carried_on)
+            return F.when(at.isNull(), none).otherwise(_let(more, lambda m: around(lines, at, m)))
+
+        return _let(place(lines), from_place)
+
+    return _let(_lines(text), picked)
+
+
+def formatted(text: Column, ext: Column, context: Column, marks: Column, extensions: Collection[str] = ("swift", "ts", "tsx")) -> Column:
+    """A snippet by the file's language; extensions: which languages can be there, so that no others are planned."""
+    e, out = F.lower(ext), default(text)
+    if {"ts", "tsx"} & set(extensions):
+        out = F.when(e.isin("ts", "tsx"), typescript(text)).otherwise(out)
+    if "swift" in extensions:
+        out = F.when(e == "swift", swift(text, context, marks)).otherwise(out)
+    return out

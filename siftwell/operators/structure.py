@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Collection
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -109,13 +110,13 @@ def last_modules(lines: DataFrame, anchors: DataFrame, most: int = 3) -> DataFra
     return wanted.join(modules, ["path", "_k"]).select("path", "line_no", "module_line", "module")
 
 
-def context_hints(lines: DataFrame, hits: DataFrame) -> DataFrame:
+def context_hints(lines: DataFrame, hits: DataFrame, extensions: Collection[str] = ("rs", "swift")) -> DataFrame:
     """(path, line_no, hints): for each hit (path, line_no) in a Rust or Swift file what surrounds it, an array of (line,
     kind, label) by line, each once; hits without any are left out.
 
     The anchor is the nearest declaration at or above the hit, else the hit. Rust: attributes above the anchor, the
     declaration, the nearest impl above the anchor, the last modules. Swift: attributes, the nearest type or extension at or
-    above the anchor, the declaration. lines should be those of the hits' files alone.
+    above the anchor, the declaration. lines should be those of the hits' files alone; extensions: which of the two are there.
     """
     low_line = lines.withColumn("_low", low(F.col("line")))
     rust, swift = (low_line.where(F.col("ext") == e) for e in ("rs", "swift"))
@@ -135,14 +136,20 @@ def context_hints(lines: DataFrame, hits: DataFrame) -> DataFrame:
         marked = attributes(held.drop("_low"), mark, anchors).join(anchors.select("path", "hit", "line_no"), ["path", "line_no"])
         return declared.union(hints(marked, "attribute_line", F.lit("attribute"), "attribute"))
 
-    in_rust = anchored(rust, _declares(F.col("_low")))
-    impl = nearest_above(rust, _near("impl[ <(]", F.col("_low")), "i", strict=True).join(in_rust.select("path", "hit", "line_no"), ["path", "line_no"])
-    modules = last_modules(rust.drop("_low"), in_rust).join(in_rust.select("path", "hit", "line_no"), ["path", "line_no"])
-    in_swift = anchored(swift, _signs(F.col("_low")))
-    kind = _type_kind(F.col("_low"))
-    types = nearest_above(swift.withColumn("_kind", kind), F.col("_kind").isNotNull(), "t").join(in_swift.select("path", "hit", "line_no"), ["path", "line_no"])
-    every = above(in_rust, rust, "#[").union(hints(impl, "i_line", F.lit("impl"), "i_text")).union(hints(modules, "module_line", F.lit("module"), "module"))
-    every = every.union(above(in_swift, swift, "@")).union(hints(types, "t_line", _type_kind(F.lower("t_text")), "t_text"))
+    parts = []
+    if "rs" in extensions:
+        in_rust = anchored(rust, _declares(F.col("_low")))
+        impl = nearest_above(rust, _near("impl[ <(]", F.col("_low")), "i", strict=True).join(in_rust.select("path", "hit", "line_no"), ["path", "line_no"])
+        modules = last_modules(rust.drop("_low"), in_rust).join(in_rust.select("path", "hit", "line_no"), ["path", "line_no"])
+        parts += [above(in_rust, rust, "#["), hints(impl, "i_line", F.lit("impl"), "i_text"), hints(modules, "module_line", F.lit("module"), "module")]
+    if "swift" in extensions:
+        in_swift = anchored(swift, _signs(F.col("_low")))
+        kinds = swift.withColumn("_kind", _type_kind(F.col("_low")))
+        types = nearest_above(kinds, F.col("_kind").isNotNull(), "t").join(in_swift.select("path", "hit", "line_no"), ["path", "line_no"])
+        parts += [above(in_swift, swift, "@"), hints(types, "t_line", _type_kind(F.lower("t_text")), "t_text")]
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.union(more)
     rank = F.create_map(*(F.lit(v) for kv in order.items() for v in kv))
     listed = F.sort_array(F.collect_set(F.struct("line", F.element_at(rank, F.col("kind")).alias("o"), "kind", "label")))
     return every.groupBy("path", "hit").agg(F.transform(listed, lambda h: F.struct(h["line"], h["kind"], h["label"])).alias("hints")).withColumnRenamed("hit", "line_no")

@@ -258,15 +258,27 @@ class Engine:
         return Summary(spec.symbol, queries, top, actions, metrics, counts, sum(counts.values()), stage, times, warnings, sum(times.values()), self.startup_ms, any(t["auto"] for t in top), by_language)
 
     def _shown(self, spec: SearchSpec, best: DataFrame) -> DataFrame:
-        """The best hits with their window of lines, body, snippet, hints and label. What is read are these few hits' files."""
+        """The best hits with their window of lines, body, snippet, hints and label.
+
+        The hits are few and so are their files: from here on they are one partition, so nothing is shuffled, and hints are
+        planned only for the languages that the hits have.
+        """
+        rows = best.collect()
+        best = self.spark.createDataFrame(rows, best.schema).coalesce(1)
         shown = ops.with_context(best, self.files, spec.context_before, spec.context_after, want_body=spec.body)
-        near = lines_of(self.files.join(F.broadcast(best.select("path").distinct()), "path", "left_semi")).persist()
-        self._held.append(near)
-        hints = structure.context_hints(near, best.select("path", "line_no"))
-        around = structure.swift_surroundings(near.where("ext = 'swift'")).select("path", "line_no", "context", "marks")
-        shown = shown.join(hints, ["path", "line_no"], "left").join(around, ["path", "line_no"], "left")
+        ext = {r.ext for r in rows if r.ext}
+        hints, context, marks = F.lit(None).cast("array<struct<line: bigint, kind: string, label: string>>"), F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+        if ext & {"rs", "swift"}:
+            near = lines_of(self.files.join(F.broadcast(best.select("path").distinct()), "path", "left_semi").where(F.col("ext").isin("rs", "swift"))).coalesce(1).persist()
+            self._held.append(near)
+            found = structure.context_hints(near, best.select("path", "line_no"), ext & {"rs", "swift"})
+            shown, hints = shown.join(found, ["path", "line_no"], "left"), F.col("hints")
+            if "swift" in ext:
+                around = structure.swift_surroundings(near.where("ext = 'swift'")).select("path", "line_no", "context", "marks")
+                shown, context, marks = shown.join(around, ["path", "line_no"], "left"), F.col("context"), F.col("marks")
         label = ops.origin_label(F.col("origin"), ops.language_of(F.col("ext")))
-        return shown.withColumns({"short": snippets.formatted(F.col("snippet"), F.col("ext"), F.col("context"), F.col("marks")), "origin_label": label}).drop("context", "marks")
+        made = {"hints": hints, "short": snippets.formatted(F.col("snippet"), F.col("ext"), context, marks, ext), "origin_label": label}
+        return shown.withColumns(made).drop("context", "marks")
 
     def _remember(self, spec: SearchSpec, top: list[dict]) -> None:
         self.seen |= {(t["path"], t["line_no"]) for t in top}
