@@ -171,6 +171,7 @@ class Numbered:
 
     def clear(self) -> None:
         self.words: list[str] = []
+        self.raw: dict[int, bytes] = {}
         self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.split: dict[str, int] = {}
 
@@ -200,9 +201,19 @@ class Numbered:
         old = np.append(self.keys, np.uint64(0))[at] == found
         old[at == len(self.keys)] = False
         whole, new = kept.tobytes(), first[~old]
+        # A hash stands for the bytes that it was first met with. Texts in which it hides others are split one by one.
+        false = self.flat.unlike(first[inverse])
+        again = np.flatnonzero(old)
+        met = [whole[a : a + n] == self.raw[s] for a, n, s in zip(self.flat.at[first[again]].tolist(), self.flat.size[first[again]].tolist(), np.append(self.slots, 0)[at[again]].tolist(), strict=True)]
+        if not all(met):
+            false |= np.isin(inverse, again[~np.array(met)])
+        if false.any():
+            apart[np.searchsorted(ends, np.flatnonzero(false), "right") - 1] = True
         slots = np.append(self.slots, 0)[at]
         slots[~old] = np.arange(len(self.words), len(self.words) + len(new))
-        self.words += [whole[a : a + n].decode("utf-8", "replace").lower() for a, n in zip(self.flat.at[new].tolist(), self.flat.size[new].tolist(), strict=True)]
+        raw = [whole[a : a + n] for a, n in zip(self.flat.at[new].tolist(), self.flat.size[new].tolist(), strict=True)]
+        self.raw.update(zip(range(len(self.words), len(self.words) + len(new)), raw, strict=True))
+        self.words += [x.decode("utf-8", "replace").lower() for x in raw]
         self.keys, self.slots = np.insert(self.keys, at[~old], found[~old]), np.insert(self.slots, at[~old], slots[~old])
         numbers = slots[inverse]
         if not apart.any():

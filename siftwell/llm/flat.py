@@ -4,32 +4,37 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from siftwell.llm.shared import mix
 
 PIECE = 1 << 18
 """Bytes that are hashed at once; a piece ends between words, so a longer word makes a longer piece."""
+LONG = 64
+"""Words of more bytes are hashed one by one."""
 _GOLD = 0x9E3779B97F4A7C15
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_GOLD))
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
-def byte_table(inside: bytes) -> np.ndarray:
-    """For each byte 0 if it separates words, else itself; A-Z become a-z. All bytes beyond ASCII are in words."""
-    table = np.zeros(256, np.uint8)
-    held = np.frombuffer(inside, np.uint8)
-    table[held] = held
-    table[128:] = np.arange(128, 256)
-    upper = np.arange(65, 91)
-    table[upper] = np.where(table[upper] > 0, upper + 32, 0)
-    return table
+class Bytes:
+    """What separates words, and what each byte becomes. Whether a byte stands in a word is a mask of its own: NUL may."""
 
+    def __init__(self, inside: bytes, lower: bool = True):
+        """inside: the ASCII bytes of words; all bytes beyond ASCII are in words too. With lower A-Z become a-z."""
+        self.inside = np.zeros(256, bool)
+        self.inside[list(inside)] = True
+        self.inside[128:] = True
+        self.value = np.arange(256, dtype=np.uint8)
+        if lower:
+            self.value[65:91] += 32
 
-WHOLE = np.arange(256, dtype=np.uint8)
-WHOLE[list(b" \t\n\v\f\r")] = 0
-"""As SPACED, with case kept."""
-SPACED = byte_table(bytes(b for b in range(128) if b not in b" \t\n\v\f\r"))
+
+_NO_SPACE = bytes(b for b in range(128) if b not in b" \t\n\v\f\r")
+SPACED = Bytes(_NO_SPACE)
 """Words are what stands between ASCII white space."""
-LETTERS = byte_table(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+WHOLE = Bytes(_NO_SPACE, lower=False)
+"""As SPACED, with case kept."""
+LETTERS = Bytes(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 """Words are letters and digits of ASCII and all beyond it."""
 
 
@@ -45,51 +50,79 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class FlatWords:
     """Hashes words of many texts at once."""
 
-    def __init__(self, table: np.ndarray):
-        self.table = table
-        self.powers = np.ones(1, np.uint64)
-
-    def _piece(self, kept: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def __init__(self, bytes_: Bytes):
+        self.bytes = bytes_
+
+    def _hashes(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Eight bytes at a time, each step mixed into the last, so that what a byte adds depends on all before it. Words
+        of up to seven bytes have hashes of their own: their bytes with their size on top."""
+        eight = _eights(data)
+        h = mix(eight[starts] & _MASKS[np.minimum(sizes, 8)] | sizes.astype(np.uint64) << np.uint64(56))
+        at = np.flatnonzero(sizes > 8)
+        for place in range(8, LONG, 8):
+            at = at[sizes[at] > place]
+            if not len(at):
+                break
+            h[at] = mix(h[at] * np.uint64(_GOLD) + (eight[starts[at] + place] & _MASKS[np.minimum(sizes[at] - place, 8)]))
+        for i in np.flatnonzero(sizes > LONG).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + sizes[i]])
+        return h
+
+    def _piece(self, data: np.ndarray, inside: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hashes, first bytes, sizes) of the words of a piece; breaks: where texts start in it."""
-        inside = kept > 0
-        begins = inside.copy()
+        begins, ends = inside.copy(), inside.copy()
         begins[1:] &= ~inside[:-1]
         begins[breaks] = inside[breaks]
-        at = np.flatnonzero(inside)
-        if not len(at):
-            return np.zeros(0, np.uint64), at, at
-        heads = begins[at]
-        first = np.flatnonzero(heads)
-        starts = at[first]
-        offset = at - starts[np.cumsum(heads) - 1]
-        longest = int(offset.max()) + 1
-        if len(self.powers) < longest:
-            steps = np.full(2 * longest, _GOLD, np.uint64)
-            self.powers = np.concatenate([np.ones(1, np.uint64), np.cumprod(steps, dtype=np.uint64)])
-        return mix(np.add.reduceat(_BYTES[kept[at]] * self.powers[offset], first)), starts, np.diff(np.append(first, len(at)))
+        ends[:-1] &= ~inside[1:]
+        last = breaks[breaks > 0] - 1
+        ends[last] = inside[last]
+        starts = np.flatnonzero(begins)
+        sizes = np.flatnonzero(ends) + 1 - starts
+        return self._hashes(data, starts, sizes), starts, sizes
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(hashes of all words, where each text's words start, with the end; the bytes, 0 between words; where texts start).
+        """(hashes of all words, where each text's words start, with the end; the bytes; where texts start).
 
-        The first byte and size of each word stay in at and size until the next call."""
+        The bytes and the first byte and size of each word stay in data, at and size until the next call."""
         raw, ends = text_bytes(column)
-        kept = self.table[raw]
-        n, at, hashes, starts, sizes = len(kept), 0, [], [], []
+        data, inside = self.bytes.value[raw], self.bytes.inside[raw]
+        n, at, hashes, starts, sizes = len(data), 0, [], [], []
         while at < n:
             to = min(n, at + PIECE)
-            while to < n and kept[to]:
-                gap = np.flatnonzero(kept[to : to + PIECE] == 0)
+            while to < n and inside[to]:
+                gap = np.flatnonzero(~inside[to : to + PIECE])
                 to = to + int(gap[0]) if len(gap) else min(n, to + PIECE)
             breaks = ends[np.searchsorted(ends, at) : np.searchsorted(ends, to)] - at
-            h, s, size = self._piece(kept[at:to], breaks)
+            h, s, size = self._piece(data[at:to], inside[at:to], breaks)
             hashes.append(h)
             starts.append(s + at)
             sizes.append(size)
             at = to
         flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         where = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-        self.at, self.size = where, np.concatenate(sizes) if sizes else where
-        return flat, np.searchsorted(where, ends), kept, ends
+        self.at, self.size, self.data = where, np.concatenate(sizes) if sizes else where, data
+        return flat, np.searchsorted(where, ends), data, ends
+
+
+    def unlike(self, other: np.ndarray) -> np.ndarray:
+        """Which words of the last call differ in their bytes from another one, of the same hash, given by number."""
+        out, eight = self.size != self.size[other], _eights(self.data)
+        left = np.flatnonzero((self.size > 7) & ~out & (other != np.arange(len(other))))
+        for place in range(0, LONG, 8):
+            left = left[self.size[left] > place]
+            if not len(left):
+                break
+            mask = _MASKS[np.minimum(self.size[left] - place, 8)]
+            out[left] |= (eight[self.at[left] + place] ^ eight[self.at[other[left]] + place]) & mask != 0
+        for i in left[self.size[left] > LONG].tolist():
+            a, b, n = self.at[i], self.at[other[i]], self.size[i]
+            out[i] = not np.array_equal(self.data[a : a + n], self.data[b : b + n])
+        return out
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """At each place the eight bytes from there on, as one number."""
+    return np.ndarray((len(data) + 1,), np.dtype("<u8"), np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
 
 
 def runs(hashes: np.ndarray, k: int) -> np.ndarray:

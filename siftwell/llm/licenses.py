@@ -79,7 +79,7 @@ def rolled(docs: DataFrame, known: list[int]) -> DataFrame:
             flat[np.arange(len(triple_at)) + np.repeat(heads + 1 + pairs - (np.cumsum(triples) - triples), triples)] = runs(h, TRIPLE)[triple_at].view(np.int64)
             near = wanted[np.minimum(np.searchsorted(wanted, flat), len(wanted) - 1)] == flat
             some = np.add.reduceat(near, heads) > 0 if len(heads) else near
-            held = [b" ".join(kept[texts[i] : texts[i + 1]].tobytes().replace(b"\0", b" ").split()).decode("utf-8", "replace") if some[i] else None for i in range(len(n))]
+            held = [b" ".join(np.where(LETTERS.inside[x], x, 32).astype(np.uint8).tobytes().split()).decode("utf-8", "replace") if hit else None for hit, x in zip(some, np.split(kept, texts[1:-1]), strict=True)]
             return [pa.array(n, pa.int64()), lists(flat, sizes, pa.int64()), pa.array(held, pa.string())]
 
         return make

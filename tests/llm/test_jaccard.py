@@ -9,6 +9,15 @@ import pytest
 from siftwell.llm.jaccard import jaccard_components
 
 ODD = [(None, "one two three four five six"), (None, "one two three four five six"), (1, None), (2, ""), (3, " \t "), (4, "a"), (5, "A"), (6, "a b"), (7, "a b"), (7, "a b"), (7, "x y z"), (8, "É é"), (9, "é é"), (10, "w " * 30000)]
+ODD += [(20, "a\0b c d e"), (21, "a b c d e"), (22, "\0"), (23, "\0\0 \0"), (24, "a\0 b c"), (25, "a b c"), (26, "\0a b\0 c")]
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() % 2] for i in range(n))
+
+
+# Words that differ in every byte and whose bytes, weighted by the powers of any odd number, have one sum.
+ODD += [(30 + i, w) for i, w in enumerate(x for n in (8, 64, 1024, 2048) for x in (thue_morse(n), thue_morse(n).translate(str.maketrans("ab", "ba"))))]
 
 
 def brute(rows, k, likeness):
