@@ -7,16 +7,60 @@ from siftwell.llm.licenses import COVER, DRIFT, TELLING, TEMPLATES, VOTES
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = f"translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}')"
 
-JACCARD = f"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS a FROM documents),
-sets AS (SELECT doc_id, CASE WHEN len(a) = 0 THEN [] WHEN len(a) < 3 THEN [array_to_string(a, ' ')]
-  ELSE list_sort(list_distinct(list_transform(range(1, len(a) - 1), lambda i: a[i] || ' ' || a[i + 1] || ' ' || a[i + 2]))) END AS g FROM words),
+
+
+def _linked(k: int, percent: int) -> str:
+    """CTEs sets (doc_id, g: its shingles of k words) and least (node, component_id), by all pairs that share a shingle."""
+    run = " || ' ' || ".join(f"a[i + {j}]" if j else "a[i]" for j in range(k))
+    return f"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS a FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(a) = 0 THEN [] WHEN len(a) < {k} THEN [array_to_string(a, ' ')]
+  ELSE list_sort(list_distinct(list_transform(range(1, len(a) - {k - 2}), lambda i: {run}))) END AS g FROM words),
 each AS (SELECT doc_id, len(g) AS n, unnest(g) AS t FROM sets),
 links AS (SELECT x.doc_id AS a, y.doc_id AS b FROM each x JOIN each y ON x.t = y.t AND x.doc_id < y.doc_id
-  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= {percent} * (x.n + y.n - count(*))),
 edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT doc_id AS node, doc_id AS other FROM sets UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.other),
 least AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
-SELECT doc_id, len(g)::BIGINT AS n_shingles, component_id, CASE WHEN len(g) = 0 THEN 1 ELSE count(*) OVER (PARTITION BY g) END::BIGINT AS set_docs FROM sets JOIN least ON node = doc_id"""
+"""
+
+
+JACCARD = f"""{_linked(3, 90)}SELECT doc_id, len(g)::BIGINT AS n_shingles, component_id, CASE WHEN len(g) = 0 THEN 1 ELSE count(*) OVER (PARTITION BY g) END::BIGINT AS set_docs FROM sets JOIN least ON node = doc_id"""
+
+MINHASH = f"""{_linked(2, 80)}SELECT doc_id, len(g)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least ON node = doc_id"""
+
+
+def _clusters(k: int = 40, size: int = 64, rounds: int = 5) -> str:
+    """Every vector against every centroid in each round."""
+    order = "sha256('2:' || vec_id), v"
+    parts = [
+        f"kept AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: isfinite(x))) = {size})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY {order}) - 1 AS j, v FROM kept ORDER BY {order} LIMIT {k})",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT n, any_value(x.vec_id) AS vec_id, any_value(x.v) AS v, min(list_sum(list_transform(range(1, {size + 1}), lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i])))::BIGINT * 64 + j) AS best FROM kept x, c{i} c GROUP BY n)")
+        if i < rounds:
+            parts.append(f"s{i} AS (SELECT best % 64 AS j, i, sum(v[i]) AS s, count(*) AS m FROM a{i}, range(1, {size + 1}) r(i) GROUP BY ALL)")
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT c.j, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN (SELECT j, list(((s - ((s % m) + m) % m) // m)::BIGINT ORDER BY i) AS v FROM s{i} GROUP BY j) m ON c.j = m.j)")
+    last = "sum(best // 64) OVER"
+    return f"WITH {', '.join(parts)} SELECT vec_id, (best % 64)::INTEGER AS cluster, (best // 64)::BIGINT AS distance, ({last} (PARTITION BY best % 64))::BIGINT AS cluster_inertia, ({last} ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} c ON best % 64 = c.j"
+
+
+CLUSTERS = _clusters()
+
+RESAMPLE = f"""WITH bits AS (SELECT list_transform(range(0, 256), lambda b: list_reduce(list_prepend(b, range(0, 8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+texts AS (SELECT row_number() OVER () AS n, doc_id, TRUE AS own, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS a FROM documents
+  UNION ALL SELECT row_number() OVER (), NULL, FALSE, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') FROM benchmark),
+grams AS MATERIALIZED (SELECT n, own, unnest(list_concat(a, list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1]))) AS gram FROM texts),
+bytes AS (SELECT gram, list_transform(range(0, length(h) // 2), lambda i: 16 * (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) + instr('0123456789ABCDEF', h[2 * i + 2]) - 1) AS b FROM (SELECT gram, hex(encode(gram)) AS h FROM (SELECT DISTINCT gram FROM grams))),
+hashed AS MATERIALIZED (SELECT gram, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(t[xor(c & 255, x) + 1], c >> 8)), 4294967295) % 10000 AS bucket FROM bytes, bits),
+placed AS MATERIALIZED (SELECT n, own, bucket FROM grams JOIN hashed USING (gram)),
+sums AS (SELECT r.bucket, count(p.bucket) FILTER (own) AS s, count(p.bucket) FILTER (NOT own) AS t FROM range(0, 10000) r(bucket) LEFT JOIN placed p USING (bucket) GROUP BY r.bucket),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM sums),
+means AS (SELECT n, count(*) AS m, sum(gain) AS g FROM placed JOIN gains USING (bucket) WHERE own GROUP BY n),
+noise AS (SELECT n, doc_id, len(a) AS words, list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 9), lambda i: instr('0123456789abcdef', sha256('7:' || doc_id)[i]) - 1)), lambda x, y: 16 * x + y) AS h FROM texts WHERE own),
+scored AS (SELECT doc_id, words, coalesce(m, 0)::BIGINT AS n_features, coalesce((g - ((g % m) + m) % m) // m, 0)::BIGINT AS weight, floor(-1000 * ln(-ln((h + 0.5)::DOUBLE / 4294967296::DOUBLE)))::BIGINT AS noise FROM noise LEFT JOIN means USING (n)),
+placed_docs AS (SELECT *, weight + noise AS score, row_number() OVER (PARTITION BY words >= 20 ORDER BY weight + noise DESC, doc_id) AS r, count(*) FILTER (words >= 20) OVER () AS able FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND r <= 25 * able // 100 THEN r END AS rank FROM placed_docs"""
 
 REPEATS = """WITH hexed AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
 places AS (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 399)) AS i FROM hexed WHERE length(x) >= 800),

@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm import bpe, oracle, secrets
+from siftwell.llm.annulus import centroid_clusters
 from siftwell.llm.fingerprints import fingerprint_edits
 from siftwell.llm.html import extract_html
 from siftwell.llm.jaccard import jaccard_components
 from siftwell.llm.licenses import scan_licenses
+from siftwell.llm.minhash import minhash_components
 from siftwell.llm.mixing import mix_sources
 from siftwell.llm.quality import quality_scores
 from siftwell.llm.repeats import remove_repeats
+from siftwell.llm.resampling import resample
 from siftwell.llm.rules import quality_rules
 
 
@@ -83,6 +86,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir), labels.where("quality = 1"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 64-component vectors in 40 clusters after 5 rounds."""
+    return centroid_clusters(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents towards the benchmark's texts, and the ranks of the quarter that is drawn."""
+    return resample(_table(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 2-word shingles have a Jaccard similarity of at least 0.8."""
+    return minhash_components(_table(spark, sf_dir), k=2)
+
+
 _ALL = (
     op1_ngram_jaccard_join,
     op2_suffix_array_dedup,
@@ -94,6 +112,16 @@ _ALL = (
     op8_quality_classifier,
     op9_html_extraction,
     op10_quality_rules,
+    op11_centroid_clustering,
+    op12_importance_resampling,
+    op13_minhash_dedup,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-SQL: dict[str, str] = {"op1_ngram_jaccard_join": oracle.JACCARD, "op2_suffix_array_dedup": oracle.REPEATS, "op5_license_scan": oracle.LICENSES}
+SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": oracle.JACCARD,
+    "op2_suffix_array_dedup": oracle.REPEATS,
+    "op5_license_scan": oracle.LICENSES,
+    "op11_centroid_clustering": oracle.CLUSTERS,
+    "op12_importance_resampling": oracle.RESAMPLE,
+    "op13_minhash_dedup": oracle.MINHASH,
+}
