@@ -38,7 +38,8 @@ def parser() -> argparse.ArgumentParser:
     serve.add_argument("--host", default="127.0.0.1")
     serve.add_argument("--port", type=int, default=8080)
     serve.add_argument("--max-matches", type=int, default=20)
-    serve.add_argument("--index-dir")
+    for folder in ("state-path", "log-dir", "index-dir"):
+        serve.add_argument(f"--{folder}")
     bench = commands.add_parser("bench", help="time the searches of a scenario file")
     bench.add_argument("--scenarios", required=True)
     bench.add_argument("--path", dest="root", default=".")
@@ -60,7 +61,7 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps(json.loads(search(spark, spec).to_json()), indent=2))
         return 0
     if command == "serve":
-        with Service(spark, {k: args[k] for k in ("root", "max_matches", "index_dir")} | {"telemetry": telemetry}, (args["host"], args["port"])) as service:
+        with Service(spark, {k: args[k] for k in ("root", "max_matches", "state_path", "log_dir", "index_dir")} | {"telemetry": telemetry}, (args["host"], args["port"])) as service:
             service.serve_forever()
     report = observe.scenario_report(run_scenarios(spark, read_scenarios(spark, args["scenarios"]), args["root"], args["iterations"])).persist()
     print(json.dumps([r.asDict() for r in report.collect()], indent=2))

@@ -1,18 +1,39 @@
-"""Inverted index with BM25 ranking."""
+"""Inverted index with positions and BM25 ranking, kept in a folder that follows its files.
+
+The folder holds segments of postings, and versions. A version names its live segments and lists its files (path, stamp,
+segment) and the dead ones: what older segments still hold of files that have changed or gone. Opening an index again
+compares stamps, tokenises new and changed files only into one more segment, and writes a version; segments are merged
+when there are many. A version counts from the moment its small JSON file is there, so a lost job leaves the last one.
+"""
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell.operators.query_syntax import Node, QueryError, parse
+
 K1, B = 1.2, 0.75
 TOKEN = r"[\p{L}\p{N}]+"
 LONGEST = 40
 """Tokens of this many bytes or more are left out."""
+MOST_SEGMENTS = 8
+POSTINGS = "token string, path string, tf long, dl long, positions array<int>"
+
+
+def _all_tokens(body: Column) -> Column:
+    return F.regexp_extract_all(F.lower(body), F.lit(TOKEN), F.lit(0))
 
 
 def tokens(body: Column) -> Column:
-    return F.filter(F.regexp_extract_all(F.lower(body), F.lit(TOKEN), F.lit(0)), lambda t: F.octet_length(t) < LONGEST)
+    return F.filter(_all_tokens(body), lambda t: F.octet_length(t) < LONGEST)
 
 
 def postings(files: DataFrame) -> DataFrame:
@@ -20,56 +41,295 @@ def postings(files: DataFrame) -> DataFrame:
     return files.select("path", F.explode(tokens(F.col("body"))).alias("token")).groupBy("token", "path").agg(F.count("*").alias("tf"))
 
 
+def positional_postings(files: DataFrame) -> DataFrame:
+    """(token, path, tf, dl, positions): where a token stands in its file, and how many tokens the file has. A file is one
+    row, so its tokens are grouped there and nothing moves. Places count tokens that are left out, too."""
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found: dict[str, list[int]] = {}
+                for at, word in enumerate(words or ()):
+                    found.setdefault(word, []).append(at)
+                kept = {w: at for w, at in found.items() if len(w.encode("utf-8", "replace")) < LONGEST}
+                sizes = [len(at) for at in kept.values()]
+                columns = [pa.array(list(kept), pa.string()), pa.array([path] * len(kept), pa.string()), pa.array(sizes, pa.int64()), pa.array([sum(sizes)] * len(kept), pa.int64()), pa.array(list(kept.values()), pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["token", "path", "tf", "dl", "positions"])
+
+    return files.select("path", _all_tokens(F.col("body")).alias("words")).mapInArrow(group, POSTINGS)
+
+
 def doc_stats(files: DataFrame) -> DataFrame:
     """(path, dl): tokens of each file."""
     return files.select("path", F.size(tokens(F.col("body"))).cast("long").alias("dl"))
 
 
-def lengths(found: DataFrame, files: DataFrame) -> DataFrame:
-    """(path, dl) of each file, from its postings; a file without tokens has 0."""
-    sums = found.groupBy("path").agg(F.sum("tf").cast("long").alias("dl"))
-    return files.select("path").join(sums, "path", "left").select("path", F.coalesce("dl", F.lit(0)).alias("dl"))
+# What is asked
 
 
-def exists(spark: SparkSession, folder: str) -> bool:
-    """Whether an index was written there."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/stats/_SUCCESS")
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+def tokenise(text: str) -> list[tuple[int, str]]:
+    """(place, token) of a query's text, as the index has them."""
+    return [(i, w) for i, w in enumerate(regex.findall(TOKEN, text.lower())) if len(w.encode()) < LONGEST]
 
 
-def write_index(files: DataFrame, folder: str, buckets: int = 64) -> None:
-    """Postings by token class, so that a query reads only its tokens' files, and document lengths."""
-    held = postings(files).withColumn("part", F.pmod(F.xxhash64("token"), F.lit(buckets)))
-    held.repartition("part").sortWithinPartitions("token", "path").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/postings")
-    written = files.sparkSession.read.parquet(f"{folder}/postings")
-    lengths(written, files).write.mode("overwrite").parquet(f"{folder}/stats")
+def query_tokens(query: str) -> list[str]:
+    """The tokens of a query's words; none for a blank query."""
+    node = parse(query, tokenise)
+    return sorted({w for leaf in node.leaves() for _, w in leaf.words}) if node else []
 
 
-def read_index(spark: SparkSession, folder: str, query: str, buckets: int = 64) -> tuple[DataFrame, DataFrame]:
-    """The query's postings and all document lengths."""
-    words = query_tokens(query)
-    parts = spark.range(1).select(F.explode(F.array(*map(F.lit, words or [""]))).alias("t")).select(F.pmod(F.xxhash64("t"), F.lit(buckets)).alias("p"))
-    found = spark.read.parquet(f"{folder}/postings").where(F.col("part").isin([r.p for r in parts.distinct().collect()]) & F.col("token").isin(words))
-    return found.select("token", "path", "tf"), spark.read.parquet(f"{folder}/stats")
+def _held(node: Node) -> Column:
+    """Which postings a query needs."""
+    words = sorted({w for leaf in node.leaves() for _, w in leaf.words})
+    test = F.col("token").isin(words)
+    for leaf in node.leaves():
+        if leaf.kind == "range":
+            test = test | _in_range(leaf)
+    return test
 
 
-def query_tokens(query: str) -> list[str]:
-    import regex
+def _in_range(leaf: Node) -> Column:
+    low, high = leaf.bounds
+    test = F.lit(True)
+    if low:
+        test = test & (F.col("token") >= low[0] if low[1] else F.col("token") > low[0])
+    if high:
+        test = test & (F.col("token") <= high[0] if high[1] else F.col("token") < high[0])
+    return test
+
+
+def in_a_row(places: list[tuple[int, Column]]) -> Column:
+    """How often words stand at these places to one another, from their position arrays."""
+    (at, first), rest = places[0], places[1:]
+
+    def follows(x: Column) -> Column:
+        test = F.lit(True)
+        for place, positions in rest:
+            test = test & F.array_contains(positions, (x + (place - at)).cast("int"))
+        return test
+
+    return F.size(F.filter(first, follows))
+
+
+def matches(found: DataFrame, n: int, total: int, query: str, paths: DataFrame | None = None) -> DataFrame:
+    """(path, bm25) of the files that a query matches, from postings (POSTINGS), the number of files and their tokens.
+
+    A file's postings of the query's words meet in one row; phrases, groups and scores are expressions on it. A phrase has
+    the sum of its words' idf and counts as often as it occurs; a range and * have the score of their weight. paths: all
+    files, which only * needs. A blank query finds nothing, a senseless one raises QueryError.
+    """
+    node = parse(query, tokenise)
+    if node is None:
+        return found.select("path", F.lit(0.0).alias("bm25")).where("false")
+    words = sorted({w for leaf in node.leaves() for _, w in leaf.words})
+    ranges = [leaf for leaf in node.leaves() if leaf.kind == "range"]
+    found = found.where(_held(node))
+    # As many rows as the query has words.
+    df = dict(found.where(F.col("token").isin(words)).groupBy("token").agg(F.count("*")).collect())
+    phrases = any(len(leaf.words) > 1 for leaf in node.leaves())
+    kept = F.struct("tf", "positions") if phrases else F.struct("tf")
+    made = [F.max(F.when(F.col("token") == w, kept)).alias(f"w{i}") for i, w in enumerate(words)]
+    made += [F.max(_in_range(leaf)).alias(f"r{i}") for i, leaf in enumerate(ranges)]
+    rows = found.groupBy("path").agg(F.max("dl").alias("dl"), *made)
+    if any(leaf.kind == "all" for leaf in node.leaves()):
+        if paths is None:
+            raise QueryError("* needs the list of files")
+        rows = paths.select("path").join(rows, "path", "left")
+
+    def idf(w: str) -> float:
+        import math
+
+        return math.log(1 + (n - df.get(w, 0) + 0.5) / (df.get(w, 0) + 0.5))
+
+    norm = F.lit(K1) * (1 - B + B * F.col("dl") / F.lit(total / n if n and total else 1.0))
+
+    def leaf_score(leaf: Node) -> Column:
+        """Null where a leaf does not match."""
+        if leaf.kind == "all":
+            return F.lit(leaf.weight)
+        if leaf.kind == "range":
+            return F.when(F.col(f"r{ranges.index(leaf)}"), F.lit(leaf.weight))
+        if not leaf.words:
+            return F.lit(None).cast("double")
+        held = [(at, F.col(f"w{words.index(w)}")) for at, w in leaf.words]
+        tf = held[0][1]["tf"] if len(held) == 1 else in_a_row([(at, c["positions"]) for at, c in held])
+        every = F.lit(True)
+        for _, c in held:
+            every = every & c.isNotNull()
+        weight = leaf.weight * sum(idf(w) for _, w in leaf.words)
+        return F.when(every & (tf > 0), F.lit(weight) * tf * (K1 + 1) / (tf + norm))
+
+    def score(part: Node) -> Column:
+        if part.kind != "group":
+            return leaf_score(part)
+        sides: dict[str, list[Column]] = {"must": [], "should": [], "not": []}
+        for sign, p in part.parts:
+            sides[sign].append(score(p))
+        asked = F.lit(True)
+        for x in sides["must"]:
+            asked = asked & x.isNotNull()
+        for x in sides["not"]:
+            asked = asked & x.isNull()
+        if not sides["must"]:
+            asked = asked & (F.coalesce(*sides["should"]).isNotNull() if sides["should"] else F.lit(False))
+        whole = F.lit(0.0)
+        for x in sides["must"] + sides["should"]:
+            whole = whole + F.coalesce(x, F.lit(0.0))
+        return F.when(asked, whole * part.weight)
+
+    return rows.select("path", F.round(score(node), 6).alias("bm25")).where("bm25 IS NOT NULL")
+
+
+def best(matched: DataFrame, most: int) -> DataFrame:
+    return matched.orderBy(F.col("bm25").desc(), "path").limit(most)
+
+
+def bm25(files: DataFrame, query: str) -> DataFrame:
+    """(path, bm25) of a query's files, without a stored index."""
+    n, total = doc_stats(files).agg(F.count("*"), F.sum("dl")).first()
+    return matches(positional_postings(files), n, total or 0, query, files.select("path"))
+
+
+# The folder
+
+
+@dataclass
+class Version:
+    """What a version's JSON file says."""
+
+    number: int = 0
+    segments: list[str] = field(default_factory=list)
+    n: int = 0
+    total: int = 0
+
+
+class Index:
+    """An index in a folder. refresh() makes it follow a table of files; matches() asks it."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.version = self._latest()
+
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _latest(self) -> Version:
+        path, fs = self._path("versions")
+        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        numbers = [int(x.removesuffix(".json")) for x in names if x.endswith(".json")]
+        if not numbers:
+            return Version()
+        path, fs = self._path(f"versions/{max(numbers):08d}.json")
+        stream = fs.open(path)
+        text = bytes(stream.readAllBytes()).decode()
+        stream.close()
+        return Version(**json.loads(text))
+
+    def _commit(self, version: Version) -> None:
+        """The version's file appears whole: it is written under another name first."""
+        path, fs = self._path(f"versions/{version.number:08d}.json")
+        draft, _ = self._path(f"versions/{uuid.uuid4().hex}.draft")
+        out = fs.create(draft)
+        out.write(bytearray(json.dumps(version.__dict__).encode()))
+        out.close()
+        if not fs.rename(draft, path):
+            raise OSError(f"version {version.number} of {self.folder} was written by another")
+        self.version = version
+
+    def _table(self, name: str, schema: str) -> DataFrame:
+        if not self.version.number:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/tables/{self.version.number:08d}/{name}")
+
+    @property
+    def files(self) -> DataFrame:
+        """(path, stamp, segment, dl) of the files that the version knows."""
+        return self._table("files", "path string, stamp long, segment string, dl long")
+
+    @property
+    def dead(self) -> DataFrame:
+        """(path, segment): what live segments hold of files that have changed or gone."""
+        return self._table("dead", "path string, segment string")
+
+    def _segments(self, names: list[str]) -> DataFrame:
+        whole = self.spark.createDataFrame([], f"{POSTINGS}, segment string")
+        for name in names:
+            part = self.spark.read.schema(POSTINGS).parquet(f"{self.folder}/segments/{name}")
+            whole = whole.union(part.withColumn("segment", F.lit(name)))
+        return whole
+
+    def postings(self, test: Column | None = None) -> DataFrame:
+        """Live postings, those that pass a test of token. Segments are sorted by token, so a test skips most row groups."""
+        found = self._segments(self.version.segments)
+        found = found if test is None else found.where(test)
+        return found.join(self.dead, ["path", "segment"], "left_anti").drop("segment")
+
+    def _write_segment(self, held: DataFrame) -> str:
+        """Postings in ranges of (token, path), as many as their size asks for, so a common token has several."""
+        name = uuid.uuid4().hex
+        ranges = held.repartitionByRange(F.col("token"), F.col("path")).sortWithinPartitions("token", "path")
+        ranges.write.parquet(f"{self.folder}/segments/{name}")
+        return name
+
+    def refresh(self, files: DataFrame) -> dict[str, int]:
+        """Follow files (path, body, and stamp or what a stamp is made of); returns how many were added, changed, removed.
+
+        A file's stamp says whether it is still the same: see stamped(). Only files with a new stamp are tokenised.
+        """
+        files = stamped(files)
+        known = self.files.withColumnsRenamed({"stamp": "old", "segment": "was", "dl": "old_dl"})
+        seen = files.select("path", "stamp").join(known, "path", "full_outer")
+        state = F.when(F.col("stamp").isNull(), "removed").when(F.col("old").isNull(), "added").when(F.col("stamp") != F.col("old"), "changed").otherwise("same")
+        compared = seen.withColumn("state", state)
+        counts = dict.fromkeys(("added", "changed", "removed"), 0) | {k: v for k, v in compared.groupBy("state").count().collect() if k != "same"}
+        if self.version.number and not any(counts.values()):
+            return counts
+        number = self.version.number + 1
+        fresh = files.join(compared.where("state IN ('added', 'changed')").select("path"), "path", "left_semi")
+        name = self._write_segment(positional_postings(fresh))
+        sizes = self.spark.read.schema(POSTINGS).parquet(f"{self.folder}/segments/{name}").select("path", "dl").distinct()
+        new = fresh.select("path", "stamp").join(sizes, "path", "left").select("path", "stamp", F.lit(name).alias("segment"), F.coalesce("dl", F.lit(0)).alias("dl"))
+        same = compared.where("state = 'same'").select("path", "stamp", F.col("was").alias("segment"), F.col("old_dl").alias("dl"))
+        dead = self.dead.union(compared.where("state IN ('changed', 'removed')").select("path", F.col("was").alias("segment")))
+        segments = [*self.version.segments, name]
+        tables = f"{self.folder}/tables/{number:08d}"
+        same.union(new).write.mode("overwrite").parquet(f"{tables}/files")
+        dead.write.mode("overwrite").parquet(f"{tables}/dead")
+        n, total = self.spark.read.parquet(f"{tables}/files").agg(F.count("*"), F.sum("dl")).first()
+        self._commit(Version(number, segments, n, total or 0))
+        if len(segments) > MOST_SEGMENTS:
+            self.merge()
+        return counts
 
-    return sorted(set(regex.findall(TOKEN, query.lower())))
+    def merge(self) -> None:
+        """All live postings as one segment. Earlier versions stay readable until their folders are deleted."""
+        name = self._write_segment(self.postings())
+        version = Version(self.version.number + 1, [name], self.version.n, self.version.total)
+        tables = f"{self.folder}/tables/{version.number:08d}"
+        self.files.withColumn("segment", F.lit(name)).write.mode("overwrite").parquet(f"{tables}/files")
+        self.dead.where("false").write.mode("overwrite").parquet(f"{tables}/dead")
+        self._commit(version)
 
+    def vacuum(self) -> None:
+        """Delete what the newest version does not need. Readers of older ones must be done."""
+        names = {"segments": set(self.version.segments), "tables": {f"{self.version.number:08d}"}, "versions": {f"{self.version.number:08d}.json"}}
+        for top, kept in names.items():
+            path, fs = self._path(top)
+            for f in fs.listStatus(path) if fs.exists(path) else []:
+                if f.getPath().getName() not in kept:
+                    fs.delete(f.getPath(), True)
 
-def bm25(found: DataFrame, stats: DataFrame, query: str) -> DataFrame:
-    """(path, bm25) of every file that holds a token of the query; a blank query finds nothing."""
-    words = query_tokens(query)
-    hits = found.where(F.col("token").isin(words) if words else F.lit(False))
-    whole = stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = hits.groupBy("token").agg(F.count("*").alias("df"))
-    joined = hits.join(F.broadcast(df), "token").join(stats, "path").join(F.broadcast(whole), F.col("df") <= F.col("n"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return joined.groupBy("path").agg(F.round(F.sum(part), 6).alias("bm25"))
+    def matches(self, query: str) -> DataFrame:
+        """(path, bm25) of the files that a query matches."""
+        node = parse(query, tokenise)
+        held = self.postings(F.lit(False) if node is None else _held(node))
+        return matches(held, self.version.n, self.version.total, query, self.files)
 
 
-def search_index(found: DataFrame, stats: DataFrame, query: str, most: int) -> DataFrame:
-    return bm25(found, stats, query).orderBy(F.col("bm25").desc(), "path").limit(most)
+def stamped(files: DataFrame) -> DataFrame:
+    """files with a stamp of what tells versions apart: length and time of change where there is one, else the body itself."""
+    if "stamp" in files.columns:
+        return files
+    made = F.xxhash64("n_bytes", "modified") if "modified" in files.columns else F.xxhash64("body")
+    return files.withColumn("stamp", made)

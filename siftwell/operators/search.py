@@ -40,10 +40,14 @@ def probe(files: DataFrame, symbol: str, ignore_case: bool = False) -> DataFrame
     return lines_of(held).where(F.contains(F.lower("line"), F.lit(low)))
 
 
-def per_file_cap(hits: DataFrame, most: int) -> DataFrame:
-    """The first `most` hits of each file."""
-    order = Window.partitionBy("path").orderBy("line_no")
-    return hits.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
+def capped_probe(files: DataFrame, symbol: str, most: int, ignore_case: bool = False) -> DataFrame:
+    """As probe, the first `most` lines of each file. A file is one row, so its lines are tested and cut there."""
+    def held(x: Column) -> Column:
+        return F.contains(F.lower(x) if ignore_case else x, F.lit(symbol.lower() if ignore_case else symbol))
+
+    numbered = F.transform(split_lines(F.col("body")), lambda x, i: F.struct((i + 1).cast("long").alias("line_no"), x.alias("line")))
+    found = F.slice(F.filter(numbered, lambda x: held(x["line"])), 1, most)
+    return files.where(held(F.col("body"))).select("path", "ext", F.inline(found))
 
 
 def scoped(files: DataFrame, candidates: DataFrame, most: int) -> DataFrame:
@@ -183,10 +187,13 @@ def padding(before: int, after: int, truncated: Column) -> tuple[Column, Column,
 
 
 def with_context(top: DataFrame, files: DataFrame, before: int = 0, after: int = 0, max_body: int = MAX_BODY, want_body: bool = False) -> DataFrame:
-    """Window of lines and body for each hit; files are joined after the limit, so only the winners' bodies move."""
+    """Window of lines and body for each hit of top, a bounded number of rows.
+
+    The hits' paths go to the files first and leave of them only their own, so no other file's body is sent or broadcast.
+    """
     b, a, auto = padding(before, after, F.col("truncated"))
-    bodies = files.select("path", "body", "n_bytes")
-    held = top.join(bodies, "path", "left").withColumn("_lines", split_lines(F.col("body")))
+    bodies = files.join(F.broadcast(top.select("path").distinct()), "path", "left_semi").select("path", "body", "n_bytes")
+    held = top.join(bodies.hint("shuffle_hash"), "path", "left").withColumn("_lines", split_lines(F.col("body")))
     n = F.size("_lines")
     start = F.greatest(F.lit(1), F.col("line_no") - b)
     end = F.least(n.cast("long"), F.col("line_no") + a)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from siftwell.functions import rewrite, snippets
 from siftwell.operators import index, observe, search, state, structure
 from siftwell.sources import corpus
-from siftwell.sources.corpus import CODE_SQL, FILES_SQL, LANGUAGES, LINES_SQL
+from siftwell.sources.corpus import CODE_SQL, FILES_SQL, LANGUAGES, LINES_SQL, shared_folder
 from siftwell.streaming import telemetry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,7 +182,7 @@ def probe_smart_case(spark, d):
 
 @query("probe_per_file_cap", f"WITH {HITS_SQL} SELECT path, line_no FROM hits QUALIFY row_number() OVER (PARTITION BY path ORDER BY line_no) <= 3")
 def probe_per_file_cap(spark, d):
-    return search.per_file_cap(hits(spark, d), 3).select("path", "line_no")
+    return search.capped_probe(files(spark, d), SYMBOL, 3).select("path", "line_no")
 
 
 query("probe_capped", f"WITH {HITS_SQL} SELECT path, line_no FROM hits ORDER BY path, line_no LIMIT 20")(lambda spark, d: hits(spark, d).select("path", "line_no").orderBy("path", "line_no").limit(20))
@@ -520,8 +520,7 @@ ranked AS (SELECT path, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
 
 
 def ranked_files(spark: SparkSession, d: str) -> DataFrame:
-    f = files(spark, d)
-    return index.bm25(index.postings(f), index.doc_stats(f), "und elle with")
+    return index.bm25(files(spark, d), "und elle with")
 
 
 query("index_bm25", f"WITH {BM25_SQL} SELECT path, floor(bm25 * 10000 + 0.5) / 10000 AS bm25 FROM ranked")(lambda spark, d: ranked_files(spark, d).select("path", (F.floor(F.col("bm25") * 10000 + 0.5) / 10000).alias("bm25")))
@@ -530,10 +529,64 @@ query("index_bm25", f"WITH {BM25_SQL} SELECT path, floor(bm25 * 10000 + 0.5) / 1
 @query("probe_indexed", f"WITH {BM25_SQL}, best AS (SELECT path FROM ranked ORDER BY bm25 DESC, path LIMIT 20), {LINES_SQL.replace(FILES_SQL + ', ', '')} SELECT path, line_no FROM lines WHERE path IN (SELECT path FROM best) AND contains(line, 'with')")
 def probe_indexed(spark, d):
     f = files(spark, d)
-    best = index.search_index(index.postings(f), index.doc_stats(f), "und elle with", 20)
+    best = index.best(index.bm25(f, "und elle with"), 20)
     return search.probe(f.join(best.select("path"), "path", "left_semi"), "with").select("path", "line_no")
 
 
+# Postings with their places, and what phrases and groups of the query syntax ask of them.
+PLACES_SQL = FILES_SQL + """, cut AS (SELECT path, regexp_extract_all(lower(body), '[\\p{L}\\p{N}]+') AS a FROM files), placed AS (SELECT path, generate_subscripts(a, 1) AS pos, unnest(a) AS token FROM cut),
+kept AS (SELECT * FROM placed WHERE strlen(token) < 40), stats AS (SELECT f.path, count(token) AS dl FROM files f LEFT JOIN kept k ON f.path = k.path GROUP BY f.path), whole AS (SELECT count(*) AS n, avg(dl) AS a FROM stats),
+tf AS (SELECT token, path, count(*) AS tf FROM kept GROUP BY token, path), idf AS (SELECT token, any_value(ln(1 + (n - c + 0.5) / (c + 0.5))) AS idf FROM (SELECT token, count(*) AS c FROM tf GROUP BY token), whole GROUP BY token)"""
+
+
+def _word_sql(name: str, word: str, weight: float = 1.0) -> str:
+    return f"{name} AS (SELECT path, {weight} * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a)) AS s FROM tf JOIN idf USING (token) JOIN stats USING (path), whole WHERE token = '{word}')"
+
+
+def _phrase_sql(name: str, *words: str) -> str:
+    """Files where the words stand in a row, scored by how often; the idf of a phrase is the sum of its words'."""
+    joins = " ".join(f"JOIN kept k{i} ON k{i}.path = k0.path AND k{i}.pos = k0.pos + {i} AND k{i}.token = '{w}'" for i, w in enumerate(words) if i)
+    idf = " + ".join(f"coalesce((SELECT idf FROM idf WHERE token = '{w}'), ln(1 + (n + 0.5) / 0.5))" for w in words)
+    return f"{name} AS (SELECT path, ({idf}) * pf * 2.2 / (pf + 1.2 * (0.25 + 0.75 * dl / a)) AS s FROM (SELECT k0.path, count(*) AS pf FROM kept k0 {joins} WHERE k0.token = '{words[0]}' GROUP BY k0.path) JOIN stats USING (path), whole)"
+
+
+ROUNDED_SQL = "SELECT path, floor(round(s, 6) * 10000 + 0.5) / 10000 AS bm25"
+
+
+def _asked(text: str):
+    def run(spark, d):
+        return index.bm25(files(spark, d), text).select("path", (F.floor(F.col("bm25") * 10000 + 0.5) / 10000).alias("bm25"))
+
+    return run
+
+
+query("index_phrase", f"""WITH {PLACES_SQL}, {_phrase_sql("p1", "the", "anea", "eriner")}, {_phrase_sql("p2", "de", "la")}, both_ AS (SELECT path, s FROM p1 UNION ALL SELECT path, s FROM p2), t AS (SELECT path, sum(s) AS s FROM both_ GROUP BY path) {ROUNDED_SQL} FROM t""")(
+    _asked('"the anea eriner" "de  la"')
+)
+query(
+    "index_boolean",
+    f"""WITH {PLACES_SQL}, {_word_sql("x", "und")}, {_word_sql("y", "the")}, {_word_sql("z", "and", 2.5)}, {_word_sql("o", "of")}, {_phrase_sql("p", "the", "is")}, {_word_sql("q", "is")},
+u AS (SELECT f.path, x.s AS xs, y.s AS ys, z.s AS zs, o.s AS os, p.s AS ps, q.s AS qs FROM files f LEFT JOIN x USING (path) LEFT JOIN y USING (path) LEFT JOIN z USING (path) LEFT JOIN o USING (path) LEFT JOIN p USING (path) LEFT JOIN q USING (path)),
+t AS (SELECT path, coalesce(CASE WHEN ys IS NOT NULL AND zs IS NOT NULL AND os IS NULL THEN ys + zs END, 0) + coalesce(CASE WHEN xs IS NOT NULL AND ps IS NULL THEN xs + coalesce(qs, 0) END, 0) AS s FROM u
+  WHERE ys IS NOT NULL AND zs IS NOT NULL AND os IS NULL OR xs IS NOT NULL AND ps IS NULL) {ROUNDED_SQL} FROM t""",
+)(_asked('(the AND and^2.5 AND NOT of) OR (+und is -"the is")'))
+query("index_range", f"WITH {PLACES_SQL}, r AS (SELECT DISTINCT path FROM kept WHERE token >= 'el' AND token < 'em'), {_word_sql('w', 'le')}, t AS (SELECT r.path, 1.0 + coalesce(w.s, 0) AS s FROM r LEFT JOIN w USING (path) UNION ALL SELECT path, s FROM w WHERE path NOT IN (SELECT path FROM r)) {ROUNDED_SQL} FROM t")(
+    _asked("body:[el TO em} le")
+)
+
+
+@query("index_refresh", f"WITH {TOKENS_SQL} SELECT token, count(*)::BIGINT AS files, sum(tf)::BIGINT AS places FROM (SELECT token, path, count(*) AS tf FROM kept GROUP BY token, path) GROUP BY token")
+def index_refresh(spark, d):
+    """An index of an older tree that follows the tree of now: a third of the files is new, a third has changed, some have gone."""
+    f = files(spark, d)
+    old = f.where("doc_id % 3 <> 0").withColumn("body", F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("older words "), "body")).otherwise(F.col("body")))
+    gone = f.where("doc_id % 5 = 0").withColumn("path", F.concat(F.lit("gone/"), "path"))
+    kept = index.Index(spark, shared_folder(spark, "index"))
+    kept.refresh(old.union(gone))
+    kept.refresh(f)
+    return kept.postings().groupBy("token").agg(F.count("*").alias("files"), F.sum(F.size("positions")).cast("long").alias("places"))
+
+
 @query("rga_fallback", "WITH t AS (SELECT url, string_split(regexp_replace(regexp_replace(html, '<[^>]*>', chr(10), 'g'), chr(10) || '+', chr(10), 'g'), chr(10)) AS a FROM pages), c AS (SELECT url, CASE WHEN a[-1] = '' THEN a[1:len(a) - 1] ELSE a END AS a FROM t), l AS (SELECT url, generate_subscripts(a, 1)::BIGINT AS line_no, unnest(a) AS line FROM c) SELECT url, line_no, 0.9::DOUBLE AS score FROM l WHERE regexp_matches(line, 'th[ae]t')")
 def rga_fallback(spark, d):
     return corpus.page_lines(spark, d).where(F.rlike("line", F.lit("th[ae]t"))).select("url", "line_no", F.lit(0.9).alias("score"))

@@ -26,15 +26,17 @@ from pyspark.sql import functions as F
 from siftwell.functions import rewrite, snippets
 from siftwell.operators import index, search as ops, structure
 from siftwell.operators.state import State
-from siftwell.sources.corpus import lines_of, tree_files
+from siftwell.sources.corpus import lines_of, tree_files, tree_pages
 
 log = logging.getLogger("siftwell")
 LONGEST_SYMBOL = 256
 # Names under which a request may turn a tool on or off.
 FLAGS = {
     "use_names": ("fd", "use-fd", "use_fd", "enable_fd"), "use_structure": ("ast-grep", "ast_grep", "use-ast-grep", "use_ast_grep"),
-    "use_index": ("index", "enable_index", "enable-index"), "use_pages": ("rga", "enable_rga", "enable-rga"), "body": ("body", "fetch_body"),
+    "use_index": ("index", "enable_index", "enable-index", "use_index"), "use_pages": ("rga", "enable_rga", "enable-rga", "use_rga"), "body": ("body", "fetch_body", "include_body"),
 }
+# Where a request's folders have other names here.
+FOLDERS = {"cache_dir": "state_path"}
 
 
 @dataclass(frozen=True)
@@ -69,15 +71,31 @@ class SearchSpec:
 
     @classmethod
     def from_request(cls, request: dict, defaults: SearchSpec | None = None) -> SearchSpec:
-        """A request's values over a server's; tool flags by any of their names, a disable_ prefix turns off; unknown ones are ignored."""
+        """A request's values over a server's. Tools are turned on and off by any of their names, as values of their own or in
+        tool_flags (or tools); a disable_ prefix turns off; unknown names are ignored.
+
+        A folder that a request names is taken only if it lies below the server's own of that kind, for it is written to.
+        """
         base = dict(defaults.__dict__) if defaults else {}
+        request = {**request, **{own: request[name] for name, own in FOLDERS.items() if name in request and own not in request}}
+        for folder in ("state_path", "index_dir", "log_dir"):
+            if defaults is not None and request.get(folder):
+                top = base.get(folder)
+                path = os.path.realpath(os.path.join(top or "", request[folder]))
+                if not top or os.path.commonpath([path, os.path.realpath(top)]) != os.path.realpath(top):
+                    raise ValueError(f"{folder} is not below the server's")
+                request[folder] = path
         # Over the wire 0 and an empty text stand for "not given".
         known = {k: v for k, v in request.items() if k in cls.__dataclass_fields__ and v not in (None, "", 0) or v is False}
         known = {k: v for k, v in known.items() if k in cls.__dataclass_fields__}
         if base.get("root") and known.get("root") and not os.path.isabs(known["root"]):
             known["root"] = os.path.join(base["root"], known["root"])
-        for name, on in (request.get("tools") or {}).items():
-            bare = name.removeprefix("disable_")
+        every = {n for names in FLAGS.values() for n in names}
+        asked = {**(request.get("tools") or {}), **(request.get("tool_flags") or {})}
+        asked |= {n: on for n, on in request.items() if n.lower().removeprefix("disable_") in every and isinstance(on, bool)}
+        for name, on in asked.items():
+            name = name.lower()
+            bare = re.sub("^disable[-_]", "", name)
             for flag, names in FLAGS.items():
                 if bare in names:
                     known[flag] = bool(on) != (bare != name)
@@ -159,37 +177,45 @@ class Engine:
             sources.append(ops.swift_layout(eligible).withColumn("pos", F.row_number().over(Window.orderBy("level", "path"))))
         return ops.ordered_union(*sources)
 
-    def _index(self, eligible: DataFrame, query: str) -> tuple[DataFrame, DataFrame]:
-        """The index's postings and file lengths."""
-        if not self.index_dir:
-            found = index.postings(eligible)
-            return found, index.lengths(found, eligible)
-        if not index.exists(self.spark, self.index_dir):
-            index.write_index(eligible, self.index_dir)
-        return index.read_index(self.spark, self.index_dir, query)
+    def _indexed(self, spec: SearchSpec) -> DataFrame | None:
+        """The index's best files for the symbol, of the languages asked for; none where the symbol is no query.
+
+        The index holds all files, whatever a search asks for, and follows them: only what is new or has changed since it
+        was last opened is read.
+        """
+        try:
+            if self.index_dir:
+                kept = index.Index(self.spark, self.index_dir)
+                kept.refresh(self.files)
+                found = kept.matches(spec.symbol)
+            else:
+                found = index.bm25(self.files, spec.symbol)
+        except index.QueryError as e:
+            self._warnings.append(f"rg-indexed: {e}")
+            return None
+        extensions = rewrite.extensions_of(spec.languages)
+        if extensions:
+            found = found.where(F.regexp_extract("path", r"\.([^./]+)$", 1).isin(extensions))
+        return index.best(found, spec.max_matches)
 
     def _stages(self, spec: SearchSpec):
         """(name, hits, candidates) lazily, in order."""
         files, s = self.files, spec.symbol
         fold = rewrite.insensitive(s, (spec.languages or [None])[0])
-        extensions = rewrite.extensions_of(spec.languages)
-        eligible = files.where(F.col("ext").isin(extensions)) if extensions else files
 
-        def hits(found: DataFrame, origin: str) -> DataFrame:
-            return ops.as_hits(ops.per_file_cap(found, spec.max_matches), origin)
+        def hits(held: DataFrame, origin: str, fold: bool = fold) -> DataFrame:
+            return ops.as_hits(ops.capped_probe(held, s, spec.max_matches, fold), origin)
 
         if spec.literal:
-            yield "rg-global", hits(ops.probe(files, s, fold), "rg-global"), None
+            yield "rg-global", hits(files, "rg-global"), None
         cands = self.candidates(spec).persist()
         self._held.append(cands)
         scope = files if cands.isEmpty() else ops.scoped(files, cands, spec.max_matches)
-        yield "rg-scoped", hits(ops.probe(scope, s, fold), "rg-scoped"), cands
+        yield "rg-scoped", hits(scope, "rg-scoped"), cands
         if not spec.literal:
-            yield "rg-global", hits(ops.probe(files, s, fold), "rg-global"), cands
-        if spec.use_index:
-            found, stats = self._index(eligible, s)
-            best = index.search_index(found, stats, s, spec.max_matches)
-            yield "rg-indexed", hits(ops.probe(files.join(best.select("path"), "path", "left_semi"), s, True), "rg-indexed"), cands
+            yield "rg-global", hits(files, "rg-global"), cands
+        if spec.use_index and (best := self._indexed(spec)) is not None:
+            yield "rg-indexed", hits(files.join(F.broadcast(best.select("path")), "path", "left_semi"), "rg-indexed", True), cands
         if spec.use_pages and self.pages is not None:
             found = self.pages.where(F.rlike("line", F.lit(s))).orderBy("url", "line_no").limit(spec.max_matches)
             yield "rga", ops.as_hits(found.select(F.col("url").alias("path"), F.lit(None).cast("string").alias("ext"), "line_no", "line"), "rga"), cands
@@ -206,6 +232,7 @@ class Engine:
 
     def _search(self, spec: SearchSpec) -> Summary:
         warnings, times = list(self.state.warnings), {}
+        self._warnings = warnings
         language = (spec.languages or [None])[0]
         held, stage, cands = None, "", None
         for name, hits, candidates in self._stages(spec):
@@ -311,7 +338,8 @@ class _limit:
 def search(spark: SparkSession, spec: SearchSpec) -> Summary:
     """One search over a tree of files; appends to the log folder if one is named."""
     set_up_logs(spec.telemetry)
-    engine = Engine(spark, tree_files(spark, spec.root), state_path=spec.state_path, index_dir=spec.index_dir)
+    files = tree_files(spark, spec.root)
+    engine = Engine(spark, files, tree_pages(files) if spec.use_pages else None, spec.state_path, spec.index_dir)
     began = time.monotonic()
     summary = engine.search(spec)
     if spec.log_dir:

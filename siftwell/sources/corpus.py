@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,12 @@ EXTENSIONS = ("rs", "swift", "ts", "tsx", "js", "jsx", "py", "kt", "kts", "md")
 LANGUAGES = {"rs": "rust", "swift": "swift", "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "jsx", "py": "python", "kt": "kotlin", "kts": "kotlin"}
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that all executors share: spark.checkpoint.dir, or the warehouse where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table seen as a tree of files: a source is a directory, the extension follows from doc_id."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -82,13 +89,21 @@ def tree_files(spark: SparkSession, root: str, extensions: list[str] | None = No
     if ignore:
         depth = raw.agg(F.max(F.size(F.split(path, "/")))).first()[0] or 1
         raw = raw.where(~ignored(path, _ignore_rules(spark, root, depth)))
-    files = raw.select(path.alias("path"), F.regexp_replace(path, "/?[^/]*$", "").alias("dir"), name.alias("name"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("ext"), text.alias("body"), F.col("length").alias("n_bytes"))
+    files = raw.select(path.alias("path"), F.regexp_replace(path, "/?[^/]*$", "").alias("dir"), name.alias("name"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("ext"), text.alias("body"), F.col("length").alias("n_bytes"), F.col("modificationTime").alias("modified"))
     return files.where(F.col("ext").isin(extensions)) if extensions else files
 
 
+def tree_pages(files: DataFrame) -> DataFrame:
+    """The pages of a tree as lines of their text: (url, line_no, line), the path as url."""
+    return _page_lines(files.where(F.col("ext").isin("html", "htm", "xhtml")).select(F.col("path").alias("url"), F.col("body").alias("html")))
+
+
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rich documents (pages) as lines of their text without tags: (url, line_no, line)."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return _page_lines(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def _page_lines(pages: DataFrame) -> DataFrame:
     body = F.regexp_replace(F.regexp_replace("html", "<[^>]*>", "\n"), "\n+", "\n")
     return pages.select("url", F.posexplode(split_lines(body)).alias("i", "line")).select("url", (F.col("i") + 1).cast("long").alias("line_no"), "line")
 

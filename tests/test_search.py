@@ -1,6 +1,7 @@
 """The search API over a small tree of files, state, requests, streams, and expressions against plain Python."""
 
 import json
+import os
 import random
 import re
 
@@ -11,7 +12,6 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import rewrite, snippets
 from siftwell.operators import observe, search as ops, structure
-from siftwell.operators.index import read_index, search_index, write_index
 from siftwell.operators.state import State
 from siftwell.plans.search import Engine, SearchSpec, search
 from siftwell.sources.corpus import ignore_rule, lines_of, tree_files
@@ -33,6 +33,7 @@ TREE = {
     "src/gen/.gitignore": "*.rs\n!kept.rs\n",
     "run.log": "post_entry\n",
     "web/price.ts": "const $price = 3\nlet x$price = $price + 1\nprint($price)\n",
+    "docs/help.html": "<p>Help</p>\n<p>only in a page</p>\n",
     "empty.rs": "",
 }
 
@@ -98,11 +99,12 @@ def test_stages_after_an_empty_one(spark, root, tmp_path):
     assert found.stage == "rg-scoped" and {t["path"] for t in found.top_hits} == {"Sources/Feed/Store.swift"}
     assert engine.search(SearchSpec("Feed {", language="swift")).top_hits == []  # seen before
     none = engine.search(SearchSpec("absent_thing", use_index=True))
-    assert none.stage == "" and none.metrics["reward"] == 0 and not none.top_hits and (tmp_path / "ix" / "stats" / "_SUCCESS").exists()
-    built = (tmp_path / "ix" / "stats" / "_SUCCESS").stat().st_mtime_ns
+    assert none.stage == "" and none.metrics["reward"] == 0 and not none.top_hits
+    built = sorted(p.name for p in (tmp_path / "ix" / "versions").glob("*.json"))
+    assert built == ["00000001.json"]
     indexed = engine.search(SearchSpec("Nothing here", use_index=True))
     assert indexed.stage == "rg-indexed" and [t["path"] for t in indexed.top_hits] == ["docs/loadRows_notes.md"] and indexed.top_hits[0]["score"] == pytest.approx(1.1)
-    assert (tmp_path / "ix" / "stats" / "_SUCCESS").stat().st_mtime_ns == built  # opened, not built again
+    assert sorted(p.name for p in (tmp_path / "ix" / "versions").glob("*.json")) == built  # opened, not built again
     pages = spark.createDataFrame([("http://x", 3, "an absent_thing in a page")], "url string, line_no long, line string")
     rich = Engine(spark, files, pages).search(SearchSpec("absent_thing", use_pages=True))
     assert rich.stage == "rga" and rich.top_hits[0]["path"] == "http://x" and rich.top_hits[0]["score"] == pytest.approx(0.8)
@@ -110,6 +112,17 @@ def test_stages_after_an_empty_one(spark, root, tmp_path):
     assert odd.stage == "" and odd.warnings[-1].startswith("rga: ")  # no pattern: a warning
 
 
+def test_request_names(tmp_path):
+    own = SearchSpec("-", index_dir=str(tmp_path), root="/r")
+    spec = SearchSpec.from_request({"symbol": "x", "use_fd": False, "use_ast_grep": False, "enable_index": True, "tool_flags": {"RGA": True, "include_body": True}, "index_dir": "sub", "root": "a"}, own)
+    assert (spec.use_names, spec.use_structure, spec.use_index, spec.use_pages, spec.body) == (False, False, True, True, True)
+    assert spec.index_dir == os.path.realpath(tmp_path / "sub") and spec.root == "/r/a"
+    assert SearchSpec.from_request({"symbol": "x", "disable_fd": True, "tool_flags": {"fd": True, "nothing": True}}, own).use_names is False
+    for bad in ({"index_dir": "../out"}, {"log_dir": "/tmp"}, {"cache_dir": "/tmp/x"}):
+        with pytest.raises(ValueError, match="below"):
+            SearchSpec.from_request({"symbol": "x", **bad}, own)
+
+
 def test_slow_stages_are_cancelled(spark):
     from siftwell.plans.search import _limit
 
@@ -166,7 +179,9 @@ def test_service(spark, root):
         found = json.loads(ask("/search", {"symbol": "kept_thing", "root": "src", "language": "", "context_before": 0}))["summary"]
         assert [(t["path"], t["line_no"]) for t in found["top_hits"]] == [("gen/kept.rs", 1)]
         assert 'stages_total{label="rg-global"} 1' in ask("/metrics")
-        for path, body, status in (("/search", {"symbol": " "}, 400), ("/search", [1], 400), ("/nothing", None, 404)):
+        page = json.loads(ask("/search", {"symbol": "only in a page", "use_rga": True, "tool_flags": {"fd": False}}))["summary"]
+        assert [(t["path"], t["line_no"], t["origin"]) for t in page["top_hits"]] == [("docs/help.html", 2, "rg-scoped")]
+        for path, body, status in (("/search", {"symbol": " "}, 400), ("/search", {"symbol": "x", "index_dir": "/tmp/elsewhere"}, 400), ("/search", [1], 400), ("/nothing", None, 404)):
             with pytest.raises(HTTPError) as e:
                 ask(path, body)
             assert e.value.code == status
@@ -215,14 +230,6 @@ def test_state_is_replaced_whole_and_bounded(tmp_path):
     assert State.load(str(tmp_path / "bad.json")).warnings and not State.load(str(tmp_path / "none.json")).warnings
 
 
-def test_index_on_disk(spark, root, tmp_path):
-    files = tree_files(spark, root, ["rs", "swift", "tsx"])
-    write_index(files, str(tmp_path / "ix"), 4)
-    found, stats = read_index(spark, str(tmp_path / "ix"), "loadRows run", 4)
-    assert [r.path for r in search_index(found, stats, "loadRows run", 5).collect()] == ["src/use.rs", "web/chart.tsx"]
-    assert not search_index(found, stats, " ", 5).collect()
-
-
 def test_stream_equals_batch(spark, tmp_path):
     schema = "ts timestamp, stage string, ms double"
     rows = [{"ts": f"2024-01-01T00:{m:02d}:00Z", "stage": s, "ms": float(m)} for m in range(30) for s in ("probe", "verify")] + [{"ts": "2024-01-01T03:00:00Z", "stage": "end", "ms": 0.0}]
