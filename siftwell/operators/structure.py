@@ -231,14 +231,18 @@ def rule_matches(lines: DataFrame, symbol: str, languages: list[str], budget: in
     asked = {lang if lang in RULE_EXTENSIONS else "other" for lang in languages}
     held = lines.where(F.contains("line", F.lit(symbol)))
     tests = []
-    for at, (lang, rule, pattern) in enumerate(RULES):
+    for lang, rule, pattern in RULES:
         if lang in asked:
             own = F.col("ext") == RULE_EXTENSIONS[lang] if lang in RULE_EXTENSIONS else ~F.coalesce("ext", F.lit("")).isin(*RULE_EXTENSIONS.values())
-            tests.append(F.when(own & F.rlike("line", F.lit(rule_pattern(pattern, symbol))), F.struct(F.lit(at).alias("at"), F.lit(lang).alias("language"), F.lit(rule).alias("rule"))))
+            tests.append(F.when(own & F.rlike("line", F.lit(rule_pattern(pattern, symbol))), F.struct(F.lit(lang).alias("language"), F.lit(rule).alias("rule"))))
     if not tests:
         return held.where("false").select(F.lit("").alias("language"), F.lit("").alias("rule"), "path", "line_no")
-    found = held.select("path", "line_no", F.explode(F.array_compact(F.array(*tests))).alias("m"))
-    if budget is not None:
-        first = found.groupBy("path", "line_no").agg(F.min("m.at").alias("at")).orderBy("at", "path", "line_no").limit(budget)
-        found = found.join(F.broadcast(first.select("path", "line_no")), ["path", "line_no"], "left_semi")
-    return found.select("m.language", "m.rule", "path", "line_no")
+    found = held.select("path", "line_no", F.explode(F.array_compact(F.array(*tests))).alias("m")).select("m.language", "m.rule", "path", "line_no")
+    return found if budget is None else first_matches(found, budget)
+
+
+def first_matches(found: DataFrame, budget: int) -> DataFrame:
+    """The matches of the first so many lines by language, rule and place."""
+    at = F.array_position(F.array(*(F.lit(f"{lang} {rule}") for lang, rule, _ in RULES)), F.concat_ws(" ", "language", "rule"))
+    first = found.groupBy("path", "line_no").agg(F.min(at).alias("at")).orderBy("at", "path", "line_no").limit(budget)
+    return found.join(F.broadcast(first.select("path", "line_no")), ["path", "line_no"], "left_semi")

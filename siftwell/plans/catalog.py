@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import rewrite, snippets
-from siftwell.operators import index, observe, search, state, structure
+from siftwell.operators import index, observe, ranges, scopes, search, state, structure
 from siftwell.sources import corpus
-from siftwell.sources.corpus import CODE_SQL, FILES_SQL, LANGUAGES, LINES_SQL, shared_folder
+from siftwell.sources.corpus import BROKEN_SQL, CODE_SQL, FILES_SQL, LANGUAGES, LINES_SQL, shared_folder
 from siftwell.streaming import telemetry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -465,6 +465,75 @@ query("ast_definitions", f"WITH {CODE_SQL} {_rules_sql(('rust', 'swift', 'tsx'),
 query("ast_patterns", f"WITH {CODE_SQL}, everything AS (SELECT path, ext, line_no, line FROM lines WHERE ext NOT IN ('rs', 'swift', 'tsx') UNION ALL SELECT path, ext, line_no, line FROM code), m AS ({_rules_sql(('rust', 'swift', 'ts', 'tsx', 'other'), 'and', 'everything')}) SELECT language, rule, count(*)::BIGINT AS n FROM m GROUP BY language, rule")(
     lambda spark, d: structure.rule_matches(lines(spark, d).where("ext NOT IN ('rs', 'swift', 'tsx')").union(code(spark, d)), "and", ["rust", "swift", "ts", "tsx", "kotlin"]).groupBy("language", "rule").agg(F.count("*").alias("n"))
 )
+# Structure over several lines: tokens with running sums of brackets, once more in SQL.
+def _text(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+BRACKETS_SQL = f"""{BROKEN_SQL}, bodies AS (SELECT path, ext, string_agg(line, chr(10) ORDER BY line_no) AS body FROM broken GROUP BY path, ext),
+cut_tokens AS (SELECT path, ext, CASE WHEN ext IN ('ts', 'tsx', 'js', 'jsx') THEN regexp_extract_all(body, '{_text(scopes.QUOTED_TOKENS)}') ELSE regexp_extract_all(body, '{_text(scopes.TOKENS)}') END AS ts FROM bodies),
+each_token AS (SELECT path, ext, unnest(ts) AS token, generate_subscripts(ts, 1) AS i FROM cut_tokens),
+summed AS (SELECT *, token IN ('(', '[', '{{') AS opens, token IN (')', ']', '}}') AS closes, 1 + coalesce(sum(length(token) - length(replace(token, chr(10), ''))) OVER (PARTITION BY path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line_no,
+  sum(CASE WHEN token IN ('(', '[', '{{') THEN 1 WHEN token IN (')', ']', '}}') THEN -1 ELSE 0 END) OVER (PARTITION BY path ORDER BY i) AS after_ FROM each_token),
+levelled AS (SELECT *, CASE WHEN closes THEN after_ + 1 ELSE after_ END AS level FROM summed),
+stream AS (SELECT *, last_value(CASE WHEN opens THEN token END IGNORE NULLS) OVER (PARTITION BY path, level ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS around FROM levelled),
+shown_tokens AS (SELECT * FROM stream WHERE NOT regexp_matches(token, '^(/[*/]|["`''])'))"""
+_DECLARED, _CONTROL = (f"regexp_extract(signature, '^(?:.* )?((?:{'|'.join(words)})(?: .*)?)$', 1)" for words in (scopes.DECLARES, scopes.CONTROLS))
+SCOPES_SQL = f"""{BRACKETS_SQL}, parted AS (SELECT *, coalesce(sum((token IN ('{{', '}}') OR token = ';' AND coalesce(around, '{{') = '{{')::INT) OVER (PARTITION BY path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS statement,
+  lead(CASE WHEN token = '}}' THEN line_no END) OVER (PARTITION BY path, level, token IN ('{{', '}}') ORDER BY i) AS end_line FROM shown_tokens WHERE token <> chr(10)),
+statements AS (SELECT path, ext, statement, list(token ORDER BY i) AS a, min(line_no) AS first_line, arg_max(line_no, i) AS open_line, arg_max(level, i) AS depth, arg_max({{'e': end_line}}, i).e AS end_line FROM parted GROUP BY path, ext, statement),
+opened AS (SELECT *, array_to_string(a[1:len(a) - 1], ' ') AS signature FROM statements WHERE a[-1] = '{{'),
+spoken AS (SELECT *, {_DECLARED} AS declared, {_CONTROL} AS control, ext IN ('ts', 'tsx', 'js', 'jsx') AS quoted, regexp_extract(signature, '^(?:.* )?(?:const|let|var) ([\\w$]+) .*= >$', 1) AS arrow,
+  regexp_extract(signature, '^(?:.* )?([A-Za-z_$][\\w$]*) (?:< [^()]*> )?\\([^()]*(?:\\([^()]*\\)[^()]*)*\\)[^()=]*$', 1) AS method FROM opened),
+worded_scopes AS (SELECT *, regexp_extract(declared, '^(\\S+)', 1) AS word, regexp_replace(regexp_extract(declared, '^\\S+ ?(.*)$', 1), '[A-Za-z_]\\w* : : ', '', 'g') AS rest FROM spoken),
+judged_scopes AS (SELECT *, declared = '' OR control <> '' AND length(control) < length(declared) AND NOT (word = 'impl' AND starts_with(control, 'for ')) AS block, method <> '' AND method NOT IN ({', '.join(f"'{w}'" for w in scopes.CONTROLS)}) AS plain, regexp_extract(rest, '(?:^|.* )for (?:& |mut |dyn )*([A-Za-z_]\\w*)', 1) AS target FROM worded_scopes),
+scopes AS (SELECT path, ext, CASE WHEN NOT block THEN word WHEN quoted AND arrow <> '' THEN 'arrow' WHEN quoted AND plain THEN 'method' ELSE 'block' END AS kind,
+  nullif(CASE WHEN NOT block THEN CASE WHEN word = 'impl' AND target <> '' THEN target WHEN word IN ('init', 'deinit', 'subscript') THEN word ELSE regexp_extract(regexp_replace(rest, '^< [^{{]*?> ([A-Za-z_])', '\\1'), '^([A-Za-z_$][\\w$]*)', 1) END WHEN quoted AND arrow <> '' THEN arrow WHEN quoted AND plain THEN method END, '') AS name,
+  signature, first_line::BIGINT AS first_line, open_line::BIGINT AS open_line, end_line::BIGINT AS end_line, depth::BIGINT AS depth FROM judged_scopes)"""
+
+
+def broken(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.broken_code(files(spark, d))
+
+
+query("code_scopes", f"WITH {SCOPES_SQL} SELECT path, kind, name, signature, first_line, open_line, end_line, depth FROM scopes")(lambda spark, d: scopes.scopes(broken(spark, d)).drop("ext"))
+
+
+@query(
+    "scope_of_hit",
+    f"""WITH {SCOPES_SQL}, found AS (SELECT path, line_no FROM broken WHERE contains(line, '{SYMBOL}')),
+inner_ AS (SELECT f.path, f.line_no, s.kind, s.name, s.first_line, s.end_line FROM found f JOIN scopes s ON s.path = f.path AND s.kind <> 'block' AND f.line_no BETWEEN s.first_line AND coalesce(s.end_line, 2147483647) QUALIFY row_number() OVER (PARTITION BY f.path, f.line_no ORDER BY s.depth DESC, s.first_line DESC) = 1)
+SELECT f.path, f.line_no, kind AS scope_kind, name AS scope_name, first_line AS scope_start, end_line AS scope_end FROM found f LEFT JOIN inner_ i ON f.path = i.path AND f.line_no = i.line_no""",
+)
+def scope_of_hit(spark, d):
+    held = broken(spark, d)
+    found = corpus.lines_of(held).where(F.contains("line", F.lit(SYMBOL))).select("path", "line_no")
+    return scopes.innermost(found, scopes.scopes(held))
+
+
+JOINED_SQL = f"""{BRACKETS_SQL}, told_tokens AS (SELECT *, coalesce(lag(token) OVER (PARTITION BY path ORDER BY i), '') AS prior FROM shown_tokens),
+lists_ AS (SELECT *, last_value(CASE WHEN token = '{{' THEN prior IN ('export', 'import', 'type') END IGNORE NULLS) OVER (PARTITION BY path, level ORDER BY i) AS in_list FROM told_tokens),
+going AS (SELECT path, line_no FROM lists_ WHERE token = chr(10) AND (around IN ('(', '[') OR around = '{{' AND coalesce(in_list, FALSE))),
+runs_of AS (SELECT b.path, b.ext, b.line_no, b.line, coalesce(sum(CASE WHEN g.path IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY b.path ORDER BY b.line_no), 0) AS run FROM broken b LEFT JOIN going g ON g.path = b.path AND g.line_no = b.line_no - 1),
+joined AS (SELECT path, ext, min(line_no) AS first, string_agg(CASE WHEN line_no = head THEN rtrim(line) ELSE trim(line) END, ' ' ORDER BY line_no) AS line FROM (SELECT *, min(line_no) OVER (PARTITION BY path, run) AS head FROM runs_of) GROUP BY path, ext, run HAVING count(*) > 1)"""
+
+
+@query(
+    "ast_multiline",
+    f"""WITH {JOINED_SQL}, whole_runs AS (SELECT path, ext, first AS line_no, line FROM joined), ruled AS ({_rules_sql(('rust', 'swift', 'tsx'), 'he', 'whole_runs')}),
+places AS (SELECT r.path, min(r.line_no) OVER (PARTITION BY r.path, r.run) AS first, r.line_no, r.line FROM runs_of r)
+SELECT language, rule, r.path, p.line_no FROM ruled r JOIN places p ON p.path = r.path AND p.first = r.line_no WHERE regexp_matches(p.line, '(^|[^\\w$])he([^\\w$]|$)')""",
+)
+def ast_multiline(spark, d):
+    return scopes.broken_matches(broken(spark, d), "he", ["rust", "swift", "tsx"])
+
+
+CONTEXTS_SQL = f"""WITH {HITS_SQL}, around AS (SELECT path, greatest(1, line_no - 2) AS s, line_no + 2 AS e FROM hits),
+fresh AS (SELECT *, CASE WHEN coalesce(max(e) OVER (PARTITION BY path ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) + 1 < s THEN 1 ELSE 0 END AS new FROM around),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY path ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS n FROM fresh),
+spans AS (SELECT path, min(s) AS s, max(e) AS e, count(*) AS hits FROM numbered GROUP BY path, n)
+SELECT l.path, s::BIGINT AS start, max(line_no)::BIGINT AS "end", any_value(hits)::BIGINT AS hits, string_agg(line, chr(10) ORDER BY line_no) AS text FROM spans JOIN lines l ON l.path = spans.path AND l.line_no BETWEEN s AND e GROUP BY l.path, s"""
+query("context_ranges", CONTEXTS_SQL)(lambda spark, d: ranges.contexts(hits(spark, d).select("path", "line_no"), lines(spark, d)))
 query("collapse_ws", f"WITH {LINES_SQL} SELECT path, line_no, {collapsed('line')} AS value FROM lines")(lambda spark, d: lines(spark, d).select("path", "line_no", structure.collapse(F.col("line")).alias("value")))
 query("indentation", f"WITH {CODE_SQL} SELECT path, line_no, (length(line) - length(regexp_replace(line, '^\\s+', '')))::BIGINT AS value FROM code")(lambda spark, d: code(spark, d).select("path", "line_no", structure.indentation(F.col("line")).alias("value")))
 query("snippet_default", f"WITH {LINES_SQL} SELECT path, line_no, nullif({collapsed('line')}, '') AS value FROM lines")(lambda spark, d: lines(spark, d).select("path", "line_no", snippets.default(F.col("line")).alias("value")))

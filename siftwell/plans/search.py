@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import rewrite, snippets
-from siftwell.operators import index, search as ops, structure
+from siftwell.operators import index, scopes, search as ops, structure
 from siftwell.operators.state import State
 from siftwell.sources.corpus import lines_of, tree_files, tree_pages
 
@@ -258,7 +258,9 @@ class Engine:
         # The fast path of a literal symbol goes without structure.
         if spec.use_structure and not (spec.literal and stage == "rg-global") and re.fullmatch(r"[A-Za-z0-9_$]+", spec.symbol):
             paths = self.files.join(held.select("path").distinct(), "path", "left_semi")
-            rules = structure.rule_matches(ops.probe(paths, spec.symbol), spec.symbol, spec.languages or ["rust"], spec.max_matches).persist()
+            asked = spec.languages or ["rust"]
+            found = scopes.all_matches(paths, ops.probe(paths, spec.symbol), spec.symbol, asked)
+            rules = structure.first_matches(found, spec.max_matches).persist()
             self._held.append(rules)
             times["disambiguate"] = int((time.monotonic() - began) * 1000)
         began = time.monotonic()

@@ -150,6 +150,29 @@ def code_lines(files: DataFrame) -> DataFrame:
     return lines.select("path", "ext", "line_no", out.alias("line"))
 
 
+# As RENDER, with statements that go over several lines.
+RENDER_BROKEN = {
+    "rs": ("pub fn {w}(", "    x: &str, // (", "    {w}: u8,", ") -> T {", None, "}", "impl<T>", "Show for {w}<T> {"),
+    "swift": ("  func {w}(", "    id: Int", "  ) async {", None, "}", "public struct {w}: Codable {", "  init(", "    {w}: Int) {"),
+    "tsx": ("export const {w} = (", "  a: number,", ") => {", None, "}", "export {", "  {w},", "}"),
+}
+
+
+def broken_code(files: DataFrame) -> DataFrame:
+    """Files of rs, swift and tsx with each line rendered as a piece of a statement. A file is one row, so it is done there."""
+    def rendered(line: Column, i: Column) -> Column:
+        w, out = F.regexp_extract(line, "[A-Za-z]+", 0), line
+        for ext, forms in RENDER_BROKEN.items():
+            for n, form in enumerate(forms):
+                if form is not None:
+                    text = F.concat(*(F.lit(p) if j % 2 == 0 else w for j, p in enumerate(_around(form)))) if "{w}" in form else F.lit(form)
+                    out = F.when((F.col("ext") == ext) & (F.pmod(i + 1, F.lit(8)) == n), text).otherwise(out)
+        return out
+
+    held = files.where(F.col("ext").isin(*RENDER_BROKEN))
+    return held.withColumn("body", F.array_join(F.transform(split_lines(F.col("body")), rendered), "\n"))
+
+
 def _around(form: str) -> list[str]:
     a, b = form.split("{w}", 1)
     return [a, "{w}", b]
@@ -167,15 +190,16 @@ lines AS (SELECT path, ext, generate_subscripts(a, 1)::BIGINT AS line_no, regexp
 )
 
 
-def _code_sql() -> str:
+def _code_sql(render: dict, name: str) -> str:
     cases = ""
-    for ext, forms in RENDER.items():
+    for ext, forms in render.items():
         for i, form in enumerate(forms):
             if form is not None:
                 text = " || ".join("w" if p == "{w}" else f"'{p}'" for p in _around(form)) if "{w}" in form else f"'{form}'"
                 cases += f" WHEN ext = '{ext}' AND line_no % 8 = {i} THEN {text}"
     return f"""{LINES_SQL}, worded AS (SELECT *, regexp_extract(line, '[A-Za-z]+') AS w FROM lines WHERE ext IN ('rs', 'swift', 'tsx')),
-code AS (SELECT path, ext, line_no, CASE{cases} ELSE line END AS line FROM worded)"""
+{name} AS (SELECT path, ext, line_no, CASE{cases} ELSE line END AS line FROM worded)"""
 
 
-CODE_SQL = _code_sql()
+CODE_SQL = _code_sql(RENDER, "code")
+BROKEN_SQL = _code_sql(RENDER_BROKEN, "broken")
