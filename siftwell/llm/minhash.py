@@ -1,17 +1,18 @@
 """Near-duplicate removal by bottom-k sketches of one hash function.
 
-A document's sketch is the RETAINED smallest hashes of its shingles. The values of all sketches form inverted lists, and two
-documents become candidates where their lists overlap. A pair's union sketch, the smallest values of both together, is a
-sample without replacement of the union of their sets, so the part of it that both retain estimates their likeness: pairs
-whose estimate is too small for linked ones are dropped, all others are verified on their full sets.
-
-How small an estimate may be follows from MISS: of pairs at exactly the least likeness that links, at most that part falls
-below. Small sets are retained whole, and nothing is lost there.
-
-Linked sketches share at least `need` values, so each sketch enters only its rarest m - need + 1 lists: values that many
-documents retain (a common phrase) are reached last, and a document whose other values are its own enters none of them.
-Lists are not compared all with all. Each list's most central set meets the others first; what is joined by that needs no
-further comparison, and remaining pairs of differing components follow. So a group of m near copies costs about m pairs.
+A document's sketch is the RETAINED smallest hashes of its shingles. Runs of neighbouring retained values form inverted
+lists, and two documents become candidates where their lists overlap. A pair's union sketch, the smallest values of both
+together, is a sample without replacement of the union of their sets, so the part of it that both retain estimates their
+likeness: pairs whose estimate is too small for linked ones are dropped, all others are verified on their full sets.
+
+How long a run may be, how many runs linked sketches share and how small an estimate may be follow from MISS: of pairs at
+exactly the least likeness that links, at most that part falls below each. Small sets are retained whole; there the number
+of runs follows from how many values may differ, and nothing is lost.
+
+A run is seldom common by chance, as a single value (a frequent word pair) is. Each sketch enters only its rarest lists, all
+but as many as linked ones share; a sketch that meets others in fewer lists than that enters none. Lists are not compared all
+with all: each list's most central set meets the others first; what is joined by that needs no further comparison, and
+remaining pairs of differing components follow. So a group of m near copies costs about m pairs.
 """
 
 from __future__ import annotations
@@ -29,10 +30,10 @@ from siftwell.llm.flat import SPACED, FlatWords, lists
 from siftwell.llm.jaccard import _first, _flat_sets, _texts, _verify
 from siftwell.llm.shared import drop, map_text, mix, store, text_keys
 
-RETAINED = 64
+RETAINED = 48
 """Values of a sketch."""
-MISS = 1e-9
-"""Part of the pairs at exactly the least likeness whose estimate may be too small."""
+MISS = 1e-6
+"""Part of the pairs at exactly the least likeness that a sketch may rule out."""
 _SIGN = np.uint64(1 << 63)
 
 
@@ -47,6 +48,41 @@ def least_overlap(retained: int, likeness: Fraction, miss: float = MISS) -> int:
     return retained
 
 
+def differing(n: int, likeness: Fraction) -> int:
+    """The most values of a union of n that only one of two linked sets has."""
+    return n - -(-n * likeness.numerator // likeness.denominator)
+
+
+def shared_runs(n: int, run: int, likeness: Fraction) -> int:
+    """The fewest runs of neighbours that two linked sets have in common whose union of n values is known whole: each value
+    that only one has ends a run of common ones."""
+    d = differing(n, likeness)
+    return n - d - (run - 1) * (d + 1)
+
+
+def run_size(retained: int, likeness: Fraction) -> int:
+    """Two, if that many neighbours are always common to linked sets that are not equal, else one."""
+    return 2 if all(differing(n, likeness) == 0 or shared_runs(n, 2, likeness) > 0 for n in range(2, retained + 1)) else 1
+
+
+def least_runs(retained: int, run: int, likeness: Fraction, miss: float = MISS) -> int:
+    """The most runs that all but `miss` of the linked pairs share in their union sketch."""
+    p = float(likeness)
+    # By the length of the run of common values so far (run: that or longer) and the runs counted.
+    odds = np.zeros((run + 1, retained + 2))
+    odds[0, 0] = 1
+    for _ in range(retained):
+        after = np.zeros_like(odds)
+        after[0] = (1 - p) * odds.sum(axis=0)
+        for size in range(run + 1):
+            if size + 1 >= run:
+                after[run, 1:] += p * odds[size, :-1]
+            else:
+                after[size + 1] += p * odds[size]
+        odds = after
+    return max(1, int(np.searchsorted(np.cumsum(odds.sum(axis=0)), miss, "right")))
+
+
 def sketches(docs: DataFrame, k: int, retained: int) -> DataFrame:
     """(doc_id, k1, k2, n, sid, sketch): set size, id of the set and its smallest hashes in order. sid is null without words."""
     k1, k2 = text_keys(F.col("text"))
@@ -71,22 +107,26 @@ def sketches(docs: DataFrame, k: int, retained: int) -> DataFrame:
     return store(map_text(keyed, ["doc_id", "k1", "k2"], {"n": "long", "sid": "binary", "sketch": "array<long>"}, start, flat=True, slab=1000))
 
 
-def need(n: Column, retained: int, likeness: Fraction, least: int) -> Column:
-    """Values that a sketch shares with each linked one. The union of a set that is small enough is retained whole."""
-    exact = F.ceil(n * likeness.numerator / likeness.denominator - F.lit(1e-9))
-    return F.when(n * likeness.denominator <= retained * likeness.numerator, exact).otherwise(F.lit(least)).cast("int")
-
-
-def inverted_lists(sets: DataFrame, retained: int, likeness: Fraction, least: int) -> DataFrame:
-    """(value, sid, n, shared): the lists that each set enters, those of its rarest retained values."""
-    each = sets.select("sid", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
-    # A value of one set links nothing; it comes first in the order, and is only counted.
-    counts = store(each.groupBy("value").agg(F.count("*").alias("held")).where("held > 1"))
-    met = each.join(counts, "value").groupBy("sid", "n", "m").agg(F.sort_array(F.collect_list(F.struct("held", "value"))).alias("values"))
-    shared, wanted = F.size("values"), need(F.col("n"), retained, likeness, least)
-    first = F.slice("values", 1, F.col("shared") - F.col("wanted") + 1)
-    kept = met.withColumns({"shared": shared, "wanted": wanted}).where("shared >= wanted").select("sid", "n", "shared", F.explode(first).alias("v"))
-    out = store(kept.select("v.value", "sid", "n", "shared"))
+def need(n: Column, retained: int, likeness: Fraction, run: int, miss: float) -> Column:
+    """Runs that a sketch shares with each linked one. The union of a set that is small enough is retained whole."""
+    whole = F.array(*(F.lit(max(1, shared_runs(i, run, likeness))) for i in range(retained + 1)))
+    exact = F.get(whole, F.least(n, F.lit(retained)).cast("int"))
+    return F.when(n * likeness.denominator <= retained * likeness.numerator, exact).otherwise(F.lit(least_runs(retained, run, likeness, miss))).cast("int")
+
+
+def inverted_lists(sets: DataFrame, retained: int, likeness: Fraction, miss: float = MISS) -> DataFrame:
+    """(key, num, n, shared): the lists that each set enters, those of its rarest runs of retained values."""
+    run = run_size(retained, likeness)
+    at = F.sequence(F.lit(1), F.size("sketch") - (run - 1))
+    keys = F.transform(at, lambda i: F.xxhash64(*(F.element_at("sketch", i + j) for j in range(run))))
+    each = sets.where(F.size("sketch") >= run).select("num", F.col("n").cast("int").alias("n"), F.explode(keys).alias("key"))
+    # A run of one set links nothing.
+    counts = store(each.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"))
+    met = each.join(counts, "key").groupBy("num", "n").agg(F.sort_array(F.collect_list(F.struct("held", "key"))).alias("keys"))
+    shared, wanted = F.size("keys"), need(F.col("n"), retained, likeness, run, miss)
+    first = F.slice("keys", 1, F.col("shared") - F.col("wanted") + 1)
+    kept = met.withColumns({"shared": shared, "wanted": wanted}).where("shared >= wanted").select("num", "n", "shared", F.explode(first).alias("k"))
+    out = store(kept.select("k.key", "num", "n", "shared"))
     drop(counts)
     return out
 
@@ -98,14 +138,14 @@ def overlap(a: Column, b: Column, retained: int) -> Column:
 
 
 def alike_sketches(pairs: DataFrame, sets: DataFrame, retained: int, likeness: Fraction, least: int) -> DataFrame:
-    """The pairs (a, b) whose union sketch does not rule them out."""
-    left = sets.select(F.col("sid").alias("a"), F.col("sketch").alias("sa"))
-    right = sets.select(F.col("sid").alias("b"), F.col("sketch").alias("sb"))
+    """The set ids (a, b) of the pairs of numbers (a, b) whose union sketch does not rule them out."""
+    left = sets.select(F.col("num").alias("a"), F.col("sid").alias("ia"), F.col("sketch").alias("sa"))
+    right = sets.select(F.col("num").alias("b"), F.col("sid").alias("ib"), F.col("sketch").alias("sb"))
     both = overlap(F.col("sa"), F.col("sb"), retained)
     whole = F.size(F.array_union("sa", "sb"))
     # A union that is smaller than a sketch is known whole.
     enough = F.when(whole <= retained, likeness.denominator * both >= likeness.numerator * whole).otherwise(both >= least)
-    return pairs.join(left, "a").join(right, "b").where(enough).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(enough).select(F.col("ia").alias("a"), F.col("ib").alias("b"))
 
 
 def minhash_components(docs: DataFrame, k: int = 5, likeness: Fraction = Fraction(4, 5), retained: int = RETAINED, miss: float = MISS) -> DataFrame:
@@ -122,10 +162,14 @@ def minhash_components(docs: DataFrame, k: int = 5, likeness: Fraction = Fractio
     docs = docs.select("doc_id", "text")
     least = least_overlap(retained, likeness, miss)
     base = sketches(docs, k, retained)
-    some = base.where("n > 0")
-    sets = store(some.groupBy("sid", "n").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("rep"), F.count("*").alias("docs"), F.min("doc_id").alias("least"), F.first("sketch").alias("sketch")))
-    rows = inverted_lists(sets, retained, likeness, least)
-    chosen = store(sets.join(rows.select("sid").distinct(), "sid", "left_semi"))
+    rep = F.min(F.struct("doc_id", "k1", "k2")).alias("rep")
+    sets = store(base.where("n > 0").groupBy("sid", "n").agg(rep, F.first("sketch").alias("sketch")).withColumn("num", F.xxhash64("sid")))
+    of = store(base.select("doc_id", "n", "sid"))
+    drop(base)
+    # Two sets may bear one number: they meet the same lists, and are told apart where sketches and texts are compared.
+    rows = inverted_lists(sets, retained, likeness, miss)
+    chosen = store(sets.join(rows.select("num").distinct(), "num", "left_semi"))
+    drop(sets)
     texts = _texts(docs, chosen)
     num, den = likeness.numerator, likeness.denominator
 
@@ -133,22 +177,23 @@ def minhash_components(docs: DataFrame, k: int = 5, likeness: Fraction = Fractio
         nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
         return den * F.least(nx, ny) >= num * F.greatest(nx, ny)
 
-    # An original shares more of its values than its edited copies do.
-    pivots = rows.groupBy("value").agg(F.max(F.struct("shared", "sid", "n")).alias("p"), F.count("*").alias("held")).where("held > 1").select("value", "p.sid", "p.n")
-    star = rows.alias("x").join(pivots.alias("p"), "value").where((F.col("x.sid") != F.col("p.sid")) & sizes_fit("x", "p"))
-    star = store(star.select(F.col("p.sid").alias("a"), F.col("x.sid").alias("b")).distinct())
+    # An original shares more of its runs than its edited copies do.
+    pivots = rows.groupBy("key").agg(F.max(F.struct("shared", "num", "n")).alias("p"), F.count("*").alias("held")).where("held > 1").select("key", "p.num", "p.n")
+    star = rows.alias("x").join(pivots.alias("p"), "key").where((F.col("x.num") != F.col("p.num")) & sizes_fit("x", "p"))
+    star = store(star.select(F.col("p.num").alias("a"), F.col("x.num").alias("b")).distinct())
     links = store(_verify(alike_sketches(star, chosen, retained, likeness, least), texts, k, likeness).distinct())
     labels = components(links)
 
     # The rest: pairs of a list whose labels differ. One of the two lies outside the list's largest class.
     label = F.coalesce("label", "sid").alias("label")
-    spread = store(rows.join(labels, F.col("sid") == F.col("node"), "left").select("value", "sid", "n", label))
-    classes = spread.groupBy("value", "label").agg(F.count("*").alias("m"))
-    open_ = classes.groupBy("value").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("classes")).where("classes > 1").select("value", "main")
-    live = store(spread.join(open_, "value"))
+    known = chosen.select("num", "sid").join(labels, F.col("sid") == F.col("node"), "left").select("num", label)
+    spread = store(rows.join(known, "num").select("key", "num", "n", "label"))
+    classes = spread.groupBy("key", "label").agg(F.count("*").alias("m"))
+    open_ = classes.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("classes")).where("classes > 1").select("key", "main")
+    live = store(spread.join(open_, "key"))
     x, y = live.where("label <> main").alias("x"), live.alias("y")
-    differ = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.sid") < F.col("y.sid")))
-    rest = x.join(y, "value").where(differ & sizes_fit("x", "y")).select(F.col("y.sid").alias("a"), F.col("x.sid").alias("b")).distinct()
+    differ = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.num") < F.col("y.num")))
+    rest = x.join(y, "key").where(differ & sizes_fit("x", "y")).select(F.col("y.num").alias("a"), F.col("x.num").alias("b")).distinct()
     seen = star.union(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = store(rest.join(seen, ["a", "b"], "left_anti"))
     if rest.limit(1).count():
@@ -158,10 +203,11 @@ def minhash_components(docs: DataFrame, k: int = 5, likeness: Fraction = Fractio
         drop(more)
     drop(rest, live, spread, star, links, texts, chosen, rows)
 
-    # Sets without a link are components of their own, and need no join but this.
-    known = sets.select("sid", "least").join(labels, F.col("sid") == F.col("node"), "left").select("sid", "least", label)
+    # Sets without a link are components of their own; copies of one text are one set.
+    least_id = of.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
+    known = least_id.join(labels, F.col("sid") == F.col("node"), "left").select("sid", "least", label)
     smallest = known.groupBy("label").agg(F.min("least").alias("component_id"))
     ends = known.join(smallest, "label").select("sid", "component_id")
-    out = some.select("doc_id", "n", "sid").join(ends, "sid", "left").select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = out.union(base.where("n = 0").select("doc_id", "n", "doc_id"))
+    out = of.where("n > 0").join(ends, "sid", "left").select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = out.union(of.where("n = 0").select("doc_id", "n", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -6,7 +6,7 @@ from fractions import Fraction
 import pytest
 
 from siftwell.llm import minhash
-from siftwell.llm.minhash import least_overlap, minhash_components
+from siftwell.llm.minhash import least_overlap, least_runs, minhash_components, run_size, shared_runs
 from test_jaccard import ODD, brute
 
 
@@ -67,6 +67,28 @@ def test_least_overlap_is_a_tail():
     assert least_overlap(64, Fraction(1)) == 64
 
 
+def test_shared_runs_of_small_sets():
+    """No arrangement of the values that differ leaves fewer common runs than promised."""
+    for likeness in (Fraction(4, 5), Fraction(9, 10), Fraction(1, 2)):
+        run = run_size(48, likeness)
+        for n in range(2, 14):
+            for mask in range(1 << n):
+                common = [not mask >> i & 1 for i in range(n)]
+                if sum(common) >= likeness * n and mask:
+                    found = sum(all(common[i : i + run]) for i in range(n - run + 1))
+                    assert found >= max(1, shared_runs(n, run, likeness))
+
+
+def test_least_runs_is_a_tail():
+    rng = random.Random(4)
+    least = least_runs(48, 2, Fraction(4, 5), 1e-3)
+    below = 0
+    for _ in range(5000):
+        common = [rng.random() < 0.8 for _ in range(48)]
+        below += sum(a and b for a, b in zip(common, common[1:], strict=False)) < least
+    assert 8 < least < 30 and below < 15
+
+
 def test_empty_table(spark):
     assert not minhash_components(spark.createDataFrame([], "doc_id long, text string")).collect()
 
