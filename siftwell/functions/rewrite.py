@@ -96,6 +96,22 @@ def insensitive(symbol: str, language: str | None = None) -> bool:
     return not any(c.isupper() for f in forms for c in re.sub(r"\\.", "", f))
 
 
+def variants(symbol: str, language: str | None = None) -> list[str]:
+    """All query variants of one symbol on the driver, in the order of rewrites, without escapes."""
+    import regex
+
+    s, upper = symbol.strip(), bool(regex.match(r"\p{Lu}", symbol.strip()))
+    sets = [BASE]
+    if language in ("ts", "tsx"):
+        sets += [TS, TS_HOOK if regex.match("use.", s) else (), TS_UPPER if upper else ()]
+    elif language == "rust":
+        sets.append(RUST)
+    elif language == "swift":
+        sets += [SWIFT, SWIFT_UPPER if upper else ()]
+    hint = python_hint(s)
+    return list(dict.fromkeys(t.replace("{s}", s).replace("{h}", hint) for x in sets for t in x))
+
+
 def python_hint(symbol: str) -> str:
     """type_hint of one symbol, on the driver."""
     import re

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import rewrite, snippets
-from siftwell.operators import index, observe, ranges, scopes, search, state, structure
+from siftwell.operators import batch, index, observe, ranges, scopes, search, state, structure
 from siftwell.sources import corpus
 from siftwell.sources.corpus import BROKEN_SQL, CODE_SQL, FILES_SQL, LANGUAGES, LINES_SQL, shared_folder
 from siftwell.streaming import telemetry
@@ -785,10 +785,36 @@ def search_staged(spark, d):
     return search.score(search.first_stage(scoped.union(everywhere))).select("path", "line_no", F.round("score", 6).alias("score"))
 
 
-@query("batch_search", f"WITH {FILES_SQL}, toks AS (SELECT DISTINCT path, unnest(string_split_regex(body, '[^A-Za-z0-9_]+')) AS symbol FROM files), s AS (SELECT DISTINCT symbol FROM (SELECT unnest(string_split(text, ' ')) AS symbol FROM benchmark) WHERE regexp_matches(symbol, '^[A-Za-z0-9_]+$')) SELECT symbol, count(*)::BIGINT AS files, min(path) AS first_path FROM toks JOIN s USING (symbol) GROUP BY symbol")
+def batch_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """All words of the benchmark texts, all pairs of neighbouring ones, and fixed names: literal symbols and others."""
+    words = spark.read.parquet(f"{d}/benchmark.parquet").select(F.split("text", " ").alias("w"))
+    pairs = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))).alias("symbol"))
+    return symbols(spark, d).union(pairs.where("trim(symbol) <> ''")).select(F.trim("symbol").alias("symbol")).distinct()
+
+
+WANTED_SQL = (
+    SYMBOLS_SQL.replace("symbols AS (", "plain_symbols AS (")
+    + """, pair_words AS (SELECT string_split(text, ' ') AS w FROM benchmark), symbols AS (SELECT DISTINCT trim(symbol) AS symbol FROM (SELECT symbol FROM plain_symbols UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM pair_words) WHERE trim(symbol) <> '')"""
+)
+CASED_SQL = f"""WITH {HINTS_SQL.replace(SYMBOLS_SQL, WANTED_SQL)}, {LINES_SQL}, cased AS (SELECT symbol, NOT regexp_matches(symbol || hint, '\\p{{Lu}}') AS fold FROM hinted),
+low AS (SELECT path, ext, line_no, line, lower(line) AS folded FROM lines),
+held AS (SELECT symbol, path, ext, line_no, line FROM cased JOIN low ON NOT fold AND contains(line, symbol) UNION ALL SELECT symbol, path, ext, line_no, line FROM cased JOIN low ON fold AND contains(folded, lower(symbol)))"""
+query("batch_probe", f"{CASED_SQL} SELECT symbol, count(*)::BIGINT AS lines, count(DISTINCT path)::BIGINT AS files, min(path) AS first_path FROM held GROUP BY symbol")(
+    lambda spark, d: batch.batch_probe(files(spark, d), batch_symbols(spark, d)).groupBy("symbol").agg(F.count("*").alias("lines"), F.countDistinct("path").alias("files"), F.min("path").alias("first_path"))
+)
+
+
+@query(
+    "batch_search",
+    f"""{CASED_SQL}, capped AS (SELECT * FROM held QUALIFY row_number() OVER (PARTITION BY symbol, path ORDER BY line_no) <= 20),
+judged AS (SELECT symbol, path, line_no, regexp_matches(symbol, '^[A-Za-z0-9_]+$') AS literal FROM capped),
+cand AS (SELECT symbol, path FROM (SELECT DISTINCT symbol FROM judged WHERE NOT literal) JOIN files ON CASE WHEN regexp_matches(symbol, '^[A-Za-z0-9_.]+$') THEN regexp_matches(name, symbol) ELSE contains(name, symbol) END QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY path) <= 20),
+inside AS (SELECT j.* FROM judged j WHERE NOT literal AND (EXISTS (SELECT 1 FROM cand c WHERE c.symbol = j.symbol AND c.path = j.path) OR NOT EXISTS (SELECT 1 FROM cand c WHERE c.symbol = j.symbol))),
+solved AS (SELECT symbol, path, line_no, 'rg-global' AS stage, 0.95::DOUBLE AS score FROM judged WHERE literal UNION ALL SELECT symbol, path, line_no, 'rg-scoped', CASE WHEN EXISTS (SELECT 1 FROM cand c WHERE c.symbol = i.symbol AND c.path = i.path) THEN 1.2 ELSE 1.0 END FROM inside i
+  UNION ALL SELECT symbol, path, line_no, 'rg-global', 0.95 FROM judged j WHERE NOT literal AND NOT EXISTS (SELECT 1 FROM inside i WHERE i.symbol = j.symbol))
+SELECT symbol, stage, row_number() OVER (PARTITION BY symbol ORDER BY round(score, 6) DESC, path, line_no)::BIGINT AS rank, path, line_no, round(score, 6) AS score FROM solved QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY round(score, 6) DESC, path, line_no) <= 5""",
+)
 def batch_search(spark, d):
-    """All words of the benchmark texts as symbols, against all files: one join on identifiers instead of a scan for each."""
-    wanted = symbols(spark, d).where(rewrite.is_literal_symbol(F.col("symbol")))
-    held = files(spark, d).select("path", F.explode(F.array_distinct(F.split("body", "[^A-Za-z0-9_]+"))).alias("symbol"))
-    known = spark.read.parquet(f"{d}/benchmark.parquet").select(F.explode(F.split("text", " ")).alias("symbol")).distinct()
-    return held.join(wanted.join(known, "symbol", "left_semi"), "symbol").groupBy("symbol").agg(F.count("*").alias("files"), F.min("path").alias("first_path"))
+    """A search for each of many symbols: one pass over the bodies, stages by symbol, the best hits of each."""
+    found = batch.top_of_each(batch.batch_search(files(spark, d), batch_symbols(spark, d)))
+    return found.select("symbol", "stage", "rank", "path", "line_no", F.round("score", 6).alias("score"))
