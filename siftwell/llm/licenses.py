@@ -2,9 +2,10 @@
 
 Hashes of all rolling word pairs and triples of all documents are joined to the positions at which licence templates hold
 them. A hit votes for a diagonal: its place in the text less its place in the template. Votes of neighbouring diagonals are
-merged, so a few words more or less don't break a span, and the diagonal with most votes around it stands for them. The
-words of each span are then verified: base phrases must stand word for word, notices by edit distance and by the words
-that tell licences apart. Where spans of several templates overlap, the best one stays.
+merged where one goes on after the other in text and template, so a few words more or less don't break a span, and the
+diagonal with most votes of those merged stands for them. The words of each span are then verified: base phrases must stand
+word for word, notices by edit distance and by the words that tell licences apart. Where spans of several templates overlap,
+the best one stays.
 """
 
 from __future__ import annotations
@@ -118,11 +119,18 @@ def license_spans(docs: DataFrame, templates: list[tuple[str, str, bool]] | None
     votes = hits.groupBy("_row", "template", "base", "k", "size", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     exact = votes.where("base AND votes = size").select("_row", "template", "base", F.col("diagonal").alias("start"), (F.col("hi") + F.col("k")).alias("end"))
     near = Window.partitionBy("_row", "template").orderBy("diagonal").rangeBetween(-DRIFT, DRIFT)
-    rank = F.struct(F.col("votes"), (-F.col("diagonal")).alias("first"))
-    around = votes.where("NOT base").withColumns(
-        {"all": F.sum("votes").over(near), "best": F.max(rank).over(near), "start": F.min("lo").over(near), "end": F.max("hi").over(near) + F.col("k")}
-    )
-    peaks = around.where((F.col("best") == rank) & (F.col("all") >= VOTES * F.col("size"))).select("_row", "template", "base", "start", "end")
+    around = votes.where("NOT base").withColumn("near", F.collect_list(F.struct("diagonal", "votes", "lo", "hi")).over(near))
+    # Of the diagonals around one, those belong to it that go on where it ends, in the text and in the template: a notice that
+    # follows itself votes for the same places of the template again, and is a peak of its own.
+    first, last = F.col("lo") - F.col("diagonal"), F.col("hi") - F.col("diagonal")
+    before = lambda x: (x["hi"] < F.col("lo")) & (x["hi"] - x["diagonal"] < first)
+    after = lambda x: (x["lo"] > F.col("hi")) & (x["lo"] - x["diagonal"] > last)
+    around = around.withColumn("near", F.filter("near", lambda x: before(x) | after(x)))
+    best = ~F.exists("near", lambda x: (x["votes"] > F.col("votes")) | (x["votes"] == F.col("votes")) & (x["diagonal"] < F.col("diagonal")))
+    every = F.aggregate("near", F.col("votes"), lambda n, x: n + x["votes"])
+    start = F.array_min(F.concat(F.array("lo"), F.transform("near", lambda x: x["lo"])))
+    end = F.array_max(F.concat(F.array("hi"), F.transform("near", lambda x: x["hi"])))
+    peaks = around.where(best & (every >= VOTES * F.col("size"))).select("_row", "template", "base", start.alias("start"), (end + F.col("k")).alias("end")).distinct()
 
     asked = exact.union(peaks).groupBy("_row").agg(F.collect_list(F.struct("template", "base", "start", "end")).alias("asked"))
     phrase, label = (F.array(*(F.lit(t[i]) for t in templates)) for i in (0, 1))

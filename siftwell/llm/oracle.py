@@ -92,10 +92,11 @@ words AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\
 rolling AS (SELECT doc_id, 2 AS k, unnest(range(0, len(a) - 1)) AS pos, a FROM words WHERE len(a) > 1 UNION ALL SELECT doc_id, 3, unnest(range(0, len(a) - 2)), a FROM words WHERE len(a) > 2),
 named AS (SELECT doc_id, k, pos, array_to_string(a[pos + 1 : pos + k], ' ') AS gram FROM rolling),
 votes AS (SELECT doc_id, template, base, t.k, grams, pos - tpos AS diagonal, count(*) AS v, min(pos) AS lo, max(pos) AS hi FROM named n JOIN template t ON n.gram = t.gram AND n.k = t.k GROUP BY ALL),
-around AS (SELECT *, sum(v) OVER near AS whole, max(v * 1000000000 - diagonal) OVER near AS best, min(lo) OVER near AS s, max(hi) OVER near + k AS e FROM votes WHERE NOT base
-  WINDOW near AS (PARTITION BY doc_id, template ORDER BY diagonal RANGE BETWEEN {DRIFT} PRECEDING AND {DRIFT} FOLLOWING)),
+joined AS (SELECT p.doc_id, p.template, p.diagonal, any_value(p.k) AS k, any_value(p.grams) AS grams, any_value(p.v) AS v, any_value(p.v) + coalesce(sum(q.v), 0) AS whole, least(any_value(p.lo), coalesce(min(q.lo), any_value(p.lo))) AS s, greatest(any_value(p.hi), coalesce(max(q.hi), any_value(p.hi))) AS e,
+  coalesce(bool_or(q.v > p.v OR q.v = p.v AND q.diagonal < p.diagonal), FALSE) AS beaten FROM votes p LEFT JOIN votes q ON q.doc_id = p.doc_id AND q.template = p.template AND abs(q.diagonal - p.diagonal) <= {DRIFT}
+  AND (q.hi < p.lo AND q.hi - q.diagonal < p.lo - p.diagonal OR q.lo > p.hi AND q.lo - q.diagonal > p.hi - p.diagonal) WHERE NOT p.base GROUP BY p.doc_id, p.template, p.diagonal),
 asked AS (SELECT doc_id, template, TRUE AS base, diagonal AS s, hi + k AS e FROM votes WHERE base AND v = grams
-  UNION ALL SELECT doc_id, template, FALSE, s, e FROM around WHERE best = v * 1000000000 - diagonal AND whole >= {VOTES} * grams),
+  UNION ALL SELECT DISTINCT doc_id, template, FALSE, s, e + k FROM joined WHERE NOT beaten AND whole >= {VOTES} * grams),
 reads AS (SELECT q.doc_id, q.template, base, s, e, phrase, label, tells, numbers, a[s + 1 : e] AS w FROM asked q JOIN words d ON q.doc_id = d.doc_id JOIN kinds k ON q.template = k.template),
 judged AS (SELECT *, CASE WHEN base THEN 1.0 ELSE 1 - levenshtein(regexp_replace(array_to_string(w, ' '), '[^\\x00-\\x7F]', '?', 'g'), phrase)::DOUBLE / length(phrase) END AS cover,
   array_to_string(list_filter(w, lambda x: x IN ({", ".join(f"'{x}'" for x in TELLING)}) OR numbers AND regexp_matches(x, '^[0-9]+$')), ' ') AS told FROM reads),

@@ -292,6 +292,58 @@ def test_licenses_of_copies_nulls_and_long_texts(spark):
     assert sorted(found, key=str) == sorted([(None, 200_003, 1, 200_000, "reserved")] * 2 + [(1, 0, 0, None, "")] * 2 + [(2, 2, 1, 0, "cc-by")], key=str)
 
 
+def test_notices_that_follow_themselves(spark):
+    one = "Released under the MIT License. "
+    rows = [(0, one * 2), (1, "GNU Lesser General Public License " * 2), (2, "Licensed under the MIT License " * 4), (3, one * 1000), (4, one + "x y " + one), (5, one + "GNU Affero General Public License " + one)]
+    found = {r.doc_id: (r.labels, r.score) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {0: ("mit", 1.0), 1: ("gpl,lgpl", 1.0), 2: ("mit", 1.0), 3: ("mit", 1.0), 4: ("mit", 1.0), 5: ("agpl,gpl,mit", 1.0)}
+
+
+def test_licenses_equal_sliding_every_notice(spark):
+    """Every window of about a notice's length is compared to it; of those that overlap the best one stays."""
+    import random
+
+    from siftwell.llm.licenses import COVER, TEMPLATES, telling
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    short = [(p, label) for p, label, base in TEMPLATES if not base and len(p.split()) < 18]
+
+    def slid(words):
+        found = []
+        for t, (phrase, label) in enumerate(short):
+            w = phrase.split()
+            numbers = any(x.isdigit() for x in w)
+            for size in range(max(3, len(w) - 2), len(w) + 3):
+                for s in range(len(words) - size + 1):
+                    part = words[s : s + size]
+                    if sum(x == y for x, y in zip(part, w, strict=False)) * 3 < len(w) and len(set(part) & set(w)) * 2 < len(w) or telling(part, numbers) != telling(w, numbers):
+                        continue
+                    cover = 1 - distance(" ".join(part), phrase) / len(phrase)
+                    if cover >= COVER:
+                        found.append((cover, size, -t, s, s + size, label))
+        return {x[5] for x in found if not any(y[3] < x[4] and x[3] < y[4] and y[:3] > x[:3] for y in found)}
+
+    rng = random.Random(8)
+    texts = []
+    for i in range(40):
+        words = []
+        for _ in range(rng.randrange(1, 4)):
+            w = rng.choice(short)[0].split()
+            if len(w) > 11 and i % 2:
+                del w[rng.randrange(4, len(w) - 4)]
+            words += w * rng.randrange(1, 4) + [f"q{rng.randrange(9)}" for _ in range(rng.choice((0, 0, 1, 7)))]
+        texts.append(" ".join(words))
+    found = {r.doc_id: {x for x in r.labels.split(",") if x} - set(BASE.values()) for r in scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert found == {i: slid(t.split()) - set(BASE.values()) for i, t in enumerate(texts)}
+
+
 def test_trigram_queries_demand_every_run():
     def held(pattern):
         return [sorted(q) for q in secrets.trigram_query(pattern)]
