@@ -2,8 +2,8 @@
 
 Each document is due a number of copies: its source's target over its source's size. The whole part is certain; the
 fraction is an inclusion probability. Within blocks of documents of a source, probabilities move through the null space of
-the constraints (sum of tokens, number of documents) until all but two are 0 or 1, each step drawn so that it keeps every
-document's expectation. What is left of many blocks forms the next round's blocks, until each source has one; its last two
+the constraints (sum of tokens, number of documents) until all but two are 0 or 1, long documents first, each step drawn so
+that it keeps every document's expectation. What is left of many blocks forms the next round's blocks, until each source has one; its last two
 documents are settled by the smallest error.
 """
 
@@ -62,27 +62,37 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: f
 
 def _flight(p: list[float], size: list[float], seed: int = 0) -> list[float]:
     """Moves probabilities, two sums kept, until at most two are fractions. Of the two ends of a line one is drawn with
-    the odds that keep each expectation. Draws follow from the seed, so reruns agree."""
-    p, draw = list(p), random.Random(seed).random
-    hand: list[int] = []
-    for i in range(len(p)):
-        if NEAR < p[i] < 1 - NEAR:
-            hand.append(i)
-        while len(hand) > 2:
-            a, b, c = hand
-            # u is orthogonal to (1, 1, 1) and to the sizes.
-            u = (size[b] - size[c], size[c] - size[a], size[a] - size[b])
-            if u == (0, 0, 0):
-                u = (1.0, -1.0, 0.0)
-            up = min((1 - p[j]) / v if v > 0 else -p[j] / v for j, v in zip(hand, u, strict=True) if v)
-            down = min(p[j] / v if v > 0 else (p[j] - 1) / v for j, v in zip(hand, u, strict=True) if v)
+    the odds that keep each expectation. Draws follow from the seed, so reruns agree.
+
+    Documents are settled by falling size, each against all shorter ones that are still open: these share what it gains or
+    loses, alpha + beta * size each. So a long document is settled while there are many to balance it, and short ones are
+    what is left.
+    """
+    p, size, draw = np.array(p, float), np.array(size, float), random.Random(seed).random
+    order = np.argsort(-size, kind="stable")
+    order = order[(p[order] > NEAR) & (p[order] < 1 - NEAR)]
+    for place, i in enumerate(order):
+        rest = order[place + 1 :]
+        while NEAR < p[i] < 1 - NEAR:
+            rest = rest[(p[rest] > NEAR) & (p[rest] < 1 - NEAR)]
+            x = size[rest]
+            if not len(rest) or (x[0] == x[-1] and x[0] != size[i]):
+                # No shorter ones that balance both sums: it stays open.
+                break
+            if x[0] == x[-1]:
+                u = np.full(len(rest), -1 / len(rest))
+            else:
+                # Of the lines that keep both sums the one that moves the others least.
+                mean = x.mean()
+                u = -1 / len(rest) - (size[i] - mean) * (x - mean) / ((x - mean) ** 2).sum()
+            at, v = np.append(rest, i), np.append(u, 1.0)
+            now = p[at]
+            with np.errstate(divide="ignore"):
+                up, down = np.where(v > 0, (1 - now) / v, np.where(v < 0, -now / v, np.inf)).min(), np.where(v > 0, now / v, np.where(v < 0, (now - 1) / v, np.inf)).min()
             t = up if draw() * (up + down) < down else -down
-            for j, v in zip(hand, u, strict=True):
-                p[j] = min(1.0, max(0.0, p[j] + t * v))
-                if p[j] <= NEAR or p[j] >= 1 - NEAR:
-                    p[j] = float(round(p[j]))
-            hand = [j for j in hand if 0 < p[j] < 1]
-    return p
+            now = np.clip(now + t * v, 0, 1)
+            p[at] = np.where(now <= NEAR, 0, np.where(now >= 1 - NEAR, 1, now))
+    return p.tolist()
 
 
 def _landing(p: list[float], size: list[float]) -> list[float]:

@@ -71,6 +71,39 @@ def test_flight_keeps_both_sums():
     assert sum(0 < x < 1 for x in q) <= 2
 
 
+def test_flight_of_any_sizes_ends_with_two_fractions():
+    draw = random.Random(11)
+    for n in (0, 1, 2, 3, 5, 40, 300):
+        for top in (1, 2, 3, 1000):
+            p, size = [draw.choice((draw.random(), 0.0, 1.0)) for _ in range(n)], [float(draw.randrange(top)) for _ in range(n)]
+            q = mixing._flight(p, size, n)
+            assert sum(0 < x < 1 for x in q) <= 2 and all(0 <= x <= 1 for x in q)
+            assert sum(q) == pytest.approx(sum(p), abs=1e-6) and sum(a * b for a, b in zip(q, size, strict=True)) == pytest.approx(sum(a * b for a, b in zip(p, size, strict=True)), abs=1e-3)
+            assert q == mixing._flight(p, size, n)
+
+
+def test_a_long_document_does_not_spoil_the_total():
+    """Of 60 short documents and a few very long ones the words taken come near what is due."""
+    draw, off = random.Random(2), []
+    for seed in range(60):
+        size = [5000.0, 3000.0, 2500.0] + [float(draw.randrange(20, 700)) for _ in range(60)]
+        p = [0.3] * len(size)
+        q = mixing._landing(mixing._flight(p, size, seed), size)
+        off.append(abs(sum(a * b for a, b in zip(q, size, strict=True)) - 0.3 * sum(size)) / (0.3 * sum(size)))
+    off.sort()
+    assert off[len(off) // 2] < 0.01 and off[int(0.9 * len(off))] < 0.03
+
+
+def test_sources_come_near_their_targets(spark, sf):
+    """Nine sources of ten within 3 % of their targets, or half of their shortest documents."""
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    by = defaultdict(lambda: [0, 0.0])
+    for r in mix_sources(docs).groupBy("source").agg({"taken": "sum", "target": "max"}).collect():
+        by[r[0]] = [r["sum(taken)"], r["max(target)"]]
+    good = sum(abs(t - x) <= 0.03 * x + 1 for t, x in by.values())
+    assert good >= 0.9 * len(by), by
+
+
 @pytest.mark.parametrize("rate", [0.3, 0.6])
 def test_long_and_short_documents_are_taken_alike(rate):
     draw, each = random.Random(5), []
