@@ -1,13 +1,15 @@
-"""Structural rules on lines: declarations, signatures, enclosing types, attributes, modules, as windows over a file."""
+"""Structural rules on lines: declarations, signatures, enclosing types, attributes, modules, each found in its file's row."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Collection
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.sources.corpus import split_lines
+
 
 def collapse(x: Column) -> Column:
     """Runs of Unicode white space as one space, ends trimmed."""
@@ -75,98 +77,184 @@ def swift_type_kind(line: Column) -> Column:
     return _type_kind(low(line))
 
 
-def nearest_above(lines: DataFrame, test: Column, name: str, strict: bool = False) -> DataFrame:
-    """lines with name_line and name_text: the last line of the file at or above (strict: above) where test holds."""
-    order = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
-    here = F.struct(F.col("line_no").alias("at"), collapse(F.col("line")).alias("text"))
-    found = F.last(F.when(test, here), ignorenulls=True).over(order)
-    return lines.withColumn("_f", found).select(*lines.columns, F.col("_f.at").alias(f"{name}_line"), F.col("_f.text").alias(f"{name}_text"))
+# Rows here are files: (path, ext, lines), the lines an array. What stands above a line is found in its file's row, in time
+# that follows the number of lines, and nothing moves.
+
+
+def bound(values: dict[str, Column], f: Callable[[Column], Column]) -> Column:
+    """f of values that are made once, however often f reads them inside of loops over arrays."""
+    return F.get(F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), f), 0)
+
+
+def numbers(lines: Column, test: Callable[[Column], Column]) -> Column:
+    """The numbers of the lines, from 1, that pass a test."""
+    return F.filter(F.transform(lines, lambda x, i: F.when(test(x), i + 1)), lambda n: n.isNotNull())
+
+
+def at_or_above(found: Column, size: Column) -> Column:
+    """For each line of a file the place, from 1, of the last of some line numbers at or above it; 0 before the first."""
+    def stretch(i: Column) -> Column:
+        begin = F.when(i == 0, F.lit(1)).otherwise(F.get(found, i - 1))
+        return F.array_repeat(i, (F.coalesce(F.get(found, i), size + 1) - begin).cast("int"))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(found)), stretch))
+
+
+def _nth(found: Column, place: Column) -> Column:
+    """The line number at a place from 1; null at 0."""
+    return F.get(found, place - 1)
+
+
+def with_lines(files: DataFrame) -> DataFrame:
+    """Files (path, ext, body) as rows with an array of lines; files without a body have none."""
+    return files.select("path", "ext", F.coalesce(split_lines(F.col("body")), F.array().cast("array<string>")).alias("lines"))
+
+
+def _each_line(rows: DataFrame, made: Column) -> DataFrame:
+    """(path, line_no, made.*) for an array with an element for each line."""
+    return rows.select("path", F.posexplode(made).alias("_i", "_m")).select("path", (F.col("_i") + 1).cast("long").alias("line_no"), "_m.*")
+
+
+def nearest_above(rows: DataFrame, test: Callable[[Column], Column], name: str, strict: bool = False) -> DataFrame:
+    """(path, line_no, name_line, name_text): for each line the last one at or above (strict: above) it where test holds."""
+    def whole(v: Column) -> Column:
+        places = at_or_above(v["found"], F.size(v["lines"]))
+        moved = F.slice(F.concat(F.array(F.lit(0)), places), 1, F.size(v["lines"])) if strict else places
+        at = F.transform(moved, lambda k: _nth(v["found"], k))
+        return F.transform(at, lambda n: F.struct(n.cast("long").alias(f"{name}_line"), collapse(F.get(v["lines"], n - 1)).alias(f"{name}_text")))
+
+    return _each_line(rows, bound({"lines": F.col("lines"), "found": numbers(F.col("lines"), test)}, whole))
 
 
-def attributes(lines: DataFrame, mark: str, anchors: DataFrame | None = None) -> DataFrame:
+def _is_attribute(mark: str) -> Callable[[Column], Column]:
+    return lambda x: F.startswith(F.trim(x), F.lit(mark))
+
+
+def _is_solid(mark: str) -> Callable[[Column], Column]:
+    """Lines that are no attribute, blank or comment."""
+    return lambda x: ~(_is_attribute(mark)(x) | (F.trim(x) == "") | F.startswith(F.trim(x), F.lit("//")))
+
+
+def _run_above(lines: Column, at: Column, solid: Column, mark: str) -> Column:
+    """The numbers and texts of the attributes between a line and the last solid one above it."""
+    begin = F.coalesce(solid, F.lit(0))
+    between = F.transform(F.slice(lines, (begin + 1).cast("int"), (at - begin - 1).cast("int")), lambda x, i: F.struct((begin + 1 + i).cast("long").alias("line"), x.alias("text")))
+    return F.transform(F.filter(between, lambda x: _is_attribute(mark)(x["text"])), lambda x: F.struct(x["line"], collapse(x["text"]).alias("label")))
+
+
+def attributes(rows: DataFrame, mark: str) -> DataFrame:
     """(path, line_no, attribute_line, attribute): the attribute lines in the run of attributes, blanks and comments right
-    above a line. Lines: those of anchors, else all that are themselves no attribute, blank or comment."""
-    x = F.trim("line")
-    attribute = F.startswith(x, F.lit(mark))
-    filler = (x == "") | F.startswith(x, F.lit("//"))
-    order = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    held = lines.withColumn("_solid", ~(attribute | filler)).withColumn("_is", attribute)
-    # Lines between two solid ones belong to the later: number the runs by the solid lines before.
-    held = held.withColumn("_run", F.count(F.when(F.col("_solid"), 1)).over(order))
-    asked = held.where("_solid") if anchors is None else held.join(anchors.select("path", "line_no"), ["path", "line_no"], "left_semi")
-    marks = held.where("_is").select("path", "_run", F.col("line_no").alias("attribute_line"), collapse(F.col("line")).alias("attribute"))
-    met = asked.select("path", "line_no", "_run").join(marks, ["path", "_run"]).where("attribute_line < line_no")
-    return met.select("path", "line_no", "attribute_line", "attribute")
-
-
-def last_modules(lines: DataFrame, anchors: DataFrame, most: int = 3) -> DataFrame:
-    """(path, line_no, module_line, module): the last modules at or above each anchor line. Modules are numbered by file,
-    so an anchor meets the few whose numbers it needs."""
-    order = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = lines.withColumn("_m", is_rust_module(F.col("line"))).withColumn("_n", F.count(F.when(F.col("_m"), 1)).over(order))
-    modules = numbered.where("_m").select("path", F.col("_n").alias("_k"), F.col("line_no").alias("module_line"), collapse(F.col("line")).alias("module"))
-    wanted = numbered.join(anchors.select("path", "line_no"), ["path", "line_no"], "left_semi").where("_n > 0")
-    wanted = wanted.select("path", "line_no", F.explode(F.sequence(F.greatest(F.lit(1).cast("long"), F.col("_n") - (most - 1)), F.col("_n"))).alias("_k"))
-    return wanted.join(modules, ["path", "_k"]).select("path", "line_no", "module_line", "module")
-
-
-def context_hints(lines: DataFrame, hits: DataFrame, extensions: Collection[str] = ("rs", "swift")) -> DataFrame:
-    """(path, line_no, hints): for each hit (path, line_no) in a Rust or Swift file what surrounds it, an array of (line,
-    kind, label) by line, each once; hits without any are left out.
+    above each line that is none of these itself."""
+    def whole(v: Column) -> Column:
+        return F.transform(v["solid"], lambda n, i: F.struct(n.cast("long").alias("line_no"), _run_above(v["lines"], n, F.when(i > 0, F.get(v["solid"], i - 1)), mark).alias("run")))
+
+    found = rows.select("path", F.inline(bound({"lines": F.col("lines"), "solid": numbers(F.col("lines"), _is_solid(mark))}, whole)))
+    return found.select("path", "line_no", F.inline("run").alias("attribute_line", "attribute"))
+
+
+def last_modules(rows: DataFrame, anchors: Callable[[Column], Column], most: int = 3) -> DataFrame:
+    """(path, line_no, module_line, module): the last modules at or above each line that passes a test."""
+    def whole(v: Column) -> Column:
+        places = at_or_above(v["found"], F.size(v["lines"]))
+        return bound({"places": places}, lambda p: F.transform(v["asked"], lambda n: F.struct(n.cast("long").alias("line_no"), _modules(v["lines"], v["found"], F.get(p["places"], n - 1), most).alias("run"))))
+
+    held = {"lines": F.col("lines"), "found": numbers(F.col("lines"), is_rust_module), "asked": numbers(F.col("lines"), anchors)}
+    return rows.select("path", F.inline(bound(held, whole))).select("path", "line_no", F.inline("run").alias("module_line", "module"))
+
+
+def _modules(lines: Column, found: Column, place: Column, most: int) -> Column:
+    """Of the line numbers up to a place the last ones, with their texts."""
+    first = F.greatest(F.lit(1), place - (most - 1))
+    kept = F.when(place > 0, F.slice(found, first.cast("int"), (place - first + 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.transform(kept, lambda n: F.struct(n.cast("long").alias("line"), collapse(F.get(lines, n - 1)).alias("label")))
+
+
+# The order of hints of one line.
+HINTS = {"attribute": 0, "type": 1, "extension": 1, "declaration": 2, "impl": 3, "module": 4}
+
+
+def context_hints(rows: DataFrame, hits: Column) -> DataFrame:
+    """(path, line_no, hints): for each hit in a Rust or Swift file what surrounds it, an array of (line, kind, label) by
+    line, each once; hits without any are left out. hits: an array of line numbers for each row of rows.
 
     The anchor is the nearest declaration at or above the hit, else the hit. Rust: attributes above the anchor, the
     declaration, the nearest impl above the anchor, the last modules. Swift: attributes, the nearest type or extension at or
-    above the anchor, the declaration. lines should be those of the hits' files alone; extensions: which of the two are there.
+    above the anchor, the declaration.
     """
-    low_line = lines.withColumn("_low", low(F.col("line")))
-    rust, swift = (low_line.where(F.col("ext") == e) for e in ("rs", "swift"))
-    hits = hits.select("path", F.col("line_no").alias("hit")).distinct()
-    # The order of hints of one line.
-    order = {"attribute": 0, "type": 1, "extension": 1, "declaration": 2, "impl": 3, "module": 4}
-
-    def anchored(held: DataFrame, test: Column) -> DataFrame:
-        found = nearest_above(held, test, "d").select("path", F.col("line_no").alias("hit"), "d_line", "d_text")
-        return found.join(hits, ["path", "hit"]).withColumn("line_no", F.coalesce("d_line", "hit"))
-
-    def hints(found: DataFrame, line: str, kind: Column, label: str) -> DataFrame:
-        return found.select("path", "hit", F.col(line).alias("line"), kind.alias("kind"), F.col(label).alias("label")).where("label <> ''")
-
-    def above(anchors: DataFrame, held: DataFrame, mark: str) -> DataFrame:
-        declared = hints(anchors, "d_line", F.lit("declaration"), "d_text")
-        marked = attributes(held.drop("_low"), mark, anchors).join(anchors.select("path", "hit", "line_no"), ["path", "line_no"])
-        return declared.union(hints(marked, "attribute_line", F.lit("attribute"), "attribute"))
-
-    parts = []
-    if "rs" in extensions:
-        in_rust = anchored(rust, _declares(F.col("_low")))
-        impl = nearest_above(rust, _near("impl[ <(]", F.col("_low")), "i", strict=True).join(in_rust.select("path", "hit", "line_no"), ["path", "line_no"])
-        modules = last_modules(rust.drop("_low"), in_rust).join(in_rust.select("path", "hit", "line_no"), ["path", "line_no"])
-        parts += [above(in_rust, rust, "#["), hints(impl, "i_line", F.lit("impl"), "i_text"), hints(modules, "module_line", F.lit("module"), "module")]
-    if "swift" in extensions:
-        in_swift = anchored(swift, _signs(F.col("_low")))
-        kinds = swift.withColumn("_kind", _type_kind(F.col("_low")))
-        types = nearest_above(kinds, F.col("_kind").isNotNull(), "t").join(in_swift.select("path", "hit", "line_no"), ["path", "line_no"])
-        parts += [above(in_swift, swift, "@"), hints(types, "t_line", _type_kind(F.lower("t_text")), "t_text")]
-    every = parts[0]
-    for more in parts[1:]:
-        every = every.union(more)
-    rank = F.create_map(*(F.lit(v) for kv in order.items() for v in kv))
-    listed = F.sort_array(F.collect_set(F.struct("line", F.element_at(rank, F.col("kind")).alias("o"), "kind", "label")))
-    return every.groupBy("path", "hit").agg(F.transform(listed, lambda h: F.struct(h["line"], h["kind"], h["label"])).alias("hints")).withColumnRenamed("hit", "line_no")
-
-
-def swift_surroundings(lines: DataFrame) -> DataFrame:
-    """lines with context, the line of the type that a Swift line stands in, and marks, the attributes between the last type
-    or member above and the line, top down and each once."""
-    x = F.trim("line")
-    opens = x.rlike("^(extension|struct|class|protocol|actor|enum) ")
-    stops = opens | x.rlike("^(func |init|let |var )")
-    above = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    held = lines.withColumn("_stop", F.when(stops, F.struct(opens.alias("type"), collapse(F.col("line")).alias("text"))))
-    held = held.withColumns({"_last": F.last("_stop", ignorenulls=True).over(above), "_run": F.count("_stop").over(above)})
-    within = Window.partitionBy("path", "_run").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    marks = F.array_distinct(F.collect_list(F.when(F.startswith(x, F.lit("@")), collapse(F.col("line")))).over(within))
-    return held.withColumn("marks", marks).select(*lines.columns, F.when(F.col("_last.type"), F.col("_last.text")).alias("context"), "marks")
+    lines = F.col("lines")
+    rows = rows.where(F.col("ext").isin("rs", "swift"))
+    rust = F.col("ext") == "rs"
+    lows = F.transform(lines, low)
+    none = F.array().cast("array<int>")
+
+    def of(v: Column, rs: Callable[[Column], Column] | None, swift: Callable[[Column], Column] | None) -> Column:
+        return F.when(rust, numbers(v, rs) if rs else none).otherwise(numbers(v, swift) if swift else none)
+
+    solid = F.when(rust, numbers(lines, _is_solid("#["))).otherwise(numbers(lines, _is_solid("@")))
+    found = bound({"lows": lows}, lambda v: F.struct(
+        of(v["lows"], _declares, _signs).alias("declared"), of(v["lows"], lambda x: _near("impl[ <(]", x), None).alias("impl"), of(v["lows"], None, lambda x: _type_kind(x).isNotNull()).alias("types"),
+    ))
+    modules = F.when(rust, numbers(lines, is_rust_module)).otherwise(none)
+
+    def whole(v: Column) -> Column:
+        n, f = F.size(v["lines"]), v["found"]
+        above = {k: at_or_above(x, n) for k, x in (("declared", f["declared"]), ("impl", f["impl"]), ("types", f["types"]), ("modules", v["modules"]), ("solid", v["solid"]))}
+        return bound(above, lambda p: F.transform(v["hits"], lambda h: one(v, p, h)))
+
+    def one(v: Column, p: Column, hit: Column) -> Column:
+        f, lines = v["found"], v["lines"]
+        declared = _nth(f["declared"], F.get(p["declared"], (hit - 1).cast("int")))
+
+        def told(a: Column) -> Column:
+            at = a["at"]
+            before = lambda name: F.coalesce(F.get(p[name], at - 2), F.lit(0))
+            here = lambda name: F.get(p[name], at - 1)
+            hint = lambda n, kind: F.filter(F.array(F.struct(n.cast("long").alias("line"), F.lit(kind).alias("kind"), collapse(F.get(lines, n - 1)).alias("label"))), lambda x: x["line"].isNotNull())
+            listed = lambda found, kind: F.transform(found, lambda x: F.struct(x["line"], F.lit(kind).alias("kind"), x["label"]))
+            runs = F.when(rust, _run_above(lines, at, _nth(v["solid"], before("solid")), "#[")).otherwise(_run_above(lines, at, _nth(v["solid"], before("solid")), "@"))
+            types = F.transform(hint(_nth(f["types"], here("types")), "type"), lambda x: F.struct(x["line"], _type_kind(F.lower(x["label"])).alias("kind"), x["label"]))
+            every = F.concat(hint(a["declared"], "declaration"), listed(runs, "attribute"), hint(_nth(f["impl"], before("impl")), "impl"), listed(_modules(lines, v["modules"], here("modules"), 3), "module"), types)
+            rank = F.create_map(*(F.lit(x) for kv in HINTS.items() for x in kv))
+            ordered = F.array_sort(F.array_distinct(F.transform(F.filter(every, lambda x: x["label"] != ""), lambda x: F.struct(x["line"], F.element_at(rank, x["kind"]).alias("o"), x["kind"], x["label"]))))
+            return F.struct(hit.cast("long").alias("line_no"), F.transform(ordered, lambda x: F.struct(x["line"].alias("line"), x["kind"].alias("kind"), x["label"].alias("label"))).alias("hints"))
+
+        return bound({"declared": declared, "at": F.coalesce(declared, hit.cast("int"))}, told)
+
+    made = bound({"lines": lines, "found": found, "modules": modules, "solid": solid, "hits": F.array_sort(F.array_distinct(hits))}, whole)
+    return rows.select("path", F.inline(made)).where("size(hints) > 0")
+
+
+def swift_surroundings(rows: DataFrame) -> DataFrame:
+    """(path, ext, line_no, line, context, marks): context, the line of the type that a Swift line stands in, and marks, the
+    attributes between the last type or member above and the line, top down and each once."""
+    opens = lambda x: F.trim(x).rlike("^(extension|struct|class|protocol|actor|enum) ")
+    stops = lambda x: opens(x) | F.trim(x).rlike("^(func |init|let |var )")
+
+    def whole(v: Column) -> Column:
+        lines, stop, mark = v["lines"], v["stop"], v["mark"]
+        n = F.size(lines)
+        # Places of the last stop above each line, and of the last mark above it: its marks are those after the stop.
+        shifted = lambda found: F.slice(F.concat(F.array(F.lit(0)), at_or_above(found, n)), 1, n)
+
+        def each(p: Column) -> Column:
+            def one(x: Column, i: Column) -> Column:
+                last = _nth(stop, F.get(p["stop"], i))
+                text = F.get(lines, last - 1)
+                upto = F.get(p["mark"], i)
+                first = F.get(p["since"], F.coalesce(last, F.lit(0))) + 1
+                held = F.slice(mark, first.cast("int"), F.greatest(upto - first + 1, F.lit(0)).cast("int"))
+                marks = F.array_distinct(F.transform(held, lambda m: collapse(F.get(lines, m - 1))))
+                return F.struct(x.alias("line"), F.when(opens(text), collapse(text)).alias("context"), marks.alias("marks"))
+
+            return F.transform(lines, one)
+
+        # since: how many marks stand at or above line n, 0 at 0.
+        return bound({"stop": shifted(stop), "mark": shifted(mark), "since": F.concat(F.array(F.lit(0)), at_or_above(mark, n))}, each)
+
+    lines = F.col("lines")
+    made = bound({"lines": lines, "stop": numbers(lines, stops), "mark": numbers(lines, _is_attribute("@"))}, whole)
+    found = rows.select("path", "ext", F.posexplode(made).alias("_i", "_m"))
+    return found.select("path", "ext", (F.col("_i") + 1).cast("long").alias("line_no"), "_m.*")
 
 
 # Definition and usage rules by language, each a pattern in which {s} is the symbol as a whole identifier.

@@ -66,6 +66,11 @@ def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.code_lines(files(spark, sf_dir))
 
 
+def code_rows(spark: SparkSession, sf_dir: str, *extensions: str) -> DataFrame:
+    """(path, ext, lines): files of code, the lines as an array."""
+    return corpus.code_files(files(spark, sf_dir)).where(F.col("ext").isin(*extensions))
+
+
 def hits(spark: SparkSession, sf_dir: str, symbol: str = SYMBOL, origin: str = "rg-global") -> DataFrame:
     return search.as_hits(search.probe(files(spark, sf_dir), symbol), origin)
 
@@ -374,7 +379,7 @@ FROM code WHERE ext = '{ext}' WINDOW w AS (PARTITION BY path ORDER BY line_no {f
 
 def _above(ext: str, test, strict: bool = False):
     def run(spark, d):
-        return structure.nearest_above(code(spark, d).where(F.col("ext") == ext), test(F.col("line")), "found", strict).select("path", "line_no", "found_line", "found_text")
+        return structure.nearest_above(code_rows(spark, d, ext), test, "found", strict)
 
     return run
 
@@ -391,8 +396,8 @@ barrier AS (SELECT *, coalesce(last_value(CASE WHEN solid THEN line_no END IGNOR
 SELECT s.path, s.line_no, m.line_no AS attribute_line, {collapsed('m.line')} AS attribute FROM barrier s JOIN barrier m ON s.path = m.path AND m.line_no > s.b AND m.line_no < s.line_no WHERE s.solid AND m.a"""
 
 
-query("rust_attributes", _attributes_sql("rs", "#["))(lambda spark, d: structure.attributes(code(spark, d).where("ext = 'rs'"), "#["))
-query("swift_attributes", _attributes_sql("swift", "@"))(lambda spark, d: structure.attributes(code(spark, d).where("ext = 'swift'"), "@"))
+query("rust_attributes", _attributes_sql("rs", "#["))(lambda spark, d: structure.attributes(code_rows(spark, d, "rs"), "#["))
+query("swift_attributes", _attributes_sql("swift", "@"))(lambda spark, d: structure.attributes(code_rows(spark, d, "swift"), "@"))
 
 
 @query(
@@ -403,8 +408,7 @@ SELECT r.path, r.line_no, m.line_no AS module_line, {collapsed('m.line')} AS mod
 QUALIFY row_number() OVER (PARTITION BY r.path, r.line_no ORDER BY m.line_no DESC) <= 3""",
 )
 def rust_modules(spark, d):
-    rs = code(spark, d).where("ext = 'rs'")
-    return structure.last_modules(rs, rs.where(structure.is_rust_declaration(F.col("line"))))
+    return structure.last_modules(code_rows(spark, d, "rs"), structure.is_rust_declaration)
 
 
 def _near_attributes(mark: str) -> str:
@@ -427,8 +431,7 @@ SELECT path, line_no, string_agg(line || ':' || kind || ':' || label, '|' ORDER
 )
 def context_hints(spark, d):
     """What surrounds each line of code that holds the symbol."""
-    held = code(spark, d).where("ext IN ('rs', 'swift')")
-    found = structure.context_hints(held, held.where(F.contains("line", F.lit(SYMBOL))))
+    found = structure.context_hints(code_rows(spark, d, "rs", "swift"), structure.numbers(F.col("lines"), lambda x: F.contains(x, F.lit(SYMBOL))))
     return found.select("path", "line_no", F.array_join(F.transform("hints", lambda h: F.concat_ws(":", h["line"].cast("string"), h["kind"], h["label"])), "|").alias("hints"))
 
 
@@ -556,7 +559,7 @@ marks AS (SELECT path, line_no, string_agg(' [' || mark || ']', '' ORDER BY plac
 swifts AS (SELECT u.path, u.line_no, CASE WHEN u.x = '' THEN NULL ELSE coalesce(c.x || ' :: ', '') || u.x || CASE WHEN contains(u.x, 'async') THEN ' [async]' ELSE '' END || CASE WHEN contains(lower(u.x), 'await ') THEN ' [await]' ELSE '' END || {ACCESS_SQL.replace('lower(x)', 'lower(u.x)')} || CASE WHEN contains(u.x, '<') AND contains(u.x, '>') THEN ' [generic]' ELSE '' END || coalesce(marks, '') END AS value
   FROM u LEFT JOIN w c ON c.path = u.path AND c.line_no = u.stop AND c.opens LEFT JOIN marks m ON m.path = u.path AND m.line_no = u.line_no)"""
 query("snippet_swift", f"WITH {CODE_SQL}, {SWIFT_VALUES_SQL} SELECT path, line_no, value FROM swifts")(
-    lambda spark, d: structure.swift_surroundings(code(spark, d).where("ext = 'swift'")).select("path", "line_no", snippets.swift(F.col("line"), F.col("context"), F.col("marks")).alias("value"))
+    lambda spark, d: structure.swift_surroundings(code_rows(spark, d, "swift")).select("path", "line_no", snippets.swift(F.col("line"), F.col("context"), F.col("marks")).alias("value"))
 )
 
 
@@ -571,7 +574,7 @@ def snippet_format(spark, d):
     rest = lines(spark, d).where("ext NOT IN ('rs', 'swift', 'tsx')").union(code(spark, d).where("ext <> 'swift'"))
     none = F.lit(None)
     plain = rest.select("*", none.cast("string").alias("context"), none.cast("array<string>").alias("marks"))
-    every = plain.union(structure.swift_surroundings(code(spark, d).where("ext = 'swift'")))
+    every = plain.union(structure.swift_surroundings(code_rows(spark, d, "swift")))
     return every.select("path", "line_no", snippets.formatted(F.col("line"), F.col("ext"), F.col("context"), F.col("marks")).alias("value"))
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from siftwell.functions import rewrite, snippets
 from siftwell.operators import index, scopes, search as ops, structure
 from siftwell.operators.state import State
-from siftwell.sources.corpus import lines_of, tree_files, tree_pages
+from siftwell.sources.corpus import tree_files, tree_pages
 
 log = logging.getLogger("siftwell")
 LONGEST_SYMBOL = 256
@@ -298,9 +298,9 @@ class Engine:
         ext = {r.ext for r in rows if r.ext}
         hints, context, marks = F.lit(None).cast("array<struct<line: bigint, kind: string, label: string>>"), F.lit(None).cast("string"), F.lit(None).cast("array<string>")
         if ext & {"rs", "swift"}:
-            near = lines_of(self.files.join(F.broadcast(best.select("path").distinct()), "path", "left_semi").where(F.col("ext").isin("rs", "swift"))).coalesce(1).persist()
-            self._held.append(near)
-            found = structure.context_hints(near, best.select("path", "line_no"), ext & {"rs", "swift"})
+            wanted = best.where(F.col("ext").isin("rs", "swift")).groupBy("path").agg(F.collect_set("line_no").alias("at"))
+            near = structure.with_lines(self.files.join(F.broadcast(wanted.select("path")), "path", "left_semi")).join(F.broadcast(wanted), "path")
+            found = structure.context_hints(near, F.col("at"))
             shown, hints = shown.join(found, ["path", "line_no"], "left"), F.col("hints")
             if "swift" in ext:
                 around = structure.swift_surroundings(near.where("ext = 'swift'")).select("path", "line_no", "context", "marks")

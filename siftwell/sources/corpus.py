@@ -137,17 +137,26 @@ RENDER = {
 }
 
 
-def code_lines(files: DataFrame) -> DataFrame:
-    """Lines of rs, swift and tsx files, rendered as code, since the prose holds none."""
-    lines = lines_of(files.where(F.col("ext").isin(*RENDER)))
-    w = F.regexp_extract("line", "[A-Za-z]+", 0)
-    out = F.col("line")
-    for ext, forms in RENDER.items():
+def _rendered(line: Column, n: Column, render: dict) -> Column:
+    w, out = F.regexp_extract(line, "[A-Za-z]+", 0), line
+    for ext, forms in render.items():
         for i, form in enumerate(forms):
             if form is not None:
                 text = F.concat(*(F.lit(p) if j % 2 == 0 else w for j, p in enumerate(_around(form)))) if "{w}" in form else F.lit(form)
-                out = F.when((F.col("ext") == ext) & (F.pmod("line_no", F.lit(8)) == i), text).otherwise(out)
-    return lines.select("path", "ext", "line_no", out.alias("line"))
+                out = F.when((F.col("ext") == ext) & (F.pmod(n, F.lit(8)) == i), text).otherwise(out)
+    return out
+
+
+def code_files(files: DataFrame, render: dict = RENDER) -> DataFrame:
+    """(path, ext, lines): rs, swift and tsx files with their lines rendered as code, since the prose holds none."""
+    held = files.where(F.col("ext").isin(*render))
+    return held.select("path", "ext", F.transform(split_lines(F.col("body")), lambda x, i: _rendered(x, i + 1, render)).alias("lines"))
+
+
+def code_lines(files: DataFrame) -> DataFrame:
+    """As code_files, a row for each line."""
+    cut = code_files(files).select("path", "ext", F.posexplode("lines").alias("i", "line"))
+    return cut.select("path", "ext", (F.col("i") + 1).cast("long").alias("line_no"), "line")
 
 
 # As RENDER, with statements that go over several lines.
@@ -159,18 +168,8 @@ RENDER_BROKEN = {
 
 
 def broken_code(files: DataFrame) -> DataFrame:
-    """Files of rs, swift and tsx with each line rendered as a piece of a statement. A file is one row, so it is done there."""
-    def rendered(line: Column, i: Column) -> Column:
-        w, out = F.regexp_extract(line, "[A-Za-z]+", 0), line
-        for ext, forms in RENDER_BROKEN.items():
-            for n, form in enumerate(forms):
-                if form is not None:
-                    text = F.concat(*(F.lit(p) if j % 2 == 0 else w for j, p in enumerate(_around(form)))) if "{w}" in form else F.lit(form)
-                    out = F.when((F.col("ext") == ext) & (F.pmod(i + 1, F.lit(8)) == n), text).otherwise(out)
-        return out
-
-    held = files.where(F.col("ext").isin(*RENDER_BROKEN))
-    return held.withColumn("body", F.array_join(F.transform(split_lines(F.col("body")), rendered), "\n"))
+    """(path, ext, body): rs, swift and tsx files whose lines are pieces of statements."""
+    return code_files(files, RENDER_BROKEN).select("path", "ext", F.array_join("lines", "\n").alias("body"))
 
 
 def _around(form: str) -> list[str]:

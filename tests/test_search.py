@@ -261,11 +261,31 @@ def loop_attributes(lines, mark):
 @settings(max_examples=12, deadline=None)
 @given(st.lists(st.sampled_from(["#[a]", "", "// c", "fn f() {", "mod m {", "  mod n {", "}", "struct S {"]), min_size=1, max_size=25))
 def test_windows_equal_loops(spark, lines):
-    df = spark.createDataFrame([("f", "rs", i + 1, x) for i, x in enumerate(lines)], "path string, ext string, line_no long, line string")
+    df = spark.createDataFrame([("f", "rs", lines)], "path string, ext string, lines array<string>")
     assert sorted((r.line_no, r.attribute_line) for r in structure.attributes(df, "#[").collect()) == loop_attributes(lines, "#[")
     mods = [i + 1 for i, x in enumerate(lines) if x.startswith("mod ")]
     want = sorted((i + 1, m) for i in range(len(lines)) for m in [m for m in mods if m <= i + 1][-3:])
-    assert sorted((r.line_no, r.module_line) for r in structure.last_modules(df, df).collect()) == want
+    assert sorted((r.line_no, r.module_line) for r in structure.last_modules(df, lambda x: F.lit(True)).collect()) == want
+    declared = [i + 1 for i, x in enumerate(lines) if x.startswith(("fn ", "struct "))]
+    above = {r.line_no: r.d_line for r in structure.nearest_above(df, structure.is_rust_declaration, "d", True).collect()}
+    assert above == {i + 1: max((d for d in declared if d <= i), default=None) for i in range(len(lines))}
+
+
+def test_structure_stays_in_the_row(spark):
+    """No exchange in the plans, and a file of many lines takes time that follows them."""
+    import time
+
+    body = "mod m {\n#[a]\nfn f() {\n// c\n\n}\nimpl X {\nlet y = 1;\n" * 5000
+    rows = structure.with_lines(spark.createDataFrame([("f.rs", "rs", body), ("null.rs", "rs", None), ("empty.rs", "rs", "")], "path string, ext string, body string"))
+    every = F.transform("lines", lambda x, i: i + 1)
+    began = time.monotonic()
+    for df in (structure.nearest_above(rows, structure.is_rust_declaration, "d"), structure.attributes(rows, "#["), structure.last_modules(rows, structure.is_rust_declaration), structure.context_hints(rows, every), structure.swift_surroundings(rows)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+        assert df.count() > 0
+    assert time.monotonic() - began < 60
+    hints = structure.context_hints(rows, F.array(F.lit(39_992), F.lit(3))).orderBy("line_no").collect()
+    last = [(39969, "module"), (39977, "module"), (39983, "impl"), (39985, "module"), (39986, "attribute"), (39987, "declaration")]
+    assert [[(h.line, h.kind) for h in r.hints] for r in hints] == [[(1, "module"), (2, "attribute"), (3, "declaration")], last]
 
 
 def test_hits_equal_union_of_rewrites(spark, root):
