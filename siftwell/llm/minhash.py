@@ -11,17 +11,20 @@ of runs follows from how many values may differ, and nothing is lost.
 
 A run is seldom common by chance, as a single value (a frequent word pair) is. Each sketch enters only its rarest lists, all
 but as many as linked ones share; a sketch that meets others in fewer lists than that enters none. Lists are not compared all
-with all: each list's most central set meets the others first; what is joined by that needs no further comparison, and
-remaining pairs of differing components follow. So a group of m near copies costs about m pairs.
+with all: each list's most central set meets the others, so a group of m near copies costs about m pairs. What that leaves
+open, links between sets of differing components, is found among the sets that entered lists by the shingles themselves: a
+linked pair shares one of the rarest of both, at places and with sizes that still allow the likeness.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from fractions import Fraction
 from math import comb
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,7 +118,8 @@ def need(n: Column, retained: int, likeness: Fraction, run: int, miss: float) ->
 
 
 def inverted_lists(sets: DataFrame, retained: int, likeness: Fraction, miss: float = MISS) -> DataFrame:
-    """(key, num, n, shared): the lists that each set enters, those of its rarest runs of retained values."""
+    """(key, num, n, weight): the lists that each set enters, those of its rarest runs of retained values. weight: how often the
+    set meets others in all of its lists."""
     run = run_size(retained, likeness)
     at = F.sequence(F.lit(1), F.size("sketch") - (run - 1))
     keys = F.transform(at, lambda i: F.xxhash64(*(F.element_at("sketch", i + j) for j in range(run))))
@@ -125,12 +129,64 @@ def inverted_lists(sets: DataFrame, retained: int, likeness: Fraction, miss: flo
     met = each.join(counts, "key").groupBy("num", "n").agg(F.sort_array(F.collect_list(F.struct("held", "key"))).alias("keys"))
     shared, wanted = F.size("keys"), need(F.col("n"), retained, likeness, run, miss)
     first = F.slice("keys", 1, F.col("shared") - F.col("wanted") + 1)
-    kept = met.withColumns({"shared": shared, "wanted": wanted}).where("shared >= wanted").select("num", "n", "shared", F.explode(first).alias("k"))
-    out = store(kept.select("k.key", "num", "n", "shared"))
+    weight = F.aggregate("keys", F.lit(0).cast("long"), lambda w, k: w + k["held"]).alias("weight")
+    kept = met.withColumns({"shared": shared, "wanted": wanted}).where("shared >= wanted").select("num", "n", weight, F.explode(first).alias("k"))
+    out = store(kept.select("k.key", "num", "n", "weight"))
     drop(counts)
     return out
 
 
+def _bin(n: Column) -> Column:
+    """Sizes that differ by about two percent are in one class."""
+    return F.floor(F.log(n.cast("double")) / 0.02).cast("int")
+
+
+def shingled(texts: DataFrame, k: int) -> DataFrame:
+    """(sid, tokens): the distinct shingles of texts (sid, blob)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, unpack = FlatWords(SPACED), zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
+                column = pa.array([unpack(x).decode("utf-8", "replace") for x in part.column(1).to_pylist()], pa.string())
+                s, _, n = _flat_sets(words, column, k)
+                yield pa.RecordBatch.from_arrays([part.column(0), lists(s.view(np.int64), n, pa.int64())], names=["sid", "tokens"])
+
+    return texts.select("sid", "blob").mapInArrow(run, "sid binary, tokens array<long>")
+
+
+def open_pairs(sets: DataFrame, likeness: Fraction) -> DataFrame:
+    """(a, b): pairs of sets (num, n, label, tokens) with differing labels that may be linked; none of those that are is left out.
+
+    Tokens are ordered by how many sets hold them, rarest first. A linked pair shares a token among the first of the larger
+    set and among the, fewer, first ones of the smaller. What stands before the token in either set is not in the other, so
+    the place of a token bounds the sizes of the sets that it can link: sets meet by token and class of size.
+    """
+    num, den = likeness.numerator, likeness.denominator
+    each = sets.select("num", F.col("n").cast("int").alias("n"), F.explode("tokens").alias("token"))
+    counts = store(each.groupBy("token").agg(F.count("*").alias("held")).where("held > 1"))
+    met = each.join(counts, "token").groupBy("num", "n").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("first"))
+    # The largest prefix that any set needs; tokens of one set alone come before all others.
+    most = F.col("n") - F.ceil(F.col("n") * num / den - F.lit(1e-9)) + 1 - (F.col("n") - F.size("first"))
+    rows = met.select("num", "n", F.size("first").alias("s"), F.posexplode(F.slice("first", 1, F.greatest(most, F.lit(0)).cast("int"))).alias("i", "t"))
+    rows = rows.select("num", "n", F.col("t.token").alias("token"), (F.col("n") - F.col("s") + F.col("i")).alias("pos"))
+    rows = store(rows.join(sets.select("num", "label"), "num"))
+    # From here n tokens of a set less those before the shared one, and what two sizes demand in common.
+    demanded = lambda n, m: F.ceil((n + m) * num / (num + den) - F.lit(1e-9))
+    held = rows.where(F.col("n") - F.col("pos") >= demanded(F.col("n"), F.col("n"))).withColumn("bin", _bin(F.col("n")))
+    low = F.ceil(F.col("n") * num / den - F.lit(1e-9))
+    high = F.least(F.col("n"), F.floor((F.col("n") - F.col("pos")) * (num + den) / num + F.lit(1e-9)) - F.col("n"))
+    asked = rows.withColumns({"low": low, "high": high}).where("low <= high").withColumn("bin", F.explode(F.sequence(_bin(F.col("low")), _bin(F.col("high")))))
+    x, y = asked.alias("x"), held.alias("y")
+    left = lambda r: F.col(f"{r}.n") - F.col(f"{r}.pos")
+    fits = F.col("y.n").between(F.col("x.low"), F.col("x.high")) & (F.least(left("x"), left("y")) >= demanded(F.col("x.n"), F.col("y.n")))
+    once = (F.col("x.n") > F.col("y.n")) | (F.col("x.num") < F.col("y.num"))
+    pairs = x.join(y, ["token", "bin"]).where((F.col("x.label") != F.col("y.label")) & (F.col("x.num") != F.col("y.num")) & fits & once)
+    out = store(pairs.select(F.col("x.num").alias("a"), F.col("y.num").alias("b")).distinct())
+    drop(counts, rows)
+    return out
+
+
 def overlap(a: Column, b: Column, retained: int) -> Column:
     """Values of the union sketch that both sketches retain."""
     union = F.slice(F.array_sort(F.array_union(a, b)), 1, retained)
@@ -177,31 +233,27 @@ def minhash_components(docs: DataFrame, k: int = 5, likeness: Fraction = Fractio
         nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
         return den * F.least(nx, ny) >= num * F.greatest(nx, ny)
 
-    # An original shares more of its runs than its edited copies do.
-    pivots = rows.groupBy("key").agg(F.max(F.struct("shared", "num", "n")).alias("p"), F.count("*").alias("held")).where("held > 1").select("key", "p.num", "p.n")
+    # An original meets more sets in its lists than its edited copies do.
+    pivots = rows.groupBy("key").agg(F.max(F.struct("weight", "num", "n")).alias("p"), F.count("*").alias("held")).where("held > 1").select("key", "p.num", "p.n")
     star = rows.alias("x").join(pivots.alias("p"), "key").where((F.col("x.num") != F.col("p.num")) & sizes_fit("x", "p"))
     star = store(star.select(F.col("p.num").alias("a"), F.col("x.num").alias("b")).distinct())
     links = store(_verify(alike_sketches(star, chosen, retained, likeness, least), texts, k, likeness).distinct())
     labels = components(links)
 
-    # The rest: pairs of a list whose labels differ. One of the two lies outside the list's largest class.
+    # The rest: pairs of sets whose labels differ.
     label = F.coalesce("label", "sid").alias("label")
-    known = chosen.select("num", "sid").join(labels, F.col("sid") == F.col("node"), "left").select("num", label)
-    spread = store(rows.join(known, "num").select("key", "num", "n", "label"))
-    classes = spread.groupBy("key", "label").agg(F.count("*").alias("m"))
-    open_ = classes.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("classes")).where("classes > 1").select("key", "main")
-    live = store(spread.join(open_, "key"))
-    x, y = live.where("label <> main").alias("x"), live.alias("y")
-    differ = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.num") < F.col("y.num")))
-    rest = x.join(y, "key").where(differ & sizes_fit("x", "y")).select(F.col("y.num").alias("a"), F.col("x.num").alias("b")).distinct()
+    known = chosen.select("num", "sid", "n").join(labels, F.col("sid") == F.col("node"), "left").select("num", "n", "sid", label)
+    whole = store(known.join(shingled(texts, k), "sid").drop("sid"))
+    found = open_pairs(whole, likeness)
     seen = star.union(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = store(rest.join(seen, ["a", "b"], "left_anti"))
+    rest = store(found.join(seen, ["a", "b"], "left_anti"))
+    drop(whole, found)
     if rest.limit(1).count():
         more = store(links.union(_verify(alike_sketches(rest, chosen, retained, likeness, least), texts, k, likeness)).distinct())
         drop(labels)
         labels = components(more)
         drop(more)
-    drop(rest, live, spread, star, links, texts, chosen, rows)
+    drop(rest, star, links, texts, chosen, rows)
 
     # Sets without a link are components of their own; copies of one text are one set.
     least_id = of.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))

@@ -67,6 +67,27 @@ def test_least_overlap_is_a_tail():
     assert least_overlap(64, Fraction(1)) == 64
 
 
+@pytest.mark.parametrize("likeness", [Fraction(4, 5), Fraction(1, 2), Fraction(9, 10)])
+def test_open_pairs_lose_no_link(spark, likeness):
+    rng = random.Random(12)
+    held = []
+    for g in range(12):
+        base = rng.sample(range(300), rng.randrange(1, 120))
+        for _ in range(9):
+            s = set(base) - set(rng.sample(base, rng.randrange(0, max(1, len(base) // 6)))) | {rng.randrange(400) for _ in range(rng.randrange(0, max(1, len(base) // 8)))}
+            held.append(sorted(s) or [1])
+    label = [b"x" if i % 5 == 0 else str(i).encode() for i in range(len(held))]
+    sets = spark.createDataFrame([(i, len(t), bytearray(label[i]), t) for i, t in enumerate(held)], "num long, n long, label binary, tokens array<long>").repartition(3)
+    found = {frozenset((r.a, r.b)) for r in minhash.open_pairs(sets, likeness).collect()}
+    linked, tried = set(), 0
+    for i, s in enumerate(map(set, held)):
+        for j, t in enumerate(map(set, held[:i])):
+            tried += 1
+            if label[i] != label[j] and len(s & t) >= likeness * len(s | t):
+                linked.add(frozenset((i, j)))
+    assert linked <= found and len(linked) > 20 and len(found) < tried / 3
+
+
 def test_shared_runs_of_small_sets():
     """No arrangement of the values that differ leaves fewer common runs than promised."""
     for likeness in (Fraction(4, 5), Fraction(9, 10), Fraction(1, 2)):
@@ -101,7 +122,9 @@ def test_a_shared_passage_and_a_group_cost_few_pairs(spark, monkeypatch):
     base = [f"c{i}" for i in range(300)]
     for i in range(300):
         text = list(base)
-        text[rng.randrange(300)] = f"x{i}"
+        # Every third copy has changed too much to be linked with any other.
+        for j in range(30 if i % 3 == 1 else 1):
+            text[(j * 9 + rng.randrange(9)) % 300] = f"x{i}_{j}"
         rows.append((5000 + i, " ".join(text)))
     verified, real = [], minhash._verify
 
@@ -111,5 +134,5 @@ def test_a_shared_passage_and_a_group_cost_few_pairs(spark, monkeypatch):
 
     monkeypatch.setattr(minhash, "_verify", counting)
     found = {r.doc_id: r.component_id for r in minhash_components(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
-    assert found == {i: min(i, 5000) for i, _ in rows}
+    assert found == {i: i if i < 5000 or i % 3 == 0 else 5000 for i, _ in rows}
     assert sum(verified) < 3 * len(rows)
