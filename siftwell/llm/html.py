@@ -59,6 +59,10 @@ class Node:
 class TreeBuilder(HTMLParser):
     """Builds a tree: ends what an opening tag implies ended, wraps stray rows and cells, ignores ends of what isn't open."""
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A section of another kind than HTML's is a comment that ends with the next ">", by HTML's rules."""
+        return self.rawdata.find(">", i) + 1 or -1
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root")
@@ -235,10 +239,53 @@ class Page:
         return "\n".join(self.lines)
 
 
+PADDING = 8
+"""A table is aligned if that takes at most so many spaces for each character of its text; each cell counts as eight more."""
+WIDE = 80
+"""Lines of cells that are wider don't count for a column's width where a table would need too much padding."""
+MOST_COLUMNS = 1000
+"""Columns of a table; cells beyond them follow unaligned."""
+
+
+def _starts(placed: list[list[tuple[int, str, int]]], widest: int | None) -> list[int]:
+    """Where columns begin, from the widths of the lines in them; lines wider than `widest` don't count."""
+    def wide(text: str) -> int:
+        return max((w for x in text.split("\n") if (w := width(x)) <= widest), default=0) if widest is not None else max(width(x) for x in text.split("\n"))
+
+    widths: dict[int, int] = {}
+    for cells in placed:
+        for at, text, span in cells:
+            if span == 1:
+                widths[at] = max(widths.get(at, 0), wide(text))
+    for cells in placed:
+        for at, text, span in cells:
+            room = sum(widths.get(at + i, 0) for i in range(span)) + 2 * (span - 1)
+            if span > 1 and (more := wide(text) - room) > 0:
+                widths[at + span - 1] = widths.get(at + span - 1, 0) + more
+    return list(accumulate((widths.get(i, 0) + 2 for i in range(max((at + span for row in placed for at, _, span in row), default=0))), initial=0))
+
+
+def _row_lines(row: list[tuple[int, str, int]], starts: list[int] | None) -> list[str]:
+    """The lines of a row; without starts cells follow one another after two spaces."""
+    texts = [(starts[at] if starts else 0, text.split("\n")) for at, text, _ in row]
+    out = []
+    for i in range(max((len(t) for _, t in texts), default=0)):
+        line, room = [], 0
+        for start, t in texts:
+            part = t[i] if i < len(t) else ""
+            gap = max(start - room, 2 if line and part else 0)
+            line.append(" " * gap + part)
+            room += gap + width(part)
+        whole = "".join(line)
+        if whole.strip():
+            out.append(whole.rstrip(" "))
+    return out
+
+
 def table_lines(rows: list[list[tuple[str, int, int]]]) -> list[str]:
     """Rows of (text, columns, rows) with columns aligned; a cell's lines stand below one another. Places that a cell of a
-    row above reaches down to stay empty."""
-    widths: dict[int, int] = {}
+    row above reaches down to stay empty. A table that is mostly padding when aligned (see PADDING) is aligned without its wide
+    lines, and if that is still too much its cells follow one another; all text is kept."""
     placed: list[list[tuple[int, str, int]]] = []
     taken: dict[int, int] = {}
     for row in rows:
@@ -246,34 +293,38 @@ def table_lines(rows: list[list[tuple[str, int, int]]]) -> list[str]:
         for text, span, deep in row:
             while taken.get(at, 0) > 0:
                 at += 1
+            at = min(at, MOST_COLUMNS)
+            span = max(1, min(span, MOST_COLUMNS - at))
             cells.append((at, text, span))
-            if span == 1:
-                widths[at] = max(widths.get(at, 0), *(width(x) for x in text.split("\n")))
-            if deep > 1:
+            if deep > 1 and at < MOST_COLUMNS:
                 taken |= {at + i: deep for i in range(span)}
             at += span
         placed.append(cells)
         taken = {c: n - 1 for c, n in taken.items() if n > 1}
-    for cells in placed:
-        for at, text, span in cells:
-            room = sum(widths.get(at + i, 0) for i in range(span)) + 2 * (span - 1)
-            if span > 1 and (more := max(width(x) for x in text.split("\n")) - room) > 0:
-                widths[at + span - 1] = widths.get(at + span - 1, 0) + more
-    starts = list(accumulate((widths.get(i, 0) + 2 for i in range(max((at + span for row in placed for at, _, span in row), default=0))), initial=0))
-    out = []
-    for row in placed:
-        texts = [(starts[at], text.split("\n")) for at, text, _ in row]
-        for i in range(max((len(t) for _, t in texts), default=0)):
-            line, room = [], 0
-            for start, t in texts:
-                part = t[i] if i < len(t) else ""
-                gap = max(start - room, 2 if line and part else 0)
-                line.append(" " * gap + part)
-                room += gap + width(part)
-            whole = "".join(line)
-            if whole.strip():
-                out.append(whole.rstrip(" "))
-    return out
+    most = PADDING * sum(len(text) + 8 for row in placed for _, text, _ in row)
+    for widest in (None, WIDE):
+        starts = _starts(placed, widest)
+        # The last cell that shows anything decides how far a line is padded.
+        if sum(max((starts[at] for at, text, _ in row if text), default=0) * max((text.count("\n") + 1 for _, text, _ in row), default=0) for row in placed) <= most:
+            return [line for row in placed for line in _row_lines(row, starts)]
+    return [line for row in placed for line in _row_lines(row, None)]
+
+
+def _counted(n: int, kind: str) -> str:
+    """A list's number as its type shows it: letters and Roman numerals where they can, else digits."""
+    if kind in ("a", "A") and n > 0:
+        out = ""
+        while n:
+            n, rest = divmod(n - 1, 26)
+            out = chr(97 + rest) + out
+        return out.upper() if kind == "A" else out
+    if kind in ("i", "I") and 0 < n < 4000:
+        out = ""
+        for value, sign in ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+            out += sign * (n // value)
+            n %= value
+        return out.upper() if kind == "I" else out
+    return str(n)
 
 
 def number(text: str | None, low: int, high: int) -> int:
@@ -322,21 +373,31 @@ def render(root: Node) -> str:
                 page.end_line()
             if tag in ("ul", "ol", "menu", "dir"):
                 page.end_line()
-                start = node.attrs.get("start") or "1"
-                lists.append([int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1] if tag == "ol" else [])
+                back = tag == "ol" and "reversed" in node.attrs
+                first = sum(isinstance(c, Node) and c.tag == "li" for c in node.children) if back else 1
+                if re.fullmatch(r"-?\d{1,9}", node.attrs.get("start") or ""):
+                    first = int(node.attrs["start"])
+                lists.append([first, -1 if back else 1, node.attrs.get("type") or "1"] if tag == "ol" else [])
             elif tag == "li":
                 owner = lists[-1] if lists and lists[-1] is not None else []
                 if owner and re.fullmatch(r"-?\d{1,9}", node.attrs.get("value") or ""):
                     owner[0] = int(node.attrs["value"])
-                mark = f"{owner[0]}. " if owner else "- "
+                mark = f"{_counted(owner[0], owner[2])}. " if owner else "- "
                 if owner:
-                    owner[0] += 1
+                    owner[0] += owner[1]
                 page.mark = mark if legible(node, seen) else ""
                 indents.append(indents[-1] + " " * len(mark))
             elif tag in ("dd", "blockquote"):
                 indents.append(indents[-1] + "  ")
             elif tag in ("pre", "textarea"):
                 pre += 1
+                # HTML drops a line end right after the tag.
+                if node.children and isinstance(node.children[0], str):
+                    node.children[0] = re.sub(r"^\r?\n", "", node.children[0])
+            elif tag == "optgroup" and node.attrs.get("label"):
+                page.end_line()
+                page.text(node.attrs["label"], indents[-1])
+                page.end_line()
             elif tag == "q":
                 page.text('"', indents[-1])
             inside.append((node, legible(node, seen)))
@@ -394,7 +455,10 @@ def _markup(m: re.Match) -> str:
 
 def visible_text(html: str | None) -> str:
     builder = TreeBuilder()
-    builder.feed(MARKUP.sub(_markup, html or ""))
+    html = MARKUP.sub(_markup, html or "")
+    # What begins a section after the last ">" is cut off by the page's end.
+    cut = html.find("<![", html.rfind(">") + 1)
+    builder.feed(html if cut < 0 else html[:cut])
     builder.close()
     return render(builder.root)
 

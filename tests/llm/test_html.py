@@ -47,6 +47,11 @@ CASES = {
     "<p don't>it's <b a=\"x>y\">so</b>": "it's so",
     "a <b title=\"cut off": "a",
     "<textarea><!-- kept --></textarea>": "<!-- kept -->",
+    "a<![CDATA[ b > c ]]>d<![if x]>e<![CDATA[ cut off": "a c ]]>de",
+    "<pre>\n a\n\nb</pre>": " a\n\nb",
+    "<ol reversed><li>a<li>b<li>c</ol>": "3. a\n2. b\n1. c",
+    "<ol type=a start=26><li>x<li>y</ol><ol type=I><li>p<li value=1994>q</ol>": "z. x\naa. y\n\nI. p\nMCMXCIV. q",
+    "<select><optgroup label='G 1'><option>a<option>b</optgroup></select>": "G 1\na\nb",
 }
 
 
@@ -55,7 +60,7 @@ def test_case(page):
     assert visible_text(page) == CASES[page]
 
 
-@pytest.mark.parametrize("part", ["<!--", "<a ", "<a b='", "<", "</", "<?", "<!x", "<![CDATA[", "&a", "<b>", "<li>", "<p><b>", "<table><td>", "<script>", "<svg>", "<ul><li>", "<b></i>", "<td rowspan=9999 colspan=1000>x"])
+@pytest.mark.parametrize("part", ["<!--", "<a ", "<a b='", "<", "</", "<?", "<!x", "<![CDATA[", "<![CDATA[>", "&a", "<b>", "<li>", "<p><b>", "<table><td>", "<script>", "<svg>", "<ul><li>", "<b></i>", "<td rowspan=9999 colspan=1000>x"])
 def test_long_broken_pages_take_no_longer(part):
     def seconds(n):
         began = time.perf_counter()
@@ -89,3 +94,34 @@ def test_pages(spark, sf):
 
 def test_empty_table(spark):
     assert not extract_html(spark.createDataFrame([], "page_id long, html string"), ["page_id"]).collect()
+
+
+@pytest.mark.parametrize(("page", "letters"), [
+    ("<table><tr><td>" + "x" * 20_000 + "<tr><td>a<td>b" * 5000, 30_000),
+    ("<table><tr><td rowspan=1000 colspan=1000>q" + "<tr><td>r" * 2000, 2001),
+    ("<table><tr>" + "<td colspan=1000>c" * 300, 300),
+    ("<table>" + "<tr><td rowspan=1000 colspan=1000>c" * 300, 300),
+    ("<table><tr><td>" + "y" * 79 + "<tr><td><td>z" * 3000, 3079),
+    ("<table><tr>" + "<td>" + "<tr><td><td><td>w<td rowspan=3>v" * 2000, 4000),
+    ("<table><tr><td>" + ("l<br>" * 3000) + "<td>" + "m" * 500 + "<td>n", 3501),
+])
+def test_padding_is_bounded_and_loses_no_letter(page, letters):
+    began = time.monotonic()
+    text = visible_text(page)
+    assert sum(c.isalpha() for c in text) == letters and len(text) < 10 * len(page) and time.monotonic() - began < 5
+
+
+def test_simple_tables_and_lists_equal_a_plain_renderer():
+    """Columns two spaces apart, as wide as their widest cell; lists with their marks."""
+    import random
+
+    rng = random.Random(7)
+    for _ in range(40):
+        n = rng.randrange(1, 5)
+        cells = [["".join(rng.choices("abc", k=rng.randrange(1, 9))) for _ in range(n)] for _ in range(rng.randrange(1, 5))]
+        page = "<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in row) + "</tr>" for row in cells) + "</table>"
+        wide = [max(len(row[i]) for row in cells) for i in range(n)]
+        assert visible_text(page) == "\n".join("  ".join(c.ljust(w) for c, w in zip(row, wide, strict=True)).rstrip() for row in cells)
+        items = ["".join(rng.choices("abc", k=3)) for _ in range(rng.randrange(1, 12))]
+        tag = rng.choice(("ol", "ul"))
+        assert visible_text(f"<{tag}>" + "".join(f"<li>{x}" for x in items) + f"</{tag}>") == "\n".join((f"{i}. " if tag == "ol" else "- ") + x for i, x in enumerate(items, 1))
