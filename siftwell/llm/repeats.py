@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.shared import drop, map_text, mix, store, text_keys
+from siftwell.llm.shared import drop, map_text, mix, quoted, store, text_keys
 
 LENGTH = 400
 K = 32
@@ -313,9 +313,13 @@ def remove_repeats(docs: DataFrame, keep: list[str], length: int = LENGTH, group
     found = repeat_spans(docs, length, k, group).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
     copies = docs.select(k1.alias("k1"), k2.alias("k2")).groupBy("k1", "k2").agg(F.count("*").alias("_copies")).where("_copies > 1")
     known = found.join(copies, ["k1", "k2"], "full").withColumnsRenamed({"k1": "_f1", "k2": "_f2"})
-    blobs = _packed_texts(docs.select(*keep, *(["text"] if "text" not in keep else []), k1.alias("_k1"), k2.alias("_k2")), [*keep, "_k1", "_k2"])
+    fields = {"n_bytes": "int", "starts": "array<int>", "ends": "array<int>", "kept": "binary"}
+    # Kept columns go by place: whatever they are called, no name can clash.
+    keep = [c for c in keep if c.lower() not in fields]
+    held = [f"col_{i}" for i in range(len(keep))]
+    blobs = _packed_texts(docs.select(*(quoted(c).alias(h) for c, h in zip(keep, held, strict=True)), "text", k1.alias("_k1"), k2.alias("_k2")), [*held, "_k1", "_k2"])
     joined = blobs.join(known, (F.col("_k1") == F.col("_f1")) & (F.col("_k2") == F.col("_f2")), "left")
-    listed = joined.select(*keep, F.struct("blob", "_spans", F.col("_copies").isNotNull().alias("copied")).alias("_row"))
+    listed = joined.select(*held, F.struct("blob", "_spans", F.col("_copies").isNotNull().alias("copied")).alias("_row"))
 
     def start():
         unpack = zstandard.ZstdDecompressor().decompress
@@ -338,4 +342,4 @@ def remove_repeats(docs: DataFrame, keep: list[str], length: int = LENGTH, group
 
         return lambda rows: [list(x) for x in zip(*map(one, rows), strict=True)]
 
-    return map_text(listed, keep, {"n_bytes": "int", "starts": "array<int>", "ends": "array<int>", "kept": "binary"}, start, text="_row")
+    return map_text(listed, held, fields, start, text="_row").toDF(*keep, *fields)

@@ -61,6 +61,14 @@ def test_nothing_and_little(spark):
     assert not remove_repeats(docs, ["doc_id"]).collect()
 
 
+def test_kept_columns_of_any_name_and_periodic_text(spark):
+    rows = [(1, "a" * 3000, 5, "x", "blob"), (2, "xyz" * 1000, 6, "y", "b"), (3, "abcdefghij" * 20, 7, "z", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _k1 long, _row string, _spans string")
+    found = {r.doc_id: r for r in remove_repeats(docs, ["doc_id", "_k1", "_row", "_spans", "text"]).collect()}
+    assert {i: (r._k1, r._row, r._spans, r.text) for i, r in found.items()} == {r[0]: (r[2], r[3], r[4], r[1]) for r in rows}
+    assert [len(found[i].kept) for i in (1, 2, 3)] == [0, 0, 200]
+
+
 def test_real_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     texts = [r.text for r in docs.collect()]
