@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import rewrite, snippets
-from siftwell.operators import batch, index, observe, ranges, scopes, search, state, structure
+from siftwell.operators import batch, index, observe, ranges, scopes, search, state, structure, trigrams
 from siftwell.sources import corpus
 from siftwell.sources.corpus import BROKEN_SQL, CODE_SQL, FILES_SQL, LANGUAGES, LINES_SQL, shared_folder
 from siftwell.streaming import telemetry
@@ -185,6 +185,38 @@ def probe_smart_case(spark, d):
     return out
 
 
+def trigram_index(spark: SparkSession, d: str) -> DataFrame:
+    folder = shared_folder(spark, "trigrams")
+    trigrams.write(files(spark, d), folder)
+    return trigrams.read(spark, folder)
+
+
+@query("probe_pruned", f"WITH {LINES_SQL} SELECT 'eriner' AS symbol, path, line_no FROM lines WHERE contains(line, 'eriner') UNION ALL SELECT '_12', path, line_no FROM lines WHERE contains(lower(line), '_12') UNION ALL SELECT 'un', path, line_no FROM lines WHERE contains(line, 'un')")
+def probe_pruned(spark, d):
+    """Probes of files that hold all trigrams of a symbol; one of two letters has none and reads all."""
+    f, held = files(spark, d), trigram_index(spark, d)
+    out = None
+    for symbol in ("eriner", "_12", "un"):
+        fold = symbol == "_12"
+        part = trigrams.pruned_probe(f, held, symbol, fold).select(F.lit(symbol).alias("symbol"), "path", "line_no")
+        out = part if out is None else out.union(part)
+    return out
+
+
+PATTERNS = ("th(ane|inti)[a-z]+b", "er+iner", "(erineR|An)[a-z]{4}", "[a-z]*")
+
+
+@query("regex_pruned", "WITH " + LINES_SQL + " " + " UNION ALL ".join(f"SELECT '{p}' AS pattern, path, line_no FROM lines WHERE regexp_matches(line, '{p}')" for p in PATTERNS))
+def regex_pruned(spark, d):
+    """Lines that match a pattern, in files that hold the trigrams which every match contains."""
+    f, held = files(spark, d), trigram_index(spark, d)
+    out = None
+    for p in PATTERNS:
+        part = trigrams.pruned_matches(f, held, p).select(F.lit(p).alias("pattern"), "path", "line_no")
+        out = part if out is None else out.union(part)
+    return out
+
+
 @query("probe_per_file_cap", f"WITH {HITS_SQL} SELECT path, line_no FROM hits QUALIFY row_number() OVER (PARTITION BY path ORDER BY line_no) <= 3")
 def probe_per_file_cap(spark, d):
     return search.capped_probe(files(spark, d), SYMBOL, 3).select("path", "line_no")
