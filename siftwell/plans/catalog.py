@@ -14,7 +14,7 @@ from siftwell.functions import rewrite, snippets
 from siftwell.operators import batch, index, observe, ranges, scopes, search, state, structure, trigrams
 from siftwell.sources import corpus
 from siftwell.sources.corpus import BROKEN_SQL, CODE_SQL, FILES_SQL, LANGUAGES, LINES_SQL, shared_folder
-from siftwell.streaming import telemetry
+from siftwell.streaming import state as streams, telemetry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -730,6 +730,22 @@ query("evict_symbols", f"WITH {TOKENS_SQL}, s AS (SELECT token AS symbol, max(do
     lambda spark, d: state.evict_symbols(files(spark, d).select("doc_id", F.explode(index.tokens(F.col("body"))).alias("symbol")).groupBy("symbol").agg(F.max("doc_id").alias("last_seen")))
 )
 
+
+@query(
+    "state_replay",
+    """WITH found AS (SELECT event_type AS symbol, 'd' || user_id % 7 || '/' || user_id AS path, ts FROM events), first AS (SELECT symbol, path, min(ts) AS ts FROM found GROUP BY symbol, path QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY min(ts), path) <= 10)
+SELECT symbol, string_agg(path, ',' ORDER BY ts, path) AS paths FROM first GROUP BY symbol""",
+)
+def state_replay(spark, d):
+    """Events as a stream of found paths: the keyed state that a replay leaves."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    events_ = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    found = events_.select(F.col("event_type").alias("symbol"), F.concat(F.lit("d"), (F.col("user_id") % 7).cast("string"), F.lit("/"), F.col("user_id").cast("string")).alias("path"), "ts")
+    folder = shared_folder(spark, "state")
+    streams.follow(streams.symbol_states(found), f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+    return streams.symbols_now(spark, f"{folder}/rows").select("symbol", F.array_join("paths", ",").alias("paths"))
+
+
 # Benchmarks and metrics
 
 
