@@ -27,6 +27,8 @@ ODD = [
     (9008, "a b c a b c a b c " * 400 + "\nsame line\nsame line\n\nsame line", "repeats", "src2"),
     (9009, "word " * 30000, "very long", "src2"),
     (9010, "x" * 5000, "a long word", "src2"),
+    (9012, "a\0b c d e \0 \0\0 cc\0by cc by password: a\0b12345678 \0", "nul", "src2"),
+    (9013, "".join("ab"[i.bit_count() % 2] for i in range(2048)) + " " + "".join("ba"[i.bit_count() % 2] for i in range(2048)) + " ab ba abbabaab baababba", "alike words", "src2"),
     (9011, "ſecret = notakeyword12 é password = éééééééé é token = ok_token_99", "odd case", "src2"),
 ]
 
