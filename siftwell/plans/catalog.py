@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import rewrite, snippets
-from siftwell.operators import batch, index, observe, ranges, scopes, search, state, structure, trigrams
+from siftwell.operators import batch, index, observe, ranges, scopes, search, state, structure, topk, trigrams
 from siftwell.sources import corpus
 from siftwell.sources.corpus import BROKEN_SQL, CODE_SQL, FILES_SQL, LANGUAGES, LINES_SQL, shared_folder
 from siftwell.streaming import state as streams, telemetry
@@ -679,6 +679,15 @@ query("index_range", f"WITH {PLACES_SQL}, r AS (SELECT DISTINCT path FROM kept W
 )
 
 
+@query("index_topk", f"WITH {BM25_SQL} SELECT path, floor(bm25 * 10000 + 0.5) / 10000 AS bm25 FROM ranked ORDER BY ranked.bm25 DESC, path LIMIT 10")
+def index_topk(spark, d):
+    """The ten best files, read from the ranges that can hold them."""
+    f, folder = files(spark, d), shared_folder(spark, "topk")
+    topk.write(index.positional_postings(f), folder)
+    n, total = index.doc_stats(f).agg(F.count("*"), F.sum("dl")).first()
+    return topk.top(spark, folder, "und elle with", 10, n, total).select("path", (F.floor(F.col("bm25") * 10000 + 0.5) / 10000).alias("bm25"))
+
+
 @query("index_refresh", f"WITH {TOKENS_SQL} SELECT token, count(*)::BIGINT AS files, sum(tf)::BIGINT AS places FROM (SELECT token, path, count(*) AS tf FROM kept GROUP BY token, path) GROUP BY token")
 def index_refresh(spark, d):
     """An index of an older tree that follows the tree of now: a third of the files is new, a third has changed, some have gone."""

@@ -184,3 +184,22 @@ def test_only_the_hits_bodies_move(spark, files):
         assert not ("BroadcastExchange" in line and "body" in line)
     moved = plan[plan.rindex("ShuffledHashJoin") :]
     assert "LeftSemi" in moved
+
+
+def test_top_files_from_few_ranges(spark, tmp_path):
+    """The same best files as scoring everything, from part of the ranges."""
+    from siftwell.operators import topk
+
+    rng = random.Random(9)
+    rows = []
+    for i in range(900):
+        body = rng.choices([f"w{j}" for j in range(40)], k=rng.randrange(5, 60)) + ["rare"] * (i % 97 == 0) + ["often"] * rng.choice((0, 1, 1, 1, 12 if i % 50 == 0 else 1))
+        rows.append((f"f{i:03d}", " ".join(body)))
+    docs = spark.createDataFrame(rows, "path string, body string").repartition(4)
+    topk.write(index.positional_postings(docs), str(tmp_path / "ix"))
+    n, total = index.doc_stats(docs).selectExpr("count(*)", "sum(dl)").first()
+    for query in ("rare often", "often", "rare", "w1 w2 w3", "nothing", "nothing rare"):
+        found = [tuple(r) for r in topk.top(spark, str(tmp_path / "ix"), query, 5, n, total).collect()]
+        assert found == [tuple(r) for r in index.best(index.bm25(docs, query), 5).collect()], query
+    kept, _ = topk.kept_ranges(spark, str(tmp_path / "ix"), "rare often", 5, n, total)
+    assert 0 < kept.count() < 900 / topk.RANGE / 2

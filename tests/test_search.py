@@ -123,6 +123,33 @@ def test_request_names(tmp_path):
             SearchSpec.from_request({"symbol": "x", **bad}, own)
 
 
+def test_logs_are_json_lines_with_fields(capsys):
+    import logging
+
+    from siftwell.plans.search import log, set_up_logs
+
+    set_up_logs()
+    log.setLevel(logging.INFO)
+    log.info("stage", extra={"stage": "rg-global", "ms": 3})
+    record = json.loads(capsys.readouterr().err.splitlines()[-1])
+    assert record["message"] == "stage" and record["level"] == "info" and record["stage"] == "rg-global" and record["ms"] == 3 and record["time"] > 0
+    set_up_logs(telemetry=False)
+    log.critical("unseen")
+    log.error("unseen")
+    assert "unseen" not in capsys.readouterr().err
+
+
+def test_startup_is_rounded_up_and_stages_down(spark, root, monkeypatch):
+    from siftwell.plans import search as plan
+
+    clock = iter(x / 1000 for x in (0.0, 0.2, *(10 * i + 0.9 * i for i in range(400))))
+    monkeypatch.setattr(plan.time, "monotonic", lambda: next(clock))
+    engine = Engine(spark, tree_files(spark, root))
+    assert engine.startup_ms == 1
+    s = engine.search(SearchSpec("kept_thing"))
+    assert all(isinstance(v, int) and v >= 10 for v in s.stage_ms.values()) and s.cycle_ms == sum(s.stage_ms.values())
+
+
 def test_slow_stages_are_cancelled(spark):
     from siftwell.plans.search import _limit
 
