@@ -11,6 +11,7 @@ The draw is by exponential noise (Gumbel top-k): the highest sums of log weight
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,12 +27,16 @@ TASK_MB = 200
 """What DuckDB may hold in a task; a slab of texts needs far less. It has no folder to spill to: what is spilled is Parquet in
 the shared folder."""
 SLAB = 400
+PIECE = 1 << 19
+"""Characters of a text that DuckDB gets at once; longer texts come in pieces that share a word."""
+_WORD = re.compile("[0-9A-Za-z\x80-\U0010FFFF]+")
+_GAPS = "".join(chr(c) for c in range(128) if not _WORD.match(chr(c)))
 
 FEATURES = """
-WITH texts AS (SELECT row, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM slab),
-words AS (SELECT row, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM texts),
-pairs AS (SELECT row, word, lead(word) OVER (PARTITION BY row ORDER BY place) AS next FROM words),
-grams AS MATERIALIZED (SELECT row, word AS gram FROM pairs UNION ALL SELECT row, word || ' ' || next FROM pairs WHERE next IS NOT NULL),
+WITH texts AS (SELECT row, continued, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM slab),
+words AS (SELECT row, continued, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM texts),
+pairs AS (SELECT row, place > 1 OR NOT continued AS own, word, lead(word) OVER (PARTITION BY row ORDER BY place) AS next FROM words),
+grams AS MATERIALIZED (SELECT row, word AS gram FROM pairs WHERE own UNION ALL SELECT row, word || ' ' || next FROM pairs WHERE next IS NOT NULL),
 met AS (SELECT list(gram) AS all_grams FROM (SELECT DISTINCT gram FROM grams)),
 known AS MATERIALIZED (SELECT unnest(all_grams) AS gram, unnest(crc32s(all_grams)) % {buckets} AS bucket FROM met)
 SELECT row, bucket, count(*)::INTEGER AS n FROM (SELECT row, bucket FROM grams JOIN known USING (gram)) GROUP BY row, bucket ORDER BY row, bucket
@@ -58,7 +63,31 @@ def _engine():
     return held
 
 
-def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def pieces(text: str, most: int = PIECE) -> list[tuple[str, bool]]:
+    """A text in pieces of about `most` characters, cut between words. A piece that is not the first begins with the last word
+    of the one before, so every pair of neighbours stands in one piece, and is marked: that word is not its own."""
+    out, start, continued = [], 0, False
+    while True:
+        first = _WORD.search(text, start)
+        to = first.end() + most if first else len(text)
+        if to >= len(text):
+            return [*out, (text[start:], continued)]
+        while to < len(text) and _WORD.match(text[to]):
+            # Not within a word, nor before the piece's second one has ended.
+            to = _WORD.match(text, to).end()
+        held = text[first.end() : to].rstrip(_GAPS)
+        if not _WORD.search(held):
+            # A long gap: on to the end of the next word.
+            after = _WORD.search(text, to)
+            if not after:
+                return [*out, (text[start:], continued)]
+            to = after.end()
+            held = text[first.end() : to]
+        out.append((text[start:to], continued))
+        start, continued = first.end() + max(held.rfind(c) for c in _GAPS) + 1, True
+
+
+def bucket_counts(docs: DataFrame, buckets: int = BUCKETS, piece: int = PIECE) -> DataFrame:
     """docs without their texts, and buckets and counts: the buckets of all runs of one and two words, ascending, and how
     often each occurs. Null and empty texts have none."""
 
@@ -66,15 +95,32 @@ def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
         engine = _engine()
         query = FEATURES.format(buckets=buckets)
 
-        def make(column: pa.Array) -> list[pa.Array]:
-            n = len(column)
-            slab = pa.table({"row": pa.array(np.arange(n, dtype=np.int32)), "text": column.fill_null("")})
+        def counted(rows: list[tuple[int, str, bool]]) -> tuple[np.ndarray, np.ndarray]:
+            """(row * buckets + bucket, how often), in order unless a row has several pieces."""
+            row, text, continued = zip(*rows, strict=True)
+            slab = pa.table({"row": pa.array(np.arange(len(row), dtype=np.int32)), "text": pa.array(text, pa.string()), "continued": pa.array(continued)})
             engine.register("slab", slab)
             found = engine.sql(query).to_arrow_table()
             engine.unregister("slab")
-            sizes = np.bincount(found["row"].to_numpy(), minlength=n)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-            return [pa.ListArray.from_arrays(offsets, pa.array(found[c].to_numpy(), pa.int32())) for c in ("bucket", "n")]
+            return np.array(row, np.int64)[found["row"].to_numpy()] * buckets + found["bucket"].to_numpy(), found["n"].to_numpy()
+
+        def make(column: pa.Array) -> list[pa.Array]:
+            n, parts, held, size = len(column), [], [], 0
+            for i, text in enumerate(column.to_pylist()):
+                for part, continued in pieces(text, piece) if len(text or "") > piece else [(text or "", False)]:
+                    if held and size + len(part) > 2 * piece:
+                        parts.append(counted(held))
+                        held, size = [], 0
+                    held.append((i, part, continued))
+                    size += len(part)
+            parts.append(counted(held))
+            keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+            if len(parts) > 1 or len(held) > n:
+                # A document's pieces meet again.
+                keys, back = np.unique(keys, return_inverse=True)
+                counts = np.bincount(back, counts, len(keys)).astype(np.int64)
+            offsets = pa.array(np.searchsorted(keys, np.arange(n + 1) * buckets), pa.int32())
+            return [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (keys % buckets, counts)]
 
         return make
 

@@ -2,13 +2,14 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
 
-from siftwell.llm.resampling import bucket_counts, gains, resample
+from siftwell.llm.resampling import bucket_counts, gains, pieces, resample
 
 ODD = [
     (None, "a null id that has rather many words so that it could be drawn from all of these at least once or even twice"),
@@ -71,6 +72,23 @@ def test_counts_are_those_of_each_text(spark):
         assert dict(zip(r.buckets, r.counts, strict=True)) == features(text)[1] and r.buckets == sorted(r.buckets)
 
 
+def test_long_texts_come_in_pieces(spark):
+    """Pieces share a word each, and counts are those of the whole text."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("ab1É .,\0\n", k=rng.randrange(0, 90))) for _ in range(300)] + ["x" * 70, "x" * 30 + " " * 60 + "y", " " * 80, "a b " * 40, "a " + "z" * 90 + " b c", " " * 50 + "a"]
+    word = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+    for text in texts:
+        cut = pieces(text, 7)
+        w = [word.findall(p) for p, _ in cut]
+        assert [c for _, c in cut] == [False] + [True] * (len(cut) - 1)
+        assert all(a[-1] == b[0] for a, b in zip(w, w[1:], strict=False))
+        assert [x for i, p in enumerate(w) for x in p[i > 0 :]] == word.findall(text)
+    assert len(pieces("a b " * 40, 7)) > 10
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for r in bucket_counts(docs, piece=7).collect():
+        assert dict(zip(r.buckets, r.counts, strict=True)) == features(texts[r.doc_id])[1]
+
+
 def test_gains_are_floored():
     raw, target = np.array([0, 5, 100]), np.array([3, 0, 1])
     assert gains(raw, target).tolist() == [math.floor(1000 * math.log((b + 1) * 108 / ((a + 1) * 7))) for a, b in zip((0, 5, 100), (3, 0, 1), strict=True)]
