@@ -9,6 +9,7 @@ when there are many. A version counts from the moment its small JSON file is the
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -137,8 +138,6 @@ def matches(found: DataFrame, n: int, total: int, query: str, paths: DataFrame |
         rows = paths.select("path").join(rows, "path", "left")
 
     def idf(w: str) -> float:
-        import math
-
         return math.log(1 + (n - df.get(w, 0) + 0.5) / (df.get(w, 0) + 0.5))
 
     norm = F.lit(K1) * (1 - B + B * F.col("dl") / F.lit(total / n if n and total else 1.0))

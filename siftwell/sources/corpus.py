@@ -15,7 +15,7 @@ LANGUAGES = {"rs": "rust", "swift": "swift", "ts": "typescript", "tsx": "tsx", "
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the one that all executors share: spark.checkpoint.dir, or the warehouse where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stages"
     return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
