@@ -2,8 +2,8 @@
 
 Each task runs DuckDB on the texts of a batch: SQL unnests the words, a window pairs each with the next one, and zlib's CRC,
 registered as a function, gives each n-gram its bucket. A document's buckets and their counts, as arrays, are spilled to
-Parquet in the shared folder with the task's sums over its documents. Spark merges the sums, makes one gain for each bucket
-from the two distributions, and scores the documents from the spilled counts; texts are read once.
+Parquet in the shared folder. Spark merges them, makes one gain for each bucket from the two distributions, and scores the
+documents from the spilled counts; texts are read once.
 
 The draw is by exponential noise (Gumbel top-k): the highest sums of log weight and noise are a sample without replacement.
 """
