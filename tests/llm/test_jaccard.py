@@ -19,6 +19,20 @@ def thue_morse(n):
 # Words that differ in every byte and whose bytes, weighted by the powers of any odd number, have one sum.
 ODD += [(30 + i, w) for i, w in enumerate(x for n in (8, 64, 1024, 2048) for x in (thue_morse(n), thue_morse(n).translate(str.maketrans("ab", "ba"))))]
 
+# Words of eight bytes and more that differ in one byte alone, whichever it is, by a bit that their size has too.
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+NEAR = [(size, i, a, b) for size in (8, 9, 10, 12, 16, 17, 24) for i in (0, 6, 7, 8, size - 1) if i < size for a, b in ("ai", "ab", "aq", "ae", "hx")]
+
+
+def test_long_words_that_differ_in_one_byte(spark):
+    rows = []
+    for n, (size, i, a, b) in enumerate(NEAR):
+        x, y = (LETTERS[:i] + c + LETTERS[i + 1 : size] for c in (a, b))
+        rows += [(4 * n, f"{n} {x}"), (4 * n + 1, f"{n} {y}"), (4 * n + 2, f"{n} {x} - {n} {y} - +"), (4 * n + 3, x + " " + y)]
+    rows += [(9000, "aaaaaaa?x"), (9001, "aaaaaaa<x\0"), (9002, "aaaaaaaa"), (9003, "aaaaaaaa\0")]
+    check(spark, rows, 3, Fraction(9, 10))
+    check(spark, rows, 1, Fraction(9, 10))
+
 
 def brute(rows, k, likeness):
     def grams(t):
