@@ -11,15 +11,19 @@ from __future__ import annotations
 import json
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell.operators.parts import parts
 from siftwell.operators.query_syntax import Node, QueryError, parse
+from siftwell.sources.corpus import shared_folder
 
 K1, B = 1.2, 0.75
 TOKEN = r"[\p{L}\p{N}]+"
@@ -37,32 +41,103 @@ def tokens(body: Column) -> Column:
     return F.filter(_all_tokens(body), lambda t: F.octet_length(t) < LONGEST)
 
 
+def _grouped(words: pa.Array, held: Callable[[pa.Array], pa.Array] | None = None) -> tuple[np.ndarray, ...]:
+    """(tokens, which text each is of, tf, places, dl of each text) from lower-cased texts, by text and token.
+
+    RE2 cuts the texts and numpy groups the tokens, so no token is a Python object. held: which tokens are kept.
+    """
+    cut = pc.split_pattern_regex(words, rf"[^{TOKEN[1:-2]}]+")
+    flat, of = cut.flatten(), np.repeat(np.arange(len(words)), pc.fill_null(pc.list_value_length(cut), 0).to_numpy(zero_copy_only=False))
+    # A text that begins or ends between tokens has an empty piece there.
+    some = pc.greater(pc.binary_length(flat), 0)
+    flat, of = flat.filter(some), of[some.to_numpy(zero_copy_only=False)]
+    counts = np.bincount(of, minlength=len(words))
+    places = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+    coded = flat.dictionary_encode()
+    names, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    good = pc.less(pc.binary_length(names), LONGEST)
+    short = good.to_numpy(zero_copy_only=False)[code] if len(code) else np.zeros(0, bool)
+    dl = np.bincount(of[short], minlength=len(words))
+    if held is not None:
+        good = pc.and_(good, held(names))
+    kept = good.to_numpy(zero_copy_only=False)[code] if len(code) else short
+    key = of[kept] * max(1, len(names)) + code[kept]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    tf = np.diff(np.append(starts, len(key)))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(key)), pa.int32()), pa.array(places[kept][order], pa.int32()))
+    return names.take(pa.array(key[starts] % max(1, len(names)))), key[starts] // max(1, len(names)), tf, lists, dl
+
+
+def _tokenised(files: DataFrame, schema: str, make: Callable[[pa.Array, pa.Array], list[pa.Array]]) -> DataFrame:
+    """What make gives for (paths, lower-cased bodies), part by part."""
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch, 1):
+                yield pa.RecordBatch.from_arrays(make(*part.columns), names=names)
+
+    return files.select("path", F.lower("body").alias("body")).mapInArrow(run, schema)
+
+
 def postings(files: DataFrame) -> DataFrame:
-    """(token, path, tf)."""
-    return files.select("path", F.explode(tokens(F.col("body"))).alias("token")).groupBy("token", "path").agg(F.count("*").alias("tf"))
+    """(token, path, tf). A file's tokens are grouped in its row; only where a path comes more than once rows meet."""
+
+    def make(paths: pa.Array, bodies: pa.Array) -> list[pa.Array]:
+        tokens_, of, tf, _, _ = _grouped(bodies)
+        return [tokens_, paths.take(pa.array(of)), pa.array(tf, pa.int64())]
+
+    found = _tokenised(files, "token string, path string, tf long", make)
+    once = not files.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return found if once else found.groupBy("token", "path").agg(F.sum("tf").alias("tf"))
 
 
 def positional_postings(files: DataFrame) -> DataFrame:
     """(token, path, tf, dl, positions): where a token stands in its file, and how many tokens the file has. A file is one
     row, so its tokens are grouped there and nothing moves. Places count tokens that are left out, too."""
 
-    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found: dict[str, list[int]] = {}
-                for at, word in enumerate(words or ()):
-                    found.setdefault(word, []).append(at)
-                kept = {w: at for w, at in found.items() if len(w.encode("utf-8", "replace")) < LONGEST}
-                sizes = [len(at) for at in kept.values()]
-                columns = [pa.array(list(kept), pa.string()), pa.array([path] * len(kept), pa.string()), pa.array(sizes, pa.int64()), pa.array([sum(sizes)] * len(kept), pa.int64()), pa.array(list(kept.values()), pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["token", "path", "tf", "dl", "positions"])
+    def make(paths: pa.Array, bodies: pa.Array) -> list[pa.Array]:
+        tokens_, of, tf, places, dl = _grouped(bodies)
+        return [tokens_, paths.take(pa.array(of)), pa.array(tf, pa.int64()), pa.array(dl[of], pa.int64()), places]
 
-    return files.select("path", _all_tokens(F.col("body")).alias("words")).mapInArrow(group, POSTINGS)
+    return _tokenised(files, POSTINGS, make)
 
 
 def doc_stats(files: DataFrame) -> DataFrame:
     """(path, dl): tokens of each file."""
-    return files.select("path", F.size(tokens(F.col("body"))).cast("long").alias("dl"))
+    return _tokenised(files, "path string, dl long", lambda paths, bodies: [paths, pa.array(_grouped(bodies)[4], pa.int64())])
+
+
+def asked_postings(files: DataFrame, query: str) -> DataFrame:
+    """(token, path, tf, dl, positions): of each file the postings that a query needs, and one row without a token that holds
+    its length. One pass; the rows go to the shared folder, as a search reads them more than once."""
+    node = parse(query, tokenise)
+    leaves = list(node.leaves()) if node else []
+    words = pa.array(sorted({w for leaf in leaves for _, w in leaf.words}), pa.string())
+    bounds = [leaf.bounds for leaf in leaves if leaf.kind == "range"]
+
+    def held(names: pa.Array) -> pa.Array:
+        out = pc.is_in(names, value_set=words)
+        for low, high in bounds:
+            test = pa.array(np.ones(len(names), bool))
+            if low:
+                test = pc.and_(test, (pc.greater_equal if low[1] else pc.greater)(names, pa.scalar(low[0], pa.string())))
+            if high:
+                test = pc.and_(test, (pc.less_equal if high[1] else pc.less)(names, pa.scalar(high[0], pa.string())))
+            out = pc.or_(out, test)
+        return out
+
+    def make(paths: pa.Array, bodies: pa.Array) -> list[pa.Array]:
+        tokens_, of, tf, places, dl = _grouped(bodies, held)
+        n = len(paths)
+        joined = [(tokens_, pa.nulls(n, pa.string())), (paths.take(pa.array(of)), paths), (pa.array(tf, pa.int64()), pa.nulls(n, pa.int64())), (pa.array(dl[of], pa.int64()), pa.array(dl, pa.int64())), (places, pa.nulls(n, places.type))]
+        return [pa.concat_arrays(x) for x in joined]
+
+    folder = shared_folder(files.sparkSession, "asked")
+    _tokenised(files, POSTINGS, make).write.parquet(folder)
+    return files.sparkSession.read.schema(POSTINGS).parquet(folder)
 
 
 # What is asked
@@ -185,8 +260,10 @@ def best(matched: DataFrame, most: int) -> DataFrame:
 
 def bm25(files: DataFrame, query: str) -> DataFrame:
     """(path, bm25) of a query's files, without a stored index."""
-    n, total = doc_stats(files).agg(F.count("*"), F.sum("dl")).first()
-    return matches(positional_postings(files), n, total or 0, query, files.select("path"))
+    found = asked_postings(files, query)
+    whole = found.where("token IS NULL")
+    n, total = whole.agg(F.count("*"), F.sum("dl")).first()
+    return matches(found.where("token IS NOT NULL"), n, total or 0, query, whole.select("path"))
 
 
 # The folder
@@ -267,8 +344,7 @@ class Index:
     def _write_segment(self, held: DataFrame) -> str:
         """Postings in ranges of (token, path), as many as their size asks for, so a common token has several."""
         name = uuid.uuid4().hex
-        ranges = held.repartitionByRange(F.col("token"), F.col("path")).sortWithinPartitions("token", "path")
-        ranges.write.parquet(f"{self.folder}/segments/{name}")
+        held.repartitionByRange(F.col("token"), F.col("path")).sortWithinPartitions("token", "path").write.parquet(f"{self.folder}/segments/{name}")
         return name
 
     def refresh(self, files: DataFrame) -> dict[str, int]:
@@ -276,23 +352,25 @@ class Index:
 
         A file's stamp says whether it is still the same: see stamped(). Only files with a new stamp are tokenised.
         """
+        number = self.version.number + 1
+        tables = f"{self.folder}/tables/{number:08d}"
         files = stamped(files)
         known = self.files.withColumnsRenamed({"stamp": "old", "segment": "was", "dl": "old_dl"})
         seen = files.select("path", "stamp").join(known, "path", "full_outer")
         state = F.when(F.col("stamp").isNull(), "removed").when(F.col("old").isNull(), "added").when(F.col("stamp") != F.col("old"), "changed").otherwise("same")
-        compared = seen.withColumn("state", state)
-        counts = dict.fromkeys(("added", "changed", "removed"), 0) | {k: v for k, v in compared.groupBy("state").count().collect() if k != "same"}
+        # Stamps are made of bodies, so they are compared once and the outcome is written.
+        seen.withColumn("state", state).write.mode("overwrite").parquet(f"{tables}/compared")
+        compared = self.spark.read.parquet(f"{tables}/compared")
+        found = dict(compared.groupBy("state").count().collect())
+        counts = dict.fromkeys(("added", "changed", "removed"), 0) | {k: v for k, v in found.items() if k != "same"}
         if self.version.number and not any(counts.values()):
             return counts
-        number = self.version.number + 1
-        fresh = files.join(compared.where("state IN ('added', 'changed')").select("path"), "path", "left_semi")
+        fresh = files.join(compared.where("state IN ('added', 'changed')").select("path"), "path", "left_semi") if "same" in found else files
         name = self._write_segment(positional_postings(fresh))
-        sizes = self.spark.read.schema(POSTINGS).parquet(f"{self.folder}/segments/{name}").select("path", "dl").distinct()
-        new = fresh.select("path", "stamp").join(sizes, "path", "left").select("path", "stamp", F.lit(name).alias("segment"), F.coalesce("dl", F.lit(0)).alias("dl"))
+        new = compared.where("state IN ('added', 'changed')").select("path", "stamp").join(doc_stats(fresh), "path").select("path", "stamp", F.lit(name).alias("segment"), "dl")
         same = compared.where("state = 'same'").select("path", "stamp", F.col("was").alias("segment"), F.col("old_dl").alias("dl"))
         dead = self.dead.union(compared.where("state IN ('changed', 'removed')").select("path", F.col("was").alias("segment")))
         segments = [*self.version.segments, name]
-        tables = f"{self.folder}/tables/{number:08d}"
         same.union(new).write.mode("overwrite").parquet(f"{tables}/files")
         dead.write.mode("overwrite").parquet(f"{tables}/dead")
         n, total = self.spark.read.parquet(f"{tables}/files").agg(F.count("*"), F.sum("dl")).first()

@@ -203,3 +203,20 @@ def test_top_files_from_few_ranges(spark, tmp_path):
         assert found == [tuple(r) for r in index.best(index.bm25(docs, query), 5).collect()], query
     kept, _ = topk.kept_ranges(spark, str(tmp_path / "ix"), "rare often", 5, n, total)
     assert 0 < kept.count() < 900 / topk.RANGE / 2
+
+
+def test_one_pass_over_the_bodies(spark, files):
+    """Ranking without a stored index tokenises each file once, and a file's tokens are counted where it lies."""
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(body):
+        seen.add(1)
+        return body
+
+    watched = files.select("path", F.udf(look, "string")("body").alias("body"))
+    assert index.bm25(watched, '"alpha beta" [gam TO *] delta').count() and seen.value == files.count()
+    assert "Aggregate" not in index.postings(files)._jdf.queryExecution().optimizedPlan().toString()
+    twice = files.select("path", "body").union(files.select("path", "body"))
+    assert {(r.token, r.path, r.tf) for r in index.postings(twice).collect()} == {(r.token, r.path, 2 * r.tf) for r in index.postings(files).collect()}
