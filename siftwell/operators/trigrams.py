@@ -8,17 +8,21 @@ lower-cased text: one index serves both case modes.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from re import _constants as op
 from re import _parser as syntax
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.operators import search as ops
+from siftwell.operators.parts import parts
 from siftwell.sources.corpus import lines_of
 
 MOST_SENT = 100_000
-"""Paths that are sent to all tasks; more of them meet the files by a shuffle."""
+"""Files that are sent to all tasks; more of them meet the files by a shuffle."""
 MOST_PARTS = 16
 """Exact texts that a part of a pattern is followed through; with more it is taken as any text."""
 
@@ -109,18 +113,48 @@ def _part(kind, value) -> tuple[set[str] | None, Query]:
 
 
 def postings(files: DataFrame) -> DataFrame:
-    """(gram, path): the trigrams of each file's lower-cased body, each once."""
-    found = F.regexp_extract_all(F.lower("body"), F.lit("(?s)(?=(...))"), F.lit(1))
-    return files.select(F.explode(F.array_distinct(found)).alias("gram"), "path")
+    """(gram, files): the trigrams of lower-cased bodies, each with the numbers of some files that hold it. A file's number is
+    a hash of its path. Numpy sorts the trigrams of a part of the files, so no trigram of a file is a row or an object."""
+
+    def made(numbers: pa.Array, bodies: pa.Array) -> pa.RecordBatch:
+        numbers = numbers.to_numpy()
+        texts = ["" if x is None else x for x in bodies.to_pylist()]
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        of = np.repeat(np.arange(len(texts), dtype=np.uint64), [len(x) for x in texts])
+        signs, code = np.unique(points, return_inverse=True)
+        code, n = code.astype(np.uint64), np.uint64(max(1, len(signs)))
+        inside = of[:-2] == of[2:]
+        gram = ((code[:-2] * n + code[1:-1]) * n + code[2:])[inside]
+        key = np.unique(gram * np.uint64(max(1, len(texts))) + of[:-2][inside])
+        gram, of = key // np.uint64(max(1, len(texts))), (key % np.uint64(max(1, len(texts)))).astype(np.int64)
+        starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, np.int64)
+        first = gram[starts]
+        letters = np.stack([signs[(first // n // n).astype(np.int64)], signs[(first // n % n).astype(np.int64)], signs[(first % n).astype(np.int64)]], axis=1) if len(first) else np.zeros((0, 3), np.uint32)
+        text = letters.astype("<u4").tobytes().decode("utf-32-le")
+        names = pa.array([text[i : i + 3] for i in range(0, len(text), 3)], pa.string())
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(gram)), pa.int32()), pa.array(numbers[of], pa.int64()))
+        return pa.RecordBatch.from_arrays([names, lists], names=["gram", "files"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch, 1):
+                yield made(*part.columns)
+
+    return files.select(_number().alias("file"), F.lower("body").alias("body")).mapInArrow(run, "gram string, files array<long>")
+
+
+def _number() -> Column:
+    return F.xxhash64("path")
 
 
 def write(files: DataFrame, folder: str) -> None:
-    """Postings in ranges of (gram, path), sorted, so that a common trigram has several files and a rare one a part of one."""
-    postings(files).repartitionByRange("gram", "path").sortWithinPartitions("gram", "path").write.mode("overwrite").parquet(folder)
+    """Postings in ranges of gram and files, sorted, so that a common trigram has several files and a rare one a part of one."""
+    postings(files).repartitionByRange("gram", F.get("files", F.lit(0))).sortWithinPartitions("gram").write.mode("overwrite").parquet(folder)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema("gram string, path string").parquet(folder)
+    """(gram, file): file is the number of a path."""
+    return spark.read.schema("gram string, files array<long>").parquet(folder).select("gram", F.explode("files").alias("file"))
 
 
 def _names(query: Query) -> list[str]:
@@ -128,7 +162,8 @@ def _names(query: Query) -> list[str]:
 
 
 def candidates(held: DataFrame, query: Query) -> DataFrame | None:
-    """(path) of the files that a query allows; None if it allows all."""
+    """(file): the numbers of the files that a query allows; None if it allows all. Two paths of one number allow each other,
+    which costs a probe and loses nothing."""
     if query is True:
         return None
     names = _names(query)
@@ -142,17 +177,17 @@ def candidates(held: DataFrame, query: Query) -> DataFrame | None:
             out = out & test(p) if q[0] == "and" else out | test(p)
         return out
 
-    some = held.where(F.col("gram").isin(names)).groupBy("path").agg(*(F.max(F.col("gram") == g).alias(f"g{i}") for g, i in place.items()))
-    return some.where(test(query)).select("path")
+    some = held.where(F.col("gram").isin(names)).groupBy("file").agg(*(F.max(F.col("gram") == g).alias(f"g{i}") for g, i in place.items()))
+    return some.where(test(query)).select("file")
 
 
 def pruned(files: DataFrame, held: DataFrame, query: Query, most: int = MOST_SENT) -> DataFrame:
-    """The files that a query allows. Their paths are counted: few are sent to the tasks, many are joined."""
+    """The files that a query allows. They are counted: the numbers of few are sent to the tasks, many are joined."""
     found = candidates(held, query)
     if found is None:
         return files
     few = found.limit(most + 1).count() <= most
-    return files.join(F.broadcast(found) if few else found, "path", "left_semi")
+    return files.join(F.broadcast(found) if few else found, _number() == found["file"], "left_semi")
 
 
 def pruned_probe(files: DataFrame, held: DataFrame, symbol: str, ignore_case: bool = False) -> DataFrame:
