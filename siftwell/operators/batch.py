@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -17,9 +19,13 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import rewrite
 from siftwell.operators import search as ops
+from siftwell.operators.parts import parts
+from siftwell.sources.corpus import shared_folder
 
 CHARACTERS = 4_000_000
 """Characters of the patterns of one automaton: some hundred MB in a task."""
+AT_ONCE = 10_000
+"""Hits that a task holds before it hands them on: a body may have thousands, a batch of bodies millions."""
 HITS = "path string, ext string, symbol string, line_no long, variants array<int>"
 
 
@@ -35,18 +41,28 @@ def _automaton(patterns: tuple[str, ...]):
 
 
 def _found(automaton, body: str, owners: list[list[tuple[int, int]]], most: int | None) -> Iterator[tuple[int, int, list[int]]]:
-    """(symbol, line, variants) of a body, by symbol and line; of each symbol the first `most` lines."""
-    ends = [i for i, c in enumerate(body) if c == "\n"]
-    met: dict[int, dict[int, set[int]]] = {}
-    for end, (p, size) in automaton.iter(body):
-        line = bisect_left(ends, end)
-        # A pattern holds no line end, so its first character is on the same line.
+    """(symbol, line, variants) of a body, line by line; of each symbol the first `most` lines. Only one line's hits are held."""
+    ends = [m.start() for m in re.finditer("\n", body)]
+    now, held, met, size = 0, {}, Counter(), len(ends)
+    stop = ends[0] if size else len(body)
+
+    def line_found() -> Iterator[tuple[int, int, list[int]]]:
+        for symbol, variants in held.items():
+            if most is None or met[symbol] < most:
+                met[symbol] += 1
+                # Every variant holds the symbol itself, variant 0.
+                yield symbol, now + 1, sorted(variants)
+
+    for end, (p, _) in automaton.iter(body):
+        # Occurrences come by where they end. A pattern holds no line end, so its first character is on the same line.
+        if end > stop:
+            yield from line_found()
+            held = {}
+            now = bisect_left(ends, end, now)
+            stop = ends[now] if now < size else len(body)
         for symbol, variant in owners[p]:
-            met.setdefault(symbol, {}).setdefault(line + 1, set()).add(variant)
-    for symbol, lines in met.items():
-        # Every variant holds the symbol itself, variant 0.
-        for line in sorted(lines)[:most]:
-            yield symbol, line, sorted(lines[line])
+            held.setdefault(symbol, set()).add(variant)
+    yield from line_found()
 
 
 def _patterns(symbols: list[str], language: str | None, fold: bool) -> tuple[tuple[str, ...], list[list[tuple[int, int]]]]:
@@ -99,14 +115,22 @@ def _pass(files: DataFrame, symbols: list[str], language: str | None, fold: bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols, patterns, owners = sent.value
         automaton = _automaton(patterns)
-        for batch in batches:
-            rows: list[tuple] = []
-            for path, ext, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if body:
-                    rows += [(path, ext, symbols[s], n, v) for s, n, v in _found(automaton, body, owners, most)]
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32()))
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "ext", "symbol", "line_no", "variants"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "ext", "symbol", "line_no", "variants"])
+
+        def each(batch: pa.RecordBatch) -> Iterator[tuple]:
+            for part in parts(batch, 2):
+                for path, ext, body in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if body:
+                        yield from ((path, ext, symbols[s], n, v) for s, n, v in _found(automaton, body, owners, most))
+
+        for batch in batches:
+            found = each(batch)
+            while rows := list(islice(found, AT_ONCE)):
+                yield made(rows)
 
     body = F.lower("body") if fold else F.col("body")
     return files.select("path", "ext", body.alias("body")).mapInArrow(run, HITS)
@@ -150,7 +174,10 @@ def batch_search(files: DataFrame, symbols: DataFrame, language: str | None = No
     the first `max_matches` of its candidate files, or everywhere if it has none; symbols solved there leave, and what is left
     takes its hits everywhere. Candidates are files named like the symbol.
     """
-    hits = batch_probe(files, symbols, language, max_matches).persist()
+    # Hits may be many times the bodies: they go to the shared folder, not to the executors' memory.
+    folder = shared_folder(files.sparkSession, "hits")
+    batch_probe(files, symbols, language, max_matches).write.parquet(folder)
+    hits = files.sparkSession.read.schema(HITS).parquet(folder)
     literal = rewrite.is_literal_symbol(F.col("symbol"))
     first = hits.where(literal).withColumn("stage", F.lit("rg-global"))
     rest = hits.where(~literal)
@@ -161,11 +188,11 @@ def batch_search(files: DataFrame, symbols: DataFrame, language: str | None = No
     inside = rest.join(scope, ["symbol", "path"], "left_semi").select(rest.columns).union(rest.join(scope.select("symbol").distinct(), "symbol", "left_anti").select(rest.columns))
     inside = inside.withColumn("stage", F.lit("rg-scoped"))
     unsolved = rest.join(inside.select("symbol").distinct(), "symbol", "left_anti").select(*rest.columns, F.lit("rg-global").alias("stage"))
-    found = first.unionByName(inside).unionByName(unsolved)
     flagged = candidates.select("symbol", "path").distinct().withColumn("_c", F.lit(True))
+    # A literal symbol has no candidates, so its hits, which are most, stay out of the join.
+    found = inside.unionByName(unsolved).join(flagged, ["symbol", "path"], "left").unionByName(first.withColumn("_c", F.lit(None).cast("boolean")))
     base = F.when(F.col("stage") == "rg-global", sum(ops.ORIGINS["rg-global"])).otherwise(sum(ops.ORIGINS["rg-scoped"]))
-    plus = F.when(F.col("_c"), ops.CANDIDATE_BONUS).otherwise(0.0)
-    scored = found.join(flagged, ["symbol", "path"], "left").withColumn("score", base + F.when(literal, 0.0).otherwise(plus))
+    scored = found.withColumn("score", base + F.when(F.col("_c"), ops.CANDIDATE_BONUS).otherwise(0.0))
     return scored.select("symbol", "stage", "path", "ext", "line_no", "variants", "score")
 
 

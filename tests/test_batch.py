@@ -69,3 +69,16 @@ def test_the_best_of_each_are_cut_before_they_move(files, symbols):
     plan = batch.named_files(files, ["x.y"], 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "WindowGroupLimit" in plan or "GroupLimit" in plan
     assert [r.path for r in batch.named_files(files, ["x.y", "."], 3).where(F.col("symbol") == "x.y").orderBy("pos").collect()] == ["src/x.y.rs", "src/xay.rs"]
+
+
+def test_a_task_holds_few_hits(spark, monkeypatch):
+    """A body of many hits is handed on piece by piece, and of each symbol the first lines are kept."""
+    monkeypatch.setattr(batch, "AT_ONCE", 7)
+    body = "\n".join(f"ab cd {i}" for i in range(100))
+    assert len(list(batch._found(batch._automaton(("ab", "cd")), body, [[(0, 0)], [(1, 0)]], 3))) == 6
+    held = spark.createDataFrame([(f"{j}.rs", "rs", body) for j in range(5)], "path string, ext string, body string").coalesce(1)
+    found = batch.batch_probe(held, spark.createDataFrame([("ab",), ("cd",)], "symbol string"))
+    assert found.count() == 1000
+    assert {r.line_no for r in found.where("symbol = 'cd' AND path = '3.rs'").collect()} == set(range(1, 101))
+    stored = batch.batch_search(held, spark.createDataFrame([("ab",)], "symbol string"))
+    assert "InMemory" not in stored._jdf.queryExecution().optimizedPlan().toString()
