@@ -76,7 +76,7 @@ def test_a_task_holds_few_hits(spark, monkeypatch):
     monkeypatch.setattr(batch, "AT_ONCE", 7)
     body = "\n".join(f"ab cd {i}" for i in range(100))
     assert len(list(batch._found(batch._automaton(("ab", "cd")), body, [[(0, 0)], [(1, 0)]], 3))) == 6
-    held = spark.createDataFrame([(f"{j}.rs", "rs", body) for j in range(5)], "path string, ext string, body string").coalesce(1)
+    held = spark.createDataFrame([(f"{j}.rs", f"{j}.rs", "rs", body) for j in range(5)], "path string, name string, ext string, body string").coalesce(1)
     found = batch.batch_probe(held, spark.createDataFrame([("ab",), ("cd",)], "symbol string"))
     assert found.count() == 1000
     assert {r.line_no for r in found.where("symbol = 'cd' AND path = '3.rs'").collect()} == set(range(1, 101))
