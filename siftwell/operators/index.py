@@ -105,6 +105,16 @@ def positional_postings(files: DataFrame) -> DataFrame:
     return _tokenised(files, POSTINGS, make)
 
 
+def sized_postings(files: DataFrame) -> DataFrame:
+    """(token, path, tf, dl): as positional_postings, without the places."""
+
+    def make(paths: pa.Array, bodies: pa.Array) -> list[pa.Array]:
+        tokens_, of, tf, _, dl = _grouped(bodies)
+        return [tokens_, paths.take(pa.array(of)), pa.array(tf, pa.int64()), pa.array(dl[of], pa.int64())]
+
+    return _tokenised(files, "token string, path string, tf long, dl long", make)
+
+
 def doc_stats(files: DataFrame) -> DataFrame:
     """(path, dl): tokens of each file."""
     return _tokenised(files, "path string, dl long", lambda paths, bodies: [paths, pa.array(_grouped(bodies)[4], pa.int64())])

@@ -683,8 +683,8 @@ query("index_range", f"WITH {PLACES_SQL}, r AS (SELECT DISTINCT path FROM kept W
 def index_topk(spark, d):
     """The ten best files, read from the ranges that can hold them."""
     f, folder = files(spark, d), shared_folder(spark, "topk")
-    topk.write(index.positional_postings(f), folder)
-    n, total = index.doc_stats(f).agg(F.count("*"), F.sum("dl")).first()
+    topk.write(index.sized_postings(f), folder, index.doc_stats(f))
+    n, total = spark.read.parquet(f"{folder}/ranges").agg(F.count("*"), F.sum("dl")).first()
     return topk.top(spark, folder, "und elle with", 10, n, total).select("path", (F.floor(F.col("bm25") * 10000 + 0.5) / 10000).alias("bm25"))
 
 
