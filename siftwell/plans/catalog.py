@@ -876,5 +876,5 @@ SELECT symbol, stage, row_number() OVER (PARTITION BY symbol ORDER BY round(scor
 )
 def batch_search(spark, d):
     """A search for each of many symbols: one pass over the bodies, stages by symbol, the best hits of each."""
-    found = batch.top_of_each(batch.batch_search(files(spark, d), batch_symbols(spark, d)))
+    found = batch.top_of_each(batch.batch_search(files(spark, d), batch_symbols(spark, d), best=5))
     return found.select("symbol", "stage", "rank", "path", "line_no", F.round("score", 6).alias("score"))

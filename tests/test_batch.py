@@ -1,5 +1,7 @@
 """Many symbols at once against single searches."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +84,46 @@ def test_a_task_holds_few_hits(spark, monkeypatch):
     assert {r.line_no for r in found.where("symbol = 'cd' AND path = '3.rs'").collect()} == set(range(1, 101))
     stored = batch.batch_search(held, spark.createDataFrame([("ab",)], "symbol string"))
     assert "InMemory" not in stored._jdf.queryExecution().optimizedPlan().toString()
+
+
+WORDS = ["a", "ab", "b", "é", "É", "aB", "b.", "x.y", "", "ba\r"]
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """Files of few words, so that most symbols have many hits; some paths come twice."""
+    rng = random.Random(3)
+    bodies = [None if i == 5 else "".join(rng.choice(WORDS) + rng.choice([" ", " ", "\n", "\r\n"]) for _ in range(rng.randrange(0, 30))) for i in range(60)]
+    rows = [(f"d/{i % 55:02d}.x.ys", f"{i % 55:02d}.x.ys", "ys", b) for i, b in enumerate(bodies)]
+    return spark.createDataFrame(rows, "path string, name string, ext string, body string").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def asked(spark):
+    return spark.createDataFrame([(s,) for s in (*SYMBOLS, "a", "ab", "a b", "a b a", "a  b", "ab é", "b\r", "b\r a", "B", "y a", "x.", ".x", "b.", "s", "é a")], "symbol string")
+
+
+@pytest.mark.parametrize(("best", "most"), [(1, 3), (2, 1), (2, 20), (5, 20)])
+def test_first_hits_hold_the_best(spark, many, asked, best, most, monkeypatch):
+    """What tasks leave out is never among the best, and each task hands on few hits of a symbol."""
+    monkeypatch.setattr(batch, "BYTES", 60)
+    asked = asked.where("symbol NOT LIKE '%\r%'")
+    columns = ("symbol", "stage", "path", "ext", "line_no", "variants", "score", "rank")
+    found = batch.top_of_each(batch.batch_search(many, asked, None, most, 4, best), best).select(*columns)
+    wanted = batch.top_of_each(batch.batch_search(many, asked, None, most, 4), best).select(*columns)
+    assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect()))
+    assert batch.first_hits(many, asked, best, None, most).groupBy("symbol").count().agg(F.max("count")).first()[0] == best
+
+
+def test_words_equal_lines():
+    import pyarrow as pa
+
+    from siftwell.operators import words
+
+    rng = random.Random(1)
+    for _ in range(150):
+        symbols = sorted({s for s in ("".join(rng.choices("ab é\r", k=rng.randrange(1, 6))).strip(" ") for _ in range(20)) if s})
+        texts = [rng.choice([None, "", "\n", "\n\n", "".join(rng.choices("aab  é\r\n", k=30))]) for _ in range(6)]
+        found = words.Words(symbols).find(pa.array(["a b", *texts, "q"], pa.string())[1:-1])
+        lines = [(r, i + 1, x.removesuffix("\r")) for r, t in enumerate(texts) for i, x in enumerate((t or "").split("\n"))]
+        assert {(r, n, symbols[s]) for r, n, s in zip(found.row[found.line], found.number[found.line], found.symbol, strict=True)} == {(r, n, s) for r, n, x in lines for s in symbols if s in x}
