@@ -32,6 +32,7 @@ AT_ONCE = 10_000
 HITS = "path string, ext string, symbol string, line_no long, variants array<int>"
 NAMES = ["path", "ext", "symbol", "line_no", "variants"]
 KINDS = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32()))
+COUNTS = "symbol string, lines long, files long, first_path string"
 BYTES = 1 << 22
 """Bytes of text whose distinct words are looked at together."""
 RETIRED = 0.7
@@ -174,6 +175,54 @@ def _words(symbols: tuple[str, ...]) -> Words:
     return Words(list(symbols))
 
 
+def batch_counts(files: DataFrame, symbols: DataFrame, language: str | None = None) -> DataFrame:
+    """(symbol, lines, files, first_path): how many of the lines that batch_probe finds, in how many files, and the first one.
+
+    A task counts its files, so it hands on one row for a symbol. Paths that come more than once are counted one by one.
+    """
+
+    def make(sent, each: bool) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            looked, names = sent.value
+            words, n = _words(tuple(looked)), len(looked)
+            lines, held, first = np.zeros(n, np.int64), np.zeros(n, np.int64), [None] * n
+            names = pa.array(names, pa.string())
+
+            def rows(symbol: np.ndarray, *columns: pa.Array) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([names.take(pa.array(symbol)), *columns], names=["symbol", "lines", "files", "first_path"])
+
+            for batch in batches:
+                for part in parts(batch, 2, BYTES):
+                    found, paths = words.find(part.column(2)), part.column(0).to_pylist()
+                    # Of each file and symbol the number of lines, files in the order of their paths.
+                    order = np.array(sorted(range(len(paths)), key=paths.__getitem__), np.int64)
+                    place = np.argsort(order)
+                    key, many = np.unique(place[found.row[found.line]] * n + found.symbol, return_counts=True)
+                    file, symbol = order[key // n], key % n
+                    if each:
+                        yield rows(symbol, pa.array(many, pa.int64()), pa.array(np.ones(len(key), np.int64)), part.column(0).take(pa.array(file)))
+                        continue
+                    lines += np.bincount(found.symbol, minlength=n)
+                    held += np.bincount(symbol, minlength=n)
+                    met, at = np.unique(symbol, return_index=True)
+                    for s, f in zip(met.tolist(), file[at].tolist(), strict=True):
+                        if first[s] is None or paths[f] < first[s]:
+                            first[s] = paths[f]
+            some = np.flatnonzero(lines)
+            yield rows(some, pa.array(lines[some]), pa.array(held[some]), pa.array([first[s] for s in some.tolist()], pa.string()))
+
+        return run
+
+    counted = [F.sum("lines").alias("lines"), F.sum("files").alias("files"), F.min("first_path").alias("first_path")]
+    twice = files.groupBy("path").count().where("count > 1").select("path")
+    if not twice.limit(1).count():
+        return _wordwise(files, symbols, language, lambda sent, _: make(sent, False), COUNTS).groupBy("symbol").agg(*counted)
+    once = _wordwise(files.join(twice, "path", "left_anti"), symbols, language, lambda sent, _: make(sent, False), COUNTS)
+    again = _wordwise(files.join(twice, "path", "left_semi"), symbols, language, lambda sent, _: make(sent, True), COUNTS)
+    again = again.groupBy("symbol", "first_path").agg(F.sum("lines").alias("lines")).select("symbol", "lines", F.lit(1).cast("long").alias("files"), "first_path")
+    return once.union(again).groupBy("symbol").agg(*counted)
+
+
 def first_hits(files: DataFrame, symbols: DataFrame, best: int, language: str | None = None, most: int | None = None) -> DataFrame:
     """The hits of batch_probe that are among the first `best` of their symbol by path and line.
 

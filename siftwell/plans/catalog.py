@@ -860,7 +860,7 @@ CASED_SQL = f"""WITH {HINTS_SQL.replace(SYMBOLS_SQL, WANTED_SQL)}, {LINES_SQL},
 low AS (SELECT path, ext, line_no, line, lower(line) AS folded FROM lines),
 held AS (SELECT symbol, path, ext, line_no, line FROM cased JOIN low ON NOT fold AND contains(line, symbol) UNION ALL SELECT symbol, path, ext, line_no, line FROM cased JOIN low ON fold AND contains(folded, lower(symbol)))"""
 query("batch_probe", f"{CASED_SQL} SELECT symbol, count(*)::BIGINT AS lines, count(DISTINCT path)::BIGINT AS files, min(path) AS first_path FROM held GROUP BY symbol")(
-    lambda spark, d: batch.batch_probe(files(spark, d), batch_symbols(spark, d)).groupBy("symbol").agg(F.count("*").alias("lines"), F.countDistinct("path").alias("files"), F.min("path").alias("first_path"))
+    lambda spark, d: batch.batch_counts(files(spark, d), batch_symbols(spark, d))
 )
 
 

@@ -103,6 +103,21 @@ def asked(spark):
     return spark.createDataFrame([(s,) for s in (*SYMBOLS, "a", "ab", "a b", "a b a", "a  b", "ab é", "b\r", "b\r a", "B", "y a", "x.", ".x", "b.", "s", "é a")], "symbol string")
 
 
+@pytest.mark.parametrize("language", [None, "rust"])
+def test_counts_are_those_of_all_hits(spark, many, asked, language, monkeypatch):
+    monkeypatch.setattr(batch, "BYTES", 60)
+    for files in (many, many.where("path >= 'd/05'").dropDuplicates(["path"])):
+        wanted = {}
+        for s in {r.symbol.strip(" ") for r in asked.collect() if r.symbol and r.symbol.strip(" ")}:
+            hits = ops.probe(files, s, rewrite.insensitive(s, language)).collect()
+            if hits and "\n" not in s:
+                wanted[s] = (len(hits), len({r.path for r in hits}), min(r.path for r in hits))
+        counted = batch.batch_counts(files, asked, language)
+        assert {r.symbol: tuple(r)[1:] for r in counted.collect()} == wanted
+    plan = batch.batch_counts(many, asked, language)._jdf.queryExecution().optimizedPlan().toString()
+    assert "line_no" not in plan
+
+
 @pytest.mark.parametrize(("best", "most"), [(1, 3), (2, 1), (2, 20), (5, 20)])
 def test_first_hits_hold_the_best(spark, many, asked, best, most, monkeypatch):
     """What tasks leave out is never among the best, and each task hands on few hits of a symbol."""
