@@ -1,9 +1,13 @@
 """Inverted index with positions and BM25 ranking, kept in a folder that follows its files.
 
 The folder holds segments of postings, and versions. A version names its live segments and lists its files (path, stamp,
-segment) and the dead ones: what older segments still hold of files that have changed or gone. Opening an index again
-compares stamps, tokenises new and changed files only into one more segment, and writes a version; segments are merged
-when there are many. A version counts from the moment its small JSON file is there, so a lost job leaves the last one.
+segment, number) and the dead ones: what older segments still hold of files that have changed or gone, a bit for each.
+Opening an index again compares stamps, tokenises new and changed files only into one more segment, and writes a version;
+segments are merged when there are many. A version counts from the moment its small JSON file is there, so a lost job leaves
+the last one.
+
+A segment's files have numbers, and its postings name no paths. Each task writes the postings of its own files, sorted by
+token, so that they never move.
 """
 
 from __future__ import annotations
@@ -31,6 +35,12 @@ LONGEST = 40
 """Tokens of this many bytes or more are left out."""
 MOST_SEGMENTS = 8
 POSTINGS = "token string, path string, tf long, dl long, positions array<int>"
+SEGMENT = "token string, number long, positions array<int>, path string, stamp long, dl long"
+FILES = "path string, stamp long, segment string, number long, dl long"
+FORMAT = 2
+"""A folder whose version says otherwise is filled anew."""
+MOST_SENT = 200_000
+"""Rows of dead files' bits, each of 64 files, that are sent to all tasks; more of them meet the postings by a shuffle."""
 
 
 def _all_tokens(body: Column) -> Column:
@@ -70,8 +80,8 @@ def _grouped(words: pa.Array, held: Callable[[pa.Array], pa.Array] | None = None
     return names.take(pa.array(key[starts] % max(1, len(names)))), key[starts] // max(1, len(names)), tf, lists, dl
 
 
-def _tokenised(files: DataFrame, schema: str, make: Callable[[pa.Array, pa.Array], list[pa.Array]]) -> DataFrame:
-    """What make gives for (paths, lower-cased bodies), part by part."""
+def _tokenised(files: DataFrame, schema: str, make: Callable[..., list[pa.Array]], *more: str) -> DataFrame:
+    """What make gives for (paths, lower-cased bodies) and more columns, part by part."""
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +89,7 @@ def _tokenised(files: DataFrame, schema: str, make: Callable[[pa.Array, pa.Array
             for part in parts(batch, 1):
                 yield pa.RecordBatch.from_arrays(make(*part.columns), names=names)
 
-    return files.select("path", F.lower("body").alias("body")).mapInArrow(run, schema)
+    return files.select("path", F.lower("body").alias("body"), *more).mapInArrow(run, schema)
 
 
 def postings(files: DataFrame) -> DataFrame:
@@ -96,7 +106,20 @@ def postings(files: DataFrame) -> DataFrame:
 
 def positional_postings(files: DataFrame) -> DataFrame:
     """(token, path, tf, dl, positions): where a token stands in its file, and how many tokens the file has. A file is one
-    row, so its tokens are grouped there and nothing moves. Places count tokens that are left out, too."""
+    row, so its tokens are grouped there and nothing moves. Places count tokens that are left out, too.
+
+    Of files with a number and a stamp the rows are a segment's: postings have the file's number, and one row without a token
+    holds its path, stamp and length."""
+
+    def numbered(paths: pa.Array, bodies: pa.Array, numbers: pa.Array, stamps: pa.Array) -> list[pa.Array]:
+        tokens_, of, _, places, dl = _grouped(bodies)
+        n, m = len(paths), len(of)
+        joined = [(tokens_, pa.nulls(n, pa.string())), (numbers.take(pa.array(of)), numbers), (places, pa.nulls(n, places.type))]
+        joined += [(pa.nulls(m, pa.string()), paths), (pa.nulls(m, pa.int64()), stamps), (pa.nulls(m, pa.int64()), pa.array(dl, pa.int64()))]
+        return [pa.concat_arrays(x) for x in joined]
+
+    if "number" in files.columns:
+        return _tokenised(files, SEGMENT, numbered, "number", "stamp")
 
     def make(paths: pa.Array, bodies: pa.Array) -> list[pa.Array]:
         tokens_, of, tf, places, dl = _grouped(bodies)
@@ -197,16 +220,16 @@ def in_a_row(places: list[tuple[int, Column]]) -> Column:
     return F.size(F.filter(first, follows))
 
 
-def matches(found: DataFrame, n: int, total: int, query: str, paths: DataFrame | None = None) -> DataFrame:
+def matches(found: DataFrame, n: int, total: int, query: str, paths: DataFrame | None = None, numbered: bool = False) -> DataFrame:
     """(path, bm25) of the files that a query matches, from postings (POSTINGS), the number of files and their tokens.
 
     A file's postings of the query's words meet in one row; phrases, groups and scores are expressions on it. A phrase has
     the sum of its words' idf and counts as often as it occurs; a range and * have the score of their weight. paths: all
-    files, which only * needs. A blank query finds nothing, a senseless one raises QueryError.
+    files, which only * needs. numbered: postings have no path and no dl but segment and number; paths has them all. A blank query finds nothing, a senseless one raises QueryError.
     """
     node = parse(query, tokenise)
     if node is None:
-        return found.select("path", F.lit(0.0).alias("bm25")).where("false")
+        return found.sparkSession.createDataFrame([], "path string, bm25 double")
     words = sorted({w for leaf in node.leaves() for _, w in leaf.words})
     ranges = [leaf for leaf in node.leaves() if leaf.kind == "range"]
     found = found.where(_held(node))
@@ -216,7 +239,11 @@ def matches(found: DataFrame, n: int, total: int, query: str, paths: DataFrame |
     kept = F.struct("tf", "positions") if phrases else F.struct("tf")
     made = [F.max(F.when(F.col("token") == w, kept)).alias(f"w{i}") for i, w in enumerate(words)]
     made += [F.max(_in_range(leaf)).alias(f"r{i}") for i, leaf in enumerate(ranges)]
-    rows = found.groupBy("path").agg(F.max("dl").alias("dl"), *made)
+    if numbered:
+        key = ["segment", "number"]
+        rows = found.groupBy(*key).agg(*made).join(paths.select(*key, "path", "dl"), key).drop(*key)
+    else:
+        rows = found.groupBy("path").agg(F.max("dl").alias("dl"), *made)
     if any(leaf.kind == "all" for leaf in node.leaves()):
         if paths is None:
             raise QueryError("* needs the list of files")
@@ -287,6 +314,8 @@ class Version:
     segments: list[str] = field(default_factory=list)
     n: int = 0
     total: int = 0
+    dead: int = 0
+    format: int = FORMAT
 
 
 class Index:
@@ -310,7 +339,8 @@ class Index:
         stream = fs.open(path)
         text = bytes(stream.readAllBytes()).decode()
         stream.close()
-        return Version(**json.loads(text))
+        said = json.loads(text)
+        return Version(**said) if said.get("format") == FORMAT else Version(max(numbers))
 
     def _commit(self, version: Version) -> None:
         """The version's file appears whole: it is written under another name first."""
@@ -324,48 +354,67 @@ class Index:
         self.version = version
 
     def _table(self, name: str, schema: str) -> DataFrame:
-        if not self.version.number:
+        if not self.version.segments:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.folder}/tables/{self.version.number:08d}/{name}")
 
     @property
     def files(self) -> DataFrame:
-        """(path, stamp, segment, dl) of the files that the version knows."""
-        return self._table("files", "path string, stamp long, segment string, dl long")
+        """(path, stamp, segment, number, dl) of the files that the version knows."""
+        return self._table("files", FILES)
 
     @property
     def dead(self) -> DataFrame:
-        """(path, segment): what live segments hold of files that have changed or gone."""
-        return self._table("dead", "path string, segment string")
-
-    def _segments(self, names: list[str]) -> DataFrame:
-        whole = self.spark.createDataFrame([], f"{POSTINGS}, segment string")
-        for name in names:
-            part = self.spark.read.schema(POSTINGS).parquet(f"{self.folder}/segments/{name}")
-            whole = whole.union(part.withColumn("segment", F.lit(name)))
-        return whole
+        """(segment, word, bits): a bit for each of the 64 numbers from 64 * word, set if the segment's file has changed or gone."""
+        return self._table("dead", "segment string, word long, bits long")
+
+    def _segment(self, name: str) -> DataFrame:
+        return self.spark.read.schema(SEGMENT).parquet(f"{self.folder}/segments/{name}")
+
+    def live(self, test: Column | None = None) -> DataFrame:
+        """(token, segment, number, positions): live postings, those that pass a test of token. A segment's parts are sorted
+        by token, so a test skips most row groups."""
+        found = self.spark.createDataFrame([], "token string, segment string, number long, positions array<int>")
+        for name in self.version.segments:
+            part = self._segment(name).where("token IS NOT NULL")
+            found = found.union((part if test is None else part.where(test)).select("token", F.lit(name).alias("segment"), "number", "positions"))
+        if not self.version.dead:
+            return found
+        dead = F.broadcast(self.dead) if self.version.dead <= MOST_SENT else self.dead
+        met = found.withColumn("word", F.shiftright("number", 6)).join(dead, ["segment", "word"], "left")
+        gone = F.expr("getbit(bits, cast(number & 63 AS int)) = 1")
+        return met.where(F.col("bits").isNull() | ~gone).select(found.columns)
 
     def postings(self, test: Column | None = None) -> DataFrame:
-        """Live postings, those that pass a test of token. Segments are sorted by token, so a test skips most row groups."""
-        found = self._segments(self.version.segments)
-        found = found if test is None else found.where(test)
-        return found.join(self.dead, ["path", "segment"], "left_anti").drop("segment")
+        """(token, path, tf, dl, positions): live postings with their files."""
+        found = self.live(test).join(self.files, ["segment", "number"])
+        return found.select("token", "path", F.size("positions").cast("long").alias("tf"), "dl", "positions")
 
     def _write_segment(self, held: DataFrame) -> str:
-        """Postings in ranges of (token, path), as many as their size asks for, so a common token has several."""
+        """Each task's rows, sorted by token; they don't move, so what is written is all that a segment takes."""
         name = uuid.uuid4().hex
-        held.repartitionByRange(F.col("token"), F.col("path")).sortWithinPartitions("token", "path").write.parquet(f"{self.folder}/segments/{name}")
+        held.sortWithinPartitions("token", "number").write.option("compression", "zstd").parquet(f"{self.folder}/segments/{name}")
         return name
 
+    def _commit_tables(self, number: int, segments: list[str], files: DataFrame, dead: DataFrame) -> None:
+        """A version with these files and dead ones: (segment, number)."""
+        tables = f"{self.folder}/tables/{number:08d}"
+        files.select(*(f.split()[0] for f in FILES.split(", "))).write.mode("overwrite").parquet(f"{tables}/files")
+        bit = F.expr("shiftleft(1L, cast(number & 63 AS int))")
+        bits = dead.select("segment", F.shiftright("number", 6).alias("word"), bit.alias("bits")).union(self.dead.where(F.col("segment").isin(segments)))
+        bits.groupBy("segment", "word").agg(F.bit_or("bits").alias("bits")).write.mode("overwrite").parquet(f"{tables}/dead")
+        n, total = self.spark.read.parquet(f"{tables}/files").agg(F.count("*"), F.sum("dl")).first()
+        self._commit(Version(number, segments, n, total or 0, self.spark.read.parquet(f"{tables}/dead").count()))
+
     def refresh(self, files: DataFrame) -> dict[str, int]:
         """Follow files (path, body, and stamp or what a stamp is made of); returns how many were added, changed, removed.
 
-        A file's stamp says whether it is still the same: see stamped(). Only files with a new stamp are tokenised.
+        A file's stamp says whether it is still the same: see stamped(). Only files with a new stamp are tokenised, and once.
         """
         number = self.version.number + 1
         tables = f"{self.folder}/tables/{number:08d}"
-        files = stamped(files)
-        known = self.files.withColumnsRenamed({"stamp": "old", "segment": "was", "dl": "old_dl"})
+        files = stamped(files).select("path", "body", "stamp")
+        known = self.files.withColumnsRenamed({"stamp": "old", "number": "at"})
         seen = files.select("path", "stamp").join(known, "path", "full_outer")
         state = F.when(F.col("stamp").isNull(), "removed").when(F.col("old").isNull(), "added").when(F.col("stamp") != F.col("old"), "changed").otherwise("same")
         # Stamps are made of bodies, so they are compared once and the outcome is written.
@@ -373,30 +422,31 @@ class Index:
         compared = self.spark.read.parquet(f"{tables}/compared")
         found = dict(compared.groupBy("state").count().collect())
         counts = dict.fromkeys(("added", "changed", "removed"), 0) | {k: v for k, v in found.items() if k != "same"}
-        if self.version.number and not any(counts.values()):
+        if self.version.segments and not any(counts.values()):
             return counts
         fresh = files.join(compared.where("state IN ('added', 'changed')").select("path"), "path", "left_semi") if "same" in found else files
-        name = self._write_segment(positional_postings(fresh))
-        new = compared.where("state IN ('added', 'changed')").select("path", "stamp").join(doc_stats(fresh), "path").select("path", "stamp", F.lit(name).alias("segment"), "dl")
-        same = compared.where("state = 'same'").select("path", "stamp", F.col("was").alias("segment"), F.col("old_dl").alias("dl"))
-        dead = self.dead.union(compared.where("state IN ('changed', 'removed')").select("path", F.col("was").alias("segment")))
+        # A task numbers its files and writes their numbers with their postings, so they agree even if it runs twice.
+        name = self._write_segment(positional_postings(fresh.withColumn("number", F.monotonically_increasing_id())))
+        new = self._segment(name).where("token IS NULL").withColumn("segment", F.lit(name))
+        same = compared.where("state = 'same'").select("path", "stamp", "segment", F.col("at").alias("number"), "dl")
+        dead = compared.where("state IN ('changed', 'removed')").select("segment", F.col("at").alias("number"))
         segments = [*self.version.segments, name]
-        same.union(new).write.mode("overwrite").parquet(f"{tables}/files")
-        dead.write.mode("overwrite").parquet(f"{tables}/dead")
-        n, total = self.spark.read.parquet(f"{tables}/files").agg(F.count("*"), F.sum("dl")).first()
-        self._commit(Version(number, segments, n, total or 0))
+        self._commit_tables(number, segments, same.unionByName(new.select(same.columns)), dead)
         if len(segments) > MOST_SEGMENTS:
             self.merge()
         return counts
 
     def merge(self) -> None:
         """All live postings as one segment. Earlier versions stay readable until their folders are deleted."""
-        name = self._write_segment(self.postings())
-        version = Version(self.version.number + 1, [name], self.version.n, self.version.total)
-        tables = f"{self.folder}/tables/{version.number:08d}"
-        self.files.withColumn("segment", F.lit(name)).write.mode("overwrite").parquet(f"{tables}/files")
-        self.dead.where("false").write.mode("overwrite").parquet(f"{tables}/dead")
-        self._commit(version)
+        number = self.version.number + 1
+        folder = f"{self.folder}/tables/{number:08d}/numbered"
+        self.files.withColumnsRenamed({"number": "at"}).withColumn("number", F.monotonically_increasing_id()).write.mode("overwrite").parquet(folder)
+        numbered = self.spark.read.parquet(folder)
+        found = self.live().withColumnRenamed("number", "at").join(numbered.select("segment", "at", "number"), ["segment", "at"])
+        none = {c: F.lit(None) for c in ("path", "stamp", "dl")}
+        rows = numbered.withColumns({"token": F.lit(None).cast("string"), "positions": F.lit(None).cast("array<int>")})
+        name = self._write_segment(found.withColumns(none).select("token", "number", "positions", *none).union(rows.select("token", "number", "positions", *none)))
+        self._commit_tables(number, [name], numbered.withColumn("segment", F.lit(name)), numbered.select("segment", "number").where("false"))
 
     def vacuum(self) -> None:
         """Delete what the newest version does not need. Readers of older ones must be done."""
@@ -410,8 +460,8 @@ class Index:
     def matches(self, query: str) -> DataFrame:
         """(path, bm25) of the files that a query matches."""
         node = parse(query, tokenise)
-        held = self.postings(F.lit(False) if node is None else _held(node))
-        return matches(held, self.version.n, self.version.total, query, self.files)
+        held = self.live(F.lit(False) if node is None else _held(node)).withColumn("tf", F.size("positions").cast("long"))
+        return matches(held, self.version.n, self.version.total, query, self.files, numbered=True)
 
 
 def stamped(files: DataFrame) -> DataFrame:

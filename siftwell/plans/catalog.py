@@ -697,7 +697,7 @@ def index_refresh(spark, d):
     kept = index.Index(spark, shared_folder(spark, "index"))
     kept.refresh(old.union(gone))
     kept.refresh(f)
-    return kept.postings().groupBy("token").agg(F.count("*").alias("files"), F.sum(F.size("positions")).cast("long").alias("places"))
+    return kept.live().groupBy("token").agg(F.count("*").alias("files"), F.sum(F.size("positions")).cast("long").alias("places"))
 
 
 @query("rga_fallback", "WITH t AS (SELECT url, string_split(regexp_replace(regexp_replace(html, '<[^>]*>', chr(10), 'g'), chr(10) || '+', chr(10), 'g'), chr(10)) AS a FROM pages), c AS (SELECT url, CASE WHEN a[-1] = '' THEN a[1:len(a) - 1] ELSE a END AS a FROM t), l AS (SELECT url, generate_subscripts(a, 1)::BIGINT AS line_no, unnest(a) AS line FROM c) SELECT url, line_no, 0.9::DOUBLE AS score FROM l WHERE regexp_matches(line, 'th[ae]t')")

@@ -220,3 +220,41 @@ def test_one_pass_over_the_bodies(spark, files):
     assert "Aggregate" not in index.postings(files)._jdf.queryExecution().optimizedPlan().toString()
     twice = files.select("path", "body").union(files.select("path", "body"))
     assert {(r.token, r.path, r.tf) for r in index.postings(twice).collect()} == {(r.token, r.path, 2 * r.tf) for r in index.postings(files).collect()}
+
+
+@pytest.mark.parametrize("most_sent", [0, 100])
+def test_a_stored_index_of_many_files(spark, tmp_path, monkeypatch, most_sent):
+    """Changed and gone files beyond one word of bits, files without tokens, merges; the postings of a file lie in one place."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(index, "MOST_SENT", most_sent)
+    monkeypatch.setattr(index, "MOST_SEGMENTS", 2)
+    rng = random.Random(8)
+    held = {}
+    for i in range(4):
+        held = {p: b for p, b in held.items() if rng.random() < 0.8}
+        held |= {f"f{j}": " ".join(rng.choices(WORDS, k=rng.randrange(0, 5))) for j in rng.sample(range(300), 120)} | {"dots": "..." * i, "none": None}
+        files = spark.createDataFrame(list(held.items()), "path string, body string").repartition(3)
+        kept = index.Index(spark, str(tmp_path / "ix"))
+        kept.refresh(files)
+        wanted = {(r.token, r.path, r.tf, r.dl, tuple(r.positions)) for r in index.positional_postings(files).collect()}
+        found = [(r.token, r.path, r.tf, r.dl, tuple(r.positions)) for r in kept.postings().collect()]
+        assert len(found) == len(wanted) and set(found) == wanted
+        assert kept.version.n == len(held) and {r.path for r in kept.files.collect()} == set(held)
+        for query in ("alpha -beta", '"alpha beta" OR gamma', "* AND bet", "[bet TO delta}"):
+            assert sorted(map(tuple, kept.matches(query).collect())) == sorted(map(tuple, index.bm25(files, query).collect())), query
+        if i == 0:
+            rows = kept._segment(kept.version.segments[0]).withColumn("file", F.input_file_name())
+            assert rows.select("number", "file").distinct().count() == len(held)
+            assert not rows.where("token IS NOT NULL AND path IS NOT NULL").count()
+
+
+def test_a_folder_of_another_format_is_filled_anew(spark, tmp_path):
+    folder = tmp_path / "ix"
+    (folder / "versions").mkdir(parents=True)
+    (folder / "versions" / "00000003.json").write_text('{"number": 3, "segments": ["old"], "n": 1, "total": 1}')
+    files = spark.createDataFrame([("a.rs", "alpha")], "path string, body string")
+    kept = index.Index(spark, str(folder))
+    assert not kept.postings().count()
+    assert kept.refresh(files) == {"added": 1, "changed": 0, "removed": 0} and kept.version.number == 4
+    assert [r.path for r in index.Index(spark, str(folder)).matches("alpha").collect()] == ["a.rs"]
